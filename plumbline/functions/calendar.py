@@ -40,6 +40,7 @@ def bin_index(ts: Column, period: str) -> Column:
 def bin_start(index: Column, period: str) -> Column:
     """First moment of the period at ``index`` (weeks: their closing Sunday, as the label)."""
     n, unit = parse(period)
+    index = index.cast("long")
     if unit in MONTHS:
         month = index * MONTHS[unit]
         return F.make_timestamp_ntz(F.floor(month / 12).cast("int") + 1970, F.pmod(month, F.lit(12)).cast("int") + 1,

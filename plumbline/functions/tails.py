@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def beta_share(a: float, b: float, x: float) -> float:
@@ -54,16 +55,16 @@ def chi_upper(x: float, d: float) -> float:
     return 1 - gamma_share(d / 2, x / 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([f_upper(*v) for v in zip(f, d1, d2)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_tail(t: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([t_both(*v) for v in zip(t, d)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_tail(x: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([chi_upper(*v) for v in zip(x, d)])

@@ -233,7 +233,11 @@ def fit(df: DataFrame, spec: DatasetSpec, order: str | None = None) -> tuple[Fit
 
     def settle(frame: DataFrame) -> DataFrame:
         if pending:
-            fitted.fill |= {c: v for c, v in fill_constants(frame, pending).items() if v is not None}
+            # a whole-number column without nulls keeps its type and values, as there is nothing to fill
+            whole = [c for c in pending if dict(frame.dtypes)[c] in NUMERIC[:2]]
+            nulls = frame.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in whole]).first() if whole else {}
+            wanted = {c: m for c, m in pending.items() if c not in whole or nulls[c]}
+            fitted.fill |= {c: v for c, v in fill_constants(frame, wanted).items() if v is not None}
             pending.clear()
         return frame
 

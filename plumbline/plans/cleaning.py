@@ -44,10 +44,11 @@ def _(t):
 
 
 @query("convert_integer", "C4", """
-SELECT event_id, CASE WHEN value = floor(value) THEN CAST(floor(value) AS BIGINT) END AS value FROM events""")
+SELECT event_id, CASE WHEN value = floor(value) THEN CAST(floor(value) AS BIGINT) ELSE -1 END AS value FROM events""")
 def _(t):
     df = t("events").select("event_id", F.col("value").cast("string").alias("value"))
-    return c.convert(df, DatasetSpec.of([{"name": "value", "attr": "disc"}]))
+    whole = c.convert(df, DatasetSpec.of([{"name": "value", "attr": "disc"}]))
+    return whole.withColumn("value", F.coalesce("value", F.lit(-1).cast("long")))
 
 
 # --- missing values ------------------------------------------------------------------------------
