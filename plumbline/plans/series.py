@@ -20,6 +20,7 @@ def spine_sql(name: str, table: str, ts: str, value: str, key: str, unit: str, a
 
 DAILY = "WITH " + spine_sql("d", "events", "ts", "value", "event_type", "day", "avg({})")
 HOURLY = "WITH " + spine_sql("h", "events", "ts", "value", "event_type", "hour", "avg({})")
+LOGGED = "WITH " + spine_sql("m", "orders", "o_orderdate", "o_totalprice", "o_orderpriority", "month", "avg(ln({}))")
 MONTHLY = "WITH " + spine_sql("m", "orders", "o_orderdate", "o_totalprice", "o_orderpriority", "month", "sum({})")
 
 
@@ -38,6 +39,13 @@ def monthly(t: Tables):
     return series.resample(df, "ts", ["v"], "k", "MS", "sum")
 
 
+def monthly_log(t: Tables):
+    """Monthly mean of log prices: its averages have no rounding ties, so both engines round alike."""
+    df = t("orders").select(F.col("o_orderpriority").alias("k"), F.col("o_orderdate").alias("ts"),
+                            F.ln("o_totalprice").alias("v"))
+    return series.resample(df, "ts", ["v"], "k", "MS", "mean")
+
+
 def rounded(df, digits: int, *names: str):
     return df.withColumns({n: F.round(n, digits) for n in names})
 
@@ -58,14 +66,14 @@ def unit_query(name: str, period: str, unit: str, label: str, agg: str, sql_agg:
     body = spine_sql("x", "orders", "o_orderdate", "o_totalprice", "o_orderpriority", unit, sql_agg)
     if unit == "quarter":
         body = body.replace("INTERVAL 1 quarter", "INTERVAL 3 month")
-    value = "v" if agg == "count" else "round(v, 2)"
+    value = "v" if agg == "count" else "round(v, 4)"
 
     @query(name, "X1", f"WITH {body} SELECT k, {label} AS ts, {value} AS v FROM x")
     def _(t):
         df = t("orders").select(F.col("o_orderpriority").alias("k"), F.col("o_orderdate").alias("ts"),
                                 F.col("o_totalprice").alias("v"))
         out = series.resample(df, "ts", ["v"], "k", period, agg)
-        return out if agg == "count" else rounded(out, 2, "v")
+        return out if agg == "count" else rounded(out, 4, "v")
 
 
 unit_query("series_resample_week", "W", "week", "ts + INTERVAL 6 day", "max", "max({})")
@@ -237,12 +245,12 @@ def _(t):
     return smooth.lowess_trend(daily(t), "ts", "v", 0.5, "k")
 
 
-@query("series_rolling_trend", "X16", f"""{MONTHLY}, n AS (SELECT max(c) AS n FROM (SELECT k, count(*) AS c FROM m GROUP BY k)),
+@query("series_rolling_trend", "X16", f"""{LOGGED}, n AS (SELECT max(c) AS n FROM (SELECT k, count(*) AS c FROM m GROUP BY k)),
 p AS (SELECT k, ts, v, row_number() OVER (PARTITION BY k ORDER BY ts) AS i FROM m)
-SELECT a.k, a.ts, round(avg(b.v), 5) AS trend FROM p a JOIN p b ON a.k = b.k AND b.i <= a.i
+SELECT a.k, a.ts, round(avg(b.v), 8) AS trend FROM p a JOIN p b ON a.k = b.k AND b.i <= a.i
   AND b.i > a.i - (SELECT floor(n * 0.25) FROM n) GROUP BY a.k, a.ts""")
 def _(t):
-    return rounded(smooth.rolling_trend(monthly(t), "ts", "v", 0.25, "k").drop("v"), 5, "trend")
+    return rounded(smooth.rolling_trend(monthly_log(t), "ts", "v", 0.25, "k").drop("v"), 8, "trend")
 
 
 @query("series_half_life_trend", "X17", DAILY + EWM.format(t="d", d="pow(0.5, 1 / 20.0)", n="trend"))
@@ -315,29 +323,28 @@ ADD = DECOMP.format(n="q", op="-", resid="v - trend - seasonal")
 MULTI = DECOMP.format(n="x", op="/", resid="v / (trend * seasonal)")
 
 
-@query("series_decompose_additive", "X24", MONTHLY + ADD + """
-SELECT k, ts, round(v, 2) AS v, round(trend, 4) AS trend, round(seasonal, 4) AS seasonal, round(resid, 4) AS resid FROM qr""")
+@query("series_decompose_additive", "X24", LOGGED + ADD + """
+SELECT k, ts, round(v, 8) AS v, round(trend, 8) AS trend, round(seasonal, 8) AS seasonal, round(resid, 8) AS resid FROM qr""")
 def _(t):
-    out = decompose.decompose(monthly(t), "ts", "v", 12, "MS", "k")
-    return rounded(rounded(out, 4, "trend", "seasonal", "resid"), 2, "v")
+    out = decompose.decompose(monthly_log(t), "ts", "v", 12, "MS", "k")
+    return rounded(out, 8, "v", "trend", "seasonal", "resid")
 
 
-@query("series_decompose_multiplicative", "X25", MONTHLY + MULTI + """
-SELECT k, ts, round(v, 2) AS v, round(trend, 4) AS trend, round(seasonal, 6) AS seasonal, round(resid, 6) AS resid FROM xr""")
+@query("series_decompose_multiplicative", "X25", LOGGED + MULTI + """
+SELECT k, ts, round(v, 8) AS v, round(trend, 8) AS trend, round(seasonal, 8) AS seasonal, round(resid, 8) AS resid FROM xr""")
 def _(t):
-    out = decompose.decompose(monthly(t), "ts", "v", 12, "MS", "k", "multi")
-    return rounded(rounded(rounded(out, 2, "v"), 4, "trend"), 6, "seasonal", "resid")
+    out = decompose.decompose(monthly_log(t), "ts", "v", 12, "MS", "k", "multi")
+    return rounded(out, 8, "v", "trend", "seasonal", "resid")
 
 
-@query("series_choose_model", "X25", MONTHLY + ADD + ",\n" + MULTI[MULTI.index("xs AS"):] + """,
+@query("series_choose_model", "X25", LOGGED + ADD + ",\n" + MULTI[MULTI.index("xs AS"):] + """,
 e AS (SELECT k, stddev_pop(resid) AS s, avg(resid * resid) AS q FROM qr GROUP BY k),
 g AS (SELECT k, stddev_pop(resid) AS s, avg(resid * resid) AS q FROM xr GROUP BY k)
-SELECT k, round(e.s, 2) AS add_std, round(e.q / 1000000, 2) AS add_mse, round(g.s, 6) AS multi_std, round(g.q, 6) AS multi_mse,
+SELECT k, round(e.s, 8) AS add_std, round(e.q, 8) AS add_mse, round(g.s, 8) AS multi_std, round(g.q, 8) AS multi_mse,
   CASE WHEN g.s < e.s AND g.q < e.q THEN 'multiplicative' ELSE 'additive' END AS model FROM e JOIN g USING (k)""")
 def _(t):
-    out = decompose.choose_model(monthly(t), "ts", "v", 12, "MS", "k")
-    return out.select("k", F.round("add_std", 2).alias("add_std"), F.round(F.col("add_mse") / 1000000, 2).alias("add_mse"),
-                      F.round("multi_std", 6).alias("multi_std"), F.round("multi_mse", 6).alias("multi_mse"), "model")
+    out = decompose.choose_model(monthly_log(t), "ts", "v", 12, "MS", "k")
+    return rounded(out, 8, "add_std", "add_mse", "multi_std", "multi_mse")
 
 
 @query("series_stl", "X26")
@@ -349,7 +356,7 @@ def _(t):
   count(*) OVER (PARTITION BY k) AS n FROM m),
 j AS (SELECT a.k, sp, a.i, a.v, sum(b.v * CASE WHEN sp % 2 = 0 AND abs(a.i - b.i) = sp // 2 THEN 0.5 ELSE 1 END) / sp AS trend
   FROM p a, generate_series(2, 30) g(sp), p b WHERE a.k = b.k AND abs(a.i - b.i) <= sp // 2
-  AND a.i >= sp // 2 AND a.i < a.n - sp // 2 GROUP BY 1, 2, 3, 8),
+  GROUP BY 1, 2, 3, 4 HAVING count(b.v) = 2 * (sp // 2) + 1),
 s AS (SELECT k, sp, i % sp AS ph, avg(v - trend) AS a FROM j GROUP BY 1, 2, 3),
 c AS (SELECT k, sp, ph, a - avg(a) OVER (PARTITION BY k, sp) AS s FROM s),
 r AS (SELECT j.k, j.sp, stddev_pop(v - trend - s) AS sd FROM j JOIN c ON j.k = c.k AND j.sp = c.sp AND j.i % j.sp = ph GROUP BY 1, 2)
