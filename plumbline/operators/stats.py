@@ -108,12 +108,12 @@ def density(df: DataFrame, value: str, keys: Sequence[str] = (), points: int = 1
     if ends[0] is None:
         return df.select(*keys, F.lit(0.0).alias("x"), F.lit(0.0).alias("density")).limit(0)
     step = (ends[1] - ends[0]) / (points - 1)
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_N"), (F.stddev_samp(value) * F.pow(F.count(F.lit(1)), F.lit(-0.2))).alias("_h"))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"), (F.stddev_samp(value) * F.pow(F.count(F.lit(1)), F.lit(-0.2))).alias("_h"))
     counts = rows.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     joined = lookup_join(counts, sizes.where(F.col("_h") > 0), by, "inner")
     spread = joined.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_g"))
     z = (F.lit(ends[0]) + F.col("_g") * step - F.col("_v")) / F.col("_h")
-    height = F.sum(F.col("_n") * F.exp(-z * z / 2) / (F.col("_N") * F.col("_h") * math.sqrt(2 * math.pi)))
+    height = F.sum(F.col("_n") * F.exp(-z * z / 2) / (F.col("_size") * F.col("_h") * math.sqrt(2 * math.pi)))
     out = spread.groupBy(*by, "_g").agg(height.alias("density"))
     return out.select(*keys, (F.lit(ends[0]) + F.col("_g") * step).alias("x"), "density")
 

@@ -162,7 +162,7 @@ def matrix_sql(template: str) -> str:
     return "\nUNION ALL ".join(f"SELECT '{a}' AS row, '{b}' AS col, {template.format(a=a, b=b)} AS value FROM lineitem" for a, b in PAIRS)
 
 
-@query("correlation_pearson", "D17", matrix_sql("round(corr({a}, {b}), 2)"))
+@query("correlation_pearson", "D17", matrix_sql("round(corr({a}, {b}), 2) + 0.0"))
 def _(t):
     return s.correlation_matrix(t("lineitem"), NUMERIC)
 
@@ -171,7 +171,7 @@ RANKED = "WITH r AS (SELECT " + ", ".join(
     f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in NUMERIC) + " FROM lineitem)\n"
 
 
-@query("correlation_spearman", "D18", RANKED + matrix_sql("round(corr({a}, {b}), 4)").replace("FROM lineitem", "FROM r"))
+@query("correlation_spearman", "D18", RANKED + matrix_sql("round(corr({a}, {b}), 4) + 0.0").replace("FROM lineitem", "FROM r"))
 def _(t):
     return s.correlation_matrix(t("lineitem"), NUMERIC, "spearman", 4)
 
@@ -187,7 +187,7 @@ def _(t):
     return rounded(s.kendall(t("lineitem"), "l_discount", "l_tax"), 6, "tau")
 
 
-@query("covariance_matrix", "D20", matrix_sql("round(covar_samp({a}, {b}), 2)"))
+@query("covariance_matrix", "D20", matrix_sql("round(covar_samp({a}, {b}), 2) + 0.0"))
 def _(t):
     return s.covariance_matrix(t("lineitem"), NUMERIC)
 
