@@ -1 +1,132 @@
-"""Registered later."""
+"""Row validation and scalar rules over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.operators import validate as v
+from plumbline.plans.registry import query
+
+PHONES = "CASE WHEN c_nationkey % 3 = 0 THEN '12' ELSE '13' END || lpad(CAST(c_custkey AS VARCHAR), 9, '0')"
+MAILS = "CASE WHEN c_mktsegment = 'BUILDING' THEN c_name ELSE lower(c_mktsegment) || '@shop.example' END"
+
+
+def contacts(t):
+    phone = F.concat(F.when(F.col("c_nationkey") % 3 == 0, "12").otherwise("13"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
+    mail = F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_name")).otherwise(F.concat(F.lower("c_mktsegment"), F.lit("@shop.example")))
+    return t("customer").select("c_custkey", F.when(F.col("c_acctbal") < 0, None).otherwise(F.col("c_name")).alias("name"),
+                                F.col("c_mktsegment").alias("segment"), phone.alias("phone"), mail.alias("mail"))
+
+
+HEADERS = [v.Header("name", "Name", required=True),
+           v.Header("segment", "Segment", options=(("BUILDING", "b"), ("MACHINERY", "m"), ("HOUSEHOLD", "h"), ("FURNITURE", "f"))),
+           v.Header("phone", "Phone", rules=("phone",)), v.Header("mail", "Mail", rules=("email",))]
+
+
+@query("check_rows", "B1", f"""
+WITH c AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_name END AS name, c_mktsegment AS segment, {PHONES} AS phone, {MAILS} AS mail FROM customer)
+SELECT c_custkey, name, CASE segment WHEN 'BUILDING' THEN 'b' WHEN 'MACHINERY' THEN 'm' WHEN 'HOUSEHOLD' THEN 'h' WHEN 'FURNITURE' THEN 'f' END AS segment,
+ phone, mail, CASE WHEN name IS NULL THEN 'Name is required' WHEN segment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD', 'FURNITURE') THEN 'Segment is not an option'
+ WHEN NOT regexp_matches(phone, '^1(3\\d|4[4-9]|5[0-35-9]|6[67]|7[013-8]|8[0-9]|9[0-9])\\d{{8}}$') THEN 'Phone: invalid phone number'
+ WHEN NOT regexp_matches(mail, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}$') THEN 'Mail: invalid email' END AS reason FROM c""")
+def _(t):
+    return v.check_rows(contacts(t), HEADERS)
+
+
+@query("check_typed_fields", "B2", "SELECT n_nationkey, '[' || CAST(n_regionkey AS VARCHAR) || ']' AS region, n_name AS name FROM nation")
+def _(t):
+    headers = [v.Header("region", "Region", type="list"), v.Header("name", "Name")]
+    df = t("nation").select("n_nationkey", F.col("n_regionkey").alias("region"), F.col("n_name").alias("name"))
+    return v.check_rows(df, headers).select("n_nationkey", F.concat(F.lit("["), F.array_join("region", ","), F.lit("]")).alias("region"), "name")
+
+
+@query("check_phone", "B3", f"SELECT c_custkey, regexp_matches({PHONES}, '^1(3\\d|4[4-9]|5[0-35-9]|6[67]|7[013-8]|8[0-9]|9[0-9])\\d{{8}}$') AS ok FROM customer")
+def _(t):
+    return contacts(t).select("c_custkey", v.phone_ok(F.col("phone")).alias("ok"))
+
+
+@query("check_email", "B4", f"SELECT c_custkey, regexp_matches({MAILS}, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}$') AS ok FROM customer")
+def _(t):
+    return contacts(t).select("c_custkey", v.email_ok(F.col("mail")).alias("ok"))
+
+
+@query("check_time_text", "B5", """
+SELECT event_id, CASE event_type WHEN 'error' THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS moment,
+ CASE event_type WHEN 'view' THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events""")
+def _(t):
+    moment = (F.when(F.col("event_type") == "error", "soon").when(F.col("event_type") == "click", F.concat(
+        F.lit('{"$date": "'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit('"}'))).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
+    day = F.when(F.col("event_type") == "view", F.date_format("ts", "MM/dd/yyyy")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    df = t("events").select("event_id", moment.alias("moment"), day.alias("day"))
+    return df.select("event_id", v.time_text(F.col("moment")).alias("moment"), v.date_text(F.col("day")).alias("day"))
+
+
+@query("check_object_id", "B6", "SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS oid FROM events")
+def _(t):
+    oid = F.md5(F.col("event_id").cast("string"))
+    raw = F.when(F.col("event_type") == "click", F.concat(F.lit('{"$oid": "'), oid, F.lit('"}'))).otherwise(oid)
+    return t("events").select("event_id", v.object_id(raw).alias("oid"))
+
+
+@query("check_password", "B7", """
+WITH w AS (SELECT p_partkey, CASE WHEN p_size < 10 THEN p_brand ELSE p_name END AS w FROM part)
+SELECT p_partkey, CASE WHEN length(w) < 8 OR length(w) > 16 THEN 'length must be 8 to 16' WHEN contains(w, ' ') THEN 'no blanks or Chinese characters'
+ WHEN regexp_matches(w, '[0-9]')::INT + regexp_matches(w, '[A-Za-z]')::INT + regexp_matches(w, '[^A-Za-z0-9_]')::INT < 2 THEN 'needs two kinds of characters' END AS fault FROM w""")
+def _(t):
+    word = F.when(F.col("p_size") < 10, F.col("p_brand")).otherwise(F.col("p_name"))
+    return t("part").select("p_partkey", v.password_fault(word).alias("fault"))
+
+
+@query("check_option_lookup", "B8", "SELECT c_custkey, n_name AS option_value FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def _(t):
+    options = t("nation").select(F.col("n_nationkey").alias("label"), F.col("n_name").alias("value"))
+    return v.option_value(t("customer").select("c_custkey", "c_nationkey"), "c_nationkey", options).select("c_custkey", "option_value")
+
+
+@query("check_time_slots", "B9", """
+SELECT p_partkey, strftime(TIMESTAMP '2000-01-01 08:00:00' + to_minutes(CAST(i * 30 AS INTEGER)), '%H:%M:%S') AS slot
+FROM part, generate_series(0, 60) g(i) WHERE i * 30 < p_size * 10""")
+def _(t):
+    minutes = F.col("p_size") * 10
+    df = t("part").select("p_partkey", F.lit("8:00").alias("start"), F.format_string("%d:%d:00", (8 + F.floor(minutes / 60)).cast("int"), (minutes % 60)).alias("end"))
+    return v.time_slots(df, "start", "end", 30).select("p_partkey", "slot")
+
+
+@query("check_listed_text", "B10", "SELECT p_partkey, p_name || '|' || p_brand || '|' || p_type AS parts FROM part")
+def _(t):
+    text = F.concat(F.lit("["), F.concat_ws(", ", "p_name", "p_brand", "p_type"), F.lit("]"))
+    return t("part").select("p_partkey", F.array_join(v.listed(text), "|").alias("parts"))
+
+
+@query("check_json_text", "B11", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def _(t):
+    return t("events").select("event_id", v.parsed(F.col("props"), "k int")["k"].alias("k"))
+
+
+@query("check_rounding", "B12", "SELECT s_suppkey, round(ln(abs(s_acctbal) + 1), 3) AS size FROM supplier")
+def _(t):
+    return v.rounded(t("supplier").select("s_suppkey", F.ln(F.abs("s_acctbal") + 1).alias("size")), 3)
+
+
+@query("user_batches", "H2", "SELECT p_partkey, p_retailprice * 1.5 AS price FROM part")
+def _(t):
+    return v.map_batches(t("part").select("p_partkey", "p_retailprice"),
+                         lambda b: b[["p_partkey"]].assign(price=b["p_retailprice"] * 1.5), "p_partkey long, price double")
+
+
+@query("user_rows", "H2", "SELECT n_nationkey, upper(n_name) AS name FROM nation")
+def _(t):
+    return v.map_rows(t("nation").select("n_nationkey", "n_name"), lambda r: {"n_nationkey": r["n_nationkey"], "name": r["n_name"].upper()},
+                      "n_nationkey int, name string")
+
+
+@query("check_reject_sink", "S10", f"""
+SELECT c_custkey, phone, 'Phone: invalid phone number' AS reason FROM (SELECT c_custkey, {PHONES} AS phone FROM customer)
+WHERE NOT regexp_matches(phone, '^1(3\\d|4[4-9]|5[0-35-9]|6[67]|7[013-8]|8[0-9]|9[0-9])\\d{{8}}$')""")
+def _(t):
+    from plumbline.functions.settings import scratch_folder
+    from plumbline.sources.export import write_rejects
+    checked = v.check_rows(contacts(t).select("c_custkey", "phone"), [v.Header("phone", "Phone", rules=("phone",))])
+    path = scratch_folder(t.spark, "rejects")
+    write_rejects(v.split_rows(checked)[1], path)
+    return t.spark.read.parquet(path)

@@ -14,7 +14,7 @@ def stacked(template: str, columns: list[str]) -> str:
     return "\nUNION ALL ".join(template.replace("{c}", c) for c in columns)
 
 
-@query("profile_numeric", "P1", stacked("""
+@query("profile_numeric", "P1 J5", stacked("""
 SELECT '{c}' AS name, count({c}) AS count, round(avg({c}), 3) AS mean, round(stddev_samp({c}), 3) AS std,
        round(min({c}), 3) AS min, round(max({c}), 3) AS max, round(var_samp({c}), 3) AS variance,
        round(quantile_cont({c}, 0.25), 3) AS pct25, round(quantile_cont({c}, 0.5), 3) AS median,
