@@ -28,4 +28,6 @@ def per_series(df: DataFrame, key: str | None, fn: Callable[[pd.DataFrame], pd.D
     keyed = df if key else df.withColumn("_all", F.lit(0))
     by = key or "_all"
     check_length(keyed, by, most)
-    return keyed.groupBy(by).applyInPandas(fn, schema)
+    if key:
+        return keyed.groupBy(by).applyInPandas(fn, schema)
+    return keyed.groupBy(by).applyInPandas(lambda pdf: fn(pdf.drop(columns="_all")), schema)

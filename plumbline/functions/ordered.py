@@ -66,7 +66,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
 
 
 def with_chunks(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame) -> DataFrame:
-    """Add ``_chunk``: an order-preserving cut of each hot key; other keys stay whole in chunk 0.
+    """Add ``_o_chunk``: an order-preserving cut of each hot key; other keys stay whole in chunk 0.
 
     Boundaries come from a content hash, so a recomputed task always sees the same cut.  Any boundaries
     give exact results; they only balance the work.
@@ -84,7 +84,7 @@ def with_chunks(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame)
     search = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(
         F.element_at("_bounds", at + step) <= F.col(order), step).otherwise(F.lit(0)))
     return (df.join(bounds, on_hot, "left")
-            .withColumn("_chunk", F.when(F.col("_bounds").isNull() | F.col(order).isNull(), F.lit(0)).otherwise(search))
+            .withColumn("_o_chunk", F.when(F.col("_bounds").isNull() | F.col(order).isNull(), F.lit(0)).otherwise(search))
             .drop("_bounds", *[f"_h_{k}" for k in keys]))
 
 
@@ -92,27 +92,27 @@ def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Colu
             totals: dict[str, Column] | None = None) -> DataFrame:
     """Running sums up to and including each row (``order`` unique per key) and key totals."""
     totals = totals or {}
-    keyed = df if keys else df.withColumn("_all", F.lit(0))
-    by = list(keys) or ["_all"]
+    keyed = df if keys else df.withColumn("_o_all", F.lit(0))
+    by = list(keys) or ["_o_all"]
     hot = hot_keys(keyed, by)
     if hot is None:
         w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*by)
         out = keyed.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()],
                            *[F.sum(c).over(whole).alias(n) for n, c in totals.items()])
-        return out.drop("_all")
+        return out.drop("_o_all")
     cut = with_chunks(keyed, by, order, hot)
-    parts = cut.groupBy(*by, "_chunk").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()],
+    parts = cut.groupBy(*by, "_o_chunk").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()],
                                            *[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
-    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(*by, "_chunk",
+    before = Window.partitionBy(*by).orderBy("_o_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*by, "_o_chunk",
                            *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
                            *[F.sum(f"_t_{n}").over(Window.partitionBy(*by)).alias(n) for n in totals])
-    inside = Window.partitionBy(*by, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "_o_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.select("*", *[F.sum(c).over(inside).alias(f"_w_{n}") for n, c in sums.items()])
-    offsets = offsets.select(*[F.col(k).alias(f"_p_{k}") for k in [*by, "_chunk"]],
+    offsets = offsets.select(*[F.col(k).alias(f"_p_{k}") for k in [*by, "_o_chunk"]],
                              *[f"_o_{n}" for n in sums], *totals)
-    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in [*by, "_chunk"]])
+    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in [*by, "_o_chunk"]])
     joined = local.join(offsets, condition)
     return joined.select(*df.columns, *[(F.col(f"_w_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums], *totals)
 
@@ -126,45 +126,45 @@ def over_series(df: DataFrame, keys: Sequence[str], order: str, build: Callable[
     counts, computed only when some series is too long for one task.
     """
     if period is None:
-        keyed = df if keys else df.withColumn("_all", F.lit(0))
-        by = list(keys) or ["_all"]
+        keyed = df if keys else df.withColumn("_o_all", F.lit(0))
+        by = list(keys) or ["_o_all"]
         if hot_keys(keyed, by) is None:
             w = Window.partitionBy(*by).orderBy(order)
-            return keyed.select("*", *[c.alias(n) for n, c in build(w).items()]).drop("_all")
-        placed = running(df, keys, order, {"_place": F.lit(1)})
+            return keyed.select("*", *[c.alias(n) for n, c in build(w).items()]).drop("_o_all")
+        placed = running(df, keys, order, {"_o_place": F.lit(1)})
     else:
-        placed = df.withColumn("_place", bin_index(F.col(order), period))
+        placed = df.withColumn("_o_place", bin_index(F.col(order), period))
     size = max(bound(df.sparkSession, CHUNK_ROWS), 4 * (before + after), 1)
-    own = F.floor(F.col("_place") / size)
-    at = F.pmod(F.col("_place"), F.lit(size))
+    own = F.floor(F.col("_o_place") / size)
+    at = F.pmod(F.col("_o_place"), F.lit(size))
     parts = F.array_compact(F.array(own, F.when(at >= size - before, own + 1), F.when(at < after, own - 1)))
-    halo = placed.withColumn("_own", own).withColumn("_part", F.explode(parts))
-    w = Window.partitionBy(*keys, "_part").orderBy(order)
+    halo = placed.withColumn("_o_own", own).withColumn("_o_part", F.explode(parts))
+    w = Window.partitionBy(*keys, "_o_part").orderBy(order)
     out = halo.select("*", *[c.alias(n) for n, c in build(w).items()])
-    return out.where(F.col("_own") == F.col("_part")).drop("_place", "_own", "_part")
+    return out.where(F.col("_o_own") == F.col("_o_part")).drop("_o_place", "_o_own", "_o_part")
 
 
 def carry(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], backward: bool = False) -> DataFrame:
     """Fill nulls from the nearest earlier (or later) non-null value of the series, over any distance."""
-    keyed = df if keys else df.withColumn("_all", F.lit(0))
-    by = list(keys) or ["_all"]
+    keyed = df if keys else df.withColumn("_o_all", F.lit(0))
+    by = list(keys) or ["_o_all"]
     hot = hot_keys(keyed, by)
     ends = (Window.unboundedPreceding, 0) if not backward else (0, Window.unboundedFollowing)
     nearest = F.last if not backward else F.first
     if hot is None:
         w = Window.partitionBy(*by).orderBy(order).rowsBetween(*ends)
-        return keyed.withColumns({c: nearest(c, True).over(w) for c in columns}).drop("_all")
+        return keyed.withColumns({c: nearest(c, True).over(w) for c in columns}).drop("_o_all")
     cut = with_chunks(keyed, by, order, hot)
     pick = F.max_by if not backward else F.min_by
-    edge = cut.groupBy(*by, "_chunk").agg(*[pick(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_e_{c}")
+    edge = cut.groupBy(*by, "_o_chunk").agg(*[pick(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_e_{c}")
                                             for c in columns])
     gone = (Window.unboundedPreceding, -1) if not backward else (1, Window.unboundedFollowing)
-    across = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(*gone)
-    edge = edge.select(*[F.col(k).alias(f"_p_{k}") for k in [*by, "_chunk"]],
+    across = Window.partitionBy(*by).orderBy("_o_chunk").rowsBetween(*gone)
+    edge = edge.select(*[F.col(k).alias(f"_p_{k}") for k in [*by, "_o_chunk"]],
                        *[nearest(f"_e_{c}", True).over(across).alias(f"_c_{c}") for c in columns])
-    inside = Window.partitionBy(*by, "_chunk").orderBy(order).rowsBetween(*ends)
+    inside = Window.partitionBy(*by, "_o_chunk").orderBy(order).rowsBetween(*ends)
     local = cut.withColumns({c: nearest(c, True).over(inside) for c in columns})
-    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in [*by, "_chunk"]])
+    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in [*by, "_o_chunk"]])
     joined = local.join(edge, condition)
     return joined.select(*[F.coalesce(F.col(c), F.col(f"_c_{c}")).alias(c) if c in columns else F.col(c)
                            for c in df.columns])
