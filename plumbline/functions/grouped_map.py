@@ -28,6 +28,8 @@ def per_series(df: DataFrame, key: str | None, fn: Callable[[pd.DataFrame], pd.D
     keyed = df if key else df.withColumn("_all", F.lit(0))
     by = key or "_all"
     check_length(keyed, by, most)
-    if key:
-        return keyed.groupBy(by).applyInPandas(fn, schema)
-    return keyed.groupBy(by).applyInPandas(lambda pdf: fn(pdf.drop(columns="_all")), schema)
+    if not key:
+        return keyed.groupBy(by).applyInPandas(lambda pdf: fn(pdf.drop(columns="_all")), schema)
+    # series are few bytes but much work, so the tasks are not merged by size
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(tasks, by).groupBy(by).applyInPandas(fn, schema)

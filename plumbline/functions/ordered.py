@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from plumbline.functions.calendar import bin_index
-from plumbline.functions.settings import BROADCAST_ROWS, CHUNK_ROWS, GROUP_ROWS, bound
+from plumbline.functions.settings import BROADCAST_BYTES, BROADCAST_ROWS, CHUNK_ROWS, GROUP_ROWS, bound
 
 CHUNKS = 256          # chunks per hot key
 SAMPLED = 16_384      # order values looked at to place the chunk boundaries of one hot key
@@ -25,10 +25,15 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def lookup_join(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Attach one-row-per-key ``side``: broadcast behind a row count, salted join beyond it."""
+    """Attach one-row-per-key ``side``: broadcast once its rows and bytes are known to be few, salted join beyond.
+
+    The size check fetches at most one row more than the bound, and a small side is kept as fetched, so the
+    work behind it runs once.
+    """
     limit = bound(df.sparkSession, BROADCAST_ROWS)
-    if side.limit(limit + 1).count() <= limit:
-        side = F.broadcast(side)
+    head = side.limit(limit + 1).toArrow()
+    if head.num_rows <= limit and head.nbytes <= BROADCAST_BYTES:
+        side = F.broadcast(df.sparkSession.createDataFrame(head, side.schema))
         renamed = side.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
                               *[c for c in side.columns if c not in keys])
         condition = reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
@@ -145,25 +150,27 @@ def over_series(df: DataFrame, keys: Sequence[str], order: str, build: Callable[
 
 
 def carry(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], backward: bool = False) -> DataFrame:
-    """Fill nulls from the nearest earlier (or later) non-null value of the series, over any distance."""
+    """Fill nulls from the nearest earlier (or later) non-null value of the series, over any distance.
+
+    Looking ahead is looking back in descending order: a growing frame costs one step per row, a frame that
+    ends at the last row would be read again for every row.
+    """
     keyed = df if keys else df.withColumn("_o_all", F.lit(0))
     by = list(keys) or ["_o_all"]
     hot = hot_keys(keyed, by)
-    ends = (Window.unboundedPreceding, 0) if not backward else (0, Window.unboundedFollowing)
-    nearest = F.last if not backward else F.first
+    turned = (lambda c: F.col(c).desc()) if backward else (lambda c: F.col(c).asc())
     if hot is None:
-        w = Window.partitionBy(*by).orderBy(order).rowsBetween(*ends)
-        return keyed.withColumns({c: nearest(c, True).over(w) for c in columns}).drop("_o_all")
+        w = Window.partitionBy(*by).orderBy(turned(order)).rowsBetween(Window.unboundedPreceding, 0)
+        return keyed.withColumns({c: F.last(c, True).over(w) for c in columns}).drop("_o_all")
     cut = with_chunks(keyed, by, order, hot)
     pick = F.max_by if not backward else F.min_by
     edge = cut.groupBy(*by, "_o_chunk").agg(*[pick(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_e_{c}")
-                                            for c in columns])
-    gone = (Window.unboundedPreceding, -1) if not backward else (1, Window.unboundedFollowing)
-    across = Window.partitionBy(*by).orderBy("_o_chunk").rowsBetween(*gone)
+                                              for c in columns])
+    across = Window.partitionBy(*by).orderBy(turned("_o_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.select(*[F.col(k).alias(f"_p_{k}") for k in [*by, "_o_chunk"]],
-                       *[nearest(f"_e_{c}", True).over(across).alias(f"_c_{c}") for c in columns])
-    inside = Window.partitionBy(*by, "_o_chunk").orderBy(order).rowsBetween(*ends)
-    local = cut.withColumns({c: nearest(c, True).over(inside) for c in columns})
+                       *[F.last(f"_e_{c}", True).over(across).alias(f"_c_{c}") for c in columns])
+    inside = Window.partitionBy(*by, "_o_chunk").orderBy(turned(order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.withColumns({c: F.last(c, True).over(inside) for c in columns})
     condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in [*by, "_o_chunk"]])
     joined = local.join(edge, condition)
     return joined.select(*[F.coalesce(F.col(c), F.col(f"_c_{c}")).alias(c) if c in columns else F.col(c)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 GROUP_ROWS = ("plumbline.groupRows", 4_000_000)       # rows one window or buffer may hold
 BROADCAST_ROWS = ("plumbline.broadcastRows", 200_000)  # rows of a lookup side that may be broadcast
+BROADCAST_BYTES = 128 << 20                            # and its size
 CHUNK_ROWS = ("plumbline.chunkRows", 65_536)          # calendar bins per window partition
 SERIES_POINTS = ("plumbline.seriesPoints", 2_000_000)  # points one per-series task may hold
 
@@ -39,3 +40,9 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         shared = tempfile.mkdtemp(prefix="plumbline-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Use all cores for Python work over few input splits; tables with enough splits are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

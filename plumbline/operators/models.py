@@ -82,10 +82,14 @@ def _pipeline(df: DataFrame, features, target, kind, classify, params=None) -> P
 def train(df: DataFrame, features: Sequence[str], target: str, kind: str, classify: bool = True, ratio: float = 0.25,
           key: Sequence[str] = (), params: dict | None = None, metric: str | None = None) -> tuple[PipelineModel, float, DataFrame]:
     """Fit on training rows, score validation rows: (model, validation metric, validation predictions)."""
-    fit_rows, held = clean.split(df, ratio, key or df.columns)
-    model = _pipeline(df, features, target, kind, classify, params).fit(fit_rows)
-    said = model.transform(held)
-    return model, judge(classify, target, metric).evaluate(said), said
+    rows = df.persist()          # fitting reads the rows many times
+    try:
+        fit_rows, held = clean.split(rows, ratio, key or df.columns)
+        model = _pipeline(rows, features, target, kind, classify, params).fit(fit_rows)
+        score = judge(classify, target, metric).evaluate(model.transform(held))
+    finally:
+        rows.unpersist()
+    return model, score, model.transform(clean.split(df, ratio, key or df.columns)[1])
 
 
 # --- search ------------------------------------------------------------------------------------------

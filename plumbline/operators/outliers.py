@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.ordered import column_quantiles, lookup_join, quantile_values, running
+from plumbline.functions.settings import cut_lineage, use_all_cores
 from plumbline.operators import neighbors
 
 
@@ -37,7 +38,8 @@ def sigma_outliers(df: DataFrame, columns: Sequence[str], sigmas: float = 3) ->
 
 
 def label_top(df: DataFrame, score: str = "score", contamination: float = 0.03) -> DataFrame:
-    """1 for scores above the (1 - contamination) quantile."""
+    """1 for scores above the (1 - contamination) quantile.  Scores are materialized, as they are read twice."""
+    df = cut_lineage(df)
     limit = quantile_values(df, score, [1 - contamination])[0]
     return df.withColumn("outlier", F.coalesce((F.col(score) > F.lit(limit)).cast("int"), F.lit(0)))
 
@@ -75,8 +77,14 @@ def grow_forest(df: DataFrame, ident: Sequence[str], columns: Sequence[str], tre
     share = min(1.0, 1.5 * sample / max(total, 1) + 4 * math.sqrt(sample) / max(total, 1))
     scale = 1 << 40
     draw = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, *ident), F.lit(scale))
-    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < F.lit(int(share * scale)))
-    picked = rows.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], *ident, F.explode(chosen).alias("tree"))
+    slot = int(share * scale)
+    if share * trees <= 1:      # large tables: one draw decides the tree, if any, that takes the row
+        chosen = F.floor(draw(F.lit(-1)) / F.lit(slot)).cast("int")
+        taken = rows.withColumn("tree", chosen).where(F.col("tree") < trees)
+    else:
+        chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < F.lit(slot))
+        taken = rows.withColumn("tree", F.explode(chosen))
+    picked = taken.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], *ident, "tree")
     picked = picked.withColumn("draw", draw(F.col("tree"))).select("tree", "draw", *[f"x{i}" for i in range(len(columns))])
     width = len(columns)
 
@@ -101,34 +109,35 @@ def grow_forest(df: DataFrame, ident: Sequence[str], columns: Sequence[str], tre
             left = x[at, c] < cut
             work += [(at[left], depth + 1, me, 0), (at[~left], depth + 1, me, 1)]
         return pd.DataFrame(nodes, columns=["tree", "column", "cut", "left", "right", "depth"]).assign(node=range(len(nodes)), size=len(x))
-    grown = picked.groupBy("tree").applyInPandas(grow, "tree int, column int, cut double, left int, right int, depth double, node int, size int")
+    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)      # few bytes but much work: keep tasks apart
+    grown = picked.repartition(tasks, "tree").groupBy("tree").applyInPandas(grow, "tree int, column int, cut double, left int, right int, depth double, node int, size int")
     return grown.orderBy("tree", "node").toPandas()      # at most trees * 2 * sample rows
 
 
 def forest_scores(df: DataFrame, columns: Sequence[str], forest: pd.DataFrame) -> DataFrame:
     """Anomaly score 2^(-mean depth / expected depth) of every row."""
-    parts = [{n: g[n].to_numpy() for n in ("column", "cut", "left", "right", "depth")} | {"size": int(g["size"].iloc[0])}
-             for _, g in forest.groupby("tree")]
+    parts = []
+    for _, g in forest.groupby("tree"):
+        me, leaf = np.arange(len(g)), (g["column"] < 0).to_numpy()
+        sides = np.column_stack([g["right"], g["left"]])           # indexed by "value < cut"; a leaf leads to itself
+        parts.append((np.where(leaf, 0, g["column"]), np.where(leaf, np.inf, g["cut"]),
+                      np.where(leaf[:, None], me[:, None], sides).ravel(), g["depth"].to_numpy()))
+    levels = max(1, math.ceil(math.log2(max(int(forest["size"].max()), 2)))) if len(forest) else 0
+    expected = float(np.mean(average_path(forest.groupby("tree")["size"].first()))) if len(forest) else 1.0
     shared = df.sparkSession.sparkContext.broadcast(parts)
 
     @F.pandas_udf("double")
     def score(*xs: pd.Series) -> pd.Series:
         x = np.column_stack([s.to_numpy(dtype=float) for s in xs])
-        total, expected = np.zeros(len(x)), []
-        for t in shared.value:
+        flat, start = x.ravel(), np.arange(len(x)) * x.shape[1]
+        total = np.zeros(len(x))
+        for column, cut, sides, depth in shared.value:
             at = np.zeros(len(x), dtype=int)
-            while True:
-                c = t["column"][at]
-                inner = c >= 0
-                if not inner.any():
-                    break
-                go_left = x[np.arange(len(x)), np.maximum(c, 0)] < t["cut"][at]
-                at = np.where(inner, np.where(go_left, t["left"][at], t["right"][at]), at)
-            total += t["depth"][at]
-            expected.append(float(average_path(t["size"])))
-        mean = np.mean(expected) if expected else 1.0
-        return pd.Series(2.0 ** (-(total / max(len(expected), 1)) / (mean or 1.0)))
-    return df.withColumn("score", score(*[F.col(c).cast("double") for c in columns]))
+            for _ in range(levels):
+                at = sides[2 * at + (flat[start + column[at]] < cut[at])]
+            total += depth[at]
+        return pd.Series(2.0 ** (-(total / max(len(shared.value), 1)) / (expected or 1.0)))
+    return use_all_cores(df).withColumn("score", score(*[F.col(c).cast("double") for c in columns]))
 
 
 def isolation_outliers(df: DataFrame, ident: Sequence[str], columns: Sequence[str], trees: int = 100, sample: int = 256,
@@ -160,7 +169,7 @@ def map_outliers(df: DataFrame, columns: Sequence[str], grid: int = 15, sigma: f
     units = centre + spread * random.uniform(-1.5, 1.5, (grid * grid, len(columns)))
     place = np.array([(i // grid, i % grid) for i in range(grid * grid)], dtype=float)
     width = len(columns)
-    values = rows.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    values = use_all_cores(rows.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]))
 
     def assign(codes):
         def run(batches):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.ordered import (average_ranks, column_quantiles, describe, lookup_join, running)
+from plumbline.functions.settings import cut_lineage
 from plumbline.functions.tails import f_tail, f_upper
 from plumbline.spec import DatasetSpec
 
@@ -75,9 +76,10 @@ def box_statistics(df: DataFrame, columns: Sequence[str], category: str | None =
     keys = [category] if category else []
     stats = describe(df, keys, columns, [0.25, 0.5, 0.75])
     iqr = F.col("q")[2] - F.col("q")[0]
-    box = stats.select(*keys, "name", "count", "mean", "std", "min", F.col("q")[0].alias("pct25"), F.col("q")[1].alias("median"),
+    # one row per column and category, read twice below
+    box = cut_lineage(stats.select(*keys, "name", "count", "mean", "std", "min", F.col("q")[0].alias("pct25"), F.col("q")[1].alias("median"),
                        F.col("q")[2].alias("pct75"), "max", (F.col("q")[0] - iqr * coefficient).alias("lower"),
-                       (F.col("q")[2] + iqr * coefficient).alias("upper"))
+                       (F.col("q")[2] + iqr * coefficient).alias("upper")))
     outside = box_outliers(df, box, columns, category).groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("outliers"))
     return lookup_join(box, outside, [*keys, "name"]).withColumn("outliers", F.coalesce("outliers", F.lit(0).cast("long"))).orderBy("mean")
 

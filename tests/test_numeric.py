@@ -270,7 +270,7 @@ def test_low_pass_and_cycle(spark):
     slow, fast = np.sin(2 * np.pi * t / 24), 0.3 * np.sin(2 * np.pi * t / 4)
     df = series(spark, slow + fast)
     np.testing.assert_allclose(spectral.low_pass(df, "ts", "v", 0.1).orderBy("ts").toPandas()["clean"], slow, atol=1e-9)
-    assert [r["cycle"] for r in spectral.top_cycles(df, "ts", "v", top=2).orderBy("rank").collect()] == [23.8, 4.0]   # 1 / 0.042
+    assert [r["cycle"] for r in spectral.top_cycles(df, "ts", "v", top=2).orderBy("rank").collect()] == [24.0, 4.0]
     with pytest.raises(ValueError):
         spectral.low_pass(df, "ts", "v", 0.9)
 
