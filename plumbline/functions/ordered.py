@@ -43,12 +43,17 @@ def lookup_join(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str =
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
                 salts: int = 64) -> DataFrame:
-    """Equi join (inner, left) that spreads the rows of hot left keys over ``salts`` tasks."""
+    """Equi join (inner, left) that spreads the rows of hot left keys over ``salts`` tasks.
+
+    The salt mixes the row's content with its input partition: copies of one row spread too, and a task that
+    is run again gives the same salts.
+    """
     hot = hot_keys(left.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])), keys)
     if hot is None:
         return left.join(right, list(keys), how)
     flags = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
-    spread = F.pmod(F.xxhash64(*[c for c in left.columns if dict(left.dtypes)[c] != "map"]), F.lit(salts))
+    content = F.xxhash64(*[c for c, t in left.dtypes if "map<" not in t])
+    spread = F.pmod(content + F.spark_partition_id(), F.lit(salts))
     salted = (left.join(flags, list(keys), "left")
               .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)).cast("int")).drop("_hot"))
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

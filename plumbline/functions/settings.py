@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,13 @@ def use_all_cores(df: DataFrame) -> DataFrame:
     """Use all cores for Python work over few input splits; tables with enough splits are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Hold rows that an iterative fit reads many times; lost blocks are computed again."""
+    held = df.persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()

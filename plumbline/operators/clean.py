@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.ordered import carry, column_quantiles, lookup_join, over_series, running
+from plumbline.functions.settings import cut_lineage
 from plumbline.operators.query import drop_empty_columns
 from plumbline.operators.series import resample
 from plumbline.spec import DatasetSpec, FieldSpec, FittedSpec
@@ -297,15 +298,15 @@ def _fit_encodings(df: DataFrame, fitted: FittedSpec) -> DataFrame:
             if len(head) <= limit:
                 fitted.domains[f.name] = [r[0] for r in sorted(head, key=lambda r: r["code"])]
             else:
-                fitted.lookups[f.name] = codes
+                fitted.lookups[f.name] = cut_lineage(codes)
         elif method == "bins":
             ranges.append(f.name)
         elif method == "count":
-            fitted.lookups[f.name] = count_encode(df, f.name)
+            fitted.lookups[f.name] = cut_lineage(count_encode(df, f.name))
         elif method == "mean":
-            fitted.lookups[f.name] = mean_encode(df, f.name, target)
+            fitted.lookups[f.name] = cut_lineage(mean_encode(df, f.name, target))
         elif method == "woe":
-            fitted.lookups[f.name] = woe_encode(df, f.name, target)
+            fitted.lookups[f.name] = cut_lineage(woe_encode(df, f.name, target))
     if ranges:
         row = df.agg(*[F.struct(F.min(c).cast("double"), F.max(c).cast("double")).alias(c) for c in ranges]).first()
         fitted.bins = {c: (row[c][0], (row[c][1] - row[c][0]) / 10) for c in ranges if row[c][0] is not None}

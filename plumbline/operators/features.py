@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.calendar import micros
 from plumbline.functions.ordered import describe, lookup_join, over_series, running
+from plumbline.functions.settings import kept
 from plumbline.functions.tails import chi_upper, f_upper
 from plumbline.operators.stats import anova_f
 
@@ -131,7 +132,12 @@ def _one_feature_importances(model, width: int) -> np.ndarray:
 
 def model_scores(df: DataFrame, features: Sequence[str], target: str, model: str = "linear", classify: bool = False, seed: int = 0) -> DataFrame:
     """Coefficients or importances; features at or above the mean are kept."""
-    data = _rows(df, features, target, classify)
+    with kept(_rows(df, features, target, classify)) as data:
+        scores = _fitted_scores(data, features, model, classify, seed)
+    return _importance(df, features, scores)
+
+
+def _fitted_scores(data: DataFrame, features: Sequence[str], model: str, classify: bool, seed: int):
     match model:
         case "linear" if classify:
             scores = np.abs(LogisticRegression(regParam=0.01).fit(data).coefficientMatrix.toArray()[0])
@@ -155,7 +161,7 @@ def model_scores(df: DataFrame, features: Sequence[str], target: str, model: str
             scores = GBTRegressor(seed=seed, maxIter=10).fit(data).featureImportances.toArray()
         case _:
             raise ValueError(f"unknown model {model!r}")
-    return _importance(df, features, scores)
+    return scores
 
 
 def _forest(classify: bool, seed: int, trees: int = 10):
@@ -172,8 +178,8 @@ def elimination(df: DataFrame, features: Sequence[str], target: str, classify: b
         raise ValueError("elimination needs two features")
     left, trail = list(features), []
     while True:
-        data = _rows(df, left, target, classify)
-        checked = CrossValidator(estimator=_forest(classify, seed), estimatorParamMaps=[{}], evaluator=_judge(classify), numFolds=2, seed=seed).fit(data)
+        with kept(_rows(df, left, target, classify)) as data:
+            checked = CrossValidator(estimator=_forest(classify, seed), estimatorParamMaps=[{}], evaluator=_judge(classify), numFolds=2, seed=seed).fit(data)
         trail.append((checked.avgMetrics[0], list(left)))
         if len(left) <= 2:
             break

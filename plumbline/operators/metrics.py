@@ -119,12 +119,17 @@ def cluster_agreement(df: DataFrame, truth: str, cluster: str) -> DataFrame:
                        F.try_divide(F.col("p"), F.sqrt(F.col("tp") * F.col("cp"))).alias("fowlkes_mallows"))
 
 
+MOST_CLUSTERS = 2000     # cluster centres compared on the driver
+
+
 def cluster_shape(df: DataFrame, columns: list[str], cluster: str) -> DataFrame:
     """Calinski-Harabasz and Davies-Bouldin from cluster sums; only pairs of clusters are compared, never rows."""
     sums = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
                                    *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)])
     add = lambda parts: reduce(lambda a, b: a + b, parts)
-    centres = sums.collect()                       # one row per cluster
+    centres = sums.limit(MOST_CLUSTERS + 1).collect()
+    if len(centres) > MOST_CLUSTERS:
+        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
     total = df.agg(*[F.avg(c) for c in columns], F.count(F.lit(1))).first()
     n, k = total[len(columns)], len(centres)
     ssb = sum(r["n"] * sum((r[f"m{i}"] - total[i]) ** 2 for i in range(len(columns))) for r in centres)

@@ -20,6 +20,7 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, TrainValidationSplit
 from pyspark.sql import DataFrame
 
+from plumbline.functions.settings import kept
 from plumbline.operators import clean
 from plumbline.operators.reduce import kmeans
 from plumbline.spec import DatasetSpec, FittedSpec
@@ -82,13 +83,10 @@ def _pipeline(df: DataFrame, features, target, kind, classify, params=None) -> P
 def train(df: DataFrame, features: Sequence[str], target: str, kind: str, classify: bool = True, ratio: float = 0.25,
           key: Sequence[str] = (), params: dict | None = None, metric: str | None = None) -> tuple[PipelineModel, float, DataFrame]:
     """Fit on training rows, score validation rows: (model, validation metric, validation predictions)."""
-    rows = df.persist()          # fitting reads the rows many times
-    try:
+    with kept(df) as rows:
         fit_rows, held = clean.split(rows, ratio, key or df.columns)
         model = _pipeline(rows, features, target, kind, classify, params).fit(fit_rows)
         score = judge(classify, target, metric).evaluate(model.transform(held))
-    finally:
-        rows.unpersist()
     return model, score, model.transform(clean.split(df, ratio, key or df.columns)[1])
 
 
@@ -160,16 +158,17 @@ def search(df: DataFrame, features: Sequence[str], target: str, kind: str, space
             return CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=score, numFolds=folds, seed=seed, parallelism=parallelism).fit(df)
         return TrainValidationSplit(estimator=pipe, estimatorParamMaps=maps, evaluator=score, trainRatio=0.75, seed=seed, parallelism=parallelism).fit(df)
     step = parallelism if stop is not None else len(settings)
-    for at in range(0, len(settings), step):
-        batch = settings[at:at + step]
-        fitted = run(batch)
-        scores = fitted.avgMetrics if folds else fitted.validationMetrics
-        rows += [(at + i, str(s), float(v)) for i, (s, v) in enumerate(zip(batch, scores))]
-        top = better(scores)
-        if best is None or better(top, best[0]) == top:
-            best = (top, fitted.bestModel)
-        if stop is not None and (best[0] >= stop if score.isLargerBetter() else best[0] <= stop):
-            break
+    with kept(df):
+        for at in range(0, len(settings), step):
+            batch = settings[at:at + step]
+            fitted = run(batch)
+            scores = fitted.avgMetrics if folds else fitted.validationMetrics
+            rows += [(at + i, str(s), float(v)) for i, (s, v) in enumerate(zip(batch, scores))]
+            top = better(scores)
+            if best is None or better(top, best[0]) == top:
+                best = (top, fitted.bestModel)
+            if stop is not None and (best[0] >= stop if score.isLargerBetter() else best[0] <= stop):
+                break
     rows.sort(key=lambda r: -r[2] if score.isLargerBetter() else r[2])
     return best[1], df.sparkSession.createDataFrame(rows, "trial int, params string, score double")
 
@@ -185,23 +184,21 @@ def compare(df: DataFrame, features: Sequence[str], target: str, kinds: Sequence
     """Out-of-fold metrics of several models (leaderboard), and the best one refitted on all rows."""
     from pyspark.sql import functions as F
     fold = F.pmod(F.xxhash64(F.lit(seed), *(key or df.columns)), F.lit(folds))
-    rows = df.withColumn("_fold", fold).persist()
     metrics = CLASS_METRICS if classify else NUMBER_METRICS
     board = []
-    try:
+    with kept(df.withColumn("_fold", fold)) as rows:
         for kind in kinds:
             pipe = _pipeline(rows, features, target, kind, classify)
             totals = {m: 0.0 for m in metrics}
             auc = 0.0
             for i in range(folds):
-                said = pipe.fit(rows.where(F.col("_fold") != i)).transform(rows.where(F.col("_fold") == i))
-                for name, metric in metrics.items():
-                    totals[name] += judge(classify, target, metric).evaluate(said) / folds
-                if classify and "rawPrediction" in said.columns:
-                    auc += judge(True, target, "areaUnderROC").evaluate(said) / folds if said.select("label").distinct().count() == 2 else 0.0
+                fitted = pipe.fit(rows.where(F.col("_fold") != i))
+                with kept(fitted.transform(rows.where(F.col("_fold") == i))) as said:
+                    for name, metric in metrics.items():
+                        totals[name] += judge(classify, target, metric).evaluate(said) / folds
+                    if classify and "rawPrediction" in said.columns and said.select("label").distinct().count() == 2:
+                        auc += judge(True, target, "areaUnderROC").evaluate(said) / folds
             board.append({"model": kind, **totals, **({"auc": auc} if classify else {})})
-    finally:
-        rows.unpersist()
     main = "accuracy" if classify else "rmse"
     board.sort(key=lambda r: -r[main] if classify else r[main])
     best = _pipeline(df, features, target, board[0]["model"], classify).fit(df)

@@ -199,7 +199,7 @@ def _density(points: DataFrame, width: int, eps: float, least: int, keys: list[s
     thin = pts.where(F.col("held") < least).select(*keys, F.col("p").alias("s"), F.explode(offsets).alias("_o"), "cell")
     thin = thin.select(*keys, "s", F.zip_with("cell", "_o", lambda a, b: a + b).alias("cell"))
     links = salted_join(pts, thin, [*keys, "cell"]).where(distance(F.col("p"), F.col("s")) <= eps)
-    links = cut_lineage(links.select(*keys, "s", "p", "n", "cell", (F.col("held") >= least).alias("dense")))
+    links = cut_lineage(links.select(*keys, "s", "p", "n", "cell", (F.col("held") >= least).alias("dense"), distance(F.col("p"), F.col("s")).alias("d")))
     counts = links.groupBy(*keys, "s").agg(F.sum("n").alias("seen"), F.bool_or("dense").alias("by_dense"))
     pts = pts.join(counts.withColumnRenamed("s", "p"), [*keys, "p"], "left")
     dense = F.col("held") >= least
@@ -280,7 +280,7 @@ def _dense_links(pts: DataFrame, width: int, side: float, eps: float, offsets: C
 
 
 def density_clusters(df: DataFrame, columns: Sequence[str], eps: float = 0.5, least: int = 5, keys: Sequence[str] = ()) -> DataFrame:
-    """Per distinct point its cluster number (from 0) or -1 for noise; a border point joins its smallest cluster."""
+    """Per distinct point its cluster number (from 0) or -1 for noise; a border point joins its nearest core point."""
     keys = list(keys)
     width = len(columns)
     pts, links, side, offsets = _density(weighted_points(df, columns, keys), width, eps, least, keys)
@@ -290,7 +290,7 @@ def density_clusters(df: DataFrame, columns: Sequence[str], eps: float = 0.5, le
     thin_core = pts.where("core and not dense").select(*keys, "p", F.lit(True).alias("thin"))
     rich = links.join(thin_core, [*keys, "p"], "left")
     rich = rich.withColumn("to", F.when(F.col("dense"), named("cell", F.col("cell"))).when(F.col("thin"), named("point", F.col("p"))))
-    rich = rich.where(F.col("to").isNotNull()).select(*keys, "s", "to")
+    rich = rich.where(F.col("to").isNotNull()).select(*keys, "s", "to", F.struct("d", "p").alias("gap"))
     cores = pts.where("core").select(F.when(F.col("dense"), named("cell", F.col("cell"))).otherwise(named("point", F.col("p"))).alias("a")).distinct()
     thin_edges = rich.join(thin_core.withColumnRenamed("p", "s"), [*keys, "s"]).select(named("point", F.col("s")).alias("a"), F.col("to").alias("b"))
     cell_edges = _dense_links(pts, width, side, eps, offsets, keys).select(named("cell", F.col("a")).alias("a"), named("cell", F.col("b")).alias("b"))
@@ -299,6 +299,6 @@ def density_clusters(df: DataFrame, columns: Sequence[str], eps: float = 0.5, le
     numbered = cut_lineage(lookup_join(labels, roots, ["label"]).select("a", "cluster"))
     core_rows = pts.withColumn("a", F.when(F.col("dense"), named("cell", F.col("cell"))).when(F.col("core"), named("point", F.col("p"))))
     core_rows = lookup_join(core_rows, numbered, ["a"])
-    border = lookup_join(rich.withColumnRenamed("to", "a"), numbered, ["a"]).groupBy(*keys, F.col("s").alias("p")).agg(F.min("cluster").alias("joined"))
+    border = lookup_join(rich.withColumnRenamed("to", "a"), numbered, ["a"]).groupBy(*keys, F.col("s").alias("p")).agg(F.min_by("cluster", "gap").alias("joined"))
     out = core_rows.join(border, [*keys, "p"], "left")
     return out.select(*keys, "p", F.coalesce("cluster", "joined", F.lit(-1)).alias("cluster"))

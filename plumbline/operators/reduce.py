@@ -137,11 +137,16 @@ def ica(df: DataFrame, columns: Sequence[str], k: int = 2, iterations: int = 200
     return projected(rows, axes, mean), axes
 
 
+MOST_CLASSES = 2000     # class means gathered on the driver
+
+
 def lda(df: DataFrame, columns: Sequence[str], label: str, k: int | None = None):
     """Linear discriminants from class sums: projections ``d0..`` and the axes (at most classes - 1)."""
     rows = assembled(df, columns).where(F.col(label).isNotNull())
     n, mean, cov = _moments(rows)
-    groups = rows.groupBy(label).agg(Summarizer.mean(F.col("features")).alias("m"), F.count(F.lit(1)).alias("n")).collect()
+    groups = rows.groupBy(label).agg(Summarizer.mean(F.col("features")).alias("m"), F.count(F.lit(1)).alias("n")).limit(MOST_CLASSES + 1).collect()
+    if len(groups) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
     between = sum(g["n"] * np.outer(g["m"].toArray() - mean, g["m"].toArray() - mean) for g in groups)
     within = cov * (n - 1) - between
     most = min(len(groups) - 1, len(mean))

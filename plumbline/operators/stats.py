@@ -203,7 +203,7 @@ def anova(df: DataFrame, columns: Sequence[str], category: str) -> DataFrame:
     return out.withColumn("level", significance(F.col("p")))
 
 
-MOST_LEVELS = 2000    # dummy columns whose normal matrix the driver solves
+MOST_LEVELS = 1000    # dummy columns whose normal matrix the driver solves
 
 
 def factor_anova(df: DataFrame, value: str, factors: Sequence[str]) -> DataFrame:

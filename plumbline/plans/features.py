@@ -41,9 +41,24 @@ def _(t):
     return f.select(f.f_scores(t("lineitem"), NUMERIC, "l_returnflag"), "fpr")
 
 
-@query("feature_linear", "G5")
+@query("feature_selection_best", "G4", """
+WITH v AS (""" + stacked("SELECT '{c}' AS name, l_returnflag AS c, {c} AS v FROM lineitem", NUMERIC) + """),
+g AS (SELECT name, c, count(*) AS n, avg(v) AS m, var_pop(v) * count(*) AS w FROM v GROUP BY 1, 2), a AS (SELECT name, avg(v) AS a FROM v GROUP BY 1),
+f AS (SELECT name, (sum(n * (m - a) * (m - a)) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))) AS f FROM g JOIN a USING (name) GROUP BY name)
+SELECT name, row_number() OVER (ORDER BY f DESC, name) <= 2 AS prime, round(f, 3) AS value FROM f""")
 def _(t):
-    return f.model_scores(t("lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "linear")
+    return f.select(f.f_scores(t("lineitem"), NUMERIC, "l_returnflag"), "k_best", 2)
+
+
+@query("feature_linear", "G5", """
+WITH s AS (SELECT var_samp(l_quantity) AS aa, var_samp(l_discount) AS bb, covar_samp(l_quantity, l_discount) AS ab,
+ covar_samp(l_quantity, ln(l_extendedprice)) AS ay, covar_samp(l_discount, ln(l_extendedprice)) AS byy FROM lineitem),
+b AS (SELECT (ay * bb - byy * ab) / (aa * bb - ab * ab) AS q, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS d FROM s)
+SELECT 'l_quantity' AS name, abs(q) >= (abs(q) + abs(d)) / 2 AS prime, round(q, 3) AS value FROM b
+UNION ALL SELECT 'l_discount', abs(d) >= (abs(q) + abs(d)) / 2, round(d, 3) FROM b""")
+def _(t):
+    df = t("lineitem").withColumn("y", F.ln("l_extendedprice"))
+    return f.model_scores(df, ["l_quantity", "l_discount"], "y", "linear")
 
 
 @query("feature_lasso", "G6")

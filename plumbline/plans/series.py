@@ -275,9 +275,14 @@ def _(t):
     return rounded(spectral.autocorrelation(daily(t), "ts", "v", 10, "k", "D"), 8, "acf", "bound")
 
 
-@query("series_partial_autocorrelation", "X20")
+@query("series_partial_autocorrelation", "X20", f"""{DAILY}, p AS (SELECT k, v - avg(v) OVER (PARTITION BY k) AS e,
+  row_number() OVER (PARTITION BY k ORDER BY ts) AS i, count(*) OVER (PARTITION BY k) AS n FROM d),
+c AS (SELECT a.k, max(a.n) AS n, sum(a.e * b.e) FILTER (WHERE b.i = a.i) / max(a.n) AS c0, sum(a.e * b.e) FILTER (WHERE b.i = a.i + 1) / (max(a.n) - 1) AS c1,
+  sum(a.e * b.e) FILTER (WHERE b.i = a.i + 2) / (max(a.n) - 2) AS c2 FROM p a JOIN p b ON a.k = b.k AND b.i BETWEEN a.i AND a.i + 2 GROUP BY a.k),
+r AS (SELECT k, n, [1.0, c1 / c0, (c2 / c0 - (c1 / c0) * (c1 / c0)) / (1 - (c1 / c0) * (c1 / c0))] AS r FROM c)
+SELECT k, CAST(g.i AS INTEGER) AS lag, round(r[g.i + 1], 8) AS pacf, round(1.959963984540054 / sqrt(n), 8) AS bound FROM r, generate_series(0, 2) g(i)""")
 def _(t):
-    return spectral.partial_autocorrelation(daily(t), "ts", "v", 10, "k", "D")
+    return rounded(spectral.partial_autocorrelation(daily(t), "ts", "v", 2, "k", "D"), 8, "pacf", "bound")
 
 
 @query("series_stationarity", "X21")
@@ -296,10 +301,13 @@ def _(t):
     return spectral.top_cycles(daily(t), "ts", "v", "k")
 
 
-@query("series_low_pass", "X48")
+@query("series_low_pass", "X48", f"""{DAILY}, p AS (SELECT k, ts, v, row_number() OVER (PARTITION BY k ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM d),
+w AS (SELECT k, f, n, sum(v * cos(2 * pi() * f * i / n)) AS a, sum(v * sin(2 * pi() * f * i / n)) AS b
+      FROM p, generate_series(0, 15) g(f) WHERE f * 1.0 / n <= 0.2 GROUP BY 1, 2, 3)
+SELECT p.k, ts, round(sum((a * cos(2 * pi() * f * i / p.n) + b * sin(2 * pi() * f * i / p.n)) / p.n * CASE WHEN f = 0 OR 2 * f = p.n THEN 1 ELSE 2 END), 7) AS clean
+FROM p JOIN w ON p.k = w.k GROUP BY p.k, ts""")
 def _(t):
-    filled = series.fill_series(hourly(t), "ts", "v", "prev", "k")
-    return spectral.low_pass(filled, "ts", "v", 0.1, "k")
+    return rounded(spectral.low_pass(daily(t), "ts", "v", 0.2, "k").drop("v"), 7, "clean")
 
 
 # --- decomposition -----------------------------------------------------------------------------------------
