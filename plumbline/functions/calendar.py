@@ -34,7 +34,8 @@ def bin_index(ts: Column, period: str) -> Column:
         return F.floor(((F.year(ts) - 1970) * 12 + F.month(ts) - 1) / MONTHS[unit]).cast("long")
     step = n * SECONDS[unit] * 1_000_000
     shift = 3 * 86_400_000_000 if unit == "W" else 0   # 1970-01-01 is a Thursday; weeks start on Monday
-    return F.floor((micros(ts) + shift) / step).cast("long")
+    at = micros(ts) + shift
+    return ((at - F.pmod(at, F.lit(step).cast("long"))) / step).cast("long")    # exact: the quotient is whole
 
 
 def bin_start(index: Column, period: str) -> Column:

@@ -61,6 +61,9 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+LOOK = "look"    # find the hot keys here; callers that know them pass them on
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Keys with more rows than a task should hold, with their counts; at most 1000 by construction."""
     limit = bound(df.sparkSession, GROUP_ROWS)
@@ -99,12 +102,12 @@ def with_chunks(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame)
 
 
 def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Column],
-            totals: dict[str, Column] | None = None) -> DataFrame:
+            totals: dict[str, Column] | None = None, hot: DataFrame | None | str = LOOK) -> DataFrame:
     """Running sums up to and including each row (``order`` unique per key) and key totals."""
     totals = totals or {}
     keyed = df if keys else df.withColumn("_o_all", F.lit(0))
     by = list(keys) or ["_o_all"]
-    hot = hot_keys(keyed, by)
+    hot = hot_keys(keyed, by) if hot is LOOK else hot
     if hot is None:
         w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*by)
@@ -128,7 +131,7 @@ def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Colu
 
 
 def over_series(df: DataFrame, keys: Sequence[str], order: str, build: Callable[[WindowSpec], dict[str, Column]],
-                before: int = 0, after: int = 0, period: str | None = None) -> DataFrame:
+                before: int = 0, after: int = 0, period: str | None = None, hot: DataFrame | None | str = LOOK) -> DataFrame:
     """Add window columns that look at most ``before`` rows back and ``after`` rows ahead.
 
     With ``period`` the rows are the full calendar of that period, so a row's place follows from its time
@@ -138,10 +141,11 @@ def over_series(df: DataFrame, keys: Sequence[str], order: str, build: Callable[
     if period is None:
         keyed = df if keys else df.withColumn("_o_all", F.lit(0))
         by = list(keys) or ["_o_all"]
-        if hot_keys(keyed, by) is None:
+        hot = hot_keys(keyed, by) if hot is LOOK else hot
+        if hot is None:
             w = Window.partitionBy(*by).orderBy(order)
             return keyed.select("*", *[c.alias(n) for n, c in build(w).items()]).drop("_o_all")
-        placed = running(df, keys, order, {"_o_place": F.lit(1)})
+        placed = running(df, keys, order, {"_o_place": F.lit(1)}, hot=hot)
     else:
         placed = df.withColumn("_o_place", bin_index(F.col(order), period))
     size = max(bound(df.sparkSession, CHUNK_ROWS), 4 * (before + after), 1)
@@ -154,7 +158,8 @@ def over_series(df: DataFrame, keys: Sequence[str], order: str, build: Callable[
     return out.where(F.col("_o_own") == F.col("_o_part")).drop("_o_place", "_o_own", "_o_part")
 
 
-def carry(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], backward: bool = False) -> DataFrame:
+def carry(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], backward: bool = False,
+          hot: DataFrame | None | str = LOOK) -> DataFrame:
     """Fill nulls from the nearest earlier (or later) non-null value of the series, over any distance.
 
     Looking ahead is looking back in descending order: a growing frame costs one step per row, a frame that
@@ -162,7 +167,7 @@ def carry(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]
     """
     keyed = df if keys else df.withColumn("_o_all", F.lit(0))
     by = list(keys) or ["_o_all"]
-    hot = hot_keys(keyed, by)
+    hot = hot_keys(keyed, by) if hot is LOOK else hot
     turned = (lambda c: F.col(c).desc()) if backward else (lambda c: F.col(c).asc())
     if hot is None:
         w = Window.partitionBy(*by).orderBy(turned(order)).rowsBetween(Window.unboundedPreceding, 0)
@@ -182,6 +187,12 @@ def carry(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]
                            for c in df.columns])
 
 
+def carry_both(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], backward: bool = False) -> DataFrame:
+    """``carry`` and then the other way round for the open end; the size is looked at once."""
+    hot = hot_keys(df if keys else df.withColumn("_o_all", F.lit(0)), list(keys) or ["_o_all"])
+    return carry(carry(df, keys, order, columns, backward, hot), keys, order, columns, not backward, hot)
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key as ``q`` (array), one row per key.
 

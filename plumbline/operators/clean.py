@@ -8,7 +8,7 @@ from pyspark.ml.feature import FeatureHasher, OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.ordered import carry, column_quantiles, lookup_join, over_series, running
+from plumbline.functions.ordered import carry, carry_both, column_quantiles, hot_keys, lookup_join, over_series, running
 from plumbline.functions.settings import cut_lineage
 from plumbline.operators.query import drop_empty_columns
 from plumbline.operators.series import resample
@@ -98,8 +98,7 @@ def fill(df: DataFrame, column: str, method, key: str | None = None, order: str
     if method in ("prev", "next"):
         if order is None:
             raise ValueError(f"{method} needs an order column")
-        once = carry(df, keys, order, [column], backward=method == "next")
-        return carry(once, keys, order, [column], backward=method == "prev")
+        return carry_both(df, keys, order, [column], backward=method == "next")
     if isinstance(method, str) and dict(df.dtypes)[column] != "string":
         raise ValueError(f"unknown fill {method!r} for {column}")
     return df.withColumn(column, F.coalesce(F.col(column), F.lit(method)))
@@ -385,12 +384,15 @@ def sliding_windows(df: DataFrame, order: str, value: str, inputs: int, outputs:
     """
     keys = [key] if key else []
     span = inputs + outputs
-    ranked = running(df, keys, order, {"_rank": F.lit(1)}, {"_size": F.lit(1)})
+    by = keys or ["_one"]
+    keyed = df if keys else df.withColumn("_one", F.lit(0))
+    hot = hot_keys(keyed, by)
+    ranked = running(keyed, by, order, {"_rank": F.lit(1)}, {"_size": F.lit(1)}, hot)
 
     def build(w):
         return {"_all": F.collect_list(F.col(value)).over(w.rowsBetween(-(span - 1), 0))}
 
-    rows = over_series(ranked, keys, order, build, before=span - 1, period=period)
+    rows = over_series(ranked, by, order, build, before=span - 1, period=period, hot=hot)
     kept = rows.where((F.col("_rank") >= span) & (F.pmod(F.col("_size") - F.col("_rank"), F.lit(stride)) == 0))
     return kept.select(*keys, F.col(order), F.slice("_all", 1, inputs).alias("x"),
                        F.slice("_all", inputs + 1, outputs).alias("y"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.calendar import micros
-from plumbline.functions.ordered import describe, lookup_join, over_series, running
+from plumbline.functions.ordered import describe, hot_keys, lookup_join, over_series, running
 from plumbline.functions.settings import kept
 from plumbline.functions.tails import chi_upper, f_upper
 from plumbline.operators.stats import anova_f
@@ -258,12 +258,13 @@ def series_features(df: DataFrame, key: str, ts: str, value: str, lags: Sequence
     stats = describe(rows, [key], ["v"], [0.25, 0.5, 0.75]).drop("name")
     base = stats.select(key, F.col("mean").alias("_mean"), F.col("std").alias("_sd"), F.col("q")[1].alias("_median"), F.col("min").alias("_min"),
                         F.col("max").alias("_max"))
-    placed = lookup_join(running(rows, [key], ts, {"_place": F.lit(1)}, {"_size": F.lit(1)}), base, [key])
+    hot = hot_keys(rows, [key])
+    placed = lookup_join(running(rows, [key], ts, {"_place": F.lit(1)}, {"_size": F.lit(1)}, hot), base, [key])
     reach = max([1, *lags])
 
     def near(w):
         return {"_prev": F.lag("v").over(w), "_next": F.lead("v").over(w), **{f"_lag{k}": F.lag("v", k).over(w) for k in lags}}
-    wide = over_series(placed, [key], ts, near, before=reach, after=1)
+    wide = over_series(placed, [key], ts, near, before=reach, after=1, hot=hot)
     above, below = F.col("v") > F.col("_mean"), F.col("v") < F.col("_mean")
     n, v, mean = F.count(F.lit(1)), F.col("v"), F.col("_mean")
     change, e = F.col("v") - F.col("_prev"), F.col("v") - F.col("_mean")
@@ -285,16 +286,16 @@ def series_features(df: DataFrame, key: str, ts: str, value: str, lags: Sequence
         covariance = F.sum(e * (F.col(f"_lag{k}") - mean)) / (n - k)
         parts[f"autocorrelation_{k}"] = F.when(n > k, F.try_divide(covariance, F.var_pop(v)))
     found = wide.groupBy(key).agg(*[c.alias(name) for name, c in parts.items()])
-    strikes = _longest_strike(wide.select(key, ts, "_place", above.alias("up")), key)
+    strikes = _longest_strike(wide.select(key, ts, "_place", above.alias("up")), key, hot)
     repeats = rows.groupBy(key, "v").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg((F.max("n") > 1).alias("duplicates"))
     named = stats.select(key, F.col("count").alias("length"), "mean", F.col("q")[1].alias("median"), "min", "max", "std", "variance",
                          F.col("q")[0].alias("quantile_25"), F.col("q")[2].alias("quantile_75"))
     return named.join(found, key).join(strikes, key).join(repeats, key)
 
 
-def _longest_strike(rows: DataFrame, key: str) -> DataFrame:
+def _longest_strike(rows: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     """Longest run above the mean: inside a run, place minus the running count of hits is constant."""
-    counted = running(rows, [key], "_place", {"_hits": F.col("up").cast("long")})
+    counted = running(rows, [key], "_place", {"_hits": F.col("up").cast("long")}, hot=hot)
     runs = counted.where("up").groupBy(key, (F.col("_place") - F.col("_hits")).alias("run")).agg(F.count(F.lit(1)).alias("n"))
     best = runs.groupBy(key).agg(F.max("n").alias("longest_above"))
     return rows.select(key).distinct().join(best, key, "left").withColumn("longest_above", F.coalesce("longest_above", F.lit(0).cast("long")))

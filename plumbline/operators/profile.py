@@ -47,13 +47,22 @@ def missing_and_distinct(df: DataFrame, columns: Sequence[str], approximate: boo
 
 
 def short_domains(df: DataFrame, columns: Sequence[str], limit: int = 20) -> DataFrame:
-    """Sorted distinct values of columns that have at most ``limit``; an empty list otherwise."""
-    pairs = long_text(df, columns).where(F.col("value").isNotNull()).distinct()
+    """Sorted distinct values of columns that have at most ``limit``; an empty list otherwise.
+
+    A sketch far above the limit rules wide columns out, so that only narrow ones are counted exactly.
+    """
+    guess = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    narrow = [c for c in columns if guess[c] <= 50 * limit]
+    wide = df.sparkSession.createDataFrame([(c, []) for c in columns if c not in narrow], "name string, values array<string>")
+    if not narrow:
+        return wide
+    pairs = long_text(df, narrow).where(F.col("value").isNotNull()).distinct()
     sizes = pairs.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     short = F.broadcast(sizes.where(F.col("n") <= limit).select("name"))   # at most one row per column
     lists = pairs.join(short, "name").groupBy("name").agg(F.array_sort(F.collect_list("value")).alias("values"))
     empty = F.array().cast("array<string>")
-    return sizes.join(F.broadcast(lists), "name", "left").select("name", F.coalesce("values", empty).alias("values"))
+    found = sizes.join(F.broadcast(lists), "name", "left").select("name", F.coalesce("values", empty).alias("values"))
+    return found.unionByName(wide)
 
 
 def time_profile(df: DataFrame, ts: str) -> DataFrame:

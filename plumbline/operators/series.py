@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.calendar import bin_index, bin_start, micros, parse, widen
-from plumbline.functions.ordered import carry, describe, lookup_join, over_series, quantiles
+from plumbline.functions.ordered import carry_both, describe, lookup_join, over_series, quantiles
 from plumbline.operators.query import AGGREGATES
 
 
@@ -73,8 +73,7 @@ def fill_series(df: DataFrame, ts: str, value: str, method: str, key: str | None
     keys = [key] if key else []
     match method:
         case "prev" | "next":
-            once = carry(df, keys, ts, [value], backward=method == "next")
-            return carry(once, keys, ts, [value], backward=method == "prev")
+            return carry_both(df, keys, ts, [value], backward=method == "next")
         case "zero":
             return df.withColumn(value, F.coalesce(value, F.lit(0)))
         case "mean" | "median" | "mode":

@@ -130,3 +130,33 @@ def _(t):
     path = scratch_folder(t.spark, "rejects")
     write_rejects(v.split_rows(checked)[1], path)
     return t.spark.read.parquet(path)
+
+
+# --- images ----------------------------------------------------------------------------------------
+
+def squares(t):
+    """Each embedding drawn as an 8 x 8 grey image."""
+    byte = lambda x: F.lpad(F.hex(F.floor((x.cast("double") + 1) * 127).cast("long")), 2, "0")
+    data = F.unhex(F.array_join(F.transform("embedding", byte), ""))
+    return t("embeddings").select(F.col("vec_id").cast("string").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"),
+                                  F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), data.alias("data"), "label")
+
+
+@query("image_profile", "P8", """
+SELECT count(*) AS count, 0 AS mode, 1 AS min_channels, 1 AS max_channels, 8 AS min_height, 8 AS max_height, 8 AS min_width, 8 AS max_width,
+ array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM embeddings""")
+def _(t):
+    from plumbline.operators.profile import image_profile
+    out = image_profile(squares(t), "label")
+    return out.withColumn("labels", F.array_join(F.transform("labels", lambda x: x.cast("string")), ","))
+
+
+@query("image_transform", "H1", """
+WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 127) / 255) AS p FROM embeddings)
+SELECT CAST(vec_id AS VARCHAR) AS origin, 12 AS height, 12 AS width, round((p[57] - 0.5) / 0.25, 6) AS corner, round(((list_sum(p) / 144) - 0.5) / 0.25, 6) AS mean FROM p""")
+def _(t):
+    from plumbline.operators.images import transform_images
+    steps = [{"operation": "vflip", "param": 1.0}, {"operation": "pad", "param": 2}, {"operation": "normalize", "param": {"mean": [0.5], "std": [0.25]}}]
+    out = transform_images(squares(t), steps)
+    mean = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x) / 144
+    return out.select("origin", "height", "width", F.round(F.col("pixels")[26], 6).alias("corner"), F.round(mean, 6).alias("mean"))
