@@ -24,8 +24,16 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Equi join in which a null key matches a null key; the key columns of the left side remain."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(named, condition, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def lookup_join(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Attach one-row-per-key ``side``: broadcast once its rows and bytes are known to be few, salted join beyond.
+    """Attach one-row-per-key ``side`` (a null key finds the null key's row): broadcast once its rows and bytes
+    are known to be few, salted join beyond.
 
     The size check fetches at most one row more than the bound, and a small side is kept as fetched, so the
     work behind it runs once.
@@ -33,32 +41,35 @@ def lookup_join(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str =
     limit = bound(df.sparkSession, BROADCAST_ROWS)
     head = side.limit(limit + 1).toArrow()
     if head.num_rows <= limit and head.nbytes <= BROADCAST_BYTES:
-        side = F.broadcast(df.sparkSession.createDataFrame(head, side.schema))
-        renamed = side.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                              *[c for c in side.columns if c not in keys])
-        condition = reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
-        return df.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
-    return salted_join(df, side, keys, how)
+        return _null_safe(df, F.broadcast(df.sparkSession.createDataFrame(head, side.schema)), keys, how)
+    return salted_join(df, side, keys, how, null_safe=True)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
-                salts: int = 64) -> DataFrame:
+                salts: int = 64, null_safe: bool = False) -> DataFrame:
     """Equi join (inner, left) that spreads the rows of hot left keys over ``salts`` tasks.
 
     The salt mixes the row's content with its input partition: copies of one row spread too, and a task that
-    is run again gives the same salts.
+    is run again gives the same salts.  Left rows without a key match nothing in the plain form and are spread.
     """
-    hot = hot_keys(left.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])), keys)
-    if hot is None:
-        return left.join(right, list(keys), how)
-    flags = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+    blank = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    hot = hot_keys(left if null_safe else left.where(~blank), keys)
+    if hot is None and (null_safe or how == "inner"):
+        return _null_safe(left, right, keys, how) if null_safe else left.join(right, list(keys), how)
     content = F.xxhash64(*[c for c, t in left.dtypes if "map<" not in t])
-    spread = F.pmod(content + F.spark_partition_id(), F.lit(salts))
-    salted = (left.join(flags, list(keys), "left")
-              .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)).cast("int")).drop("_hot"))
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    copies = right.join(flags, list(keys), "left").withColumn("_salt", F.explode(every)).drop("_hot")
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    spread = F.pmod(content + F.spark_partition_id(), F.lit(salts)).cast("int")
+    copies = right.withColumn("_salt", F.lit(0))
+    loose = F.lit(False) if null_safe else blank
+    salted = left
+    if hot is not None:
+        flags = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+        salted, loose = _null_safe(left, flags, keys, "left"), F.coalesce("_hot", F.lit(False)) | loose
+        every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        copies = _null_safe(right, flags, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    salted = salted.withColumn("_salt", F.when(loose, spread).otherwise(F.lit(0))).drop("_hot")
+    on = [*keys, "_salt"]
+    joined = _null_safe(salted, copies, on, how) if null_safe else salted.join(copies, on, how)
+    return joined.drop("_salt")
 
 
 LOOK = "look"    # find the hot keys here; callers that know them pass them on

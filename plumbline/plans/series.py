@@ -153,10 +153,10 @@ for _part in series.PARTS:
 
 
 @query("series_compare_periods", "X8", """
-SELECT strftime(o_orderdate, '%Y') AS "group", strftime(o_orderdate, '%m') AS period, round(avg(o_totalprice), 3) AS o_totalprice
+SELECT strftime(o_orderdate, '%Y') AS "group", strftime(o_orderdate, '%m') AS period, round(avg(o_totalprice), 6) AS o_totalprice
 FROM orders GROUP BY 1, 2""")
 def _(t):
-    return rounded(series.compare(t("orders"), "o_orderdate", "o_totalprice", "Y", "m"), 3, "o_totalprice")
+    return rounded(series.compare(t("orders"), "o_orderdate", "o_totalprice", "Y", "m"), 6, "o_totalprice")
 
 
 @query("series_compare_weekdays", "X8", """

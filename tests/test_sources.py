@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.calendar import widen
-from plumbline.functions.ordered import quantiles, running
+from plumbline.functions.ordered import quantiles, running, salted_join
 from plumbline.operators import clean, images, profile, query, series, validate
 from plumbline.sources import export, files
 from plumbline.spec import DatasetSpec, FieldSpec
@@ -166,9 +166,24 @@ def test_running_and_quantiles_with_a_hot_key(tight):
 
 
 def test_salted_join_with_a_hot_key(tight):
-    left = tight.range(2000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("a"))
+    left = tight.range(2000).select(F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, None).otherwise(F.col("id")).alias("k"), F.lit("same").alias("a"))
     right = tight.range(2, 1000).select((F.col("id") - 1).alias("k"), F.col("id").alias("b"))
-    from plumbline.functions.ordered import salted_join
+    counted = lambda d: sorted(map(tuple, d.groupBy("a", "b").count().fillna(-1).collect()))
     for how in ("inner", "left"):
-        assert sorted(map(tuple, salted_join(left, right, ["k"], how).select("a", "b").fillna(-1).collect())) == \
-            sorted(map(tuple, left.join(right, "k", how).select("a", "b").fillna(-1).collect()))
+        assert counted(salted_join(left, right, ["k"], how)) == counted(left.join(right, "k", how))
+
+
+def test_lookup_of_null_keys_is_the_same_small_and_large(spark, tight):
+    df = tight.range(2000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 40).alias("k"), F.col("id"))
+    codes = clean.count_encode(df, "k")
+    large = clean.attach_code(df, codes, "k").groupBy("k").count().orderBy("k").collect()
+    tight.conf.set("plumbline.broadcastRows", "1000")
+    assert large == clean.attach_code(df, codes, "k").groupBy("k").count().orderBy("k").collect()
+    assert max(r["k"] for r in large) == 667
+
+
+def test_timeline_resampling_inside_cleaning(spark):
+    df = spark.sql("SELECT timestamp_ntz '2024-01-01' + make_dt_interval(0, id * 4) AS ts, double(id) AS v FROM range(5)")
+    spec = DatasetSpec.of([{"name": "ts", "attr": "date", "timeline": True, "resample": 180}, {"name": "v", "attr": "conti"}])
+    got = [r["v"] for r in clean.clean(df, spec).orderBy("ts").collect()]
+    assert got == [0.0, 1.0, 2.0, 2.0, 3.0, 4.0]
