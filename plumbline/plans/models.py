@@ -30,6 +30,43 @@ def _(t):
     return reduce.svd(t("embeddings"), ["embedding"], 2)[0].select("vec_id", "d0", "d1")
 
 
+PLANE = """
+WITH v AS (SELECT p_partkey, p_size / 10.0::DOUBLE AS x, p_retailprice / 1000 + p_size / 30.0 AS y FROM part),
+m AS (SELECT {moments} FROM v),
+l AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS lam FROM m),
+u AS (SELECT *, b / sqrt(b * b + (lam - a) * (lam - a)) AS ux, (lam - a) / sqrt(b * b + (lam - a) * (lam - a)) AS uy FROM l),
+w AS (SELECT *, CASE WHEN (abs(ux) >= abs(uy) AND ux < 0) OR (abs(uy) > abs(ux) AND uy < 0) THEN -1 ELSE 1 END AS s FROM u)
+SELECT p_partkey, round(s * ((x - mx) * ux + (y - my) * uy), 6) AS d0 FROM v, w"""
+
+
+def plane(t):
+    return t("part").select("p_partkey", (F.col("p_size") / 10.0).alias("x"), (F.col("p_retailprice") / 1000 + F.col("p_size") / 30.0).alias("y"))
+
+
+@query("reduce_pca_plane", "K3", PLANE.format(moments="avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, var_samp(y) AS c, covar_samp(x, y) AS b"))
+def _(t):
+    return rounded(reduce.pca(plane(t), ["x", "y"], 1)[0].select("p_partkey", "d0"), 6, "d0")
+
+
+@query("reduce_svd_plane", "K4", PLANE.format(moments="0 AS mx, 0 AS my, sum(x * x) AS a, sum(y * y) AS c, sum(x * y) AS b"))
+def _(t):
+    return rounded(reduce.svd(plane(t), ["x", "y"], 1)[0].select("p_partkey", "d0"), 6, "d0")
+
+
+@query("reduce_lda_plane", "K6", """
+WITH v AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN 'O' ELSE 'F' END AS c, p_size / 10.0::DOUBLE AS x, p_retailprice / 1000 + p_size / 30.0 AS y FROM part),
+g AS (SELECT c, avg(x) AS gx, avg(y) AS gy FROM v GROUP BY c), t AS (SELECT avg(x) AS mx, avg(y) AS my, count(*) AS n FROM v),
+s AS (SELECT sum((x - gx) * (x - gx)) AS a, sum((x - gx) * (y - gy)) AS b, sum((y - gy) * (y - gy)) AS d FROM v JOIN g ON v.c = g.c),
+q AS (SELECT max(gx) FILTER (WHERE c = 'O') - max(gx) FILTER (WHERE c = 'F') AS dx, max(gy) FILTER (WHERE c = 'O') - max(gy) FILTER (WHERE c = 'F') AS dy FROM g),
+w AS (SELECT (d * dx - b * dy) / (a * d - b * b) AS wx, (a * dy - b * dx) / (a * d - b * b) AS wy, a, b, d, n, mx, my FROM s, q, t),
+z AS (SELECT mx, my, wx * k AS wx, wy * k AS wy FROM (SELECT *, sqrt(n - 2) / sqrt(wx * wx * a + 2 * wx * wy * b + wy * wy * d)
+  * CASE WHEN (abs(wx) >= abs(wy) AND wx < 0) OR (abs(wy) > abs(wx) AND wy < 0) THEN -1 ELSE 1 END AS k FROM w))
+SELECT p_partkey, round((x - mx) * wx + (y - my) * wy, 4) + 0.0 AS d0 FROM v, z""")
+def _(t):
+    df = plane(t).withColumn("c", F.when(F.col("x") > 2.5, "O").otherwise("F"))
+    return rounded(reduce.lda(df, ["x", "y"], "c")[0].select("p_partkey", "d0"), 4, "d0")
+
+
 @query("reduce_ica", "K5")
 def _(t):
     return reduce.ica(t("lineitem"), NUMERIC, 2, iterations=30)[0].select("l_orderkey", "l_linenumber", "d0", "d1")

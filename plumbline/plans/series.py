@@ -258,9 +258,12 @@ def _(t):
     return rounded(smooth.half_life_trend(daily(t), "ts", "v", 30, 0.667, "k", "D").drop("v"), 8, "trend")
 
 
-@query("series_polynomial_trend", "X18")
+@query("series_polynomial_trend", "X18", f"""{DAILY}, p AS (SELECT k, ts, v, row_number() OVER (PARTITION BY k ORDER BY ts) - 1 - (count(*) OVER (PARTITION BY k) - 1) / 2.0 AS x FROM d),
+m AS (SELECT k, avg(v) AS a, avg(x * x) AS m2, sum(x * v) / sum(x * x) AS b FROM p GROUP BY k),
+q AS (SELECT p.k, sum((x * x - m2) * v) / sum((x * x - m2) * (x * x - m2)) AS c FROM p JOIN m ON p.k = m.k GROUP BY p.k)
+SELECT p.k, ts, round(a + b * x + c * (x * x - m2), 6) AS trend FROM p JOIN m ON p.k = m.k JOIN q ON p.k = q.k""")
 def _(t):
-    return smooth.polynomial_trend(monthly(t), "ts", "v", 0.4, "k")
+    return rounded(smooth.polynomial_trend(daily(t), "ts", "v", 0.4, "k").drop("v"), 6, "trend")
 
 
 # --- correlation and spectra -----------------------------------------------------------------------------

@@ -150,7 +150,20 @@ def _(t):
     return s.effect_sizes(s.anova_f(df, NUMERIC, "c")).select("name", F.round("omega_sq", 7).alias("omega_sq"), F.round("eta_sq", 7).alias("eta_sq"))
 
 
-@query("anova_factors", "D8 D9")
+@query("anova_factors", "D8 D9", """
+WITH v AS (SELECT l_returnflag AS a, CAST(l_linestatus = 'O' AS INTEGER) AS b, ln(l_extendedprice) AS y FROM lineitem),
+g AS (SELECT a, b, y, y - avg(y) OVER (PARTITION BY a) AS ry, b - avg(b) OVER (PARTITION BY a) AS rb, avg(y) OVER (PARTITION BY a) AS m FROM v),
+s AS (SELECT count(*) AS n, var_pop(y) * count(*) AS total, sum((m - t.mean) * (m - t.mean)) AS s1, pow(sum(rb * ry), 2) / sum(rb * rb) AS s2
+ FROM g, (SELECT avg(y) AS mean FROM v) t),
+e AS (SELECT *, total - s1 - s2 AS rest, n - 4 AS free FROM s)
+SELECT 'l_returnflag' AS name, 2.0::DOUBLE AS df, round(s1, 6) AS sum_sq, round(s1 / 2 / (rest / free), 5) AS f, round((s1 - 2 * rest / free) / (total + rest), 9) AS omega_sq FROM e
+UNION ALL SELECT 'l_linestatus', 1.0, round(s2, 6), round(s2 / (rest / free), 5), round((s2 - rest / free) / (total + rest), 9) FROM e""")
+def _(t):
+    out = s.factor_anova(t("lineitem").withColumn("y", F.ln("l_extendedprice")), "y", ["l_returnflag", "l_linestatus"])
+    return out.select("name", "df", F.round("sum_sq", 6).alias("sum_sq"), F.round("f", 5).alias("f"), F.round("omega_sq", 9).alias("omega_sq"))
+
+
+@query("anova_three_factors", "D8 D9")
 def _(t):
     return s.factor_anova(t("lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus", "l_linenumber"])
 
