@@ -54,7 +54,7 @@ def _(t):
 
 
 @query("reduce_lda_plane", "K6", """
-WITH v AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN 'O' ELSE 'F' END AS c, p_size / 10.0::DOUBLE AS x, p_retailprice / 1000 + p_size / 30.0 AS y FROM part),
+WITH v AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN 'O' ELSE 'F' END AS c, p_size / 10.0::DOUBLE AS x, length(p_name) / 10.0 + p_size / 30.0 AS y FROM part),
 g AS (SELECT c, avg(x) AS gx, avg(y) AS gy FROM v GROUP BY c), t AS (SELECT avg(x) AS mx, avg(y) AS my, count(*) AS n FROM v),
 s AS (SELECT sum((x - gx) * (x - gx)) AS a, sum((x - gx) * (y - gy)) AS b, sum((y - gy) * (y - gy)) AS d FROM v JOIN g ON v.c = g.c),
 q AS (SELECT max(gx) FILTER (WHERE c = 'O') - max(gx) FILTER (WHERE c = 'F') AS dx, max(gy) FILTER (WHERE c = 'O') - max(gy) FILTER (WHERE c = 'F') AS dy FROM g),
@@ -63,7 +63,8 @@ z AS (SELECT mx, my, wx * k AS wx, wy * k AS wy FROM (SELECT *, sqrt(n - 2) / sq
   * CASE WHEN (abs(wx) >= abs(wy) AND wx < 0) OR (abs(wy) > abs(wx) AND wy < 0) THEN -1 ELSE 1 END AS k FROM w))
 SELECT p_partkey, round((x - mx) * wx + (y - my) * wy, 4) + 0.0 AS d0 FROM v, z""")
 def _(t):
-    df = plane(t).withColumn("c", F.when(F.col("x") > 2.5, "O").otherwise("F"))
+    df = t("part").select("p_partkey", (F.col("p_size") / 10.0).alias("x"), (F.length("p_name") / 10.0 + F.col("p_size") / 30.0).alias("y"),
+                          F.when(F.col("p_size") > 25, "O").otherwise("F").alias("c"))
     return rounded(reduce.lda(df, ["x", "y"], "c")[0].select("p_partkey", "d0"), 4, "d0")
 
 

@@ -10,12 +10,14 @@ from plumbline.plans.registry import Tables, query
 
 
 def spine_sql(name: str, table: str, ts: str, value: str, key: str, unit: str, agg: str) -> str:
-    """Oracle form of a full-calendar resample: ``name(k, ts, v)``."""
+    """Oracle form of a full-calendar resample: ``name(k, ts, v)``; sums and counts are 0 inside a series' own span."""
+    held = "CASE WHEN b.v IS NULL AND s.ts BETWEEN lo AND hi THEN 0 ELSE b.v END" if agg.startswith(("sum", "count")) else "b.v"
     return f"""
 {name}_b AS (SELECT {key} AS k, date_trunc('{unit}', {ts}) AS ts, {agg.format(value)} AS v FROM {table} GROUP BY 1, 2),
 {name}_s AS (SELECT k, unnest(generate_series((SELECT min(ts) FROM {name}_b), (SELECT max(ts) FROM {name}_b),
   INTERVAL 1 {unit})) AS ts FROM (SELECT DISTINCT k FROM {name}_b)),
-{name} AS (SELECT k, ts, v FROM {name}_s LEFT JOIN {name}_b USING (k, ts))"""
+{name} AS (SELECT s.k, s.ts, {held} AS v FROM {name}_s s LEFT JOIN {name}_b b ON s.k = b.k AND s.ts = b.ts
+  JOIN (SELECT k, min(ts) AS lo, max(ts) AS hi FROM {name}_b GROUP BY k) e ON s.k = e.k)"""
 
 
 DAILY = "WITH " + spine_sql("d", "events", "ts", "value", "event_type", "day", "avg({})")
