@@ -1,6 +1,6 @@
 """Calendar periods: bins, positions on the calendar and labels.
 
-Periods are the reference unit names ``s min h D W MS QS YS`` with an optional multiple for the first
+Periods are the unit names ``s min h D W MS QS YS`` with an optional multiple for the first
 five, such as ``5min`` or ``2D``.
 """
 
@@ -23,8 +23,18 @@ def parse(period: str) -> tuple[int, str]:
 
 
 def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a zone-free (or UTC) time."""
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds from 1970-01-01 on the local calendar of ``ts``, whatever the session's time zone."""
+    at = ts.cast("timestamp_ntz")
+    clock = F.hour(at) * 3600 + F.minute(at) * 60
+    return (F.unix_date(at.cast("date")).cast("long") * 86_400_000_000 + clock.cast("long") * 1_000_000
+            + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long"))
+
+
+def from_micros(at: Column) -> Column:
+    """The inverse of ``micros`` as a zone-free time."""
+    seconds = (at.cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    zero = F.lit(0)
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds)
 
 
 def bin_index(ts: Column, period: str) -> Column:
@@ -50,7 +60,7 @@ def bin_start(index: Column, period: str) -> Column:
     start = index * step
     if unit == "W":
         start = start - 3 * 86_400_000_000 + 6 * 86_400_000_000 + (n - 1) * 604_800_000_000
-    return F.timestamp_micros(start).cast("timestamp_ntz")
+    return from_micros(start)
 
 
 def widen(period: str, gap_minutes: int | None, resample_minutes: int | None) -> str:

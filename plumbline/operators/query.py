@@ -20,6 +20,11 @@ def _day(value) -> datetime:
     return datetime(value.year, value.month, value.day) if isinstance(value, date) else datetime.fromisoformat(value)
 
 
+def _moment(value: datetime) -> Column:
+    """A zone-free time literal, written as text so that no session zone shifts it."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def condition(name: str, value) -> Column | None:
     """One filter of the list language; null or empty text means no filter."""
     c = F.col(name)
@@ -37,11 +42,11 @@ def condition(name: str, value) -> Column | None:
     match kind:
         case "date":
             start = _day(args[0])
-            return (c >= F.lit(start).cast("timestamp_ntz")) & (c < F.lit(start + timedelta(days=1)).cast("timestamp_ntz"))
+            return (c >= _moment(start)) & (c < _moment(start + timedelta(days=1)))
         case "month":
             start = _day(args[0] + "-01" if isinstance(args[0], str) and len(args[0]) == 7 else args[0]).replace(day=1)
             after = (start + timedelta(days=32)).replace(day=1)
-            return (c >= F.lit(start).cast("timestamp_ntz")) & (c < F.lit(after).cast("timestamp_ntz"))
+            return (c >= _moment(start)) & (c < _moment(after))
         case "like":
             return c.contains(args[0])
         case "in":
@@ -69,7 +74,7 @@ def document_condition(name: str, value) -> Column | None:
     if isinstance(value, tuple) and value[0] == "between":
         low, high = (_day(v) for v in value[1])
         end = high + timedelta(hours=23, minutes=59, seconds=59)
-        return (F.col(name) >= F.lit(low).cast("timestamp_ntz")) & (F.col(name) < F.lit(end).cast("timestamp_ntz"))
+        return (F.col(name) >= _moment(low)) & (F.col(name) < _moment(end))
     return condition(name, value)
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.calendar import bin_index, bin_start, micros, parse, widen
+from plumbline.functions.calendar import bin_index, bin_start, from_micros, micros, parse, widen
 from plumbline.functions.ordered import carry_both, describe, lookup_join, over_series, quantiles
 from plumbline.operators.query import AGGREGATES
 
@@ -45,7 +45,7 @@ def resample(df: DataFrame, ts: str, values: Sequence[str], key: str | None = No
     if n > 1:
         start = rows.agg(micros(F.date_trunc("week" if unit == "W" else "day", first_ts)).alias("o")).first()["o"] or 0
         origin = start + (3 * 86_400_000_000 if unit == "W" else 0)
-        shift = F.timestamp_micros(micros(F.col(ts)) - origin).cast("timestamp_ntz")
+        shift = from_micros(micros(F.col(ts)) - origin)
         rows = rows.withColumn(ts, shift)
     binned = aggregate(rows.withColumn("_bin", bin_index(F.col(ts), period)), [*keys, "_bin"], values, agg)
     ends = rows.agg(bin_index(first_ts, period).alias("lo"), bin_index(last_ts, period).alias("hi")).first()
@@ -57,7 +57,7 @@ def resample(df: DataFrame, ts: str, values: Sequence[str], key: str | None = No
     full = spine.join(binned, [*keys, "_bin"], "left")
     label = bin_start(F.col("_bin"), period)
     if n > 1:
-        label = F.timestamp_micros(micros(label) + origin).cast("timestamp_ntz")
+        label = from_micros(micros(label) + origin)
     inside = F.col("_bin").between(F.col("_from"), F.col("_to"))
     value = (lambda v: F.coalesce(v, F.when(inside, 0))) if agg in ("sum", "count") else (lambda v: F.col(v))
     out = full.select(*keys, label.alias(ts), *[value(v).alias(v) for v in values])

@@ -187,3 +187,15 @@ def test_timeline_resampling_inside_cleaning(spark):
     spec = DatasetSpec.of([{"name": "ts", "attr": "date", "timeline": True, "resample": 180}, {"name": "v", "attr": "conti"}])
     got = [r["v"] for r in clean.clean(df, spec).orderBy("ts").collect()]
     assert got == [0.0, 1.0, 2.0, 2.0, 3.0, 4.0]
+
+
+def test_calendar_ignores_the_session_zone(spark):
+    df = spark.sql("SELECT explode(array(timestamp_ntz '2024-03-10 02:30:00', timestamp_ntz '2024-03-10 23:59:59.999999')) AS ts, 1.0D AS v")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        day = series.resample(df, "ts", ["v"], period="D", agg="sum").collect()
+        half = series.resample(df, "ts", ["v"], period="12h", agg="sum").orderBy("ts").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [(r["ts"].day, r["ts"].hour, r["v"]) for r in day] == [(10, 0, 2.0)]
+    assert [(r["ts"].hour, r["v"]) for r in half] == [(0, 1.0), (12, 1.0)]
