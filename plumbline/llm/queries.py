@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixing, urls
+from plumbline.llm import byte_bpe, mixing, nearest, quality, simhash, urls, vector_dedup
 from plumbline.llm.common import table
 
 
@@ -14,16 +14,30 @@ def _documents(operator: Callable[[DataFrame], DataFrame]):
     return lambda spark, folder: operator(table(spark, folder, "documents"))
 
 
+def _embeddings(operator: Callable[[DataFrame], DataFrame]):
+    return lambda spark, folder: operator(table(spark, folder, "embeddings"))
+
+
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.op4_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
     return urls.op6_url_filters(table(spark, folder, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": _documents(simhash.op1_simhash),
+    "op2_nearest": _embeddings(nearest.op2_nearest),
+    "op3_embedding_dedup": _embeddings(vector_dedup.op3_embedding_dedup),
+    "op4_quality": _quality,
     "op6_url_filters": _pages,
+    "op7_byte_bpe": _documents(byte_bpe.op7_byte_bpe),
     "op10_mix_sources": _documents(mixing.op10_mix_sources),
 }
 
 ORACLE_SQL = {
+    "op2_nearest": nearest.OP2_SQL,
     "op6_url_filters": urls.OP6_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
