@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import base64
-import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +15,9 @@ import xxhash
 from pyspark.sql import DataFrame
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MEMO = 1 << 20    # pre-tokens a task remembers; when full it starts again
+PIECES = 1 << 20      # pre-tokens that a worker remembers
+STRETCHES = 1 << 18   # stretches between spaces that it remembers
+ROWS = 64             # rows that are returned at a time
 
 
 class PerfectHash:
@@ -62,87 +64,133 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
+class Remembered(dict):
+    """Encoded strings of one worker, the first ``most`` that it meets; others are encoded each time."""
+
+    def __init__(self, encode: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.encode, self.most = encode, most
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.encode(text)
+        if len(self) < self.most:
+            self[text] = found
+        return found
+
+
 class ByteBPE:
     """Encoder and decoder of one vocabulary of ranks, with the pattern that splits texts into pre-tokens."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
-        self.ranks, self.split = ranks, regex.compile(pattern)
-        self.table = PerfectHash(ranks)
-        self.ids = [ranks[k] for k in self.table.keys]
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def pre_token(self, piece: bytes) -> tuple[int, ...]:
+        self.ranks, self.pattern, self.table = ranks, pattern, PerfectHash(ranks)
+        self._prepare()
+
+    def _prepare(self):
+        self.ids = [self.ranks[k].to_bytes(4, "little") for k in self.table.keys]
+        self.bytes_of = np.empty(max(self.ranks.values(), default=-1) + 1, object)
+        for token, rank in self.ranks.items():
+            self.bytes_of[rank] = token
+        self.pairs = [-1] * (1 << 16)
+        for token, rank in self.ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
+        self.split = regex.compile(self.pattern)
+        self.run_on = regex.compile(r"\s | \s")
+        self.pieces, self.stretches = Remembered(lambda p: self.pre_token(p.encode()), PIECES), Remembered(self._pieces, STRETCHES)
+
+    def __getstate__(self):
+        return self.ranks, self.pattern, self.table
+
+    def __setstate__(self, state):
+        self.ranks, self.pattern, self.table = state
+        self._prepare()
+
+    def pre_token(self, piece: bytes) -> bytes:
         """Ids of one pre-token: the vocabulary's own entry, or the merges of its bytes."""
         slot = self.table.slot(piece)
-        return (self.ids[slot],) if slot >= 0 else tuple(self._merge(piece))
+        return self.ids[slot] if slot >= 0 else np.array(self._merge(piece), "<u4").tobytes()
 
     def _merge(self, piece: bytes) -> list[int]:
         """Merge the pair of lowest rank, leftmost first, until none is in the vocabulary.
 
-        Parts are a linked list over the bytes, pairs a heap; an entry whose parts have changed meanwhile is stale.
+        Parts are a linked list over the bytes.  The heap holds a rank and the start of its pair in one number; an
+        entry is stale when the pair that starts there has another rank by now.
         """
-        n, ranks = len(piece), self.ranks
-        end = list(range(1, n + 1))            # of the part that starts here; 0 once it was merged away
-        before = list(range(-1, n - 1))        # start of the part before
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i:i + 2])) is not None]
-        heapq.heapify(heap)
+        n, rank_of = len(piece), self.ranks.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = [self.pairs[a << 8 | b] for a, b in zip(piece, piece[1:])] + [-1]
+        heap = [r << 40 | i for i, r in enumerate(pair) if r >= 0]
+        heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            middle = end[i]
-            if not middle or middle >= n or middle == stop or end[middle] != stop:
+            top = heappop(heap)
+            i = top & 0xFFFFFFFFFF
+            if pair[i] != top >> 40:
                 continue
-            end[i], end[middle] = stop, 0
+            middle = after[i]
+            stop = after[i] = after[middle]
+            pair[middle], pair[i] = -1, -1
             if stop < n:
                 before[stop] = i
-                if (r := ranks.get(piece[i:end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, end[stop]))
-            if (left := before[i]) >= 0 and (r := ranks.get(piece[left:stop])) is not None:
-                heapq.heappush(heap, (r, left, stop))
-        return [ranks[piece[i:end[i]]] for i in range(n) if end[i]]
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text.  Lone pieces are looked up once per task and then remembered."""
-        memo, out, of = self.memo, [], self.split.finditer(text)
-        if len(memo) > MEMO:
-            memo.clear()
-        for match in of:
-            piece = match.group()
-            ids = memo.get(piece)
-            if ids is None:
-                ids = memo[piece] = self.pre_token(piece.encode())
-            out += ids
-        return np.array(out, "<u4")
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+                pair[i] = r = rank_of(piece[i:after[stop]], -1)
+                if r >= 0:
+                    heappush(heap, r << 40 | i)
+            left = before[i]
+            if left >= 0:
+                pair[left] = r = rank_of(piece[left:stop], -1)
+                if r >= 0:
+                    heappush(heap, r << 40 | left)
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[piece[i:after[i]]])
+            i = after[i]
+        return out
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as 32-bit little-endian integers.
+
+        The pattern takes at most one space in front of a word and nothing behind it, so a text may be cut before every
+        space that has no other white space beside it; the stretches between are remembered whole.
+        """
+        if self.run_on.search(text):
+            return self._pieces(text)
+        first, *rest = text.split(" ")
+        return self.stretches[first] + b"".join(map(self.stretches.__getitem__, [" " + r for r in rest]))
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(self.bytes_of[np.frombuffer(ids, "<u4")].tolist())
 
 
 @lru_cache(2)
 def tokenizer(path: str) -> ByteBPE:
-    """Built once per worker process from the vocabulary file, which every node has at the same place."""
     with open(path, "rb") as file:
         return ByteBPE(read_ranks(file.read()))
 
 
-def tokenise(docs: DataFrame, vocabulary: str | None = None, keep: list[str] = ("doc_id",)) -> DataFrame:
+def tokenise(docs: DataFrame, vocabulary: str | None = None, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every row with n_tokens, ids (32-bit little-endian, binary) and decoded (binary).
 
-    The text (null: empty) is split by the pattern; each pre-token is encoded on its own, without special tokens, and
-    the ids are decoded again.  Rows are worked on one by one in the order they are read, and nothing is shuffled.  A
-    task holds one text, the vocabulary, and at most ``MEMO`` remembered pre-tokens beyond one text's own.
+    The text (null: empty) is split by the pattern; each pre-token is encoded on its own, without special tokens: by the
+    minimal perfect hash where the vocabulary holds it whole, else by merging its bytes.  The ids are decoded again.
+
+    The driver reads the vocabulary file and builds the tables, about 3 MB, which are broadcast.  Rows are worked on one
+    by one where they are read; nothing is shuffled.  A worker holds a few texts and the remembered strings,
+    ``PIECES`` and ``STRETCHES`` at most.  Repeated rows stay; further columns than ``keep`` are not read; no rows give none.
     """
-    path, keep = vocabulary or public_tokenizers.path(VOCABULARY), list(keep)
+    keep = list(keep)
+    sent = docs.sparkSession.sparkContext.broadcast(tokenizer(vocabulary or public_tokenizers.path(VOCABULARY)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizer(path)
+        coder = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [encoder.encode(t.as_py() or "") for t in part.column("text")]
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = [coder.encode(t.as_py() or "") for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in keep], pa.array([len(i) for i in ids], pa.int64()),
-                     pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([encoder.decode(i) for i in ids], pa.binary())],
+                    [*[part.column(c) for c in keep], pa.array([len(i) // 4 for i in ids], pa.int64()),
+                     pa.array(ids, pa.binary()), pa.array(map(coder.decode, ids), pa.binary())],
                     [*keep, "n_tokens", "ids", "decoded"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

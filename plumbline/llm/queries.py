@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import byte_bpe, mixing, nearest, quality, simhash, urls, vector_dedup
+from plumbline.llm import byte_bpe, mixing, nearest, quality, simhash, token_files, urls, vector_dedup
 from plumbline.llm.common import table
 
 
@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": _quality,
     "op6_url_filters": _pages,
     "op7_byte_bpe": _documents(byte_bpe.op7_byte_bpe),
+    "op8_token_files": _documents(token_files.op8_token_files),
     "op10_mix_sources": _documents(mixing.op10_mix_sources),
 }
 
