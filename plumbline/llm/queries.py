@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import byte_bpe, mixing, nearest, quality, simhash, token_files, urls, vector_dedup
+from plumbline.llm import byte_bpe, lines, mixing, nearest, quality, simhash, token_files, urls, vector_dedup
 from plumbline.llm.common import table
 
 
@@ -34,11 +34,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filters": _pages,
     "op7_byte_bpe": _documents(byte_bpe.op7_byte_bpe),
     "op8_token_files": _documents(token_files.op8_token_files),
+    "op9_line_dedup": _documents(lines.op9_line_dedup),
     "op10_mix_sources": _documents(mixing.op10_mix_sources),
 }
 
 ORACLE_SQL = {
     "op2_nearest": nearest.OP2_SQL,
     "op6_url_filters": urls.OP6_SQL,
+    "op9_line_dedup": lines.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
