@@ -28,3 +28,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def same(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
+
+
+SIEVE = 27    # 2 ** SIEVE bits, 16 MB, at any size of the input
+
+
+def sieve(keys: DataFrame) -> DataFrame:
+    """A bit per value of the long column ``key``: (bucket, bits), 4 KB per bucket, 2 ** SIEVE bits at most."""
+    spot = F.col("key").bitwiseAND(F.lit((1 << SIEVE) - 1))
+    return keys.select(F.shiftright(spot, 15).alias("bucket"), spot.bitwiseAND(F.lit(32767)).alias("bit")) \
+        .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def sifted(rows: DataFrame, key: str, bits: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: false where the long column ``key`` has none of the sieve's keys for certain.
+
+    The sieve's size is fixed, so it is broadcast; it only spares a join that decides afterwards.
+    """
+    spot = F.col(key).bitwiseAND(F.lit((1 << SIEVE) - 1))
+    byte = F.conv(F.hex(F.expr(f"substring(__bits, int((`{key}` & 32767) div 8) + 1, 1)")), 16, 10).cast("long")
+    named = bits.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
+    return rows.join(F.broadcast(named), F.shiftright(spot, 15) == F.col("__bucket"), "left") \
+        .withColumn(flag, F.coalesce(F.getbit(byte, F.col(key).bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))).drop("__bucket", "__bits")

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.settings import cut_lineage
+from plumbline.llm.common import sieve, sifted
 
 BOUND = 1          # edits (insertion, deletion or change of one character) between lines that match
 LEAST = 10         # characters of the shorter of two lines that match without being equal
 PIECE = 24         # characters of a piece, at least; longer lines have pieces of the root of their length
-SIEVE = 27         # 2 ** SIEVE bits of the filter ahead of the first join: 16 MB at any size of the input
 PLACE = 1 << 31    # lines of one document that places can tell apart
 
 
@@ -44,26 +44,16 @@ def _several(keys: DataFrame, key: str) -> DataFrame:
     return keys.groupBy(key).agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select(key)
 
 
-def _sieve(keys: DataFrame) -> DataFrame:
-    """A bit per hash value: (bucket, bits), 4 KB per bucket, 2 ** SIEVE bits in all."""
-    spot = F.col("key").bitwiseAND(F.lit((1 << SIEVE) - 1))
-    return keys.select(F.shiftright(spot, 15).alias("bucket"), spot.bitwiseAND(F.lit(32767)).alias("bit")) \
-        .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-
-
 def _candidates(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """Lines under each shared half: place, h1, h2, key, less, and what is left of the line without that half.
 
     The filter drops most lines before anything is shuffled; the join decides.
     """
-    rows, sieve = _lines(docs), F.broadcast(_sieve(shared))
+    rows, bits = _lines(docs), sieve(shared)
     keys = [f"k{i}" for i in range(4)]
     rows = rows.withColumns(dict(zip(keys, _halves(F.col("line")))))
     for k in keys:
-        spot = F.col(k).bitwiseAND(F.lit((1 << SIEVE) - 1))
-        byte = F.conv(F.hex(F.expr(f"substring(bits, int(({k} & 32767) div 8) + 1, 1)")), 16, 10).cast("long")
-        rows = rows.join(sieve, F.shiftright(spot, 15) == F.col("bucket"), "left") \
-            .withColumn(k, F.when(F.getbit(byte, F.col(k).bitwiseAND(F.lit(7)).cast("int")) == 1, F.col(k))).drop("bucket", "bits")
+        rows = sifted(rows, k, bits, "hit").withColumn(k, F.when(F.col("hit"), F.col(k))).drop("hit")
     size = F.length("line")
     found = []
     for i, k in enumerate(keys):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import byte_bpe, lines, mixing, nearest, quality, simhash, token_files, urls, vector_dedup
+from plumbline.llm import byte_bpe, lines, mixing, nearest, quality, simhash, substrings, token_files, urls, vector_dedup
 from plumbline.llm.common import table
 
 
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nearest": _embeddings(nearest.op2_nearest),
     "op3_embedding_dedup": _embeddings(vector_dedup.op3_embedding_dedup),
     "op4_quality": _quality,
+    "op5_substring_dedup": _documents(substrings.op5_substring_dedup),
     "op6_url_filters": _pages,
     "op7_byte_bpe": _documents(byte_bpe.op7_byte_bpe),
     "op8_token_files": _documents(token_files.op8_token_files),
