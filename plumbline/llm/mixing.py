@@ -36,11 +36,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     rest = F.sum("source_size").over(everything) * F.lit(share) \
         - F.coalesce(F.sum("source_size").over(before), F.lit(0)) * F.lit(most)
     open_weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    level = ranked.withColumn("level", rest / open_weight) \
-        .withColumn("full", F.col("level") * F.col("weight") >= F.col("source_size") * F.lit(most))
-    shared = level.withColumn("shared", F.min(F.when(~F.col("full"), F.col("level"))).over(everything))
-    return shared.select("source", "source_size", F.when(F.col("full"), F.col("source_size") * F.lit(most))
-                         .otherwise(F.col("shared") * F.col("weight")).alias("target"))
+    # the right level fills exactly the sources that it fills; counting others as full, or not, only lowers it
+    level = F.max("level").over(everything)
+    return ranked.withColumn("level", rest / open_weight).select(
+        "source", "source_size", F.least(F.col("source_size") * F.lit(most), level * F.col("weight")).alias("target"))
 
 
 def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
@@ -121,10 +120,7 @@ levels AS (
   SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size) OVER before, 0) * 2.0::DOUBLE)
             / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
   FROM weighed WINDOW before AS (ORDER BY source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-filled AS (SELECT *, level * weight >= source_size * 2.0::DOUBLE AS is_full FROM levels),
-goals AS (
-  SELECT source, source_size, CASE WHEN is_full THEN source_size * 2.0::DOUBLE
-         ELSE (min(level) FILTER (WHERE NOT is_full) OVER ()) * weight END AS target FROM filled),
+goals AS (SELECT source, source_size, least(source_size * 2.0::DOUBLE, max(level) OVER () * weight) AS target FROM levels),
 classed AS (
   SELECT *, CASE WHEN size < 32 THEN size ELSE (size >> (length(bin(size)) - 5)) << (length(bin(size)) - 5) END AS class,
          md5(coalesce(doc_id::VARCHAR, '')) AS hash FROM keyed),
