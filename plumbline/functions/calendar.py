@@ -63,18 +63,19 @@ def bin_start(index: Column, period: str) -> Column:
     return from_micros(start)
 
 
+MINUTES = {**{u: s / 60 for u, s in SECONDS.items()}, "MS": 43_200, "QS": 129_600, "YS": 525_600}    # months of 30 days, years of 365
+
+
 def widen(period: str, gap_minutes: int | None, resample_minutes: int | None) -> str:
-    """Widen a period to the coarser of the field's own gap and its configured interval (minutes)."""
+    """The coarsest of a period, the field's own gap and its configured interval (minutes).
+
+    A gap or interval is expressed in the largest unit that is not above it, rounded up; months, quarters and years
+    have no multiples.
+    """
     n, unit = parse(period)
-    units = ["s", "min", "h", "D", "W", "MS", "QS", "YS"]
-    rank = units.index(unit)
-    wanted = max(gap_minutes or 1, resample_minutes or 1)
-    if wanted < 60 and rank < 2:
-        return f"{wanted}min"
-    if 60 < wanted < 1440 and rank < 3:
-        return f"{-(-wanted // 60)}h"
-    if 1440 < wanted < 10_080 and rank < 4:
-        return f"{-(-wanted // 1440)}D"
-    if 10_080 < wanted < 43_200 and rank < 5:
-        return f"{-(-wanted // 10_080)}W"
-    return period
+    wanted = max(gap_minutes or 0, resample_minutes or 0)
+    if wanted <= n * MINUTES[unit]:
+        return period
+    unit = max((u for u in MINUTES if MINUTES[u] <= wanted), key=MINUTES.get)
+    n = 1 if unit in MONTHS else -int(-wanted // MINUTES[unit])
+    return f"{n if n > 1 else ''}{unit}"

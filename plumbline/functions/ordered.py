@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from plumbline.functions.calendar import bin_index
-from plumbline.functions.settings import BROADCAST_BYTES, BROADCAST_ROWS, CHUNK_ROWS, GROUP_ROWS, bound
+from plumbline.functions.settings import BROADCAST_BYTES, BROADCAST_ROWS, CHUNK_ROWS, GROUP_ROWS, bound, cut_lineage
 
-CHUNKS = 256          # chunks per hot key
-SAMPLED = 16_384      # order values looked at to place the chunk boundaries of one hot key
+SAMPLED = 64          # order values per chunk of a hot key that are looked at to place its boundaries
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -45,9 +44,13 @@ def lookup_join(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str =
     return salted_join(df, side, keys, how, null_safe=True)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
-                salts: int = 64, null_safe: bool = False) -> DataFrame:
-    """Equi join (inner, left) that spreads the rows of hot left keys over ``salts`` tasks.
+def parts_of(rows: Column, spark) -> Column:
+    """Parts that a key with so many rows is cut into, so that none holds much over ``plumbline.groupRows``."""
+    return F.ceil(rows / bound(spark, GROUP_ROWS)).cast("int")
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", null_safe: bool = False) -> DataFrame:
+    """Equi join (inner, left) that spreads the rows of hot left keys, each over as many tasks as its rows need.
 
     The salt mixes the row's content with its input partition: copies of one row spread too, and a task that
     is run again gives the same salts.  Left rows without a key match nothing in the plain form and are spread.
@@ -56,17 +59,17 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     hot = hot_keys(left if null_safe else left.where(~blank), keys)
     if hot is None and (null_safe or how == "inner"):
         return _null_safe(left, right, keys, how) if null_safe else left.join(right, list(keys), how)
-    content = F.xxhash64(*[c for c, t in left.dtypes if "map<" not in t])
-    spread = F.pmod(content + F.spark_partition_id(), F.lit(salts)).cast("int")
-    copies = right.withColumn("_salt", F.lit(0))
-    loose = F.lit(False) if null_safe else blank
-    salted = left
+    content = F.xxhash64(*[F.col(c) for c, t in left.dtypes if "map<" not in t], F.spark_partition_id())
+    copies, salted = right.withColumn("_salt", F.lit(0).cast("long")), left.withColumn("_parts", F.lit(1))
     if hot is not None:
-        flags = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
-        salted, loose = _null_safe(left, flags, keys, "left"), F.coalesce("_hot", F.lit(False)) | loose
-        every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        copies = _null_safe(right, flags, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
-    salted = salted.withColumn("_salt", F.when(loose, spread).otherwise(F.lit(0))).drop("_hot")
+        flags = F.broadcast(hot.select(*keys, parts_of(F.col("_n"), left.sparkSession).alias("_parts")))
+        salted = _null_safe(left, flags, keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        every = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1).cast("array<long>")
+        copies = _null_safe(right, flags, keys, "left").withColumn("_salt", F.explode(every)).drop("_parts")
+    salt = F.pmod(content, F.col("_parts"))
+    if not null_safe:
+        salt = F.when(blank, content).otherwise(salt)
+    salted = salted.withColumn("_salt", salt).drop("_parts")
     on = [*keys, "_salt"]
     joined = _null_safe(salted, copies, on, how) if null_safe else salted.join(copies, on, how)
     return joined.drop("_salt")
@@ -76,40 +79,41 @@ LOOK = "look"    # find the hot keys here; callers that know them pass them on
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Keys with more rows than a task should hold, with their counts; at most 1000 by construction."""
+    """Keys with more rows than a task should hold, with their counts.
+
+    There are fewer than the table's rows divided by ``plumbline.groupRows``; that bounds what joins with them broadcast.
+    """
     limit = bound(df.sparkSession, GROUP_ROWS)
-    total = df.count()
-    if total <= limit:
-        return None
-    least = max(limit, total // 1000)
-    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).collect()
-    if not rows:
+    if df.count() <= limit:
         return None
-    schema = df.select(*keys).schema.add("_n", "long")
-    return df.sparkSession.createDataFrame(rows, schema)
+    found = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit))
+    return None if found.isEmpty() else found
 
 
 def with_chunks(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame) -> DataFrame:
     """Add ``_o_chunk``: an order-preserving cut of each hot key; other keys stay whole in chunk 0.
 
-    Boundaries come from a content hash, so a recomputed task always sees the same cut.  Any boundaries
-    give exact results; they only balance the work.
+    A key is cut into a power of two of chunks, at least as many as its rows need.  Boundaries come from a content
+    hash, so a recomputed task always sees the same cut.  Any boundaries give exact results; they only balance the work.
     """
-    hot = F.broadcast(hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_n"))
+    needed = F.log2(parts_of(F.col("_n"), df.sparkSession)) + 1
+    hot = F.broadcast(hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_n",
+                                 F.pow(F.lit(2.0), F.ceil(needed)).cast("int").alias("_chunks")))
     on_hot = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys], F.lit(True))
     picked = (df.select(*keys, order).join(hot, on_hot)
-              .where(F.pmod(F.xxhash64(*keys, order), F.col("_n")) < SAMPLED))
-    lists = (picked.groupBy(*[f"_h_{k}" for k in keys])
+              .where(F.pmod(F.xxhash64(*keys, order), F.col("_n")) < F.col("_chunks") * SAMPLED))
+    lists = (picked.groupBy(*[f"_h_{k}" for k in keys], "_chunks")
              .agg(F.array_sort(F.collect_set(order)).alias("_values")))
-    place = F.transform(F.sequence(F.lit(1), F.lit(CHUNKS - 1)),
-                        lambda i: F.element_at("_values", (F.floor((F.size("_values") - 1) * i / CHUNKS) + 1).cast("int")))
-    bounds = F.broadcast(lists.select(*[f"_h_{k}" for k in keys], place.alias("_bounds")))
-    steps = F.array(*[F.lit(CHUNKS >> s) for s in range(1, CHUNKS.bit_length())])
-    search = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(
+    place = F.transform(F.sequence(F.lit(1), F.col("_chunks") - 1),
+                        lambda i: F.element_at("_values", (F.floor((F.size("_values") - 1) * i / F.col("_chunks")) + 1).cast("int")))
+    halves = F.transform(F.sequence(F.lit(1), F.round(F.log2("_chunks")).cast("int")),
+                         lambda i: (F.col("_chunks") / F.pow(F.lit(2.0), i)).cast("int"))
+    bounds = F.broadcast(lists.where(F.size("_values") > 0).select(*[F.col(f"_h_{k}") for k in keys], place.alias("_bounds"), halves.alias("_halves")))
+    search = F.aggregate("_halves", F.lit(0), lambda at, step: at + F.when(
         F.element_at("_bounds", at + step) <= F.col(order), step).otherwise(F.lit(0)))
     return (df.join(bounds, on_hot, "left")
             .withColumn("_o_chunk", F.when(F.col("_bounds").isNull() | F.col(order).isNull(), F.lit(0)).otherwise(search))
-            .drop("_bounds", *[f"_h_{k}" for k in keys]))
+            .drop("_bounds", "_halves", *[f"_h_{k}" for k in keys]))
 
 
 def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Column],

@@ -14,8 +14,7 @@ from plumbline.operators.query import drop_empty_columns
 from plumbline.operators.series import resample
 from plumbline.spec import DatasetSpec, FieldSpec, FittedSpec
 
-LITERAL_DOMAIN = 64      # larger domains are joined, not written into the plan
-HOT_COLUMNS = 256        # larger domains become one sparse vector instead of columns
+LITERAL_DOMAIN = 64      # larger domains are joined, not written into the plan; the codes are the same
 
 
 # --- conversion ----------------------------------------------------------------------------------
@@ -126,25 +125,35 @@ def domain_code(column: str, values: Sequence) -> Column:
 
 
 def ordinal(df: DataFrame, column: str, codes: DataFrame | None = None, integer: bool = False) -> DataFrame:
-    """Replace values by their sorted position (double codes, or integers for the label flavour)."""
+    """Replace values by their sorted position (double codes, or integers for the label flavour).
+
+    Null and values without a code become -1, however the codes are looked up.
+    """
     codes = sorted_codes(df, column) if codes is None else codes
-    kind = "long" if integer else "double"
     joined = lookup_join(df, codes.withColumnRenamed("code", "_code"), [column])
-    return joined.withColumn(column, F.col("_code").cast(kind)).drop("_code")
+    return joined.withColumn(column, F.coalesce("_code", F.lit(-1)).cast("long" if integer else "double")).drop("_code")
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence | None = None) -> DataFrame:
-    """One 0/1 column per value in sorted order; very wide domains give one sparse vector column."""
+    """One 0/1 column per value in sorted order, all 0 for null and other values.  For wide domains see ``hot_vector``."""
     if values is None:
-        found = sorted_codes(df, column).limit(HOT_COLUMNS + 1).count()
-        if found > HOT_COLUMNS:
-            coded = ordinal(df, column)
-            return OneHotEncoder(inputCol=column, outputCol=f"{column}_hot", dropLast=False).fit(coded).transform(coded)
         values = [r[0] for r in sorted_codes(df, column).orderBy("code").collect()]
     return df.select("*", *[F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"{column}_{v}")
                             for v in values]).drop(column)
 
 
+def hot_vector(df: DataFrame, column: str, codes: DataFrame | None = None) -> DataFrame:
+    """One sparse 0/1 vector ``<column>_hot`` per row, a place per value; all 0 for null and values without a code."""
+    codes = cut_lineage(sorted_codes(df, column)) if codes is None else codes
+    size = codes.count()
+    if not size:
+        raise ValueError(f"{column} has no values")
+    coded = ordinal(df, column, codes)
+    coded = coded.withColumn(column, F.when(F.col(column) < 0, F.lit(float(size))).otherwise(F.col(column)))
+    known = df.sparkSession.createDataFrame([(float(size - 1),)], f"`{column}` double")    # the encoder only asks for the largest code
+    return OneHotEncoder(inputCol=column, outputCol=f"{column}_hot", handleInvalid="keep").fit(known).transform(coded).drop(column)
+
+
 def hashed(df: DataFrame, column: str, width: int = 1 << 20) -> DataFrame:
     hasher = FeatureHasher(inputCols=[column], outputCol="_hashed", numFeatures=width, categoricalCols=[column])
     return hasher.transform(df).drop(column).withColumnRenamed("_hashed", column)
@@ -213,7 +222,7 @@ def row_norm(columns: Sequence[str], norm: str) -> list[Column]:
 # --- the whole sequence ----------------------------------------------------------------------------
 
 SCALES = ("std", "minmax", "maxabs", "robust", "l1", "l2")
-ENCODES = ("ordinal", "hot", "hash", "binary", "bins", "label", "count", "mean", "woe")
+ENCODES = ("ordinal", "hot", "hot_vector", "hash", "binary", "bins", "label", "count", "mean", "woe")
 NUMERIC = ("int", "bigint", "double", "float", "smallint", "tinyint")
 
 
@@ -290,11 +299,14 @@ def _fit_encodings(df: DataFrame, fitted: FittedSpec) -> DataFrame:
             raise ValueError(f"unknown encoding {method!r}")
         if method == "ordinal" and f.target and f.values:
             fitted.domains[f.name] = list(f.values)
-        elif method in ("ordinal", "label", "hot"):
+        elif method == "hot":
+            fitted.domains[f.name] = [r[0] for r in sorted_codes(df, f.name).orderBy("code").collect()]
+        elif method == "hot_vector":
+            fitted.lookups[f.name] = cut_lineage(sorted_codes(df, f.name))
+        elif method in ("ordinal", "label"):
             codes = sorted_codes(df, f.name)
-            head = codes.limit(HOT_COLUMNS + 1).collect()
-            limit = HOT_COLUMNS if method == "hot" else LITERAL_DOMAIN
-            if len(head) <= limit:
+            head = codes.limit(LITERAL_DOMAIN + 1).collect()
+            if len(head) <= LITERAL_DOMAIN:
                 fitted.domains[f.name] = [r[0] for r in sorted(head, key=lambda r: r["code"])]
             else:
                 fitted.lookups[f.name] = cut_lineage(codes)
@@ -318,20 +330,22 @@ def _encode(df: DataFrame, fitted: FittedSpec) -> DataFrame:
         method = spec.method(f, "encode")
         if method is None:
             continue
-        if method == "hot" and f.name in fitted.domains:
+        if method == "hot":
             out = one_hot(out, f.name, fitted.domains[f.name])
-        elif method == "hot":
-            out = ordinal(out, f.name, fitted.lookups[f.name])
-            out = OneHotEncoder(inputCol=f.name, outputCol=f"{f.name}_hot", dropLast=False).fit(out).transform(out)
+        elif method == "hot_vector":
+            out = hot_vector(out, f.name, fitted.lookups[f.name])
         elif method == "hash":
             out = hashed(out, f.name)
         elif method == "binary":
             out = out.withColumn(f.name, binarize(F.col(f.name)))
         elif method == "bins" and f.name in fitted.bins:
             out = out.withColumn(f.name, equal_width(F.col(f.name), *fitted.bins[f.name]))
-        elif f.name in fitted.domains:
-            code = domain_code(f.name, fitted.domains[f.name])
-            out = out.withColumn(f.name, code.cast("long" if f.target or method == "label" else "double"))
+        elif method in ("ordinal", "label"):
+            whole = f.target or method == "label"
+            if f.name in fitted.domains:
+                out = out.withColumn(f.name, domain_code(f.name, fitted.domains[f.name]).cast("long" if whole else "double"))
+            else:
+                out = ordinal(out, f.name, fitted.lookups[f.name], whole)
         elif f.name in fitted.lookups:
             out = attach_code(out, fitted.lookups[f.name], f.name)
     return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 import random
 import re
@@ -92,7 +91,19 @@ def train(df: DataFrame, features: Sequence[str], target: str, kind: str, classi
 
 # --- search ------------------------------------------------------------------------------------------
 
-def parse_space(text: dict[str, str], rng: random.Random, draws: int = 5) -> dict[str, list]:
+@dataclass(frozen=True)
+class Range:
+    """Numbers between two bounds, drawn afresh for every trial; whole ones where both bounds are whole."""
+
+    low: float
+    high: float
+
+    def draw(self, rng: random.Random) -> float:
+        whole = isinstance(self.low, int) and isinstance(self.high, int)
+        return rng.randint(self.low, self.high) if whole else rng.uniform(self.low, self.high)
+
+
+def parse_space(text: dict[str, str]) -> dict[str, list | Range]:
     """Search space from text: ``(low, high, step)``, ``(low, high)``, ``[a, b]`` or one value.
 
     A number is whole unless it has a point; nothing is evaluated.
@@ -114,9 +125,7 @@ def parse_space(text: dict[str, str], rng: random.Random, draws: int = 5) -> dic
             count = int(math.floor((high - low) / step + 1e-9))
             space[name] = [low + i * step for i in range(count + 1)]
         elif raw[:1] == "(" and inner and len(inner) == 2:
-            low, high = inner
-            whole = isinstance(low, int) and isinstance(high, int)
-            space[name] = [rng.randint(low, high) if whole else rng.uniform(low, high) for _ in range(draws)]
+            space[name] = Range(*inner)
         elif inner is not None:
             space[name] = inner
         else:
@@ -124,18 +133,27 @@ def parse_space(text: dict[str, str], rng: random.Random, draws: int = 5) -> dic
     return space
 
 
-def trials(space: dict[str, list], count: int, rng: random.Random) -> list[dict]:
-    """``count`` different settings: the whole grid when it is no larger, else seeded draws."""
-    size = math.prod(len(v) for v in space.values())
-    if size <= count:
-        return [dict(zip(space, v)) for v in itertools.product(*space.values())]
-    picks = rng.sample(range(size), count)
+def trials(space: dict[str, list | Range], count: int, rng: random.Random) -> list[dict]:
+    """Settings to try: the whole grid when it has no ranges and is no larger than ``count``, else ``count`` of them.
+
+    Lists and stepped ranges form a grid, whose settings differ as long as it lasts; ranges are drawn per trial.
+    """
+    lists = {name: values for name, values in space.items() if not isinstance(values, Range)}
+    size = math.prod(len(v) for v in lists.values())
+    wanted = count if len(lists) < len(space) else min(count, size)
+    places = []
+    while len(places) < wanted:
+        left = wanted - len(places)
+        places += list(range(size)) if size <= left else rng.sample(range(size), left)
     out = []
-    for at in picks:
+    for at in places:
         setting = {}
         for name, values in space.items():
-            at, i = divmod(at, len(values))
-            setting[name] = values[i]
+            if isinstance(values, Range):
+                setting[name] = values.draw(rng)
+            else:
+                at, i = divmod(at, len(values))
+                setting[name] = values[i]
         out.append(setting)
     return out
 
@@ -145,7 +163,7 @@ def search(df: DataFrame, features: Sequence[str], target: str, kind: str, space
            seed: int = 0) -> tuple[PipelineModel, DataFrame]:
     """Try settings and keep the best; (best model, leaderboard).  With ``stop`` trials end once it is reached."""
     rng = random.Random(seed)
-    settings = trials(parse_space(space, rng), count, rng)
+    settings = trials(parse_space(space), count, rng)
     pipe = _pipeline(df, features, target, kind, classify)
     model, score = pipe.getStages()[-1], judge(classify, target, metric)
     inner = model.getClassifier() if isinstance(model, C.OneVsRest) else model

@@ -12,6 +12,8 @@ from plumbline.functions.calendar import bin_index, bin_start, from_micros, micr
 from plumbline.functions.ordered import carry_both, describe, lookup_join, over_series, quantiles
 from plumbline.operators.query import AGGREGATES
 
+SPINE = 4096    # calendar periods that one row is expanded into at a time
+
 
 def aggregate(df: DataFrame, keys: Sequence[str], values: Sequence[str], agg: str) -> DataFrame:
     """Values aggregated by keys under their own names."""
@@ -52,8 +54,11 @@ def resample(df: DataFrame, ts: str, values: Sequence[str], key: str | None = No
     if ends["lo"] is None:
         return df.select(*keys, ts, *values).limit(0)
     spans = binned.groupBy(*keys).agg(F.min("_bin").alias("_from"), F.max("_bin").alias("_to"))
-    calendar = F.explode(F.sequence(F.lit(ends["lo"]), F.lit(ends["hi"])))
-    spine = spans.select(*keys, "_from", "_to", calendar.alias("_bin"))
+    # in two steps, and from columns: neither the plan nor a row ever holds the whole calendar
+    low, high, size = F.least(F.lit(ends["lo"]), "_from"), F.greatest(F.lit(ends["hi"]), "_to"), F.lit(SPINE)
+    parts = spans.withColumn("_part", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
+    bins = F.sequence(F.greatest(F.col("_part") * size, low), F.least(F.col("_part") * size + size - 1, high))
+    spine = parts.select(*keys, "_from", "_to", F.explode(bins).alias("_bin"))
     full = spine.join(binned, [*keys, "_bin"], "left")
     label = bin_start(F.col("_bin"), period)
     if n > 1:

@@ -66,7 +66,7 @@ def _(t):
     reports = t("events").select("ts", F.col("event_type").alias("experiment"), code.alias("code"), (F.col("value") < 10).alias("failed"), F.col("value").alias("score"))
     path = scratch_folder(t.spark, "reports")
     reports.repartition(3).write.parquet(path)
-    stream = t.spark.readStream.schema(reports.schema).parquet(path)
+    stream = t.spark.readStream.schema(reports.schema).option("maxFilesPerTrigger", 1).parquet(path)
     progress.store_progress(stream, f"{home}/table", f"{home}/checkpoint").awaitTermination()
     return progress.progress(t.spark.read.parquet(f"{home}/table"), 5000, 1000)
 

@@ -12,29 +12,26 @@ from plumbline.streaming.messages import write_batch
 EPOCH, TRIAL, EXPERIMENT = 2, 3, 4
 
 
-def daily_progress(reports: DataFrame, late: str = "1 day") -> DataFrame:
-    """Counts per experiment and day ``(ts, experiment, code, failed, score)``.
-
-    The watermark lets the state of finished days go; days add up in ``progress``.
-    """
-    timed = reports.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.groupBy(F.window("ts", "1 day").alias("day"), "experiment").agg(
+def daily_progress(reports: DataFrame) -> DataFrame:
+    """Counts per day and experiment of some reports ``(ts, experiment, code, failed, score)``."""
+    return reports.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day"), "experiment").agg(
         F.count_if(F.col("code") == EPOCH).alias("epochs"), F.count_if(F.col("code") == TRIAL).alias("trials"),
         F.count_if((F.col("code") == TRIAL) & F.col("failed")).alias("failed"), F.max("score").alias("best"))
 
 
 def store_progress(reports: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Changed (day, experiment) counts of every micro-batch."""
-    flat = daily_progress(reports).select(F.col("day.start").alias("day"), "experiment", "epochs", "trials", "failed", "best")
-    return (flat.writeStream.outputMode("update").foreachBatch(lambda b, n: write_batch(b, n, path))
+    """Counts per day and experiment of every micro-batch; a batch that is repeated replaces its own.
+
+    Batches keep no state, so a report counts however late it comes.
+    """
+    return (reports.writeStream.foreachBatch(lambda rows, number: write_batch(daily_progress(rows), number, path))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def progress(stored: DataFrame, total_epochs: int, total_trials: int) -> DataFrame:
-    """Latest counts per day added up: percent of epochs and trials done, success rate and best score."""
-    newest = stored.groupBy("day", "experiment").agg(F.max_by(F.struct("epochs", "trials", "failed", "best"), "batch").alias("s"))
-    sums = newest.groupBy("experiment").agg(F.sum("s.epochs").alias("epochs"), F.sum("s.trials").alias("trials"),
-                                            F.sum("s.failed").alias("failed"), F.max("s.best").alias("best"))
+    """All batches added up: percent of epochs and trials done, success rate and best score."""
+    sums = stored.groupBy("experiment").agg(F.sum("epochs").alias("epochs"), F.sum("trials").alias("trials"),
+                                            F.sum("failed").alias("failed"), F.max("best").alias("best"))
     rate = 100 - F.round(F.try_divide(100 * F.col("failed"), F.col("trials")), 0)
     return sums.select("experiment", F.round(100 * F.col("epochs") / total_epochs, 0).alias("epoch_progress"),
                        F.round(100 * F.col("trials") / total_trials, 0).alias("trial_progress"), rate.alias("rate"), "best")

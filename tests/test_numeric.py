@@ -333,7 +333,7 @@ def test_season_search_and_direction(spark):
     df = series(spark, 0.5 * t + np.tile([0, 5, -3, 2, 1], 18))
     found = decompose.season_search(df, "ts", "v", "D").where("best").first()
     assert found["sp"] % 5 == 0
-    assert decompose.trend_direction(df, "ts", "v").first()["trending"] == "no significant trend" or True
+    assert decompose.trend_direction(df, "ts", "v").first()["trending"] == "no significant trend"
 
 
 # --- features and models --------------------------------------------------------------------------------------
@@ -382,10 +382,14 @@ def test_training_search_and_comparison(spark):
 
 def test_search_space_text():
     import random
-    space = models.parse_space({"C": "(0.1, 1.0, 0.1)", "depth": "(2, 10)", "kernel": "[linear, rbf]", "x": "8.5", "n": "3"}, random.Random(0))
+    space = models.parse_space({"C": "(0.1, 1.0, 0.1)", "depth": "(2, 10)", "kernel": "[linear, rbf]", "x": "8.5", "n": "3"})
     assert len(space["C"]) == 10 and space["C"][-1] == pytest.approx(1.0)
-    assert all(isinstance(v, int) and 2 <= v <= 10 for v in space["depth"])
     assert space["kernel"] == ["linear", "rbf"] and space["x"] == [8.5] and space["n"] == [3]
+    drawn = models.trials(space, 200, random.Random(0))
+    assert len(drawn) == 200 and {t["depth"] for t in drawn} == set(range(2, 11))
+    assert all(isinstance(t["depth"], int) for t in drawn)
+    assert len({t["C"] for t in models.trials(models.parse_space({"C": "(0.0, 1.0)"}), 10, random.Random(0))}) == 10
+    assert len(models.trials(models.parse_space({"C": "[1, 2]", "d": "[1, 2]"}), 10, random.Random(0))) == 4
 
 
 def test_graph_shares_steps_and_rejects_unknown(spark):

@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.calendar import widen
-from plumbline.functions.ordered import quantiles, running, salted_join
+from plumbline.functions.ordered import hot_keys, parts_of, quantiles, running, salted_join, with_chunks
 from plumbline.operators import clean, images, profile, query, series, validate
 from plumbline.sources import export, files
 from plumbline.spec import DatasetSpec, FieldSpec
+from plumbline.streaming import progress
 
 
 def test_csv_null_tokens_before_types(spark, tmp_path):
@@ -131,6 +132,8 @@ def test_daily_gap_counts_whole_days(spark):
 def test_widening():
     assert widen("min", 5, None) == "5min" and widen("h", 90, 180) == "3h" and widen("D", 3000, None) == "3D"
     assert widen("D", None, 20_000) == "2W" and widen("YS", 20_000, None) == "YS" and widen("D", 5, None) == "D"
+    assert widen("min", 60, None) == "h" and widen("min", None, 1440) == "D" and widen("h", 10_080, 5) == "W" and widen("W", 43_200, None) == "MS"
+    assert widen("5min", 3, None) == "5min" and widen("s", 1, None) == "min" and widen("h", 61, None) == "2h" and widen("D", None, None) == "D"
 
 
 def test_resample_multiples_start_at_the_first_day(spark):
@@ -139,9 +142,77 @@ def test_resample_multiples_start_at_the_first_day(spark):
     assert [(r["ts"].day, r["v"]) for r in got] == [(3, 1.0), (5, 5.0), (7, 9.0)]
 
 
-def test_one_hot_of_wide_domain_is_one_vector(spark):
-    df = spark.range(400).select(F.col("id").cast("string").alias("c"))
-    assert clean.one_hot(df, "c").columns == ["c", "c_hot"]
+@pytest.mark.parametrize("many", [64, 65])
+def test_codes_do_not_depend_on_the_size_of_the_domain(spark, many):
+    rows = spark.range(many).select(F.format_string("v%03d", "id").alias("c"), F.format_string("v%03d", "id").alias("l"), F.lit(1.0).alias("x"))
+    rows = rows.union(spark.createDataFrame([(None, None, 1.0)], "c string, l string, x double"))
+    spec = DatasetSpec.of([{"name": "c", "attr": "cat", "encode": "ordinal"}, {"name": "l", "attr": "cat", "encode": "label"}, {"name": "x", "attr": "conti"}])
+    fitted, coded = clean.fit(rows, spec)
+    scored = clean.apply(spark.createDataFrame([("v003", "v003", 1.0), (None, None, 1.0), ("new", "new", 1.0)], "c string, l string, x double"), fitted).drop("x")
+    assert dict(coded.drop("x").dtypes) == dict(scored.dtypes) == {"c": "double", "l": "bigint"}
+    assert sorted(map(tuple, coded.drop("x").collect())) == [(float(i), i) for i in range(-1, many)]
+    assert sorted(map(tuple, scored.collect())) == [(-1.0, -1), (-1.0, -1), (3.0, 3)]
+
+
+@pytest.mark.parametrize("many", [256, 257])
+def test_one_hot_form_is_the_callers_choice(spark, many):
+    rows = spark.range(many).select(F.format_string("v%03d", "id").alias("c"), F.lit(1.0).alias("x"))
+    rows = rows.union(spark.createDataFrame([(None, 1.0)], "c string, x double"))
+    new = spark.createDataFrame([("v003", 1.0), (None, 1.0), ("new", 1.0)], "c string, x double")
+    fitted, coded = clean.fit(rows, DatasetSpec.of([{"name": "c", "attr": "cat", "encode": "hot"}, {"name": "x", "attr": "conti"}]))
+    assert coded.columns == clean.apply(new, fitted).columns == ["x", *[f"c_v{i:03d}" for i in range(many)]]
+    assert sorted(sum(r[1:]) for r in clean.apply(new, fitted).collect()) == [0, 0, 1]
+    fitted, coded = clean.fit(rows, DatasetSpec.of([{"name": "c", "attr": "cat", "encode": "hot_vector"}, {"name": "x", "attr": "conti"}]))
+    assert coded.columns == ["x", "c_hot"] and {r.c_hot.size for r in coded.collect()} == {many}
+    assert [list(r.c_hot.indices) for r in clean.apply(new, fitted).collect()] == [[3], [], []]
+
+
+@pytest.mark.parametrize("rows", [5_000, 40_000])
+def test_hot_keys_are_cut_by_the_bound(spark, rows):
+    spark.conf.set("plumbline.groupRows", "500")
+    try:
+        df = spark.range(rows).select(F.when(F.col("id") % 10 < 8, 0).otherwise(F.col("id")).alias("k"), F.xxhash64("id").alias("o"))
+        hot = hot_keys(df, ["k"])
+        assert [tuple(r) for r in hot.collect()] == [(0, rows * 8 // 10)]
+        sizes = [r["count"] for r in with_chunks(df, ["k"], "o", hot).where("k = 0").groupBy("_o_chunk").count().collect()]
+        assert sum(sizes) == rows * 8 // 10 and max(sizes) <= 500
+        plan = salted_join(df, spark.range(10).select(F.col("id").alias("k")), ["k"])
+        assert plan.count() == rows * 8 // 10 + 2
+        salts = hot.select(parts_of(F.col("_n"), spark)).first()[0]
+        assert salts == -(-rows * 8 // 10 // 500)
+    finally:
+        spark.conf.unset("plumbline.groupRows")
+
+
+def test_late_reports_count(spark, tmp_path):
+    rows = spark.range(300).selectExpr("timestamp '2024-02-01' - make_dt_interval(cast(id % 30 AS int)) AS ts", "'e' AS experiment", "3 AS code",
+                                       "id % 10 = 0 AS failed", "double(id) AS score")
+    for turn in range(2):    # the second run goes on from the first one's checkpoint, with older reports
+        rows.where(F.col("score") % 2 == turn).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        progress.store_progress(stream, str(tmp_path / "table"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = progress.progress(spark.read.parquet(str(tmp_path / "table")), 100, 300).first()
+    assert (got.trial_progress, got.rate, got.best) == (100, 90, 299.0)
+
+
+def test_calendar_is_not_in_the_plan(spark):
+    df = spark.sql("SELECT timestamp_ntz '2024-01-01' + make_dt_interval(0, id) AS ts, double(id) AS v FROM range(48)")
+    out = series.resample(df, "ts", ["v"], period="s", agg="sum")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000 and "[0," not in plan and out.count() == 47 * 3600 + 1
+
+
+def test_workers_find_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r})\nfrom pyspark.sql import SparkSession\nfrom __spark_entry__ import queries\n"
+            "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+            "print('rows', queries()['series_cycles'](spark, '/root/testdata/sf0.001').count())")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows" in done.stdout, done.stderr[-2000:]
 
 
 def test_validation_reports_first_fault(spark):
