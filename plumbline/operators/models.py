@@ -160,8 +160,11 @@ def trials(space: dict[str, list | Range], count: int, rng: random.Random) -> li
 
 def search(df: DataFrame, features: Sequence[str], target: str, kind: str, space: dict[str, str], count: int = 10,
            classify: bool = True, metric: str | None = None, folds: int = 0, parallelism: int = 4, stop: float | None = None,
-           seed: int = 0) -> tuple[PipelineModel, DataFrame]:
-    """Try settings and keep the best; (best model, leaderboard).  With ``stop`` trials end once it is reached."""
+           seed: int = 0, epochs: int | None = None) -> tuple[PipelineModel, DataFrame]:
+    """Try settings and keep the best; (best model, leaderboard).
+
+    With ``stop`` trials end once it is reached; with ``epochs`` no trial iterates more often, whatever its setting says.
+    """
     rng = random.Random(seed)
     settings = trials(parse_space(space), count, rng)
     pipe = _pipeline(df, features, target, kind, classify)
@@ -170,6 +173,10 @@ def search(df: DataFrame, features: Sequence[str], target: str, kind: str, space
     better = max if score.isLargerBetter() else min
     rows, best = [], None
 
+    if epochs is not None and inner.hasParam("maxIter"):
+        inner.set(inner.getParam("maxIter"), min(epochs, inner.getOrDefault("maxIter")))
+        settings = [{k: min(v, epochs) if k == "maxIter" else v for k, v in s.items()} for s in settings]
+
     def run(batch: list[dict]):
         maps = [{inner.getParam(k): v for k, v in s.items()} for s in batch]
         if folds:

@@ -35,6 +35,11 @@ def quality_overview(df: DataFrame) -> DataFrame:
     return sums.select(F.inline(cells))
 
 
+def role_table(df: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """``role_counts`` as rows."""
+    return df.sparkSession.createDataFrame(list(role_counts(df, spec).items()), "name string, fields int")
+
+
 def role_counts(df: DataFrame, spec: DatasetSpec) -> dict[str, int]:
     """Fields per role, and configured fields the table lacks."""
     names = {"Continuous": "conti", "Discrete": "disc", "Category": "cat", "Datetime": "date", "Coordinate": "coord"}
@@ -261,8 +266,9 @@ def factor_anova(df: DataFrame, value: str, factors: Sequence[str]) -> DataFrame
         p = f_upper(f, d, free)
         out.append((c, float(d), float(s), float(f), float(p), -math.log10(max(p, 1e-308)),
                     float((s - d * error) / (total + rest)), float(s / (explained + rest)), float(s / explained) if explained else math.nan))
-    return spark.createDataFrame(out, "name string, df double, sum_sq double, f double, p double, neg_log10 double, "
-                                      "omega_sq double, eta_sq double, eta_sq_factors double")
+    found = spark.createDataFrame(out, "name string, df double, sum_sq double, f double, p double, neg_log10 double, "
+                                       "omega_sq double, eta_sq double, eta_sq_factors double")
+    return found.withColumn("level", significance(F.col("p")))
 
 
 def effect_sizes(anova_rows: DataFrame) -> DataFrame:
@@ -355,6 +361,23 @@ def scatter_pairs(df: DataFrame, columns: Sequence[str], category: str | None =
     return df.select(*([category] if category else []), F.inline(F.array(*cells)))
 
 
+def marginals(df: DataFrame, columns: Sequence[str], bins: int = 10, category: str | None = None) -> DataFrame:
+    """Histograms of the columns beside a scatter or on the diagonal of a pair matrix: name, bin, left edge, rows.
+
+    One pass finds all ranges and one counts all columns, whose bins are the only rows shuffled.
+    """
+    keys = [category] if category else []
+    row = df.agg(*[f(c).cast("double") for c in columns for f in (F.min, F.max)]).first()
+    cells = []
+    for i, c in enumerate(columns):
+        low = row[2 * i] if row[2 * i] is not None else 0.0
+        width = ((row[2 * i + 1] or 0.0) - low) / bins or 1.0
+        at = F.least(F.floor((F.col(c) - low) / width), F.lit(bins - 1)).cast("int")
+        cells.append(F.struct(F.lit(c).alias("name"), at.alias("bin"), (F.lit(low) + at * width).alias("left")))
+    rows = df.select(*keys, F.inline(F.array(*cells))).where(F.col("bin").isNotNull())
+    return rows.groupBy(*keys, "name", "bin", "left").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def parallel_coordinates(df: DataFrame, ident: str, columns: Sequence[str], category: str | None = None) -> DataFrame:
     """(id, axis, value scaled to 0..1, category) rows."""
     row = df.agg(*[f(c).cast("double") for c in columns for f in (F.min, F.max)]).first()

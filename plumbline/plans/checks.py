@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.settings import scratch_folder
 from plumbline.operators import validate as v
 from plumbline.plans.registry import query
 
@@ -124,7 +125,6 @@ def _(t):
 SELECT c_custkey, phone, 'Phone: invalid phone number' AS reason FROM (SELECT c_custkey, {PHONES} AS phone FROM customer)
 WHERE NOT regexp_matches(phone, '^1(3\\d|4[4-9]|5[0-35-9]|6[67]|7[013-8]|8[0-9]|9[0-9])\\d{{8}}$')""")
 def _(t):
-    from plumbline.functions.settings import scratch_folder
     from plumbline.sources.export import write_rejects
     checked = v.check_rows(contacts(t).select("c_custkey", "phone"), [v.Header("phone", "Phone", rules=("phone",))])
     path = scratch_folder(t.spark, "rejects")
@@ -142,6 +142,26 @@ def squares(t):
                                   F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), data.alias("data"), "label")
 
 
+LEVELS = "list_transform(embedding[1:16], lambda x: floor((x::DOUBLE + 1) * 63))"
+
+
+@query("source_images", "S7", f"""
+SELECT 4 AS height, 4 AS width, 3 AS "nChannels", CAST(3 * list_sum({LEVELS}) AS BIGINT) AS light, count(*) AS images FROM embeddings GROUP BY 4""")
+def _(t):
+    """Bitmaps of 4 x 4 grey pixels, drawn from the first 16 numbers of each embedding, one file each."""
+    from plumbline.sources.files import read_images
+    long = lambda n: n.to_bytes(4, "little")
+    head = b"BM" + long(102) + long(0) + long(54) + long(40) + long(4) + long(4) + b"\1\0\x18\0" + long(0) + long(48) + 4 * long(0)
+    pixel = F.transform(F.slice("embedding", 1, 16), lambda x: F.repeat(F.char(F.floor((x.cast("double") + 1) * 63).cast("long")), F.lit(3)))
+    path = scratch_folder(t.spark, "images")
+    t("embeddings").select(F.concat(F.lit(head.decode("ascii")), F.array_join(pixel, "")).alias("value")) \
+        .write.option("maxRecordsPerFile", 1).text(path)    # all bytes are below 128, so text is bytes
+    level = lambda x: F.conv(x, 16, 10).cast("long")
+    found = read_images(t.spark, path).withColumn("hex", F.hex("data"))
+    light = F.aggregate(F.sequence(F.lit(1), F.lit(95), F.lit(2)), F.lit(0).cast("long"), lambda a, i: a + level(F.substring(F.col("hex"), i, F.lit(2))))
+    return found.select("height", "width", "nChannels", light.alias("light")).groupBy("height", "width", "nChannels", "light").agg(F.count(F.lit(1)).alias("images"))
+
+
 @query("image_profile", "P8", """
 SELECT count(*) AS count, 0 AS mode, 1 AS min_channels, 1 AS max_channels, 8 AS min_height, 8 AS max_height, 8 AS min_width, 8 AS max_width,
  array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM embeddings""")

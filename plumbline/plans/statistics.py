@@ -8,6 +8,7 @@ from plumbline.operators import stats as s
 from plumbline.plans.profiles import NULLED, events_with_nulls, stacked
 from plumbline.plans.registry import query
 from plumbline.plans.series import rounded
+from plumbline.spec import DatasetSpec
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 HOLES = f"(SELECT event_type, user_id, {NULLED} FROM events)"
@@ -21,6 +22,16 @@ def _(t):
     return s.quality_overview(events_with_nulls(t).select("event_type", "user_id", "value"))
 
 
+@query("quality_roles", "D1", f"""
+SELECT * FROM (VALUES ('Continuous', 1), ('Discrete', 1), ('Category', 1), ('Datetime', 1), ('Coordinate', 0), ('Invalid', 1)) AS r(name, fields)
+UNION ALL SELECT 'Rows', CAST(count(*) AS INTEGER) FROM events""")
+def _(t):
+    spec = DatasetSpec.of([{"name": "value", "attr": "conti"}, {"name": "user_id", "attr": "disc"}, {"name": "event_type", "attr": "cat"},
+                           {"name": "ts", "attr": "date"}, {"name": "absent", "attr": "conti"}])
+    rows = t("events").agg(F.lit("Rows").alias("name"), F.count(F.lit(1)).cast("int").alias("fields"))
+    return s.role_table(t("events"), spec).union(rows)
+
+
 @query("quality_missing_histogram", "D3", f"""
 SELECT CAST((value IS NULL)::INT + (event_type IS NULL)::INT AS INTEGER) AS missing, count(*) AS rows FROM (
 SELECT nullif(event_type, 'click') AS event_type, value FROM {HOLES}) WHERE value IS NULL OR event_type IS NULL GROUP BY 1""")
@@ -156,11 +167,13 @@ g AS (SELECT a, b, y, y - avg(y) OVER (PARTITION BY a) AS ry, b - avg(b) OVER (P
 s AS (SELECT count(*) AS n, var_pop(y) * count(*) AS total, sum((m - t.mean) * (m - t.mean)) AS s1, pow(sum(rb * ry), 2) / sum(rb * rb) AS s2
  FROM g, (SELECT avg(y) AS mean FROM v) t),
 e AS (SELECT *, total - s1 - s2 AS rest, n - 4 AS free FROM s)
-SELECT 'l_returnflag' AS name, 2.0::DOUBLE AS df, round(s1, 6) AS sum_sq, round(s1 / 2 / (rest / free), 5) AS f, round((s1 - 2 * rest / free) / (total + rest), 9) AS omega_sq FROM e
-UNION ALL SELECT 'l_linestatus', 1.0, round(s2, 6), round(s2 / (rest / free), 5), round((s2 - rest / free) / (total + rest), 9) FROM e""")
+SELECT 'l_returnflag' AS name, 2.0::DOUBLE AS df, round(s1, 6) AS sum_sq, round(s1 / 2 / (rest / free), 5) AS f, round((s1 - 2 * rest / free) / (total + rest), 9) AS omega_sq,
+ pow(1 + 2 * (s1 / 2 / (rest / free)) / free, -free / 2) < 0.01 AS high FROM e
+UNION ALL SELECT 'l_linestatus', 1.0, round(s2, 6), round(s2 / (rest / free), 5), round((s2 - rest / free) / (total + rest), 9), s2 / (rest / free) > 6.6349 FROM e""")
 def _(t):
     out = s.factor_anova(t("lineitem").withColumn("y", F.ln("l_extendedprice")), "y", ["l_returnflag", "l_linestatus"])
-    return out.select("name", "df", F.round("sum_sq", 6).alias("sum_sq"), F.round("f", 5).alias("f"), F.round("omega_sq", 9).alias("omega_sq"))
+    return out.select("name", "df", F.round("sum_sq", 6).alias("sum_sq"), F.round("f", 5).alias("f"), F.round("omega_sq", 9).alias("omega_sq"),
+                      (F.col("level") == "high").alias("high"))
 
 
 @query("anova_three_factors", "D8 D9")
@@ -215,6 +228,22 @@ def _(t):
     return s.scatter(t("lineitem"), "l_quantity", "l_extendedprice", "l_returnflag", errors=["l_tax"])
 
 
+def marginal_sql(table: str, names: tuple[str, ...], cat: str = "") -> str:
+    return "\nUNION ALL ".join(f"""
+SELECT {cat} '{c}' AS name, CAST(least(floor(({c} - lo) / w), 9) AS INTEGER) AS bin, round(lo + least(floor(({c} - lo) / w), 9) * w, 6) AS "left", count(*) AS rows
+FROM {table}, (SELECT min({c})::DOUBLE AS lo, (max({c}) - min({c}))::DOUBLE / 10 AS w FROM {table}) GROUP BY ALL""" for c in names)
+
+
+@query("scatter_marginals", "D21", marginal_sql("lineitem", ("l_quantity", "l_extendedprice"), "l_returnflag,"))
+def _(t):
+    return rounded(s.marginals(t("lineitem"), ["l_quantity", "l_extendedprice"], 10, "l_returnflag"), 6, "left")
+
+
+@query("scatter_diagonal", "D22", marginal_sql("part", ("p_size", "p_retailprice", "p_partkey")))
+def _(t):
+    return rounded(s.marginals(t("part"), ["p_size", "p_retailprice", "p_partkey"]), 6, "left")
+
+
 @query("scatter_pairs", "D22", "\nUNION ALL ".join(
     f"SELECT p_type, '{a}' AS x_name, '{b}' AS y_name, {a}::DOUBLE AS x, {b}::DOUBLE AS y FROM part"
     for a, b in (("p_size", "p_retailprice"), ("p_size", "p_partkey"), ("p_retailprice", "p_partkey"))))

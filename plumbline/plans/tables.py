@@ -44,6 +44,15 @@ def _(t):
     return files.read_json(t.spark, path, "c_custkey bigint, c_name string, c_acctbal double", lines=True)
 
 
+@query("source_json_array", "S4", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def _(t):
+    record = F.to_json(F.struct("c_custkey", "c_name", "c_acctbal"))
+    arrays = t("customer").groupBy(F.floor(F.col("c_custkey") / 100)).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(record), ",\n"), F.lit("\n]")).alias("j"))
+    path = scratch_folder(t.spark, "arrays") + ".json"
+    arrays.select("j").write.option("maxRecordsPerFile", 1).text(path)    # a file per array
+    return files.read_json(t.spark, path, "c_custkey bigint, c_name string, c_acctbal double")
+
+
 @query("source_parquet", "S5", """
 SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
 FROM lineitem GROUP BY l_returnflag""")
@@ -94,6 +103,16 @@ def _(t):
     return files.sheet_rows(t.spark, written(t, sheet, "csv"), columns=2).distinct()
 
 
+@query("source_sheet_rows_below", "S12", "SELECT c_name AS name, c_mktsegment AS segment FROM customer")
+def _(t):
+    rows = t("customer").select(F.concat_ws(",", "c_name", "c_mktsegment", "c_custkey").alias("line"), F.col("c_custkey").alias("place"))
+    top = t.spark.createDataFrame([("Customers",), ("*name,segment*,key",), ("text,text,number",), (",,",)], "line string") \
+        .select("line", (F.monotonically_increasing_id() - (1 << 40)).alias("place"))
+    path = scratch_folder(t.spark, "sheet")
+    top.union(rows).orderBy("place").select("line").coalesce(1).write.text(path)    # a sheet is one file
+    return files.sheet_rows(t.spark, path, columns=2, header_row=2, data_row=4)
+
+
 # --- filters -------------------------------------------------------------------------------------
 
 ORDER_COLUMNS = ["o_orderkey", "o_orderstatus", "o_totalprice"]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from plumbline.streaming.messages import write_batch
 
 # First match names the family; the group is its version.
 BROWSERS = (("Edge", r"Edg(?:e|A|iOS)?/([\d.]+)"), ("Opera", r"OPR/([\d.]+)"), ("Firefox", r"Firefox/([\d.]+)"),
@@ -31,8 +34,24 @@ def enrich(lines: DataFrame, column: str = "value") -> DataFrame:
                     F.to_json(F.struct(F.col("body"), F.when(query != "", query).alias("query_params"))).alias("params"))
 
 
-def route_times(requests: DataFrame) -> DataFrame:
-    """Requests, mean and upper process times per route and method."""
-    return requests.groupBy("route", "method").agg(
-        F.count(F.lit(1)).alias("requests"), F.avg("process_time").alias("mean_time"),
-        F.percentile_approx("process_time", 0.95).alias("p95_time"), F.count_if(F.col("status") >= 400).alias("errors"))
+def route_sums(requests: DataFrame) -> DataFrame:
+    """Sums per route and method that add up over batches; times are counted by the millisecond."""
+    return requests.groupBy("route", "method", F.round(F.col("process_time") * 1000).cast("long").alias("millis")).agg(
+        F.count(F.lit(1)).alias("requests"), F.sum("process_time").alias("seconds"), F.count_if(F.col("status") >= 400).alias("errors"))
+
+
+def store_route_sums(lines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Enrich a stream of log lines and keep the sums of every micro-batch; a repeated batch replaces its own."""
+    return (lines.writeStream.foreachBatch(lambda rows, number: write_batch(route_sums(enrich(rows)), number, path))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def route_times(sums: DataFrame) -> DataFrame:
+    """Requests, mean time, 95th percentile (milliseconds, nearest rank) and errors per route and method."""
+    counts = sums.groupBy("route", "method", "millis").agg(*[F.sum(c).alias(c) for c in ("requests", "seconds", "errors")])
+    order = Window.partitionBy("route", "method")
+    upto = F.sum("requests").over(order.orderBy("millis").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("high", upto >= F.ceil(0.95 * F.sum("requests").over(order)))
+    return ranked.groupBy("route", "method").agg(
+        F.sum("requests").alias("requests"), (F.sum("seconds") / F.sum("requests")).alias("mean_time"),
+        F.min(F.when(F.col("high"), F.col("millis"))).alias("p95_millis"), F.sum("errors").alias("errors"))
