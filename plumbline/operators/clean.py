@@ -236,7 +236,7 @@ def prepare(df: DataFrame, spec: DatasetSpec, train: bool) -> DataFrame:
 def fit(df: DataFrame, spec: DatasetSpec, order: str | None = None) -> tuple[FittedSpec, DataFrame]:
     """Learn every constant of the cleaning on training rows; returns them with the cleaned rows."""
     fitted = FittedSpec(spec)
-    out = prepare(df, spec, train=True)
+    out = cut_lineage(prepare(df, spec, train=True))    # read by every constant that follows
     fitted.dropped = [f.name for f in spec.fields if f.name not in out.columns]
     pending: dict[str, str] = {}
 
@@ -362,8 +362,11 @@ def _scale(df: DataFrame, fitted: FittedSpec) -> DataFrame:
 
 
 def apply(df: DataFrame, fitted: FittedSpec) -> DataFrame:
-    """Clean scoring rows (batch or stream) with learned constants: no row or column is dropped."""
-    out = convert(df.drop(*fitted.spec.omitted()), fitted.spec)
+    """Clean scoring rows (batch or stream) with learned constants: every row stays, columns that training dropped go.
+
+    Nulls of ``prev`` and ``next`` fields stay null: a single row has no neighbours.
+    """
+    out = convert(df.drop(*fitted.spec.omitted(), *fitted.dropped), fitted.spec)
     return _scale(_encode(_fill_known(out, fitted), fitted), fitted)
 
 
@@ -377,7 +380,7 @@ def split(df: DataFrame, ratio: float, key: Sequence[str], shuffle: bool = True,
           seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Training and validation rows: by a hash of the key (repeatable), or the last rows in order."""
     if shuffle:
-        draw = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000)) / 1_000_000
+        draw = F.conv(F.substring(_mixed(key, seed), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
         return df.where(draw >= ratio), df.where(draw < ratio)
     if order is None:
         raise ValueError("an ordered split needs an order column")
@@ -387,7 +390,13 @@ def split(df: DataFrame, ratio: float, key: Sequence[str], shuffle: bool = True,
 
 
 def shuffled(df: DataFrame, key: Sequence[str], seed: int = 0) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key)
+    return df.orderBy(_mixed(key, seed), *key)
+
+
+def _mixed(key: Sequence[str], seed: int) -> Column:
+    """A hash of key and seed that any engine gives alike."""
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
 def sliding_windows(df: DataFrame, order: str, value: str, inputs: int, outputs: int, stride: int = 1,

@@ -95,7 +95,7 @@ def select(scores: DataFrame, mode: str = "percentile", param: float | str | Non
         case "k_best":
             kept = ranked if param in (None, "all") else ranked[:int(param)]
         case "fpr" | "fwe" | "fdr" if not ps:
-            kept = ranked                       # no p values for this score
+            raise ValueError(f"{mode} needs a score with p values")
         case "fpr":
             kept = [n for n in ranked if ps[n] < alpha]
         case "fwe":

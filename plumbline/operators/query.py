@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.ordered import lookup_join, quantiles, running, salted_join
+from plumbline.functions.ordered import lookup_join, quantiles, running
 from plumbline.spec import ViewSpec
 
 
@@ -91,11 +91,8 @@ def visible(df: DataFrame, deleted: str, tenant: str, value) -> DataFrame:
 
 
 def relate(df: DataFrame, other: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
-    """Equi join; hot keys are salted when ``on`` names columns, conditions are left to Catalyst and AQE."""
-    if isinstance(on, Column):
-        return df.join(other, on, how)
-    keys = [on] if isinstance(on, str) else list(on)
-    return salted_join(df, other, keys, how) if how in ("inner", "left") else df.join(other, keys, how)
+    """Join by columns or a condition; adaptive execution picks the form and splits hot keys of inner and outer joins."""
+    return df.join(other, on if isinstance(on, Column) else [on] if isinstance(on, str) else list(on), how)
 
 
 def query_table(df: DataFrame, filters: dict | None = None, extra: Sequence[Column] = (),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import clean as c
 from plumbline.plans.profiles import NULLED, events_with_nulls
-from plumbline.plans.registry import query
+from plumbline.plans.registry import positions, query
 from plumbline.spec import DatasetSpec
 
 HOLES = f"WITH e AS (SELECT event_id, ts, event_type, {NULLED} FROM events)"
@@ -248,15 +248,17 @@ def _(t):
     return train.withColumn("validation", F.lit(0)).unionByName(held.withColumn("validation", F.lit(1)))
 
 
-@query("split_shuffled", "T2")
+@query("split_shuffled", "T2", """
+SELECT o_orderkey, o_totalprice, CAST(('0x' || substr(md5('7:' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.25 AS INTEGER) AS validation FROM orders""")
 def _(t):
     train, held = c.split(t("orders").select("o_orderkey", "o_totalprice"), 0.25, ["o_orderkey"], seed=7)
     return train.withColumn("validation", F.lit(0)).unionByName(held.withColumn("validation", F.lit(1)))
 
 
-@query("shuffle_rows", "T3", "SELECT o_orderkey, o_totalprice FROM orders")
+@query("shuffle_rows", "T3", """
+SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY md5('7:' || o_orderkey), o_orderkey) AS position FROM orders""")
 def _(t):
-    return c.shuffled(t("orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], seed=7)
+    return positions(c.shuffled(t("orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], seed=7))
 
 
 @query("sliding_windows", "T4", """

@@ -210,14 +210,14 @@ def said(t):
 
 @query("metric_regression", "L11", """
 WITH v AS (SELECT l_extendedprice AS y, l_quantity * 1500 AS p FROM lineitem)
-SELECT round(avg(abs(y - p)), 4) AS mae, round(sqrt(avg((y - p) * (y - p))), 4) AS rmse, round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2,
+SELECT round(avg((y - p) * (y - p)), 2) AS mse, round(avg(pow(ln(1 + y) - ln(1 + p), 2)), 6) AS msle, round(avg(abs(y - p)), 4) AS mae, round(sqrt(avg((y - p) * (y - p))), 4) AS rmse, round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2,
  round(1 - var_pop(y - p) / var_pop(y), 6) AS explained_variance, round(avg(abs(y - p) / y), 6) AS mape,
  round(sqrt(avg(pow(ln(1 + y) - ln(1 + p), 2))), 6) AS rmsle, round(max(abs(y - p)), 4) AS max_error, round(quantile_cont(abs(y - p), 0.5), 4) AS median_error,
  round(avg(2 * (y * ln(y / p) - y + p)), 4) AS poisson_deviance, round(avg(2 * (ln(p / y) + y / p - 1)), 6) AS gamma_deviance FROM v""")
 def _(t):
     df = t("lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("p"))
-    out = metrics.regression_scores(df, "y", "p").drop("mse", "msle")
-    out = rounded(out, 6, "r2", "explained_variance", "mape", "rmsle", "gamma_deviance")
+    out = metrics.regression_scores(df, "y", "p").withColumn("mse", F.round("mse", 2))
+    out = rounded(out, 6, "msle", "r2", "explained_variance", "mape", "rmsle", "gamma_deviance")
     return rounded(out, 4, "mae", "rmse", "max_error", "median_error", "poisson_deviance")
 
 
@@ -251,12 +251,13 @@ def _(t):
 @query("metric_binary", "L11", """
 WITH v AS (SELECT CAST(o_orderstatus = 'F' AS INTEGER) AS y, o_totalprice / 600000 AS p FROM orders),
 r AS (SELECT y, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM v),
-n AS (SELECT sum(y)::DOUBLE AS a, (count(*) - sum(y))::DOUBLE AS b FROM v)
-SELECT round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 8) AS log_loss, round(avg((p - y) * (p - y)), 8) AS brier, round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0 END), 8) AS accuracy,
+n AS (SELECT sum(y)::DOUBLE AS a, (count(*) - sum(y))::DOUBLE AS b FROM v),
+h AS (SELECT p, sum(y)::DOUBLE AS t, sum(sum(y)) OVER (ORDER BY p DESC) AS ct, sum(count(*)) OVER (ORDER BY p DESC) AS cn FROM v GROUP BY p)
+SELECT (SELECT round(sum(t * ct / cn) / (SELECT a FROM n), 8) FROM h) AS average_precision, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 8) AS log_loss, round(avg((p - y) * (p - y)), 8) AS brier, round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0 END), 8) AS accuracy,
  round((sum(CASE WHEN y = 1 THEN r END) - max(a) * (max(a) + 1) / 2) / (max(a) * max(b)), 8) AS auc FROM r, n""")
 def _(t):
     df = t("orders").select((F.col("o_orderstatus") == "F").cast("int").alias("y"), (F.col("o_totalprice") / 600000).alias("p"))
-    return rounded(metrics.binary_scores(df, "y", "p").drop("average_precision"), 8, "log_loss", "brier", "accuracy", "auc")
+    return rounded(metrics.binary_scores(df, "y", "p"), 8, "average_precision", "log_loss", "brier", "accuracy", "auc")
 
 
 @query("metric_ranking", "L11", """

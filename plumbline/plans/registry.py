@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from plumbline.functions.settings import cut_lineage
 
 
 class Tables:
@@ -41,3 +44,13 @@ def query(name: str, rows: str, sql: str | None = None):
         QUERIES[name] = Query(rows, plan, sql)
         return plan
     return register
+
+
+def positions(rows: DataFrame) -> DataFrame:
+    """``rows`` with the position each has in their order, from 1: rows before its partition and before it in there."""
+    at = F.monotonically_increasing_id()
+    marked = cut_lineage(rows.select("*", F.shiftright(at, 33).alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+    sizes = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    return marked.join(starts, "_part").withColumn("position", F.col("_start") + F.col("_at") + 1).drop("_part", "_at", "_start")

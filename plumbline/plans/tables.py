@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.settings import scratch_folder
 from plumbline.operators import query as q
-from plumbline.plans.registry import Tables, query
+from plumbline.plans.registry import Tables, positions, query
 from plumbline.sources import database, export, files
 from plumbline.spec import DatasetSpec, ViewSpec
 
@@ -332,9 +332,9 @@ def _(t):
 
 # --- order, paging, snapshots ----------------------------------------------------------------------
 
-@query("order_by_field", "Y1", "SELECT p_partkey, p_size FROM part")
+@query("order_by_field", "Y1", "SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size DESC, p_partkey DESC) AS position FROM part")
 def _(t):
-    return q.query_table(t("part").select("p_partkey", "p_size"), order="p_size", descending=True, tie="p_partkey")
+    return positions(q.query_table(t("part").select("p_partkey", "p_size"), order="p_size", descending=True, tie="p_partkey"))
 
 
 @query("order_page", "Y2", """
@@ -349,10 +349,13 @@ def _(t):
     return q.top_k(t("customer").select("c_custkey", "c_acctbal"), "c_acctbal", 5, "c_custkey")
 
 
-@query("order_time_text", "Y4", "SELECT o_orderdate, o_orderpriority, o_orderkey FROM orders")
+@query("order_time_text", "Y4", """
+SELECT o_orderdate, o_orderpriority, rank() OVER (ORDER BY o_orderdate, o_orderpriority) AS first,
+ rank() OVER (ORDER BY o_orderdate, o_orderpriority) + n - 1 AS last
+FROM (SELECT o_orderdate, o_orderpriority, count(*) OVER (PARTITION BY o_orderdate, o_orderpriority) AS n FROM orders) QUALIFY row_number() OVER (PARTITION BY o_orderdate, o_orderpriority) = 1""")
 def _(t):
-    return q.by_time_then_text(t("orders").select("o_orderdate", "o_orderpriority", "o_orderkey"),
-                               "o_orderdate", "o_orderpriority")
+    rows = positions(q.by_time_then_text(t("orders").select("o_orderdate", "o_orderpriority", "o_orderkey"), "o_orderdate", "o_orderpriority"))
+    return rows.groupBy("o_orderdate", "o_orderpriority").agg(F.min("position").alias("first"), F.max("position").alias("last"))
 
 
 @query("update_soft_delete", "U1", """
