@@ -103,6 +103,22 @@ def _(t):
     return rounded(series.resample(df, "ts", ["v"], "k", "min", "mean", gap=1, interval=150), 8, "v")
 
 
+def widened(name: str, minutes: int, step: str, label: str = "ts"):
+    """Gaps that are whole hours, days and weeks."""
+    @query(name, "X2", f"""
+WITH b AS (SELECT event_type AS k, date_trunc('{step}', ts) AS ts, avg(value) AS v FROM events GROUP BY 1, 2),
+     s AS (SELECT k, unnest(generate_series((SELECT min(ts) FROM b), (SELECT max(ts) FROM b), INTERVAL 1 {step})) AS ts FROM (SELECT DISTINCT k FROM b))
+SELECT k, {label} AS ts, round(v, 8) AS v FROM s LEFT JOIN b USING (k, ts)""")
+    def _(t):
+        df = t("events").select(F.col("event_type").alias("k"), "ts", F.col("value").alias("v"))
+        return rounded(series.resample(df, "ts", ["v"], "k", "min", "mean", gap=minutes), 8, "v")
+
+
+widened("series_widened_hour", 60, "hour")
+widened("series_widened_day", 1440, "day")
+widened("series_widened_week", 10_080, "week", "ts + INTERVAL 6 day")
+
+
 @query("series_fill_previous", "X3", f"""{HOURLY}
 SELECT k, ts, round(coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
   first_value(v IGNORE NULLS) OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 8) AS v FROM h""")

@@ -333,7 +333,9 @@ def test_season_search_and_direction(spark):
     df = series(spark, 0.5 * t + np.tile([0, 5, -3, 2, 1], 18))
     found = decompose.season_search(df, "ts", "v", "D").where("best").first()
     assert found["sp"] % 5 == 0
-    assert decompose.trend_direction(df, "ts", "v").first()["trending"] == "no significant trend"
+    assert decompose.trend_direction(df, "ts", "v").first()["trending"] == "increasing trend"
+    flat = series(spark, np.tile([0, 5, -3, 2, 1], 18))
+    assert decompose.trend_direction(flat, "ts", "v").first()["trending"] == "no significant trend"
 
 
 # --- features and models --------------------------------------------------------------------------------------
@@ -405,3 +407,19 @@ def test_split_is_disjoint_and_whole(spark):
     df = labelled(spark)
     a, b = clean.split(df, 0.3, ["id"])
     assert a.count() + b.count() == 240 and a.join(b, "id").count() == 0 and 40 < b.count() < 110
+
+
+def test_trend_and_season_from_sums_is_the_direct_solution(spark):
+    t = np.arange(60)
+    y = 5 + 0.3 * t + np.where(t > 40, t - 40, 0) + np.tile(np.arange(12.0), 5)
+    got = [r.forecast for r in forecast.trend_season_regression(series(spark, y), "ts", "v", "D").orderBy("step").collect()]
+    np.testing.assert_allclose(got, forecast.seasonal_regression(y, 14, 12)[1], rtol=1e-6)
+    got = [r.forecast for r in forecast.trend_season_regression(series(spark, y), "ts", "v", "D", season="mul").orderBy("step").collect()]
+    np.testing.assert_allclose(got, forecast.seasonal_regression(y, 14, 12, True)[1], rtol=1e-6)
+
+
+def test_search_stops_at_the_epoch_limit(spark):
+    df = labelled(spark)
+    names = [c for c, t in df.dtypes if t == "double" and c not in ("t", "c")][:2]
+    best, board = models.search(df, names, "c", "logistic", {"maxIter": "[50, 80]"}, 2, epochs=3)
+    assert board.count() == 2 and best.stages[-1].getOrDefault("maxIter") == 3
