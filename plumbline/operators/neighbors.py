@@ -7,7 +7,6 @@ of others (in up to three dimensions), and results never depend on the grid.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 from functools import reduce
@@ -59,14 +58,16 @@ def attach(df: DataFrame, columns: Sequence[str], points: DataFrame, keys: Seque
 
 # --- nearest neighbours -----------------------------------------------------------------------------
 
-def nearest(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
+def nearest(points: DataFrame, k: int, metric: str = "euclidean", keys: Sequence[str] = ()) -> DataFrame:
     """For each weighted point the other points covering its k nearest rows: ``near`` = sorted [(d, q, m)].
 
+    With ``keys`` only points of the same key meet; the key joins like one more cell coordinate.
+
     A round joins unfinished points with the cells around them.  A point is finished when k rows lie within
     one cell side, because everything that near was met.  The side then doubles for the rest, each of which
     has fewer than k rows in its surroundings, so no round meets many pairs.
     """
-    points = cut_lineage(points)
+    keys, points = list(keys), cut_lineage(points)
     total = points.count()
     if total == 0:
         return points.withColumn("near", F.array().cast("array<struct<d:double,q:array<double>,m:bigint>>"))
@@ -78,7 +79,7 @@ def nearest(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     cell = lambda side: [F.floor(F.col("p")[i] / F.lit(side)).cast("long") for i in axes]
     side, crowd = widest / max(1.0, (total / (2 * k + 2)) ** (1 / len(axes))), 8 * k + 32
     for _ in range(60):
-        fullest = points.groupBy(*[c.alias(f"c{i}") for i, c in enumerate(cell(side))]).count().agg(F.max("count")).first()[0]
+        fullest = points.groupBy(*keys, *[c.alias(f"c{i}") for i, c in enumerate(cell(side))]).count().agg(F.max("count")).first()[0]
         if fullest <= crowd:
             break
         side /= 2
@@ -86,22 +87,22 @@ def nearest(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     todo, done = points, []
     while True:
         around = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-        meet = todo.select(F.col("p").alias("s"), F.col("n").alias("own"), *[c.alias(n) for n, c in zip(names, cell(side))])
+        meet = todo.select(*keys, F.col("p").alias("s"), F.col("n").alias("own"), *[c.alias(n) for n, c in zip(names, cell(side))])
         for n in names:
             meet = meet.withColumn("_o", around).withColumn(n, (F.col(n) + F.col("_o")).cast("long")).drop("_o")
-        here = points.select(F.col("p"), F.col("n"), *[c.alias(n) for n, c in zip(names, cell(side))])
-        pairs = salted_join(here, meet, names).where(F.col("p") != F.col("s"))
-        pairs = pairs.select("s", "own", distance(F.col("p"), F.col("s"), metric).alias("d"), "p", "n")
-        best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("d", "p"))).where(F.col("r") <= k)
-        lists = best.groupBy("s", "own").agg(F.array_sort(F.collect_list(F.struct("d", F.col("p").alias("q"), F.col("n").alias("m")))).alias("near"))
+        here = points.select(*keys, F.col("p"), F.col("n"), *[c.alias(n) for n, c in zip(names, cell(side))])
+        pairs = salted_join(here, meet, [*keys, *names]).where(F.col("p") != F.col("s"))
+        pairs = pairs.select(*keys, "s", "own", distance(F.col("p"), F.col("s"), metric).alias("d"), "p", "n")
+        best = pairs.withColumn("r", F.row_number().over(Window.partitionBy(*keys, "s").orderBy("d", "p"))).where(F.col("r") <= k)
+        lists = best.groupBy(*keys, "s", "own").agg(F.array_sort(F.collect_list(F.struct("d", F.col("p").alias("q"), F.col("n").alias("m")))).alias("near"))
         inside = F.aggregate("near", F.col("own") - 1, lambda a, x: a + F.when(x["d"] <= side, x["m"]).otherwise(F.lit(0)))
         last = side > 2 * widest
-        found = lists.where(F.lit(last) | (inside >= k)).select(F.col("s").alias("p"), F.col("own").alias("n"), "near")
+        found = lists.where(F.lit(last) | (inside >= k)).select(*keys, F.col("s").alias("p"), F.col("own").alias("n"), "near")
         found = cut_lineage(found)
         done.append(found)
         if last:
             break
-        rest = cut_lineage(todo.join(found.select("p"), "p", "left_anti"))
+        rest = cut_lineage(todo.join(found.select(*keys, "p"), [*keys, "p"], "left_anti"))
         if rest.isEmpty():
             break
         todo, side = rest, side * 2
@@ -146,12 +147,13 @@ def local_outlier_factor(df: DataFrame, columns: Sequence[str], k: int = 10, met
     return both.select("p", ratio.alias("score"))
 
 
-def chaining_factor(df: DataFrame, columns: Sequence[str], k: int = 15) -> DataFrame:
+def chaining_factor(df: DataFrame, columns: Sequence[str], k: int = 15, keys: Sequence[str] = ()) -> DataFrame:
     """Connectivity-based factor: weighted length of the chain through the k nearest rows over that of the neighbours."""
-    near = cut_lineage(nearest(weighted_points(df, columns), k).withColumn("w", _weights(k)))
+    keys = list(keys)
+    near = cut_lineage(nearest(weighted_points(df, columns, keys), k, keys=keys).withColumn("w", _weights(k)))
     copies = F.array_repeat("p", F.least(F.col("n") - 1, F.lit(k)).cast("int"))
     others = F.flatten(F.transform(F.arrays_zip("near", "w"), lambda x: F.array_repeat(x["near"]["q"], x["w"].cast("int"))))
-    sets = near.select("p", F.concat(copies, others).alias("chain"))
+    sets = near.select(*keys, "p", F.concat(copies, others).alias("chain"))
 
     @F.pandas_udf("double")
     def chain_length(p: pd.Series, chain: pd.Series) -> pd.Series:
@@ -171,11 +173,11 @@ def chaining_factor(df: DataFrame, columns: Sequence[str], k: int = 15) -> DataF
             out.append(total)
         return pd.Series(out)
 
-    lengths = cut_lineage(sets.select("p", "chain", chain_length("p", "chain").alias("length")))
-    links = lengths.select("p", "length", F.explode("chain").alias("q"))
-    joined = links.join(lengths.select(F.col("p").alias("q"), F.col("length").alias("q_length")), "q")
-    return joined.groupBy("p", "length").agg(F.avg("q_length").alias("m")).select(
-        "p", F.coalesce(F.try_divide(F.col("length"), F.col("m")), F.lit(1.0)).alias("score"))
+    lengths = cut_lineage(sets.select(*keys, "p", "chain", chain_length("p", "chain").alias("length")))
+    links = lengths.select(*keys, "p", "length", F.explode("chain").alias("q"))
+    joined = links.join(lengths.select(*keys, F.col("p").alias("q"), F.col("length").alias("q_length")), [*keys, "q"])
+    return joined.groupBy(*keys, "p", "length").agg(F.avg("q_length").alias("m")).select(
+        *keys, "p", F.coalesce(F.try_divide(F.col("length"), F.col("m")), F.lit(1.0)).alias("score"))
 
 
 # --- density clusters ---------------------------------------------------------------------------------
@@ -183,35 +185,54 @@ def chaining_factor(df: DataFrame, columns: Sequence[str], k: int = 15) -> DataF
 MOST_DIMENSIONS = 5
 
 
-def _density(points: DataFrame, width: int, eps: float, least: int, keys: list[str]):
-    """Core points and neighbour links.  Any cell of diagonal eps holding ``least`` rows is all core, so only
+def _length(gaps: Sequence[Column], metric: str) -> Column:
+    """Distance from its coordinate gaps."""
+    if metric == "euclidean":
+        return F.sqrt(sum((g * g for g in gaps), F.lit(0.0)))
+    return sum(gaps, F.lit(0.0)) if metric in ("cityblock", "manhattan") else F.greatest(F.lit(0.0), *gaps)
+
+
+def _density(points: DataFrame, width: int, eps: float, least: int, keys: list[str], metric: str = "euclidean"):
+    """Core points and neighbour links.  Any cell of diagonal eps (in the metric) holding ``least`` rows is all core, so only
     points of other cells look for neighbours, and each cell has fewer than ``least`` of those."""
     if width > MOST_DIMENSIONS:
         raise ValueError(f"density clusters take up to {MOST_DIMENSIONS} columns; reduce the table first")
-    side = eps / math.sqrt(width)
+    sides = {"euclidean": math.sqrt(width), "cityblock": width, "manhattan": width, "chebyshev": 1}
+    if metric not in sides:
+        raise ValueError(f"unknown metric {metric!r}")
+    side = eps / sides[metric]
     cells = points.withColumn("cell", F.transform("p", lambda x: F.floor(x / side)))
     sizes = cells.groupBy(*keys, "cell").agg(F.sum("n").alias("held"))
     pts = cut_lineage(lookup_join(cells, sizes, [*keys, "cell"]))
-    reach = math.ceil(math.sqrt(width))
-    near = [o for o in itertools.product(range(-reach, reach + 1), repeat=width)
-            if sum((max(abs(v) - 1, 0) * side) ** 2 for v in o) <= eps * eps * (1 + 1e-12)]
-    offsets = F.array(*[F.array(*[F.lit(v).cast("long") for v in o]) for o in near])
-    thin = pts.where(F.col("held") < least).select(*keys, F.col("p").alias("s"), F.explode(offsets).alias("_o"), "cell")
-    thin = thin.select(*keys, "s", F.zip_with("cell", "_o", lambda a, b: a + b).alias("cell"))
-    links = salted_join(pts, thin, [*keys, "cell"]).where(distance(F.col("p"), F.col("s")) <= eps)
-    links = cut_lineage(links.select(*keys, "s", "p", "n", "cell", (F.col("held") >= least).alias("dense"), distance(F.col("p"), F.col("s")).alias("d")))
+    reach = math.ceil(sides[metric])
+
+    def around(rows: DataFrame, cell: str) -> DataFrame:
+        """A row per cell that may hold points within eps, as column ``_at``; coordinates are stepped one by one."""
+        out = rows.withColumn("_at", F.array().cast("array<bigint>")).withColumn("_gaps", F.array().cast("array<double>"))
+        for i in range(width):
+            out = out.withColumn("_step", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+            gap = F.greatest(F.abs("_step") - 1, F.lit(0)) * F.lit(side)
+            out = out.withColumn("_at", F.concat("_at", F.array(F.col(cell)[i] + F.col("_step")))).withColumn("_gaps", F.concat("_gaps", F.array(gap)))
+            out = out.where(_length([F.col("_gaps")[j] for j in range(i + 1)], metric) <= eps * (1 + 1e-12))
+        return out.drop("_step", "_gaps")
+
+    thin = around(pts.where(F.col("held") < least).select(*keys, F.col("p").alias("s"), F.col("cell").alias("_cell")), "_cell")
+    thin = thin.select(*keys, "s", F.col("_at").alias("cell"))
+    links = salted_join(pts, thin, [*keys, "cell"]).where(distance(F.col("p"), F.col("s"), metric) <= eps)
+    links = cut_lineage(links.select(*keys, "s", "p", "n", "cell", (F.col("held") >= least).alias("dense"), distance(F.col("p"), F.col("s"), metric).alias("d")))
     counts = links.groupBy(*keys, "s").agg(F.sum("n").alias("seen"), F.bool_or("dense").alias("by_dense"))
     pts = pts.join(counts.withColumnRenamed("s", "p"), [*keys, "p"], "left")
     dense = F.col("held") >= least
     pts = pts.select(*keys, "p", "n", "cell", dense.alias("dense"), (dense | F.coalesce(F.col("seen") >= least, F.lit(False))).alias("core"),
                      F.coalesce("by_dense", F.lit(False)).alias("by_dense"))
-    return cut_lineage(pts), links, side, offsets
+    return cut_lineage(pts), links, side, around
 
 
-def density_noise(df: DataFrame, columns: Sequence[str], eps: float = 0.5, least: int = 5, keys: Sequence[str] = ()) -> DataFrame:
+def density_noise(df: DataFrame, columns: Sequence[str], eps: float = 0.5, least: int = 5, keys: Sequence[str] = (),
+                  metric: str = "euclidean") -> DataFrame:
     """Per distinct point: 1 when it is neither core nor within eps of a core point."""
     keys = list(keys)
-    pts, links, *_ = _density(weighted_points(df, columns, keys), len(columns), eps, least, keys)
+    pts, links, *_ = _density(weighted_points(df, columns, keys), len(columns), eps, least, keys, metric)
     thin_core = pts.where("core and not dense").select(*keys, "p")
     touched = links.where(~F.col("dense")).join(thin_core, [*keys, "p"]).select(*keys, F.col("s").alias("p")).distinct().withColumn("touch", F.lit(True))
     out = pts.join(touched, [*keys, "p"], "left")
@@ -235,7 +256,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
-def _dense_links(pts: DataFrame, width: int, side: float, eps: float, offsets: Column, keys: list[str]) -> DataFrame:
+def _dense_links(pts: DataFrame, width: int, side: float, eps: float, around, keys: list[str], metric: str = "euclidean") -> DataFrame:
     """Pairs of neighbouring dense cells with two points within eps.
 
     Cells are compared by the bounding boxes of their points: surely near, surely far, or split in finer boxes
@@ -254,13 +275,13 @@ def _dense_links(pts: DataFrame, width: int, side: float, eps: float, offsets: C
             apart = F.greatest(F.col("a_low")[i] - F.col("b_high")[i], F.col("b_low")[i] - F.col("a_high")[i], F.lit(0.0))
             wide = F.greatest(F.col("a_high")[i] - F.col("b_low")[i], F.col("b_high")[i] - F.col("a_low")[i])
             return wide if far else apart
-        return F.sqrt(sum((gap(i) * gap(i) for i in range(width)), F.lit(0.0)))
+        return _length([gap(i) for i in range(width)], metric)
 
     one = boxes(0)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     left = one.select(*keys, F.col("cell").alias("a"), F.col("box").alias("a_box"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
     right = one.select(*keys, F.col("cell").alias("b"), F.col("box").alias("b_box"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
-    pairs = left.withColumn("_o", F.explode(offsets)).withColumn("b", F.zip_with("a", "_o", lambda x, y: x + y)).drop("_o")
+    pairs = around(left, "a").withColumnRenamed("_at", "b")
     pairs = pairs.join(right, [*keys, "b"]).where(text("a") < text("b"))
     found, level = [], 0
     while True:
@@ -279,11 +300,12 @@ def _dense_links(pts: DataFrame, width: int, side: float, eps: float, offsets: C
         pairs = pairs.select(*keys, "a", "b", F.col("a_new").alias("a_box"), F.col("b_new").alias("b_box"), "a_low", "a_high", "b_low", "b_high")
 
 
-def density_clusters(df: DataFrame, columns: Sequence[str], eps: float = 0.5, least: int = 5, keys: Sequence[str] = ()) -> DataFrame:
+def density_clusters(df: DataFrame, columns: Sequence[str], eps: float = 0.5, least: int = 5, keys: Sequence[str] = (),
+                     metric: str = "euclidean") -> DataFrame:
     """Per distinct point its cluster number (from 0) or -1 for noise; a border point joins its nearest core point."""
     keys = list(keys)
     width = len(columns)
-    pts, links, side, offsets = _density(weighted_points(df, columns, keys), width, eps, least, keys)
+    pts, links, side, around = _density(weighted_points(df, columns, keys), width, eps, least, keys, metric)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     tag = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
     named = lambda kind, c: F.concat_ws(":", tag, F.lit(kind), text(c))
@@ -293,7 +315,7 @@ def density_clusters(df: DataFrame, columns: Sequence[str], eps: float = 0.5, le
     rich = rich.where(F.col("to").isNotNull()).select(*keys, "s", "to", F.struct("d", "p").alias("gap"))
     cores = pts.where("core").select(F.when(F.col("dense"), named("cell", F.col("cell"))).otherwise(named("point", F.col("p"))).alias("a")).distinct()
     thin_edges = rich.join(thin_core.withColumnRenamed("p", "s"), [*keys, "s"]).select(named("point", F.col("s")).alias("a"), F.col("to").alias("b"))
-    cell_edges = _dense_links(pts, width, side, eps, offsets, keys).select(named("cell", F.col("a")).alias("a"), named("cell", F.col("b")).alias("b"))
+    cell_edges = _dense_links(pts, width, side, eps, around, keys, metric).select(named("cell", F.col("a")).alias("a"), named("cell", F.col("b")).alias("b"))
     labels = components(thin_edges.union(cell_edges).distinct(), cores)
     roots = running(labels.select("label").distinct(), [], "label", {"cluster": F.lit(1)}).withColumn("cluster", (F.col("cluster") - 1).cast("int"))
     numbered = cut_lineage(lookup_join(labels, roots, ["label"]).select("a", "cluster"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.ordered import column_quantiles, lookup_join, quantile_values, running
+from plumbline.functions.ordered import column_quantiles, lookup_join, quantile_values, quantiles, running
 from plumbline.functions.settings import cut_lineage, use_all_cores
 from plumbline.operators import neighbors
 
@@ -37,15 +37,20 @@ def sigma_outliers(df: DataFrame, columns: Sequence[str], sigmas: float = 3) ->
                             .alias(f"{c}_outlier") for c in columns])
 
 
-def label_top(df: DataFrame, score: str = "score", contamination: float = 0.03) -> DataFrame:
-    """1 for scores above the (1 - contamination) quantile.  Scores are materialized, as they are read twice."""
+def label_top(df: DataFrame, score: str = "score", contamination: float = 0.03, keys: Sequence[str] = ()) -> DataFrame:
+    """1 for scores above the (1 - contamination) quantile, of each key.  Scores are materialized, as they are read twice."""
     df = cut_lineage(df)
+    if keys:
+        limits = quantiles(df, list(keys), score, [1 - contamination]).select(*keys, F.col("q")[0].alias("_limit"))
+        flagged = lookup_join(df, limits, list(keys))
+        return flagged.withColumn("outlier", F.coalesce((F.col(score) > F.col("_limit")).cast("int"), F.lit(0))).drop("_limit")
     limit = quantile_values(df, score, [1 - contamination])[0]
     return df.withColumn("outlier", F.coalesce((F.col(score) > F.lit(limit)).cast("int"), F.lit(0)))
 
 
-def density_outliers(df: DataFrame, columns: Sequence[str], eps: float = 0.5, least: int = 5, keys: Sequence[str] = ()) -> DataFrame:
-    return neighbors.attach(df, columns, neighbors.density_noise(df, columns, eps, least, keys), keys)
+def density_outliers(df: DataFrame, columns: Sequence[str], eps: float = 0.5, least: int = 5, keys: Sequence[str] = (),
+                     metric: str = "euclidean") -> DataFrame:
+    return neighbors.attach(df, columns, neighbors.density_noise(df, columns, eps, least, keys, metric), keys)
 
 
 def neighbour_outliers(df, columns, k: int = 5, contamination: float = 0.03, metric: str = "euclidean") -> DataFrame:
@@ -56,8 +61,8 @@ def local_outliers(df, columns, k: int = 10, contamination: float = 0.03, metric
     return label_top(neighbors.attach(df, columns, neighbors.local_outlier_factor(df, columns, k, metric)), contamination=contamination)
 
 
-def chain_outliers(df, columns, k: int = 15, contamination: float = 0.03) -> DataFrame:
-    return label_top(neighbors.attach(df, columns, neighbors.chaining_factor(df, columns, k)), contamination=contamination)
+def chain_outliers(df, columns, k: int = 15, contamination: float = 0.03, keys: Sequence[str] = ()) -> DataFrame:
+    return label_top(neighbors.attach(df, columns, neighbors.chaining_factor(df, columns, k, keys), keys), contamination=contamination, keys=keys)
 
 
 # --- isolation forest --------------------------------------------------------------------------------
@@ -200,25 +205,29 @@ def map_outliers(df: DataFrame, columns: Sequence[str], grid: int = 15, sigma: f
 
 # --- tail probabilities and ellipses --------------------------------------------------------------------
 
-def tail_scores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Empirical tail score: larger of the summed left, right and skew-chosen -ln tail probabilities."""
-    skew = df.agg(*[F.skewness(c).alias(c) for c in columns]).first()
-    out = df
+def tail_scores(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Empirical tail score, within each key: larger of the summed left, right and skew-chosen -ln tail probabilities."""
+    keys = list(keys)
+    skews = [F.coalesce(F.skewness(c), F.lit(0.0)).alias(f"_s{i}") for i, c in enumerate(columns)]
+    if keys:
+        out = lookup_join(df, df.groupBy(*keys).agg(*skews), keys)
+    else:
+        out = df.withColumns({n: F.lit(v) for n, v in df.agg(*skews).first().asDict().items()})
     for i, c in enumerate(columns):
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        ranked = running(counts, [], c, {"_upto": F.col("_n")}, {"_size": F.col("_n")})
+        counts = df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_n"))
+        ranked = running(counts, keys, c, {"_upto": F.col("_n")}, {"_size": F.col("_n")})
         left = -F.ln(F.col("_upto") / F.col("_size"))
         right = -F.ln((F.col("_size") - F.col("_upto") + F.col("_n")) / F.col("_size"))
-        tails = ranked.select(c, left.alias(f"_l{i}"), right.alias(f"_r{i}"))
-        out = lookup_join(out, tails, [c])
-    total = lambda names: reduce(lambda a, b: a + b, [F.coalesce(n, F.lit(0.0)) for n in names])
-    lefts, rights = [f"_l{i}" for i in range(len(columns))], [f"_r{i}" for i in range(len(columns))]
-    chosen = [f"_l{i}" if (skew[c] or 0.0) < 0 else f"_r{i}" for i, c in enumerate(columns)]
-    return out.withColumn("score", F.greatest(total(lefts), total(rights), total(chosen))).drop(*lefts, *rights)
+        out = lookup_join(out, ranked.select(*keys, c, left.alias(f"_l{i}"), right.alias(f"_r{i}")), [*keys, c])
+    total = lambda parts: reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in parts])
+    lefts, rights = [[F.col(f"_{side}{i}") for i in range(len(columns))] for side in "lr"]
+    chosen = [F.when(F.col(f"_s{i}") < 0, a).otherwise(b) for i, (a, b) in enumerate(zip(lefts, rights))]
+    return out.withColumn("score", F.greatest(total(lefts), total(rights), total(chosen))) \
+        .drop(*[f"_{x}{i}" for x in "slr" for i in range(len(columns))])
 
 
-def tail_outliers(df: DataFrame, columns: Sequence[str], contamination: float = 0.05) -> DataFrame:
-    return label_top(tail_scores(df, columns), contamination=contamination)
+def tail_outliers(df: DataFrame, columns: Sequence[str], contamination: float = 0.05, keys: Sequence[str] = ()) -> DataFrame:
+    return label_top(tail_scores(df, columns, keys), contamination=contamination, keys=keys)
 
 
 def ellipse_outliers(df: DataFrame, x: str, y: str, share: float = 0.975) -> DataFrame:

@@ -118,16 +118,16 @@ def _(t):
 
 @query("anomaly_chaining", "X41")
 def _(t):
-    return o.chain_outliers(daily(t), ["v"], 15, 0.05)
+    return o.chain_outliers(daily(t), ["v"], 15, 0.05, ["k"])
 
 
 @query("anomaly_tails", "X42", f"""{HOURLY}, g AS (SELECT k, ts, v FROM h WHERE v IS NOT NULL),
-e AS (SELECT k, ts, cume_dist() OVER (ORDER BY v) AS l, cume_dist() OVER (ORDER BY v DESC) AS r FROM g),
-s AS (SELECT k, ts, greatest(-ln(l), -ln(r)) AS score FROM e), q AS (SELECT quantile_cont(score, 0.95) AS lim FROM s)
-SELECT k, ts, round(score, 8) AS score, CAST(score > lim AS INTEGER) AS outlier FROM s, q""")
+e AS (SELECT k, ts, cume_dist() OVER (PARTITION BY k ORDER BY v) AS l, cume_dist() OVER (PARTITION BY k ORDER BY v DESC) AS r FROM g),
+s AS (SELECT k, ts, greatest(-ln(l), -ln(r)) AS score FROM e), q AS (SELECT k, quantile_cont(score, 0.95) AS lim FROM s GROUP BY k)
+SELECT k, ts, round(score, 8) AS score, CAST(score > lim AS INTEGER) AS outlier FROM s JOIN q USING (k)""")
 def _(t):
     df = hourly(t).where(F.col("v").isNotNull())
-    return rounded(o.tail_outliers(df, ["v"]).drop("v"), 8, "score")
+    return rounded(o.tail_outliers(df, ["v"], keys=["k"]).drop("v"), 8, "score")
 
 
 @query("cluster_density", "K2", """
@@ -144,3 +144,19 @@ def _(t):
     out = neighbors.attach(df, ["x", "y"], neighbors.density_clusters(df, ["x", "y"], 0.8, 5))
     first = out.groupBy("cluster").agg(F.min("s_suppkey").alias("first_member"))
     return out.join(first, "cluster").select("s_suppkey", F.when(F.col("cluster") >= 0, F.col("first_member")).otherwise(F.lit(-1).cast("long")).alias("first_member"))
+
+
+@query("cluster_density_cityblock", "K2", """
+WITH RECURSIVE p AS (SELECT s_suppkey AS i, s_acctbal / 1000 AS x, s_nationkey / 4.0 AS y FROM supplier),
+n AS (SELECT a.i AS a, b.i AS b, (abs(a.x - b.x) + abs(a.y - b.y)) AS d FROM p a JOIN p b
+  ON (abs(a.x - b.x) + abs(a.y - b.y)) <= 0.8),
+c AS (SELECT a FROM n GROUP BY a HAVING count(*) >= 5),
+r(a, b) AS (SELECT a, a FROM c UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a JOIN c ON n.b = c.a),
+l AS (SELECT a, min(b) AS root FROM r GROUP BY a),
+m AS (SELECT p.i, coalesce(l.root, (SELECT arg_min(l2.root, n.d) FROM n JOIN l l2 ON n.b = l2.a WHERE n.a = p.i)) AS root FROM p LEFT JOIN l ON p.i = l.a)
+SELECT i AS s_suppkey, CASE WHEN root IS NULL THEN -1 ELSE min(i) OVER (PARTITION BY root) END AS first_member FROM m""")
+def _(t):
+    df = suppliers(t)
+    out = neighbors.attach(df, ["x", "y"], neighbors.density_clusters(df, ["x", "y"], 0.8, 5, metric="cityblock"))
+    first = out.groupBy("cluster").agg(F.min("s_suppkey").alias("first_member"))
+    return out.join(first, "cluster").select("s_suppkey", F.when(F.col("cluster") >= 0, F.col("first_member")).otherwise(F.lit(-1).cast("long")).alias("first_member"))
