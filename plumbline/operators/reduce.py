@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -39,12 +40,17 @@ def silhouette(clustered: DataFrame, cluster: str = "cluster", features: str = "
     return ClusteringEvaluator(predictionCol=cluster, featuresCol=features).evaluate(clustered)
 
 
+MOST_COLUMNS = 4096     # the driver decomposes a square matrix of that many rows, 128 MB
+
+
 def _moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, mean and sample covariance of a vector column; only the d x d result reaches the driver."""
     n, mean, sd = rows.select(Summarizer.count(F.col("features")), Summarizer.mean(F.col("features")),
                               Summarizer.std(F.col("features"))).first()
     if n < 2:
         raise ValueError("at least two complete rows are needed")
+    if len(mean) > MOST_COLUMNS:
+        raise ValueError(f"{len(mean)} columns, more than {MOST_COLUMNS}: their matrix would not fit the driver")
     sd = sd.toArray()
     r = np.nan_to_num(Correlation.corr(rows, "features").first()[0].toArray())
     return n, mean.toArray(), r * np.outer(sd, sd)
@@ -137,25 +143,38 @@ def ica(df: DataFrame, columns: Sequence[str], k: int = 2, iterations: int = 200
     return projected(rows, axes, mean), axes
 
 
-MOST_CLASSES = 2000     # class means gathered on the driver
+def _between(rows: DataFrame, label: str, mean: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of classes and their scatter around the mean: classes stay a table, each task returns one square matrix."""
+    means = rows.groupBy(label).agg(vector_to_array(Summarizer.mean(F.col("features"))).alias("m"), F.count(F.lit(1)).alias("n")).select("m", "n")
+    width = len(mean)
+
+    def scatter(batches):
+        total, classes = np.zeros((width, width)), 0
+        for pdf in batches:
+            if len(pdf):
+                gap = np.stack(pdf["m"].to_numpy()) - mean
+                total += gap.T @ (gap * pdf["n"].to_numpy(dtype=float)[:, None])
+                classes += len(pdf)
+        if classes:
+            yield pd.DataFrame({"classes": [classes], "scatter": [total.ravel().tolist()]})
+
+    parts = means.mapInPandas(scatter, "classes long, scatter array<double>").collect()
+    return sum(p.classes for p in parts), sum((np.array(p.scatter).reshape(width, width) for p in parts), np.zeros((width, width)))
 
 
 def lda(df: DataFrame, columns: Sequence[str], label: str, k: int | None = None):
     """Linear discriminants from class sums: projections ``d0..`` and the axes (at most classes - 1)."""
     rows = assembled(df, columns).where(F.col(label).isNotNull())
     n, mean, cov = _moments(rows)
-    groups = rows.groupBy(label).agg(Summarizer.mean(F.col("features")).alias("m"), F.count(F.lit(1)).alias("n")).limit(MOST_CLASSES + 1).collect()
-    if len(groups) > MOST_CLASSES:
-        raise ValueError(f"more than {MOST_CLASSES} classes")
-    between = sum(g["n"] * np.outer(g["m"].toArray() - mean, g["m"].toArray() - mean) for g in groups)
+    classes, between = _between(rows, label, mean)
     within = cov * (n - 1) - between
-    most = min(len(groups) - 1, len(mean))
+    most = min(classes - 1, len(mean))
     k = min(k or most, most)
     low = np.linalg.cholesky(within + np.eye(len(mean)) * 1e-9 * max(np.trace(within) / len(mean), 1e-300))
     inverse = np.linalg.inv(low)
     values, vectors = np.linalg.eigh(inverse @ between @ inverse.T)
     axes = inverse.T @ vectors[:, values.argsort()[::-1][:k]]
-    axes = _fixed_signs(axes * np.sqrt(max(n - len(groups), 1)))
+    axes = _fixed_signs(axes * np.sqrt(max(n - classes, 1)))
     return projected(rows, axes, mean), axes
 
 

@@ -423,3 +423,15 @@ def test_search_stops_at_the_epoch_limit(spark):
     names = [c for c, t in df.dtypes if t == "double" and c not in ("t", "c")][:2]
     best, board = models.search(df, names, "c", "logistic", {"maxIter": "[50, 80]"}, 2, epochs=3)
     assert board.count() == 2 and best.stages[-1].getOrDefault("maxIter") == 3
+
+
+def test_chaining_and_tails_are_per_series(spark):
+    from plumbline.operators import outliers
+    rng = np.random.default_rng(4)
+    rows = [(k, i, float(v)) for k, scale in (("a", 1), ("b", 50)) for i, v in enumerate(rng.normal(0, scale, 80))]
+    df = spark.createDataFrame(rows, "k string, i int, v double")
+    for detect in (lambda d, **o: outliers.chain_outliers(d, ["v"], 5, 0.05, **o), lambda d, **o: outliers.tail_outliers(d, ["v"], 0.05, **o)):
+        both = {(r.k, r.i): (r.score, r.outlier) for r in detect(df, keys=["k"]).collect()}
+        for k in "ab":
+            for r in detect(df.where(F.col("k") == k)).collect():
+                assert both[k, r.i][0] == pytest.approx(r.score) and both[k, r.i][1] == r.outlier
