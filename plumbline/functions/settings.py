@@ -34,14 +34,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_scratch: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders that this process has made, once no result that reads them is needed any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _scratch:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written intermediates, inside the shared checkpoint folder of the cluster."""
+    """A fresh folder for written intermediates, inside the shared checkpoint folder of the cluster; see ``clear_scratch``."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         shared = tempfile.mkdtemp(prefix="plumbline-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
 
 
 def use_all_cores(df: DataFrame) -> DataFrame:

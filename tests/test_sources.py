@@ -270,3 +270,13 @@ def test_calendar_ignores_the_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert [(r["ts"].day, r["ts"].hour, r["v"]) for r in day] == [(10, 0, 2.0)]
     assert [(r["ts"].hour, r["v"]) for r in half] == [(0, 1.0), (12, 1.0)]
+
+
+def test_scratch_is_cleared(spark):
+    import os
+
+    from plumbline.functions.settings import clear_scratch, scratch_folder
+    clear_scratch(spark)
+    path = scratch_folder(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert os.path.exists(path) and clear_scratch(spark) == 1 and not os.path.exists(path) and clear_scratch(spark) == 0
