@@ -47,8 +47,8 @@ def judge(urls: DataFrame, rules: DataFrame, column: str = "url", default: str =
     listed = kept.groupBy("host", "path").agg(F.min("verdict").alias("r_verdict")) \
         .select(F.col("host").alias("e_host"), F.col("path").alias("e_path"), "r_verdict") \
         .select(F.substring(digest, 1, PREFIX).alias("r_prefix"), digest.alias("r_digest"), "r_verdict")
-    host, path = split_url(F.col("_url"))
-    known = urls.select(F.col(column).alias("_url")).where(F.col("_url").isNotNull()).distinct() \
+    host, path = split_url(F.col("__url"))
+    known = urls.select(F.col(column).alias("__url")).where(F.col("__url").isNotNull()).distinct() \
         .withColumn("host", host).withColumn("path", path).where("host <> ''")
     numbers = lambda values: F.array(*[F.lit(v) for v in sorted(values)]).cast("array<int>")
     labels = known.withColumn("parts", F.split("host", r"\.")) \
@@ -57,15 +57,15 @@ def judge(urls: DataFrame, rules: DataFrame, column: str = "url", default: str =
     spelled = labels.withColumn("long", F.explode(F.filter(numbers(shape.lengths), lambda n: n <= F.length("path")))) \
         .withColumn("e_path", F.substring("path", F.lit(1), F.col("long"))).withColumn("digest", digest)
     hits = spelled.join(listed, F.substring("digest", 1, PREFIX) == F.col("r_prefix")).where("digest = r_digest")
-    best = hits.groupBy("_url").agg(F.min(F.struct(
+    best = hits.groupBy("__url").agg(F.min(F.struct(
         (-(F.length("e_host") + F.length("e_path"))).alias("a"), (-F.length("e_host")).alias("b"), F.col("r_verdict").alias("v"),
-        F.concat("e_host", "e_path").alias("r"))).alias("_best"))
+        F.concat("e_host", "e_path").alias("r"))).alias("__best"))
     host, path = split_url(F.col(column))
     rest = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict") or c == column]
-    return urls.select(*rest).join(best, F.col(column) == F.col("_url"), "left") \
-        .withColumns({"_host": host, "_path": path}) \
-        .select(*rest, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_best.r").alias("rule"),
-                F.coalesce("_best.v", F.lit(default)).alias("verdict"))
+    return urls.select(*rest).join(best, F.col(column) == F.col("__url"), "left") \
+        .withColumns({"__host": host, "__path": path}) \
+        .select(*rest, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__best.r").alias("rule"),
+                F.coalesce("__best.v", F.lit(default)).alias("verdict"))
 
 
 def op6_url_filters(pages: DataFrame) -> DataFrame:
