@@ -120,6 +120,25 @@ def near_lines(docs: DataFrame) -> DataFrame:
         .where(F.levenshtein("middle", "other", BOUND).between(0, BOUND)).select("h1", "h2").distinct()
 
 
+def _deduplicated(docs: DataFrame) -> DataFrame:
+    firsts = _lines(docs).groupBy("h1", "h2").agg(F.min("place").alias("place"))
+    kept = firsts.join(near_lines(docs), ["h1", "h2"], "left_anti")
+    step = F.lit(PLACE).cast("decimal(38,0)")
+    kept = kept.withColumn("number", ((F.col("place") - F.pmod("place", step)) / step).cast("decimal(20,0)").cast("long")) \
+        .groupBy("number").agg(F.collect_list(F.struct(F.pmod("place", step).cast("int").alias("pos"), F.col("h1"))).alias("__kept"))
+    joined = docs.select(*docs.columns, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__number")) \
+        .join(kept.withColumnRenamed("number", "__place"), F.col("__number") == F.col("__place"), "left")
+    lines = joined.withColumn("__lines", F.split("text", "\n", -1))
+    own = F.transform(F.filter(F.coalesce("__kept", F.array().cast("array<struct<pos:int,h1:bigint>>")), lambda k: (k.pos < F.size("__lines"))
+                               & (F.xxhash64(F.get("__lines", k.pos)) == k.h1)), lambda k: k.pos)
+    blank = F.filter(F.transform("__lines", lambda x, i: F.when(~_visible(x), i)), lambda i: i.isNotNull())
+    chosen = lines.withColumn("__chosen", F.array_sort(F.concat(own, blank)))
+    text = F.array_join(F.transform("__chosen", lambda i: F.get("__lines", i)), "\n")
+    n = F.greatest(F.size("__lines"), F.lit(0))
+    return chosen.select(*[(text if c == "text" else F.col(c)).alias(c) for c in docs.columns], F.coalesce(n, F.lit(0)).cast("long").alias("__n_lines"),
+                         F.coalesce(n - F.size("__chosen"), F.lit(0)).cast("long").alias("__n_removed"))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines of each text that an earlier line matches removed, and n_lines and n_removed appended.
 
@@ -135,23 +154,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     at the same places, and equal lines at one place stay in all of them.  Empty input gives no rows.  Columns named
     n_lines or n_removed are replaced; all others stay.
     """
-    firsts = _lines(docs).groupBy("h1", "h2").agg(F.min("place").alias("place"))
-    kept = firsts.join(near_lines(docs), ["h1", "h2"], "left_anti")
-    step = F.lit(PLACE).cast("decimal(38,0)")
-    kept = kept.withColumn("number", ((F.col("place") - F.pmod("place", step)) / step).cast("decimal(20,0)").cast("long")) \
-        .groupBy("number").agg(F.collect_list(F.struct(F.pmod("place", step).cast("int").alias("pos"), F.col("h1"))).alias("__kept"))
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*rest, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__number")) \
-        .join(kept.withColumnRenamed("number", "__place"), F.col("__number") == F.col("__place"), "left")
-    lines = joined.withColumn("__lines", F.split("text", "\n", -1))
-    own = F.transform(F.filter(F.coalesce("__kept", F.array().cast("array<struct<pos:int,h1:bigint>>")), lambda k: (k.pos < F.size("__lines"))
-                               & (F.xxhash64(F.get("__lines", k.pos)) == k.h1)), lambda k: k.pos)
-    blank = F.filter(F.transform("__lines", lambda x, i: F.when(~_visible(x), i)), lambda i: i.isNotNull())
-    chosen = lines.withColumn("__chosen", F.array_sort(F.concat(own, blank)))
-    text = F.array_join(F.transform("__chosen", lambda i: F.get("__lines", i)), "\n")
-    n = F.greatest(F.size("__lines"), F.lit(0))
-    return chosen.select(*[(text if c == "text" else F.col(c)).alias(c) for c in rest], F.coalesce(n, F.lit(0)).cast("long").alias("n_lines"),
-                         F.coalesce(n - F.size("__chosen"), F.lit(0)).cast("long").alias("n_removed"))
+    out = _deduplicated(docs.drop("n_lines", "n_removed"))
+    return out.withColumnsRenamed({"__n_lines": "n_lines", "__n_removed": "n_removed"})
+
+
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """``dedup_lines`` with the columns of ``docs`` and no others."""
+    return _deduplicated(docs).select(*docs.columns)
 
 
 def op9_line_dedup(docs: DataFrame) -> DataFrame:

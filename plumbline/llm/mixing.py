@@ -96,14 +96,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     Documents are matched by doc_id, source and size, so rows that repeat a doc_id are to differ in source or size;
     equal rows get the same number each, the mean of theirs rounded.
     """
-    names = [c for c in docs.columns]
+    names = docs.columns
     taken = copies(docs, **options).where("copies > 0").groupBy("doc_id", "source", "size") \
-        .agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")) \
-        .selectExpr("doc_id AS _doc", "source AS _source", "size AS _size", "_copies", "_rows")
-    sized = docs.withColumn("_n", word_count(F.col("text")))
-    joined = sized.join(taken, same("doc_id", "_doc") & same("source", "_source") & (F.col("_n") == F.col("_size"))) \
-        .where("round(_copies / _rows) > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.round(F.col("_copies") / F.col("_rows")).cast("int")))).select(*names)
+        .agg(F.sum("copies").alias("__mix_copies"), F.count("*").alias("__mix_rows")) \
+        .selectExpr("doc_id AS __mix_doc", "source AS __mix_source", "size AS __mix_size", "__mix_copies", "__mix_rows")
+    sized = docs.withColumn("__mix_n", word_count(F.col("text")))
+    joined = sized.join(taken, same("doc_id", "__mix_doc") & same("source", "__mix_source") & (F.col("__mix_n") == F.col("__mix_size"))) \
+        .where("round(__mix_copies / __mix_rows) > 0")
+    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.round(F.col("__mix_copies") / F.col("__mix_rows")).cast("int")))).select(*names)
 
 
 def op10_mix_sources(docs: DataFrame) -> DataFrame:

@@ -94,10 +94,10 @@ def _sizes_table(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for batch in batches:
             found = np.array([sizes(t.as_py(), compressors) for t in batch.column("text")], np.float64).reshape(-1, 2)
             kept = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found[:, 0]), pa.array(found[:, 1])], [*keep, "_saved", "_mean"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found[:, 0]), pa.array(found[:, 1])], [*keep, "__saved", "__mean"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, *[c for c in ("text",) if c not in keep]).mapInArrow(run, f"{schema}, _saved double, _mean double")
+    return docs.select(*keep, *[c for c in ("text",) if c not in keep]).mapInArrow(run, f"{schema}, __saved double, __mean double")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -135,29 +135,33 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         sample = known.orderBy(F.xxhash64(F.lit("curve"), "doc_id"), "doc_id").limit(CALIBRATE).collect()
     named = F.broadcast(spark.createDataFrame([(r.doc_id, r.quality) for r in sample], known.schema))
     found = _sizes_table(docs.select("doc_id", "text").join(named, "doc_id"), model, ["doc_id", "quality"]).collect()
-    found = sorted((r.doc_id, r._saved, r._mean, r.quality) for r in found)
+    found = sorted((r.doc_id, r[2], r[3], r.quality) for r in found)
     y = np.array([r[3] for r in found], np.float64)
     if len(set(y.tolist())) < 2:
         return Model()
     return Model(good, bad, raw_good, *logistic(np.array([r[1:3] for r in found]), y))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every row with score (0 to 1) and predicted (0 or 1) of the whole text.
-
-    A null text scores like an empty one: both sizes are 0, and the curve's value there is replaced by 0.5, since
-    nothing speaks for or against it.
-    """
+def _scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every row, and ``__score``."""
     def curve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.c_[batch.column("_saved").to_numpy(), batch.column("_mean").to_numpy()]
+            found = np.c_[batch.column("__saved").to_numpy(), batch.column("__mean").to_numpy()]
             value = np.where((found == 0).all(axis=1), 0.5, model.score(found))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(value)], [*keep, "_score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(value)], [*keep, "__score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    scored = _sizes_table(docs, model, keep).mapInArrow(curve, f"{schema}, _score double")
+    return _sizes_table(docs, model, keep).mapInArrow(curve, f"{schema}, __score double")
+
+
+def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every row with score (0 to 1) and predicted (0 or 1) of the whole text.
+
+    A null text scores like an empty one: both sizes are 0, and the curve's value there is replaced by 0.5, since
+    nothing speaks for or against it.  Columns named score or predicted are replaced.
+    """
     rest = [c for c in keep if c not in ("score", "predicted")]
-    return scored.select(*rest, F.col("_score").alias("score"), (F.col("_score") >= ACCEPT).cast("int").alias("predicted"))
+    return _scored(docs, model, rest).select(*rest, F.col("__score").alias("score"), (F.col("__score") >= ACCEPT).cast("int").alias("predicted"))
 
 
 def op4_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -166,4 +170,4 @@ def op4_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    return score(docs, train(docs, labels), docs.columns).where("predicted = 1").select(*docs.columns)
+    return _scored(docs, train(docs, labels), docs.columns).where(F.col("__score") >= ACCEPT).drop("__score")

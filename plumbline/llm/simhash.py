@@ -190,8 +190,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id have no component of their own where others share their text; they stay only where no
     row of their group has an id.  Of rows that repeat the kept doc_id one stays.
     """
-    kept = simhash_groups(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    kept = simhash_groups(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates(["doc_id"])
 
 
 def op1_simhash(docs: DataFrame) -> DataFrame:

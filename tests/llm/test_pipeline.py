@@ -52,7 +52,12 @@ def test_pipeline(spark):
 
 
 def test_stages_keep_the_columns(spark):
-    docs = table(spark, FOLDER, "documents").limit(60).selectExpr("*", "1 AS place", "'x' AS key", "2L AS _n")
+    """Columns that documents have beside their own stay as they are, whatever their names."""
+    names = ["place", "key", "_n", "score", "predicted", "n_lines", "n_removed", "fp", "row", "h1", "size", "copies", "_copies", "_kept", "hash"]
+    docs = table(spark, FOLDER, "documents").limit(60).selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, FOLDER).columns == docs.columns
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
     assert mixing.copies(docs).count() == 60
