@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-PIECES = 1 << 20      # pre-tokens that a worker remembers
-STRETCHES = 1 << 18   # stretches between spaces that it remembers
+PIECES = 1 << 18      # pre-tokens that a worker remembers
+STRETCHES = 1 << 16   # stretches between spaces that it remembers
 ROWS = 64             # rows that are returned at a time
 
 
