@@ -26,6 +26,7 @@ BLOCK = 1 << 19      # ids after which a block ends, with the document that reac
 WORDS = 1 << 20      # words that a worker remembers; when full it starts again
 JOINED = 512         # new words that are tokenised in one string
 ROWS = 64            # documents that are tokenised at a time
+BLOCKS = "part int, block long, first long, n long, doc_ids array<long>, counts array<long>, bits binary, marks binary"
 
 
 # ---- codes
@@ -190,7 +191,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None)
     """Tokenise ``docs`` and write their ids in ascending doc_id order (nulls last) below ``path``.
 
     ``codes``: one row per id that occurs, with its code length.  ``blocks``: one row per block, in the order of (part,
-    block): the documents' ids and numbers of ids, the bits, and the checkpoints.  Each block decodes with the codes
+    block): the ids before it in its part and in it, the documents' ids and numbers of ids, the bits, the checkpoints.  Each block decodes with the codes
     alone.  Both are written by Spark, so any store that Spark can reach will do.
 
     Texts are tokenised once, into a written table.  Counting and coding read it again: counts are summed per task and
@@ -220,14 +221,14 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, part, block = Codes(sent.value), TaskContext.get().partitionId(), 0
-        names, held, n = [], [], 0
+        names, held, n, first = [], [], 0, 0
 
         def row():
             payload, marks = codes.encode(np.concatenate(held))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([n], pa.int64()), pa.array([names], pa.list_(pa.int64())),
+                [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([names], pa.list_(pa.int64())),
                  pa.array([[len(h) for h in held]], pa.list_(pa.int64())), pa.array([payload], pa.binary()), pa.array([marks], pa.binary())],
-                ["part", "block", "n", "doc_ids", "counts", "bits", "marks"])
+                ["part", "block", "first", "n", "doc_ids", "counts", "bits", "marks"])
 
         for batch in batches:
             for name, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
@@ -236,13 +237,13 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None)
                 n += len(held[-1])
                 if n >= BLOCK:
                     yield row()
-                    names, held, n, block = [], [], 0, block + 1
+                    names, held, n, first, block = [], [], 0, first + n, block + 1
         if names:
             yield row()
 
     order = (F.col("doc_id").asc_nulls_last(), F.crc32("ids").asc())
     ids.withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
-        encode, "part int, block long, n long, doc_ids array<long>, counts array<long>, bits binary, marks binary") \
+        encode, BLOCKS) \
         .write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -256,10 +257,10 @@ def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of every document in the files; start counts the ids of all documents before it.
 
-    Blocks are decoded where they are read.  A block's start is the sum of the parts before its part and of the blocks
-    before it in its part, both from the blocks' counts alone.
+    Blocks are decoded where they are read, and nothing is shuffled.  A block's start is the number of ids before it in
+    its part, which it holds, and in the parts before, one number per task that wrote: these are broadcast.
     """
-    blocks = spark.read.schema("part int, block long, n long, doc_ids array<long>, counts array<long>, bits binary, marks binary").parquet(f"{path}/blocks")
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     lengths = spark.read.schema("id long, bits int").parquet(f"{path}/codes").toPandas()
     table = np.zeros(int(lengths["id"].max()) + 1 if len(lengths) else 0, np.uint8)
     table[lengths["id"].to_numpy(np.int64)] = lengths["bits"].to_numpy(np.uint8)
@@ -274,18 +275,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 ids = codes.decode(row["bits"][0].as_py(), row["marks"][0].as_py(), n).astype("<u4")
                 ends = np.cumsum(counts)
                 pieces = [ids[e - c:e].tobytes() for c, e in zip(counts.tolist(), ends.tolist())]
-                m = len(pieces)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, row["part"][0].as_py(), np.int32)), pa.array(np.full(m, row["block"][0].as_py(), np.int64)),
-                     names, pa.array(ends - counts), pa.array(pieces, pa.binary())], ["part", "block", "doc_id", "inside", "ids"])
-
-    before = (Window.unboundedPreceding, -1)
-    parts = blocks.groupBy("part").agg(F.sum("n").alias("n")) \
-        .select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*before)), F.lit(0)).alias("ahead"))
-    starts = blocks.select("part", "block", F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("block").rowsBetween(*before)), F.lit(0)).alias("first")) \
-        .join(parts, F.col("part") == F.col("p")).select(F.col("part").alias("p"), F.col("block").alias("b"), (F.col("first") + F.col("ahead")).alias("first"))
-    rows = blocks.mapInArrow(decode, "part int, block long, doc_id long, inside long, ids binary")
-    return rows.join(starts, (F.col("part") == F.col("p")) & (F.col("block") == F.col("b"))).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "ids")
+                part = np.full(len(pieces), row["part"][0].as_py(), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), names, pa.array(ends - counts + row["first"][0].as_py()), pa.array(pieces, pa.binary())],
+                                                 ["part", "doc_id", "inside", "ids"])
+
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = blocks.groupBy("part").agg(F.sum("n").alias("n")).select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    rows = blocks.mapInArrow(decode, "part int, doc_id long, inside long, ids binary")
+    return rows.join(F.broadcast(parts), F.col("part") == F.col("p")).select("doc_id", (F.col("ahead") + F.col("inside")).alias("start"), "ids")
 
 
 def op8_token_files(docs: DataFrame) -> DataFrame:
