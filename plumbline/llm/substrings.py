@@ -16,6 +16,7 @@ from plumbline.llm.common import sieve, sifted, written
 WINDOW = 50     # words that a repeated passage has at least
 ANCHOR = 32     # words of an anchor; every window holds one
 SHARD = 256     # contexts of one automaton; more go by their windows' hashes
+ROWS = 1 << 14  # rows that are returned at a time
 FREE = WINDOW - ANCHOR
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
@@ -137,17 +138,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, row, anchor, context, start, size) of every anchor; its context holds all windows with the anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, n = ["doc_id", "row", "anchor", "context", "start", "size"], [], 0
         for batch in batches:
+            texts, ids, rows = batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
             for at in range(batch.num_rows):
-                hashes = word_hashes(batch.column("text")[at].as_py())
+                hashes = word_hashes(texts[at].as_py())
                 place, found = anchors(hashes)
                 if len(place):
                     start, end = np.maximum(0, place - FREE), np.minimum(len(hashes), place + WINDOW)
-                    same = lambda name: pa.array(np.full(len(place), batch.column(name)[at].as_py(), np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [same("doc_id"), same("row"), pa.array(found.view(np.int64)), pa.array(span_hashes(hashes, start, end).view(np.int64)),
-                         pa.array(start.astype(np.int32)), pa.array((end - start).astype(np.int32))],
-                        ["doc_id", "row", "anchor", "context", "start", "size"])
+                    held.append((np.full(len(place), ids[at]), np.full(len(place), rows[at]), found.view(np.int64),
+                                 span_hashes(hashes, start, end).view(np.int64), start.astype(np.int32), (end - start).astype(np.int32)))
+                    n += len(place)
+                if n >= ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+                    held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
 
     rows = _keyed(docs).where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(run, "doc_id long, row long, anchor long, context long, start int, size int")
@@ -225,7 +231,8 @@ def _by_windows(passages: DataFrame) -> DataFrame:
 
     windows = cut_lineage(passages.mapInArrow(run, "anchor long, context long, first long, s int, window long"))
     least = windows.groupBy("anchor", "window").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most")
-    return windows.join(least, ["anchor", "window"]).where("least < first").select("anchor", "context", "s", (F.col("s") + WINDOW).alias("e"))
+    found = windows.join(least, ["anchor", "window"]).where("least < first").select("anchor", "context", "s", (F.col("s") + WINDOW).alias("e"))
+    return cut_lineage(found)    # a plan of its own: adaptive execution can split its join where a window is hot
 
 
 def repeated_spans(docs: DataFrame, shard: int = SHARD) -> DataFrame:
@@ -281,22 +288,23 @@ def dedup_substrings(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     both = hit.select(*rest, "text", "__spans").unionByName(missed.select(*rest, "text", "__spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, n, removed = [], [], []
-            for at in range(batch.num_rows):
-                words = (batch.column("text")[at].as_py() or "").encode().split()
-                spans = batch.column("__spans")[at]
-                n.append(len(words))
-                if spans.is_valid:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, spans.values.field("s").to_numpy(), 1)
-                    np.add.at(edge, spans.values.field("e").to_numpy(), -1)
-                    covered = np.cumsum(edge[:-1]) > 0
-                    words = [w for w, c in zip(words, covered.tolist()) if not c]
-                removed.append(n[-1] - len(words))
-                texts.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())],
-                                             [*rest, "text", "n_words", "n_removed"])
+        for whole in batches:
+            for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+                texts, n, removed = [], [], []
+                for at in range(batch.num_rows):
+                    words = (batch.column("text")[at].as_py() or "").encode().split()
+                    spans = batch.column("__spans")[at]
+                    n.append(len(words))
+                    if spans.is_valid:
+                        edge = np.zeros(len(words) + 1, np.int64)
+                        np.add.at(edge, spans.values.field("s").to_numpy(), 1)
+                        np.add.at(edge, spans.values.field("e").to_numpy(), -1)
+                        covered = np.cumsum(edge[:-1]) > 0
+                        words = [w for w, c in zip(words, covered.tolist()) if not c]
+                    removed.append(n[-1] - len(words))
+                    texts.append(b" ".join(words).decode())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())],
+                                                 [*rest, "text", "n_words", "n_removed"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     done = both.mapInArrow(run, f"{schema}, text string, n_words long, n_removed long")
