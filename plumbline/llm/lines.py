@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from plumbline.functions.settings import cut_lineage
 from plumbline.llm.common import sieve, sifted
 
-BOUND = 1          # edits (insertion, deletion or change of one character) between lines that match
+BOUND = 1          # edits (insertion, deletion or change of one character) between lines that match; fixed by the variants
 LEAST = 10         # characters of the shorter of two lines that match without being equal
-PIECE = 24         # characters of a piece, at least; longer lines have pieces of the root of their length
+WORDS = 6          # words of the shorter of two lines that match with one word apart
+PIECE = 24         # characters (or words) of a piece, at least; longer lines have pieces of the root of their length
 PLACE = 1 << 31    # lines of one document that places can tell apart
 
 
@@ -26,16 +27,28 @@ def _visible(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def _halves(line: Column) -> list[Column]:
+def _symbols(docs: DataFrame, word: int) -> DataFrame:
+    """``_lines`` with each line as what edits count: a string of characters, or with ``word`` an array of words."""
+    rows = _lines(docs)
+    return rows.withColumn("line", F.split("line", " ", -1)) if word else rows
+
+
+def _ways(word: int):
+    """How lines of characters, or of words, are cut, how long they are, and the least length that matches."""
+    return (F.slice, F.size, WORDS) if word else (F.substring, F.length, LEAST)
+
+
+def _halves(line: Column, word: int) -> list[Column]:
     """For both lengths that a line can be matched at, its own and one less: hash of the first half, and of the second."""
-    size = F.length(line)
+    part, length, enough = _ways(word)
+    size = length(line)
     out = []
     for less in (0, 1):
         base = size - less
         front = F.floor(base / 2).cast("int")
         back = base - front
-        for side, half in ((0, F.substring(line, F.lit(1), front)), (1, F.substring(line, size - back + 1, back))):
-            out.append(F.when(base >= LEAST, F.xxhash64(F.lit(side), base, half)))
+        for side, half in ((0, part(line, F.lit(1), front)), (1, part(line, size - back + 1, back))):
+            out.append(F.when(base >= enough, F.xxhash64(F.lit(side), base, half)))
     return out
 
 
@@ -44,44 +57,56 @@ def _several(keys: DataFrame, key: str) -> DataFrame:
     return keys.groupBy(key).agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select(key)
 
 
-def _candidates(docs: DataFrame, shared: DataFrame) -> DataFrame:
+def _candidates(docs: DataFrame, shared: DataFrame, word: int) -> DataFrame:
     """Lines under each shared half: place, h1, h2, key, less, and what is left of the line without that half.
 
     The filter drops most lines before anything is shuffled; the join decides.
     """
-    rows, bits = _lines(docs), sieve(shared)
+    part, length, _ = _ways(word)
+    rows, bits = _symbols(docs, word), sieve(shared)
     keys = [f"k{i}" for i in range(4)]
-    rows = rows.withColumns(dict(zip(keys, _halves(F.col("line")))))
+    rows = rows.withColumns(dict(zip(keys, _halves(F.col("line"), word))))
     for k in keys:
         rows = sifted(rows, k, bits, "hit").withColumn(k, F.when(F.col("hit"), F.col(k))).drop("hit")
-    size = F.length("line")
+    size = length("line")
     found = []
     for i, k in enumerate(keys):
         less, side = divmod(i, 2)
         front = F.floor((size - less) / 2).cast("int")
-        rest = F.substring("line", front + 1, size) if side == 0 else F.substring("line", F.lit(1), front + less)
+        rest = part("line", front + 1, size) if side == 0 else part("line", F.lit(1), front + less)
         found.append(F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("key"), F.lit(less).alias("less"), rest.alias("rest"))))
     rows = rows.select("place", "h1", "h2", F.explode(F.array_compact(F.array(*found))).alias("c")).select("place", "h1", "h2", "c.*")
     return rows.join(shared, "key")
 
 
-def _pieces(found: DataFrame) -> DataFrame:
+def _pieces(found: DataFrame, word: int) -> DataFrame:
     """The rest of a line in pieces: the part that may differ, under a hash of all that must be equal around it."""
+    part, length, _ = _ways(word)
     base = F.col("base")
     wide = F.greatest(F.lit(PIECE), F.ceil(F.sqrt(base)).cast("int"))
-    cut = found.withColumn("base", F.length("rest") - F.col("less")).withColumn("wide", wide) \
+    cut = found.withColumn("base", length("rest") - F.col("less")).withColumn("wide", wide) \
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(base / F.col("wide")).cast("int") - 1))))
     ahead = F.col("j") * F.col("wide")
     behind = F.greatest(F.lit(0), base - ahead - F.col("wide"))
-    size = F.length("rest")
+    size = length("rest")
     return cut.select(
         "place", "h1", "h2", "less",
-        F.xxhash64("key", "j", F.substring("rest", F.lit(1), ahead), F.lit("\n"), F.substring("rest", size - behind + 1, behind)).alias("piece"),
-        F.substring("rest", ahead + 1, size - ahead - behind).alias("middle"))
+        F.xxhash64("key", "j", part("rest", F.lit(1), ahead), F.lit("\n"), part("rest", size - behind + 1, behind)).alias("piece"),
+        part("rest", ahead + 1, size - ahead - behind).alias("middle"))
+
+
+def near_lines(docs: DataFrame, word: int = 0) -> DataFrame:
+    """(h1, h2) of lines for which an earlier line, different from it, is within the edit bound, or one word apart.
+
+    Lines are one word apart when one word of up to ``word`` characters is changed to another such, added, or left out;
+    the method is the same for both, with characters or words as symbols.
+    """
+    near = _near(docs, 0)
+    return near.union(_near(docs, word)).distinct() if word else near
 
 
-def near_lines(docs: DataFrame) -> DataFrame:
-    """(h1, h2) of lines for which an earlier line, different from it, is within the edit bound.
+def _near(docs: DataFrame, word: int) -> DataFrame:
+    """(h1, h2) of lines for which an earlier line is one symbol apart: a character, or a word of up to ``word`` of them.
 
     Method: the deletion neighbourhood of a line are the line and its variants with one character deleted.  Two lines
     of one length are one change apart if deleting at the same position makes them equal; a line is one insertion apart
@@ -95,18 +120,22 @@ def near_lines(docs: DataFrame) -> DataFrame:
     A key gets its earliest line by a minimum, and every line of the key is checked against that one alone, so no pairs
     are formed; the edit distance of the two decides.  All lines under a change key are one change apart, and under an
     insertion key each variant is one insertion from the one line without deletion, so the earliest is all that counts.
+    For words that holds as a word over ``word`` characters is never deleted; all others are that far apart at most.
     """
-    halves = _lines(docs).select("h1", F.explode(F.array_compact(F.array(*_halves(F.col("line"))))).alias("key"))
+    part, length, _ = _ways(word)
+    halves = _symbols(docs, word).select("h1", F.explode(F.array_compact(F.array(*_halves(F.col("line"), word)))).alias("key"))
     shared = cut_lineage(_several(halves, "key"))
-    pieces = _pieces(_candidates(docs, shared)).groupBy("piece", "h1", "h2", "less", "middle").agg(F.min("place").alias("place"))
+    pieces = _pieces(_candidates(docs, shared, word), word).groupBy("piece", "h1", "h2", "less", "middle").agg(F.min("place").alias("place"))
     pieces = cut_lineage(pieces)
     pieces = pieces.join(_several(pieces, "piece"), "piece")
-    spots = F.sequence(F.lit(1), F.length("middle"))
-    shorter = lambda i: F.concat(F.substring("middle", F.lit(1), i - 1), F.substring("middle", i + 1, F.length("middle")))
+    spots = F.sequence(F.lit(1), F.greatest(F.lit(1), length("middle")))
+    if word:
+        spots = F.filter(spots, lambda i: F.length(F.get("middle", i - 1)) <= word)
+    shorter = lambda i: F.concat(part("middle", F.lit(1), i - 1), part("middle", i + 1, length("middle")))
     change = F.transform(spots, lambda i: F.struct(F.lit("change").alias("kind"), F.xxhash64(F.col("piece"), i, shorter(i)).alias("variant")))
     whole = F.array(F.struct(F.lit("whole").alias("kind"), F.xxhash64("piece", F.lit(0), "middle").alias("variant")))
     longer = F.transform(spots, lambda i: F.struct(F.lit("longer").alias("kind"), F.xxhash64(F.col("piece"), F.lit(0), shorter(i)).alias("variant")))
-    some = F.length("middle") > 0
+    some = length("middle") > 0
     variants = pieces.withColumn("v", F.explode(F.when(F.col("less") == 1, longer).when(some, F.concat(whole, change)).otherwise(whole))) \
         .select("h1", "h2", "place", "middle", "v.kind", "v.variant")
     variants = cut_lineage(variants.distinct())
@@ -116,13 +145,15 @@ def near_lines(docs: DataFrame) -> DataFrame:
     earlier = F.when(F.col("kind") == "change", F.col("change")).when(F.col("kind") == "whole", F.col("longer")).otherwise(F.col("whole"))
     later = variants.join(first, "variant").withColumn("earlier", earlier).where("earlier < place").select("variant", "h1", "h2", "middle", "earlier")
     partner = variants.select("variant", F.col("place").alias("earlier"), F.col("middle").alias("other")).distinct()
+    whole_text = lambda c: F.concat_ws(" ", c) if word else F.col(c)
+    most = word + 1 if word else BOUND    # a word that is added brings a space
     return later.join(partner, ["variant", "earlier"]) \
-        .where(F.levenshtein("middle", "other", BOUND).between(0, BOUND)).select("h1", "h2").distinct()
+        .where(F.levenshtein(whole_text("middle"), whole_text("other"), most).between(0, most)).select("h1", "h2").distinct()
 
 
-def _deduplicated(docs: DataFrame) -> DataFrame:
+def _deduplicated(docs: DataFrame, word: int) -> DataFrame:
     firsts = _lines(docs).groupBy("h1", "h2").agg(F.min("place").alias("place"))
-    kept = firsts.join(near_lines(docs), ["h1", "h2"], "left_anti")
+    kept = firsts.join(near_lines(docs, word), ["h1", "h2"], "left_anti")
     step = F.lit(PLACE).cast("decimal(38,0)")
     kept = kept.withColumn("number", ((F.col("place") - F.pmod("place", step)) / step).cast("decimal(20,0)").cast("long")) \
         .groupBy("number").agg(F.collect_list(F.struct(F.pmod("place", step).cast("int").alias("pos"), F.col("h1"))).alias("__kept"))
@@ -139,11 +170,12 @@ def _deduplicated(docs: DataFrame) -> DataFrame:
                          F.coalesce(n - F.size("__chosen"), F.lit(0)).cast("long").alias("__n_removed"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, word: int = 0) -> DataFrame:
     """``docs`` with the lines of each text that an earlier line matches removed, and n_lines and n_removed appended.
 
     Lines are what stands between line feeds.  Two lines match when they are equal or, from ``LEAST`` characters on,
-    at most ``BOUND`` edit apart.  Lines are ordered by doc_id (null last), then position; a line is removed when any
+    at most ``BOUND`` edit apart, or, from ``WORDS`` words on, one word of up to ``word`` characters apart (changed, added
+    or left out; words are what stands between spaces; 0 leaves this out).  Lines are ordered by doc_id (null last), then position; a line is removed when any
     line before it, kept or not, matches it.  So the earliest of a chain of matching lines always stays.  Blank lines
     match nothing and stay.  The other lines keep their order and are joined by line feeds again.
 
@@ -154,13 +186,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     at the same places, and equal lines at one place stay in all of them.  Empty input gives no rows.  Columns named
     n_lines or n_removed are replaced; all others stay.
     """
-    out = _deduplicated(docs.drop("n_lines", "n_removed"))
+    out = _deduplicated(docs.drop("n_lines", "n_removed"), word)
     return out.withColumnsRenamed({"__n_lines": "n_lines", "__n_removed": "n_removed"})
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, word: int = 0) -> DataFrame:
     """``dedup_lines`` with the columns of ``docs`` and no others."""
-    return _deduplicated(docs).select(*docs.columns)
+    return _deduplicated(docs, word).select(*docs.columns)
 
 
 def op9_line_dedup(docs: DataFrame) -> DataFrame:

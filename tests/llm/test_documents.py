@@ -119,6 +119,45 @@ def test_lines_long_and_repeated(spark):
     assert got == [(0, 1, ""), (1, 0, long), (2, 0, "new line here\nother words now"), (2, 1, "new line here"), (3, 2, ""), (3, 2, "")]
 
 
+def one_word_apart(x, y, word):
+    """One word of up to ``word`` characters is changed, added or left out, in lines of enough words."""
+    x, y = sorted((x.split(" "), y.split(" ")), key=len)
+    if len(x) < lines.WORDS or len(y) - len(x) > 1:
+        return False
+    if len(x) == len(y):
+        other = [(a, b) for a, b in zip(x, y) if a != b]
+        return len(other) == 1 and max(map(len, other[0])) <= word
+    return any(len(y[i]) <= word and y[:i] + y[i + 1:] == x for i in range(len(y)))
+
+
+def test_lines_a_word_apart(spark):
+    draw = random.Random(11)
+    base = [" ".join("".join(draw.choice("abcdé") for _ in range(draw.randrange(1, 12))) for _ in range(n)) for n in (5, 6, 7, 12, 60)]
+
+    def edit(x):
+        w = x.split(" ")
+        at = draw.randrange(len(w))
+        new = [draw.choice(["other", "longer word", "far", "toolongaword", "", "exactlyx"])]
+        return " ".join([w[:at] + w[at + 1:], w[:at] + new + w[at:], w[:at] + new + w[at + 1:]][draw.randrange(3)])
+
+    texts = ["\n".join(draw.choice([x, edit(x), edit(edit(x))]) for x in draw.sample(base, 3)) for _ in range(40)]
+    seen = [(i, p, x) for i, t in enumerate(texts) for p, x in enumerate(t.split("\n"))]
+
+    def one_edit_apart(x, y):
+        x, y = sorted((x, y), key=len)
+        same = next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), len(x))
+        return len(x) >= lines.LEAST and (x[same + 1:] == y[same + 1:] if len(x) == len(y) else len(y) - len(x) == 1 and x[same:] == y[same + 1:])
+
+    near = lambda x, y, word: x == y or one_edit_apart(x, y) or word and one_word_apart(x, y, word)
+    counts = []
+    for word in (0, 3, 8):
+        gone = {(i, p) for n, (i, p, x) in enumerate(seen) if any(near(x, y, word) for _, _, y in seen[:n])}
+        want = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in enumerate(texts)}
+        assert {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]), word).collect()} == want
+        counts.append(len(gone))
+    assert counts[0] < counts[1] < counts[2]
+
+
 def fill(sizes, weights=(3, 1, 2)):
     """Targets by sharing the excess again until no source is above twice its size."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
