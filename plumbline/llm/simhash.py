@@ -55,15 +55,17 @@ def _column_sums(bits: np.ndarray) -> np.ndarray:
     return sums
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) per row; fp holds the 64 bits in a long."""
+def fingerprints(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) per row, and the columns of ``more``; fp holds the 64 bits in a long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", *more])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", *more)}
+    schema = ", ".join([f"doc_id {kinds['doc_id']}", "fp long", *[f"{c} {kinds[c]}" for c in more]])
+    return docs.select("doc_id", "text", *more).mapInArrow(run, schema)
 
 
 def _segments(fp, low: int, width: int):
@@ -163,6 +165,14 @@ def near_links(prints: DataFrame, group: int = GROUP) -> DataFrame:
     return links
 
 
+def _rooted(prints: DataFrame, group: int) -> DataFrame:
+    """``prints`` (distinct fingerprints fp, with first) and the root of each one's component, which is never null."""
+    prints = cut_lineage(prints)
+    found = components(near_links(prints.select("fp"), group))
+    return prints.join(found, prints["fp"] == found["node"], "left") \
+        .select("fp", "first", F.coalesce("component", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """Near-duplicate groups: doc_id, fp (long), fingerprint (16 hex digits), component_id; one row per row of ``docs``.
 
@@ -174,10 +184,7 @@ def simhash_groups(docs: DataFrame, group: int = GROUP) -> DataFrame:
     id while its component has another.  Only doc_id and text are read.  Empty input gives no rows.
     """
     keyed = cut_lineage(fingerprints(docs))
-    prints = cut_lineage(keyed.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(near_links(prints.select("fp"), group))
-    rooted = prints.join(found, prints["fp"] == found["node"], "left") \
-        .select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    rooted = _rooted(keyed.groupBy("fp").agg(F.min("doc_id").alias("first")), group)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     return keyed.join(named, F.col("fp") == F.col("_fp"), "left") \
@@ -187,11 +194,18 @@ def simhash_groups(docs: DataFrame, group: int = GROUP) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each group: the one with the smallest doc_id, with all its columns.
 
-    Rows with a null doc_id have no component of their own where others share their text; they stay only where no
-    row of their group has an id.  Of rows that repeat the kept doc_id one stays.
+    Groups are told apart by their fingerprints, never by ids.  Null doc_ids come last, so such a row stays only where no
+    row of its group has an id; of rows with one id, or none, in a group the text with the least hash stays.  A doc_id
+    whose texts are in several groups can stay once in each.  Of rows equal in doc_id and text one stays.
     """
-    kept = simhash_groups(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    hashes = {"__h1": F.xxhash64("text"), "__h2": F.xxhash64(F.lit(1), "text")}
+    keyed = fingerprints(docs.withColumns(hashes), tuple(hashes))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *hashes)
+    rooted = _rooted(keyed.groupBy("fp").agg(F.min(order).alias("first")), GROUP)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")) \
+        .select(F.col("first.doc_id").alias("__kept_id"), F.col("first.__h1").alias("__kept_1"), F.col("first.__h2").alias("__kept_2"))
+    own = (F.col("__h1") == F.col("__kept_1")) & (F.col("__h2") == F.col("__kept_2")) & F.col("doc_id").eqNullSafe(F.col("__kept_id"))
+    return docs.withColumns(hashes).join(kept, own, "left_semi").dropDuplicates(["doc_id", *hashes]).drop(*hashes)
 
 
 def op1_simhash(docs: DataFrame) -> DataFrame:

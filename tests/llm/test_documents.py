@@ -81,6 +81,15 @@ def test_substrings_with_odd_ids(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in out.collect()) == [(0, 0), (5, 0), (5, 0), (5, 0), (6, 60)]
 
 
+def test_near_copies_without_ids_and_with_repeated_ids(spark):
+    """Every group keeps one row, whatever the ids: rows without an id in groups of their own all stay."""
+    alone = [" ".join(words(200 + k, 60)) for k in range(6)]
+    shared, other = " ".join(words(301, 80)), " ".join(words(302, 80))
+    rows = [*[(None, t, "a") for t in alone], (None, alone[0], "a"), (None, shared, "b"), (4, shared, "b"), (9, shared, "b"), (9, other, "b"), (9, other, "b"), (None, None, "c")]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in simhash.drop_near_copies(frame(spark, rows).repartition(5)).collect())
+    assert kept == sorted([*[(0, t) for t in alone], (4, shared), (9, other), (0, "")])
+
+
 def brute_lines(rows):
     seen = [(i, p, x) for i, t in rows if t is not None for p, x in enumerate(t.split("\n"))]
     visible = sorted(x for x in seen if x[2].strip(" \t\n\x0b\f\r"))
