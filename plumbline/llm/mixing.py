@@ -93,17 +93,23 @@ def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``.
 
-    Documents are matched by doc_id, source and size, so rows that repeat a doc_id are to differ in source or size;
-    equal rows get the same number each, the mean of theirs rounded.
+    Documents are matched by doc_id, source and size.  Rows that are equal in these share the copies that ``copies``
+    gave them, one by one in the order of a hash of their texts, so that each still stands as often as it was taken.
     """
     names = docs.columns
-    taken = copies(docs, **options).where("copies > 0").groupBy("doc_id", "source", "size") \
-        .agg(F.sum("copies").alias("__mix_copies"), F.count("*").alias("__mix_rows")) \
+    taken = copies(docs, **options).groupBy("doc_id", "source", "size") \
+        .agg(F.sum("copies").alias("__mix_copies"), F.count("*").alias("__mix_rows")).where("__mix_copies > 0") \
         .selectExpr("doc_id AS __mix_doc", "source AS __mix_source", "size AS __mix_size", "__mix_copies", "__mix_rows")
+    taken = cut_lineage(taken)
     sized = docs.withColumn("__mix_n", word_count(F.col("text")))
-    joined = sized.join(taken, same("doc_id", "__mix_doc") & same("source", "__mix_source") & (F.col("__mix_n") == F.col("__mix_size"))) \
-        .where("round(__mix_copies / __mix_rows) > 0")
-    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.round(F.col("__mix_copies") / F.col("__mix_rows")).cast("int")))).select(*names)
+    match = same("doc_id", "__mix_doc") & same("source", "__mix_source") & (F.col("__mix_n") == F.col("__mix_size"))
+    alone = sized.join(taken.where("__mix_rows = 1"), match).withColumn("__mix_times", F.col("__mix_copies"))
+    order = Window.partitionBy("__mix_doc", "__mix_source", "__mix_size").orderBy(F.xxhash64("text"))
+    several = sized.join(taken.where("__mix_rows > 1"), match).withColumn("__mix_row", F.row_number().over(order)) \
+        .withColumn("__mix_times", F.expr("__mix_copies div __mix_rows + CAST(__mix_row <= __mix_copies % __mix_rows AS long)")) \
+        .where("__mix_times > 0").drop("__mix_row")
+    joined = alone.union(several)
+    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_times").cast("int")))).select(*names)
 
 
 def op10_mix_sources(docs: DataFrame) -> DataFrame:

@@ -202,6 +202,18 @@ def test_mixing(spark, rows):
     assert all(got.count(r.doc_id) == r.copies for r in out)
 
 
+def test_mix_of_rows_without_ids(spark):
+    """Rows equal in doc_id, source and size are taken as often, together, as their copies say."""
+    rows = [*[(None, " ".join(words(400 + k, 20)), "a") for k in range(50)], *[(7, "same text here", "b") for _ in range(30)], *[(100 + k, "one two", "c") for k in range(40)]]
+    docs = frame(spark, rows)
+    for weights in ((1, 6, 6), (6, 1, 3)):
+        want = {r.source: r.n for r in mixing.copies(docs, weights=weights).groupBy("source").agg({"copies": "sum"}).withColumnRenamed("sum(copies)", "n").collect()}
+        got = {r.source: r["count"] for r in mixing.mix(docs, weights=weights).groupBy("source").count().collect()}
+        assert got == {s: n for s, n in want.items() if n} and any(n % 50 for n in want.values())
+        most = mixing.mix(docs, weights=weights).where("source = 'a'").groupBy("text").count().agg({"count": "max"}).first()[0]
+        assert most <= -(-want["a"] // 50)
+
+
 def test_mixing_is_near_its_targets(spark):
     draw = random.Random(2)
     many = [(k, " ".join(["w"] * int(draw.paretovariate(1.2) * 5)), draw.choice(["a", "a", "a", "b", "c", None])) for k in range(3000)]
