@@ -33,12 +33,15 @@ def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def tile_nearest(query_ids, queries, ids, vectors, k: int):
-    """Per query the k smallest (distance, id) among ``vectors``, the query's own id left out.
+    """Per query the k smallest (distance, id) among ``vectors``, each id once and the query's own left out.
 
     The product of the int8 rows gives each distance up to a bound from what rounding left over.  A candidate survives
     when its least possible distance is not above the k-th smallest greatest possible one, nor above the worst of the
-    heap; survivors are computed again from the original numbers.
+    heap; survivors are computed again from the original numbers.  Rows of one id count as one place for both limits.
     """
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
+    repeated = bool((ids[1:] == ids[:-1]).any())
     heaps: list[list[tuple[float, int]]] = [[] for _ in query_ids]
     q8, q_scale, q_rest = quantised(queries)
     q_long = np.sqrt((queries ** 2).sum(axis=1))
@@ -53,11 +56,18 @@ def tile_nearest(query_ids, queries, ids, vectors, k: int):
         around = squares - 2 * dots
         other = own != query_ids[:, None]
         most = np.where(other, around + slack, np.inf)
-        edge = np.partition(most, k - 1, axis=1)[:, k - 1] if len(own) > k else np.full(len(query_ids), np.inf)
+        if repeated:    # the rows of an id stand together
+            most = np.minimum.reduceat(most, np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))), axis=1)
+        edge = np.partition(most, k - 1, axis=1)[:, k - 1] if most.shape[1] > k else np.full(len(query_ids), np.inf)
         worst = np.array([(-h[0][0]) ** 2 * (1 + 1e-9) if len(h) == k else np.inf for h in heaps])
         i, j = np.nonzero(other & (around - slack <= np.minimum(edge, worst)[:, None]))
         for a, score, name in zip(i.tolist(), _exact(queries[i], y[j]).tolist(), own[j].tolist()):
-            if len(heaps[a]) < k:
+            held = next((n for n, (_, x) in enumerate(heaps[a]) if x == -name), None) if repeated else None
+            if held is not None:
+                if -score > heaps[a][held][0]:
+                    heaps[a][held] = (-score, -name)
+                    heapq.heapify(heaps[a])
+            elif len(heaps[a]) < k:
                 heapq.heappush(heaps[a], (-score, -name))
             elif (-score, -name) > heaps[a][0]:
                 heapq.heapreplace(heaps[a], (-score, -name))

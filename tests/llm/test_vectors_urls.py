@@ -61,6 +61,14 @@ def test_nearest_ties_and_few(spark):
     assert nearest.nearest(vectors(spark, [])).count() == 0
 
 
+def test_nearest_of_an_id_with_many_vectors(spark):
+    """An id with more vectors near the query than there are places takes one place."""
+    rows = [(100, [1.0, 0.0], 1), *[(1, [1.0, 0.001 * k], 1) for k in range(1, 13)], *[(k, [1.0, 0.1 * k], 1) for k in range(2, 14)]]
+    for order in (rows, rows[::-1]):
+        got = [(r["rank"], r.vec_id, round(r.score, 5)) for r in nearest.nearest(vectors(spark, order)).orderBy("rank").collect()]
+        assert got == [(1, 1, 0.001), *[(k, k, round(0.1 * k, 5)) for k in range(2, 11)]]
+
+
 def test_embedding_links(spark, rows):
     named = [r for r in rows if r[0] is not None]
     once = {(i, None if v is None else tuple(map(str, v)), lab): (i, v, lab) for i, v, lab in named}
