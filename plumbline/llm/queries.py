@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import byte_bpe, hard_negatives, lines, mixing, nearest, quality, simhash, substrings, token_files, urls, vector_dedup
+from plumbline.llm import alignment, byte_bpe, hard_negatives, lines, mixing, nearest, quality, simhash, substrings, token_files, urls, vector_dedup
 from plumbline.llm.common import table
 
 
@@ -37,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": _documents(token_files.op8_token_files),
     "op9_line_dedup": _documents(lines.op9_line_dedup),
     "op10_mix_sources": _documents(mixing.op10_mix_sources),
+    "op11_token_alignment": _documents(alignment.op11_token_alignment),
     "op12_hard_negatives": _embeddings(hard_negatives.op12_hard_negatives),
 }
 
@@ -45,5 +46,6 @@ ORACLE_SQL = {
     "op6_url_filters": urls.OP6_SQL,
     "op9_line_dedup": lines.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
+    "op11_token_alignment": _documents(alignment.op11_token_alignment),
     "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
