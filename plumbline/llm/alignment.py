@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -22,7 +23,7 @@ from plumbline.llm.common import written
 FIRST = "byte_bpe_50k.json"
 SECOND = "piece_bpe_32k.model"
 PIECE = 1 << 20          # characters that are aligned at a time; longer texts are cut where both tokenizers part
-WORDS = 1 << 17          # words that a worker remembers; when full it starts again
+WORDS = 1 << 19          # words that a worker remembers; when full it starts again
 LONGEST = 64             # characters of the longest word that is remembered
 WIDE = 1024              # links of a group from which its tokens are counted by id first
 HELD = 1 << 22           # id pairs that a task counts before it hands them on
@@ -72,35 +73,78 @@ class Tokens:
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.whole = any(" " in t.lstrip() for t in (x.decode(errors="replace") for x in [*self.bytes_a, *self.bytes_b]))
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.known: dict[str, int] = {}
+        self.stores = (Store(), Store())
+
+    def parts(self, text: str) -> list[str]:
+        return [text] if self.whole else parts(text)
 
     def _learn(self, new: list[str]) -> None:
         a = self.first.encode_batch_fast([" " + p for p in new], add_special_tokens=False)
+        self.stores[0].add([x.ids for x in a])
         ahead = "" if self.whole else "x "    # an empty part alone would lose its space
-        b = self.second.encode([ahead + p for p in new], num_threads=1)
         skip = 0 if self.whole else len(self.second.encode("x"))
-        self.known[0].update((p, np.array(x.ids, "<i4").tobytes()) for p, x in zip(new, a))
-        self.known[1].update((p, np.array(x[skip:], "<i4").tobytes()) for p, x in zip(new, b))
-
-    def parts(self, text: str) -> list[str]:
-        return [text] if self.whole else parts(text)
-
-    def encode(self, pieces: list[list[str]]) -> tuple[list[bytes], list[bytes]]:
-        """Per piece, which is a list of parts, the ids by the first and by the second tokenizer."""
-        new = set().union(*pieces).difference(self.known[0])
-        if len(self.known[0]) + len(new) > WORDS:
-            for known in self.known:
-                known.clear()
+        self.stores[1].add(self.second.encode([ahead + p for p in new], num_threads=1), skip)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+
+    def encode(self, pieces: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By each tokenizer the ids of all pieces, which are lists of parts, and the bounds of the pieces among them."""
+        new = set().union(*pieces).difference(self.known)
+        if len(self.known) + len(new) > WORDS:
+            self.known.clear()
+            for store in self.stores:
+                store.cut(0)
             new = set().union(*pieces)
-        if new:
-            self._learn(list(new))
-        out = tuple([b"".join(map(known.__getitem__, p)) for p in pieces] for known in self.known)
-        for word in new:
-            if len(word) > LONGEST:
-                del self.known[0][word], self.known[1][word]
+        long = [p for p in new if len(p) > LONGEST]
+        self._learn(list(new.difference(long)))
+        kept = len(self.known)
+        self._learn(long)
+        words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(pieces)), np.int64)
+        ends = _after([len(p) for p in pieces])
+        out = []
+        for store in self.stores:
+            ids, bounds = store.take(words)
+            out.append((ids, bounds[ends]))
+            store.cut(kept)
+        for p in long:
+            del self.known[p]
         return out
 
 
+class Store:
+    """Lists of ids, one behind the other."""
+
+    def __init__(self):
+        self.ids, self.bounds, self.n = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, lists: list[list[int]], skip: int = 0) -> None:
+        ends = self.bounds[self.n] + np.cumsum([len(x) - skip for x in lists], dtype=np.int64)
+        values = np.fromiter(chain.from_iterable(x[skip:] if skip else x for x in lists), np.int32)
+        last = int(self.bounds[self.n]) + len(values)
+        if last > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty(last, np.int32)))
+        if self.n + len(lists) >= len(self.bounds):
+            self.bounds = np.concatenate((self.bounds, np.empty(self.n + len(lists), np.int64)))
+        self.ids[last - len(values):last] = values
+        self.bounds[self.n + 1:self.n + 1 + len(lists)] = ends
+        self.n += len(lists)
+
+    def cut(self, n: int) -> None:
+        self.n = n
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the lists at ``places``, and the bounds of these lists."""
+        starts = self.bounds[places]
+        lengths = self.bounds[places + 1] - starts
+        bounds = _after(lengths)
+        return self.ids[np.repeat(starts - bounds[:-1], lengths) + np.arange(bounds[-1])], bounds
+
+
+def _after(lengths) -> np.ndarray:
+    """Where each of adjoining stretches starts, and where the last one ends."""
+    return np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+
+
 @lru_cache(2)
 def aligner(first: str, second: bytes) -> Aligner:
     return Aligner(Tokens(first, second))
@@ -142,11 +186,6 @@ def counted(keys: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[order], times[order]
 
 
-def _after(lengths: np.ndarray) -> np.ndarray:
-    """Where each of adjoining stretches starts, and where the last one ends."""
-    return np.concatenate(([0], np.cumsum(lengths)))
-
-
 class Aligner:
     """Groups, links and id pairs of many pieces of text at once, in Arrow."""
 
@@ -158,10 +197,9 @@ class Aligner:
         self.length = tuple(pa.array([len(x) for x in t], pa.int64()) for t in (tokens.bytes_a, tokens.bytes_b))
         self.names = pa.array([f"{i}{mark}" for marks, n in ((",|", self.size_a), (",;", self.size_b)) for mark in marks for i in range(n)], pa.binary())
 
-    def _measured(self, found: list[bytes], side: int):
-        """The ids of all pieces, the bounds of pieces, each id's piece, and the byte of the piece at which it ends."""
-        bounds = _after([len(f) // 4 for f in found])
-        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
+    def _measured(self, ids: np.ndarray, bounds: np.ndarray, side: int):
+        """The ids of all pieces, the bounds of pieces, each id's piece, the byte of the piece at which it ends, and the pieces' bytes."""
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
         ids, piece = pc.list_flatten(lists), pc.list_parent_indices(lists)
         total = pc.cumulative_sum(self.length[side].take(ids))
         before = pa.concat_arrays([pa.array([0], pa.int64()), total]).take(pa.array(bounds, pa.int64()))
@@ -189,10 +227,11 @@ class Aligner:
     def align(self, pieces: list[list[str]]) -> list[tuple | None]:
         """Per piece its numbers, the spelt groups, the linked id pairs and how often each is linked; None where it does not fit."""
         found = self.tokens.encode(pieces)
-        sides = [self._measured(f, side) for side, f in enumerate(found)]
+        sides = [self._measured(*f, side) for side, f in enumerate(found)]
         fits = self._fitting(sides, [b" " + " ".join(p).encode() for p in pieces])
         if not fits.all():
-            sides = [self._measured([x if ok else b"" for x, ok in zip(f, fits)], side) for side, f in enumerate(found)]
+            many = [np.diff(bounds) for _, bounds in found]
+            sides = [self._measured(ids[np.repeat(fits, n)], _after(n * fits), side) for side, ((ids, _), n) in enumerate(zip(found, many))]
         (ids_a, cut_a, piece_a, end_a, _), (ids_b, cut_b, piece_b, end_b, _) = sides
         ends = [pa.table({"key": pc.add(pc.shift_left(piece, pa.scalar(40, pa.int64())), end), name: pa.array(np.arange(len(end)))})
                 for name, piece, end in (("a", piece_a.cast(pa.int64()), end_a), ("b", piece_b.cast(pa.int64()), end_b))]
