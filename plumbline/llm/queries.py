@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import alignment, byte_bpe, hard_negatives, lines, mixing, nearest, quality, simhash, substrings, token_files, urls, vector_dedup
+from plumbline.llm import alignment, byte_bpe, hard_negatives, lines, mixing, nearest, personal, quality, simhash, substrings, token_files, urls, vector_dedup
 from plumbline.llm.common import table
 
 
@@ -39,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix_sources": _documents(mixing.op10_mix_sources),
     "op11_token_alignment": _documents(alignment.op11_token_alignment),
     "op12_hard_negatives": _embeddings(hard_negatives.op12_hard_negatives),
+    "op13_personal_data": _documents(personal.op13_personal_data),
 }
 
 ORACLE_SQL = {
