@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import Store, bounds_of, written
 
 FIRST = "byte_bpe_50k.json"
 SECOND = "piece_bpe_32k.model"
@@ -79,12 +79,16 @@ class Tokens:
     def parts(self, text: str) -> list[str]:
         return [text] if self.whole else parts(text)
 
+    def _store(self, side: int, lists: list[list[int]], skip: int = 0) -> None:
+        ids = np.fromiter(chain.from_iterable(x[skip:] if skip else x for x in lists), np.int32)
+        self.stores[side].add(ids, np.array([len(x) - skip for x in lists], np.int64))
+
     def _learn(self, new: list[str]) -> None:
         a = self.first.encode_batch_fast([" " + p for p in new], add_special_tokens=False)
-        self.stores[0].add([x.ids for x in a])
+        self._store(0, [x.ids for x in a])
         ahead = "" if self.whole else "x "    # an empty part alone would lose its space
         skip = 0 if self.whole else len(self.second.encode("x"))
-        self.stores[1].add(self.second.encode([ahead + p for p in new], num_threads=1), skip)
+        self._store(1, self.second.encode([ahead + p for p in new], num_threads=1), skip)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
 
     def encode(self, pieces: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -100,7 +104,7 @@ class Tokens:
         kept = len(self.known)
         self._learn(long)
         words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(pieces)), np.int64)
-        ends = _after([len(p) for p in pieces])
+        ends = bounds_of([len(p) for p in pieces])
         out = []
         for store in self.stores:
             ids, bounds = store.take(words)
@@ -111,40 +115,6 @@ class Tokens:
         return out
 
 
-class Store:
-    """Lists of ids, one behind the other."""
-
-    def __init__(self):
-        self.ids, self.bounds, self.n = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
-
-    def add(self, lists: list[list[int]], skip: int = 0) -> None:
-        ends = self.bounds[self.n] + np.cumsum([len(x) - skip for x in lists], dtype=np.int64)
-        values = np.fromiter(chain.from_iterable(x[skip:] if skip else x for x in lists), np.int32)
-        last = int(self.bounds[self.n]) + len(values)
-        if last > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.empty(last, np.int32)))
-        if self.n + len(lists) >= len(self.bounds):
-            self.bounds = np.concatenate((self.bounds, np.empty(self.n + len(lists), np.int64)))
-        self.ids[last - len(values):last] = values
-        self.bounds[self.n + 1:self.n + 1 + len(lists)] = ends
-        self.n += len(lists)
-
-    def cut(self, n: int) -> None:
-        self.n = n
-
-    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the lists at ``places``, and the bounds of these lists."""
-        starts = self.bounds[places]
-        lengths = self.bounds[places + 1] - starts
-        bounds = _after(lengths)
-        return self.ids[np.repeat(starts - bounds[:-1], lengths) + np.arange(bounds[-1])], bounds
-
-
-def _after(lengths) -> np.ndarray:
-    """Where each of adjoining stretches starts, and where the last one ends."""
-    return np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
-
-
 @lru_cache(2)
 def aligner(first: str, second: bytes) -> Aligner:
     return Aligner(Tokens(first, second))
@@ -231,7 +201,7 @@ class Aligner:
         fits = self._fitting(sides, [b" " + " ".join(p).encode() for p in pieces])
         if not fits.all():
             many = [np.diff(bounds) for _, bounds in found]
-            sides = [self._measured(ids[np.repeat(fits, n)], _after(n * fits), side) for side, ((ids, _), n) in enumerate(zip(found, many))]
+            sides = [self._measured(ids[np.repeat(fits, n)], bounds_of(n * fits), side) for side, ((ids, _), n) in enumerate(zip(found, many))]
         (ids_a, cut_a, piece_a, end_a, _), (ids_b, cut_b, piece_b, end_b, _) = sides
         ends = [pa.table({"key": pc.add(pc.shift_left(piece, pa.scalar(40, pa.int64())), end), name: pa.array(np.arange(len(end)))})
                 for name, piece, end in (("a", piece_a.cast(pa.int64()), end_a), ("b", piece_b.cast(pa.int64()), end_b))]
@@ -243,7 +213,7 @@ class Aligner:
         group_a, group_b = np.repeat(np.arange(len(last_a)), many_a), np.repeat(np.arange(len(last_b)), many_b)
         home = piece_a.to_numpy()[last_a]    # the piece of a group
         first = np.searchsorted(home, np.arange(len(pieces) + 1))
-        links = _after(many_a * many_b)[first]
+        links = bounds_of(many_a * many_b)[first]
 
         code = np.empty(len(ids_a) + len(ids_b), np.int64)    # A tokens of a group, then its B tokens, each with the mark behind it
         closing_a, closing_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
@@ -271,7 +241,7 @@ class Aligner:
         space = self.size_a * self.size_b
         wide = many_a * many_b > WIDE
         times = np.where(wide, 0, many_b)[group_a]    # each A token meets the B tokens of its group
-        start = np.repeat(from_b[group_a] - _after(times)[:-1], times)
+        start = np.repeat(from_b[group_a] - bounds_of(times)[:-1], times)
         b = ids_b[start + np.arange(len(start))]
         keys, counts = counted(np.repeat(home[group_a] * space + ids_a * self.size_b, times) + b)
         for g in np.flatnonzero(wide).tolist():
@@ -335,7 +305,7 @@ class Aligner:
 def _binary(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of a binary column, and the bounds of its rows."""
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), kind), _after([len(v) // np.dtype(kind).itemsize for v in values])
+    return np.frombuffer(b"".join(values), kind), bounds_of([len(v) // np.dtype(kind).itemsize for v in values])
 
 
 def align(docs: DataFrame, first: str | None = None, second: str | None = None, broadcast: int = BROADCAST) -> DataFrame:
@@ -434,7 +404,7 @@ def _looked_up(found: DataFrame, counts: DataFrame, kind: str) -> DataFrame:
                 part = batch.slice(at, 256)
                 (pairs, bounds), (times, _) = _binary(part.column("pairs"), kind), _binary(part.column("times"), "<i8")
                 place = np.searchsorted(known, pairs)
-                sums = [_after(x)[bounds] for x in (times * best[place], times * docs[place])]
+                sums = [bounds_of(x)[bounds] for x in (times * best[place], times * docs[place])]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *[pa.array(np.diff(s), pa.int64()) for s in sums]], [*kept, "n_best", "count_sum"])
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +51,37 @@ def sifted(rows: DataFrame, key: str, bits: DataFrame, flag: str) -> DataFrame:
     named = bits.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
     return rows.join(F.broadcast(named), F.shiftright(spot, 15) == F.col("__bucket"), "left") \
         .withColumn(flag, F.coalesce(F.getbit(byte, F.col(key).bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))).drop("__bucket", "__bits")
+
+
+def bounds_of(lengths) -> np.ndarray:
+    """Where each of adjoining stretches starts, and where the last one ends."""
+    return np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+
+
+class Store:
+    """Lists of ids, one behind the other."""
+
+    def __init__(self):
+        self.ids, self.bounds, self.n = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Append lists of these lengths, given one behind the other."""
+        first = int(self.bounds[self.n])
+        if first + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty(first + len(ids), np.int32)))
+        if self.n + len(lengths) >= len(self.bounds):
+            self.bounds = np.concatenate((self.bounds, np.empty(self.n + len(lengths), np.int64)))
+        self.ids[first:first + len(ids)] = ids
+        self.bounds[self.n + 1:self.n + 1 + len(lengths)] = first + np.cumsum(lengths, dtype=np.int64)
+        self.n += len(lengths)
+
+    def cut(self, n: int) -> None:
+        """Forget all lists but the first ``n``."""
+        self.n = n
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the lists at ``places``, and the bounds of these lists."""
+        starts = self.bounds[places]
+        lengths = self.bounds[places + 1] - starts
+        bounds = bounds_of(lengths)
+        return self.ids[np.repeat(starts - bounds[:-1], lengths) + np.arange(bounds[-1])], bounds

@@ -7,16 +7,18 @@ import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.settings import scratch_folder
-from plumbline.llm.common import written
+from plumbline.llm.common import Store, written
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2              # id behind every document
@@ -24,8 +26,8 @@ LIMIT = 18           # bits of the longest code
 EVERY = 64           # ids between two checkpoints
 BLOCK = 1 << 19      # ids after which a block ends, with the document that reaches them
 WORDS = 1 << 20      # words that a worker remembers; when full it starts again
-JOINED = 512         # new words that are tokenised in one string
-ROWS = 64            # documents that are tokenised at a time
+JOINED = 4096        # new words that are tokenised in one string
+SLICE = 1 << 23      # bytes of text that are tokenised at a time, with the document that reaches them
 BLOCKS = "part int, block long, first long, n long, doc_ids array<long>, counts array<long>, bits binary, marks binary"
 
 
@@ -112,8 +114,9 @@ class Words:
     """Ids of texts by the tokenizer's vocabulary, word by word.
 
     The tokenizer drops white space and never looks across it, so a text's ids are those of the words between ASCII
-    white space, and words seen before are not encoded again.  It lower-cases, and it parts letters from the marks
-    behind them; A-Z are lower-cased and the marks cut off beforehand, so that fewer words are new.
+    white space.  Texts are split and their distinct words found in Arrow; words seen before are not encoded again.  It
+    lower-cases, and it parts letters from the marks behind them; A-Z are lower-cased and the marks cut off beforehand,
+    so that fewer words are new.
     """
 
     def __init__(self, definition: str):
@@ -122,43 +125,63 @@ class Words:
         self.tokenizer = Tokenizer.from_str(definition)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         model = json.loads(definition)["model"]
-        self.ending = {i for token, i in model["vocab"].items() if token.endswith(model["end_of_word_suffix"])}
-        self.known: dict[bytes, bytes] = {}
+        self.ending = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ending[[i for token, i in model["vocab"].items() if token.endswith(model["end_of_word_suffix"])]] = True
+        self.known: dict[str, int] = {}
+        self.store = Store()
 
-    def _learn(self, new: set[bytes]) -> None:
-        known, parts, wanted = self.known, [], set()
+    def _hold(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.store.add(ids, lengths)
+
+    def _learn(self, new: list[str]) -> None:
+        parts, wanted = [], set()
         for word in new:
-            core = word.rstrip(b".,;:!?")
-            if core and core != word and b"<|" not in word and _plain(core.decode())[-1].isalnum():
+            core = word.rstrip(".,;:!?")
+            if core and core != word and "<|" not in word and _plain(core)[-1].isalnum():
                 parts.append((word, core, word[len(core):]))
-                wanted.add(core)
-                wanted.add(word[len(core):])
+                wanted.update(parts[-1][1:])
             else:
                 wanted.add(word)
-        wanted = [(w, w.decode()) for w in wanted.difference(known)]
-        plain = [w for w in wanted if _plain(w[1]).isalpha()]
+        plain, rest = [], []
+        for word in wanted.difference(self.known):
+            (plain if (word.isascii() or _plain(word).isalpha()) and word.isalpha() else rest).append(word)
         for at in range(0, len(plain), JOINED):
             some = plain[at:at + JOINED]
-            ids = self.tokenizer.encode(" ".join(w[1] for w in some), add_special_tokens=False).ids
-            ends = [i + 1 for i, x in enumerate(ids) if x in self.ending]    # every word of letters alone ends once
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+            ends = np.flatnonzero(self.ending[ids]) + 1    # every word of letters alone ends once
             if len(ends) == len(some):
-                data, size = np.array(ids, self.kind).tobytes(), self.kind.itemsize
-                known.update((w[0], data[i * size:j * size]) for w, i, j in zip(some, [0, *ends], ends))
-        rest = [w for w in wanted if w[0] not in known]
-        found = self.tokenizer.encode_batch_fast([w[1] for w in rest], add_special_tokens=False)
-        known.update((w[0], np.array(e.ids, self.kind).tobytes()) for w, e in zip(rest, found))
-        known.update((word, known[core] + known[mark]) for word, core, mark in parts)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        data = [(t or "").encode() for t in texts]
-        split = [(d if b"<|" in d else d.lower()).split() for d in data]
-        new = set().union(*split).difference(self.known)
+                self._hold(some, ids, np.diff(ends, prepend=0))
+            else:
+                rest += some
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        self._hold(rest, np.array(list(chain.from_iterable(found)), np.int32), np.array([len(x) for x in found], np.int64))
+        places = np.array([self.known[p] for part in parts for p in part[1:]], np.int64)
+        ids, bounds = self.store.take(places)
+        self._hold([part[0] for part in parts], ids, np.diff(bounds[::2]))
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of every text with ``END`` behind them, as bytes."""
+        texts = texts.fill_null("")
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        found = pc.list_flatten(lists).dictionary_encode()
+        words = found.dictionary.to_pylist()
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > WORDS:
             self.known.clear()
-            new = set().union(*split)
+            self.store.cut(0)
+            new = words
         self._learn(new)
-        look, end = self.known.__getitem__, np.array([END], self.kind).tobytes()
-        return [b"".join(map(look, s)) + end for s in split]
+        places = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        ids, bounds = self.store.take(places[found.indices.to_numpy()])
+        offsets = lists.offsets.to_numpy()
+        ends = bounds[offsets[1:] - offsets[0]]
+        data = np.insert(ids, ends, END).astype(self.kind)
+        ends = np.concatenate(([0], ends + np.arange(1, len(ends) + 1))) * self.kind.itemsize
+        if len(self.known) > WORDS:    # words of one slice of texts beyond the bound
+            self.known.clear()
+            self.store.cut(0)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.astype("<i4")), pa.py_buffer(data)])
 
 
 @lru_cache(2)
@@ -178,9 +201,10 @@ def token_ids(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = words(sent.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(coder.encode(part.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
+            size = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(size // SLICE)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), coder.encode(batch.column(1).slice(i, j - i))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
