@@ -11,10 +11,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.settings import cut_lineage
+
 FOLDS = 5           # a document is held out when crc32(doc_id) mod FOLDS is 0
-SAMPLE = 1000       # labelled documents per class that the dictionaries are built from, at most
+HALVES = 2          # the labelled documents are split by a hash; dictionaries of each half are calibrated on the others
+SAMPLE = 500        # labelled documents per class and half that the dictionaries are built from, at most
 LONGEST = 16_384    # characters; longer ones are left out of that sample (texts that are scored are never cut)
-CALIBRATE = 4000    # further labelled documents that the scores are calibrated on, at most
+CALIBRATE = 2000    # labelled documents per class that the scores are calibrated on, at most
 DICTIONARY = 65_536
 PIECE = 512         # bytes that are compressed at a time; a text's own repeats outweigh the dictionary in long pieces
 LEVEL = 3
@@ -22,25 +25,39 @@ ACCEPT = 0.3
 
 
 @dataclass(frozen=True)
-class Model:
-    """Two dictionaries, and a logistic curve over the compressed sizes per byte; without dictionaries all score 0.5."""
+class Pair:
+    """Dictionaries of good and of bad text."""
 
-    good: bytes = b""
-    bad: bytes = b""
-    raw: bool = False
-    centre: tuple[float, ...] = (0.0, 0.0)
-    spread: tuple[float, ...] = (1.0, 1.0)
-    weights: tuple[float, ...] = (0.0, 0.0, 0.0)
+    good: bytes
+    bad: bytes
+    raw: bool
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         kind = zstandard.DICT_TYPE_RAWCONTENT if self.raw else zstandard.DICT_TYPE_FULLDICT
         plain = dict(write_content_size=False, write_checksum=False, write_dict_id=False)
-        return [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), **plain)
-                for d in (self.good, self.bad)] if self.good else []
+        return [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), **plain) for d in (self.good, self.bad)]
+
+
+@dataclass(frozen=True)
+class Model:
+    """Pairs of dictionaries, and a rising curve over the difference of compressed sizes per byte, straight between knots.
+
+    ``base`` is the share of good documents among the labelled ones; texts without bytes score it.  Without pairs all
+    texts do.
+    """
+
+    pairs: tuple[Pair, ...] = ()
+    knots: tuple[float, ...] = ()
+    shares: tuple[float, ...] = ()
+    base: float = 0.5
 
-    def score(self, sizes: np.ndarray) -> np.ndarray:
-        along = (sizes - np.array(self.centre)) / np.array(self.spread) @ np.array(self.weights[:-1]) + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(along, -700, 700)))
+    def compressors(self) -> list[list[zstandard.ZstdCompressor]]:
+        return [p.compressors() for p in self.pairs]
+
+    def score(self, saved: np.ndarray) -> np.ndarray:
+        """Scores from differences; where there is none (not a number), the base."""
+        known = np.isfinite(saved)
+        return np.where(known, np.interp(np.where(known, saved, 0.0), self.knots, self.shares), self.base) if self.pairs else np.full(len(saved), self.base)
 
 
 def pieces(text: str) -> Iterator[bytes]:
@@ -48,39 +65,40 @@ def pieces(text: str) -> Iterator[bytes]:
     return (data[at:at + PIECE] for at in range(0, len(data), PIECE))
 
 
-def sizes(text: str | None, compressors: list[zstandard.ZstdCompressor]) -> tuple[float, float]:
-    """Of a whole text: how many bytes the good dictionary saves over the bad one, and the mean size, per byte."""
+def saved(text: str | None, compressors: list[list[zstandard.ZstdCompressor]]) -> float:
+    """Of a whole text: how many bytes good dictionaries save over bad ones, per byte, as the mean of the pairs."""
     if not text or not compressors:
-        return 0.0, 0.0
-    good, bad = compressors
-    g = b = n = 0
+        return float("nan")
+    total = n = 0
     for piece in pieces(text):
-        g, b, n = g + len(good.compress(piece)), b + len(bad.compress(piece)), n + len(piece)
-    return (b - g) / n, (b + g) / 2 / n
+        n += len(piece)
+        for good, bad in compressors:
+            total += len(bad.compress(piece)) - len(good.compress(piece))
+    return total / n / len(compressors)
 
 
-def _dictionary(texts: list[str]) -> tuple[bytes, bool]:
-    samples = [p for t in texts for p in pieces(t)]
+def _pair(good: list[str], bad: list[str]) -> Pair:
+    samples = [[p for t in texts for p in pieces(t)] for texts in (good, bad)]
     try:
-        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes(), False
-    except zstandard.ZstdError:    # too little text to choose from
-        return b"".join(samples)[-DICTIONARY:], True
-
-
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[tuple, tuple, tuple]:
-    """Centre, spread and weights (last: the constant) of a logistic regression by damped Newton steps."""
-    centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.c_[(x - centre) / spread, np.ones(len(x))]
-    ridge = np.diag([1.0] * x.shape[1] + [1e-3])
-    w = np.zeros(z.shape[1])
-    loss = lambda w: np.logaddexp(0, z @ w).sum() - y @ (z @ w) + w @ ridge @ w / 2
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-z @ w))
-        step, length = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (y - p) - ridge @ w), 1.0
-        while length > 1e-6 and loss(w + length * step) > loss(w):
-            length /= 2
-        w = w + length * step
-    return tuple(centre.tolist()), tuple(spread.tolist()), tuple(w.tolist())
+        return Pair(*[zstandard.train_dictionary(DICTIONARY, some).as_bytes() for some in samples], False)
+    except zstandard.ZstdError:    # too little text to choose from, then both are plain text
+        return Pair(*[b"".join(some)[-DICTIONARY:] for some in samples], True)
+
+
+def rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Knots of a curve that rises with ``x``: neighbours are pooled until the shares of 1 in ``y`` rise.
+
+    Each pool's share counts one row of the ``prior`` besides its own, so none is 0 or 1.
+    """
+    order = np.lexsort((y, x))
+    pools: list[list[float]] = []    # weight, weighted y, weighted x
+    for a, b, w in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist()):
+        pools.append([w, w * b, w * a])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [p + q for p, q in zip(pools[-1], last)]
+    shares = np.maximum.accumulate([(p[1] + prior) / (p[0] + 1) for p in pools])
+    return tuple(p[2] / p[0] for p in pools), tuple(shares.tolist())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -88,77 +106,90 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def _sizes_table(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def _saved_table(docs: DataFrame, compressors, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every row, and ``__saved``; ``compressors`` makes the pairs in a worker."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = model.compressors()
+        made = compressors()
         for batch in batches:
-            found = np.array([sizes(t.as_py(), compressors) for t in batch.column("text")], np.float64).reshape(-1, 2)
-            kept = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found[:, 0]), pa.array(found[:, 1])], [*keep, "__saved", "__mean"])
+            found = np.array([saved(t.as_py(), made) for t in batch.column("text")], np.float64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found)], [*keep, "__saved"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, *[c for c in ("text",) if c not in keep]).mapInArrow(run, f"{schema}, __saved double, __mean double")
+    return docs.select(*keep, *[c for c in ("text",) if c not in keep]).mapInArrow(run, f"{schema}, __saved double")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, calibrate: int = CALIBRATE) -> Model:
     """Dictionaries and calibration from labelled documents that are not held out.
 
-    The samples are the labelled ids that come first in the order of a hash, up to ``SAMPLE`` per class for the
-    dictionaries and ``CALIBRATE`` others of both classes, in their natural shares, for the curve.  Only the sample's
-    texts and two numbers per calibration document reach the driver.  Rows without a label of 0 or 1 teach nothing; a
-    doc_id with both labels counts as bad.  Where a class has no text, the model scores 0.5 throughout.
+    The labelled documents are split into two halves by a hash of doc_id before anything is bounded.  Each half gives
+    a pair of dictionaries, from the ``sample`` documents of either class that come first in the order of a hash, and
+    is calibrated on documents of the other half, so no text is judged by a dictionary that holds it.  A score is the
+    mean of both pairs.  Calibration takes up to ``calibrate`` documents per class, weighed so that the classes have
+    their natural shares; that holds at any number of labels.  Only the sample's texts and a number per calibration
+    document reach the driver.
+
+    Rows without a label of 0 or 1 teach nothing; a doc_id with both labels counts as bad.  A half that lacks a class
+    gives no pair, but is calibrated on; without a pair, or with one class in what is left to calibrate on, all texts
+    score the share of good documents (without labels 0.5).
     """
     spark = docs.sparkSession
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))) \
         .groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    place = F.xxhash64(F.lit("quality"), "doc_id")
-    chosen = {q: [r.doc_id for r in known.where(F.col("quality") == q).orderBy(place, "doc_id").limit(SAMPLE).collect()] for q in (0, 1)}
-
-    def texts(ids):
-        if not ids:
-            return []
-        named = F.broadcast(spark.createDataFrame([(i,) for i in ids], docs.select("doc_id").schema))
-        rows = docs.select("doc_id", "text").where(F.length("text").between(1, LONGEST)).join(named, "doc_id", "left_semi")
-        return [r.text for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.text))]
-
-    (good, raw_good), (bad, raw_bad) = (_dictionary(texts(chosen[q])) for q in (1, 0))
-    if not good or not bad:
+    lengths = docs.where(F.length("text") > 0).groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
+    known = cut_lineage(known.join(lengths, "doc_id").withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(HALVES)).cast("int")))
+    many = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
+    if len(many) < 2:
         return Model()
-    if raw_good != raw_bad:    # both of a kind
-        (good, bad), raw_good = (b"".join(p for t in texts(chosen[q]) for p in pieces(t))[-DICTIONARY:] for q in (1, 0)), True
-    model = Model(good, bad, raw_good)
-    used = chosen[0] + chosen[1]
-    rest = known.where(~F.col("doc_id").isin(used)) if len(used) < 10 else \
-        known.join(F.broadcast(spark.createDataFrame([(i,) for i in used], known.select("doc_id").schema)), "doc_id", "left_anti")
-    sample = rest.orderBy(F.xxhash64(F.lit("curve"), "doc_id"), "doc_id").limit(CALIBRATE).collect()
-    if len({r.quality for r in sample}) < 2:    # few labels: the curve has to come from the same rows
-        sample = known.orderBy(F.xxhash64(F.lit("curve"), "doc_id"), "doc_id").limit(CALIBRATE).collect()
-    named = F.broadcast(spark.createDataFrame([(r.doc_id, r.quality) for r in sample], known.schema))
-    found = _sizes_table(docs.select("doc_id", "text").join(named, "doc_id"), model, ["doc_id", "quality"]).collect()
-    found = sorted((r.doc_id, r[2], r[3], r.quality) for r in found)
-    y = np.array([r[3] for r in found], np.float64)
+
+    def first(rows: DataFrame, name: str, n: int) -> list:
+        return rows.orderBy(F.xxhash64(F.lit(name), "doc_id"), "doc_id").limit(n).collect()
+
+    chosen = {(r.quality, r.half, r.doc_id) for q in (0, 1) for h in range(HALVES)
+              for r in first(known.where((F.col("quality") == q) & (F.col("half") == h) & (F.col("n") <= LONGEST)), "quality", sample)}
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    named = F.broadcast(spark.createDataFrame(sorted(chosen), f"quality int, half int, doc_id {kind}"))
+    texts = docs.select("doc_id", "text").where(F.length("text").between(1, LONGEST)).join(named, "doc_id").collect()
+    texts = sorted((r.doc_id, r.text, r.quality, r.half) for r in texts)
+    pairs = {}
+    for h in range(HALVES):
+        good, bad = ([t[1] for t in texts if t[2] == q and t[3] == h] for q in (1, 0))
+        if good and bad:
+            pairs[h] = _pair(good, bad)
+    curve = [r for q in (0, 1) for r in first(known.where(F.col("quality") == q), "curve", calibrate) if any(h != r.half for h in pairs)]
+    weight = {q: many[q] / max(1, sum(r.quality == q for r in curve)) for q in (0, 1)}
+    base = many[1] / (many[0] + many[1])
+    if len({r.quality for r in curve}) < 2:
+        return Model(base=base)
+    named = F.broadcast(spark.createDataFrame([(r.doc_id, r.quality, r.half) for r in curve], f"doc_id {kind}, quality int, half int"))
+    rows = docs.select("doc_id", "text").where(F.length("text") > 0).join(named, "doc_id")
+    found = []
+    for half in sorted({r.half for r in curve}):
+        others = [pairs[h] for h in pairs if h != half]
+        own = _saved_table(rows.where(F.col("half") == half), lambda others=others: [p.compressors() for p in others], ["doc_id", "quality"])
+        found += sorted((r.doc_id, r[2], r.quality) for r in own.collect())
+    y = np.array([r[2] for r in found], np.float64)
     if len(set(y.tolist())) < 2:
-        return Model()
-    return Model(good, bad, raw_good, *logistic(np.array([r[1:3] for r in found]), y))
+        return Model(base=base)
+    return Model(tuple(pairs.values()), *rising(np.array([r[1] for r in found]), y, np.array([weight[r[2]] for r in found]), base), base)
 
 
 def _scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row, and ``__score``."""
     def curve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.c_[batch.column("__saved").to_numpy(), batch.column("__mean").to_numpy()]
-            value = np.where((found == 0).all(axis=1), 0.5, model.score(found))
+            value = model.score(batch.column("__saved").to_numpy())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(value)], [*keep, "__score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return _sizes_table(docs, model, keep).mapInArrow(curve, f"{schema}, __score double")
+    return _saved_table(docs, model.compressors, keep).mapInArrow(curve, f"{schema}, __score double")
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row with score (0 to 1) and predicted (0 or 1) of the whole text.
 
-    A null text scores like an empty one: both sizes are 0, and the curve's value there is replaced by 0.5, since
-    nothing speaks for or against it.  Columns named score or predicted are replaced.
+    A null text scores like an empty one: the share of good documents, since nothing speaks for or against it.  Whole
+    texts are compressed, in pieces, so a very long one takes no more memory.  Columns named score or predicted are
+    replaced.
     """
     rest = [c for c in keep if c not in ("score", "predicted")]
     return _scored(docs, model, rest).select(*rest, F.col("__score").alias("score"), (F.col("__score") >= ACCEPT).cast("int").alias("predicted"))

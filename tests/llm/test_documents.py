@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import brute
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -300,16 +301,35 @@ def test_quality_of_odd_rows(spark, rows):
     out = quality.op4_quality(docs, labels).collect()
     assert len(out) == len(rows) + 2 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
     model = quality.train(docs, labels)
-    sizes = [quality.sizes(r[1], model.compressors()) for r in rows]
-    import numpy as np
-    want = {r[0]: 0.5 if s == (0, 0) else float(model.score(np.array([s]))[0]) for r, s in zip(rows, sizes)}
+    want = {r[0]: float(model.score(np.array([quality.saved(r[1], model.compressors())]))[0]) for r in rows}
     assert all(r.score == pytest.approx(want[r.doc_id]) for r in out if r.doc_id is not None and r.doc_id != 3)
+    assert {r.score for r in out if r.doc_id in {i for i, t, _ in rows if not t}} == {model.base}
     kept = quality.accepted(docs, labels)
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in out)
     for none in (labels.where("false"), labels.where("quality = 1")):
         assert {r.score for r in quality.op4_quality(docs, none).collect()} == {0.5}
 
 
+def test_quality_is_alike_around_its_bounds(spark):
+    """As few bad documents pass with fewer bad labels than the dictionaries take as with a few more, or many more."""
+    from plumbline.llm.common import table
+    folder = "/root/testdata/sf0.1"
+    labels = table(spark, folder, "labels")
+    docs = table(spark, folder, "documents").join(labels.select("doc_id"), "doc_id", "left_semi").repartition(4).cache()
+    out = quality.held_out(docs.doc_id)
+    kept = {r.doc_id: r for r in labels.collect()}
+    own = [(r.text, kept[r.doc_id].quality) for r in docs.where(out).orderBy("doc_id").collect()]
+    own = [x for x in own if x[1] == 0] + [x for x in own if x[1] == 1][:150]
+    bad = sorted(i for i, r in kept.items() if r.quality == 0)
+    good = sorted(i for i, r in kept.items() if r.quality == 1)
+    for some in (380, 400, 410, len(bad)):    # a fifth of them is held out; the dictionaries take 160 of each half
+        share = len(good) * some // len(bad)
+        model = quality.train(docs, labels.where(labels.doc_id.isin(bad[:some] + good[:share])), 160, 320)
+        scores = [(float(model.score(np.array([quality.saved(t, model.compressors())]))[0]), q) for t, q in own]
+        assert np.mean([s >= 0.3 for s, q in scores if q == 0]) <= 0.15 and np.mean([s >= 0.3 for s, q in scores if q == 1]) >= 0.97, some
+    docs.unpersist()
+
+
 def test_empty_tables(spark, tmp_path):
     docs = frame(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -23,8 +23,7 @@ def test_pipeline(spark):
     coders = model.compressors()
     texts = {}
     for i, r in rows.items():
-        sizes = quality.sizes(r.text, coders)
-        if sizes == (0, 0) or model.score(np.array([sizes]))[0] >= quality.ACCEPT:
+        if model.score(np.array([quality.saved(r.text, coders)]))[0] >= quality.ACCEPT:
             texts[i] = r.text
     assert 0.5 * len(rows) < len(texts) < len(rows)
     texts = brute_lines(sorted(texts.items()))
