@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.settings import cut_lineage
 from plumbline.llm.vectors import matrix, rows_of, usable
 
 NEIGHBOURS = 10
@@ -81,7 +82,7 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, every: int = 100, block:
     to the smaller vec_id.  Distances are in double precision on the original vectors; none is lost, see
     ``tile_nearest``.
 
-    Method: candidates and queries are dealt into blocks by a hash of vec_id, so blocks are even whatever the data.  A
+    Method: candidates and queries are counted and dealt into blocks by a hash of vec_id, so blocks are even whatever the data.  A
     block of queries meets each block of candidates in one task, which works tile by tile and keeps a heap per query;
     the heaps of a query, k rows per block, are merged by rank with Spark's limit per group ahead of the shuffle.
     Vectors are sent once per block of the other side: that is the whole traffic.
@@ -91,8 +92,9 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, every: int = 100, block:
     smallest distance.  Only vec_id and embedding are read.  No queries or no candidates: no rows.
     """
     rows = rows_of(embeddings).select("vec_id", "vector").where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).distinct()
-    n = embeddings.count()
-    across, along = max(1, math.ceil(n / block)), max(1, math.ceil(n / every / queries))
+    rows = cut_lineage(rows)
+    n, m = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    across, along = max(1, math.ceil(n / block)), max(1, math.ceil(m / queries))
     place = F.xxhash64("vec_id")
     span = lambda many: F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))
     wide = F.size("vector").alias("width")
