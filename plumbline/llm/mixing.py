@@ -46,7 +46,7 @@ def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     """How often the mix takes each document: doc_id, source, size, source_size, target, copies; one row per row.
 
     Method: a document of a source expects target / source_size copies.  The documents of a source stand in order of
-    their size class and then of a hash of doc_id; expected copies are summed up along that order, one offset per
+    their size class and then of a hash of doc_id and text; expected copies are summed up along that order, one offset per
     source is added, and a document is taken once per integer that its stretch of the sum crosses.  Order by size
     keeps the words taken near the target: the classes are hit evenly, so the error is about one large document.
 
@@ -55,14 +55,20 @@ def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     hash of about ``LINE`` documents, so no task ever holds a whole source.
 
     Null texts have size 0; documents of size 0 are taken like others.  A null source is one source, last in order.
-    Null doc_ids share one place in the hash order; equal rows are interchangeable.  Empty input gives no rows.
+    Rows without a doc_id, or that repeat one, are told apart by their texts, so they spread over lines like others;
+    rows equal in both are interchangeable, and only these share a line of any length.  Empty input gives no rows.
     Only doc_id, text and source are read; further columns are ignored.
     """
-    keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return _copies(docs, weights, share, most, seed).drop("digest")
+
+
+def _copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
+    """``copies`` with the digest of each row's text."""
+    keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
     shift = F.greatest(F.length(F.bin("size")) - 5, F.lit(0))
     keyed = keyed.withColumn("unit", F.pow(F.lit(2.0), shift).cast("long")) \
         .withColumn("class", (F.floor(F.col("size") / F.col("unit")) * F.col("unit")).cast("long")).drop("unit") \
-        .withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        .withColumn("hash", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("digest"))))
     keyed = cut_lineage(keyed)
     per_class = keyed.groupBy("source", "class").agg(F.count("*").alias("class_rows")) \
         .select(F.col("source").alias("c_source"), F.col("class").alias("c_class"),
@@ -87,24 +93,24 @@ def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     out = placed.join(goal, same("source", "t_source")) \
         .withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))) \
         .withColumn("copies", (F.floor(end * F.col("rate") + start) - F.floor((end - 1) * F.col("rate") + start)).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies")
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "digest")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``.
 
-    Documents are matched by doc_id, source and size.  Rows that are equal in these share the copies that ``copies``
-    gave them, one by one in the order of a hash of their texts, so that each still stands as often as it was taken.
+    Documents are matched by doc_id, source and text.  Rows that are equal in these share the copies that ``copies``
+    gave them, one by one, so that each still stands as often as it was taken.
     """
     names = docs.columns
-    taken = copies(docs, **options).groupBy("doc_id", "source", "size") \
+    taken = _copies(docs, **options).groupBy("doc_id", "source", "digest") \
         .agg(F.sum("copies").alias("__mix_copies"), F.count("*").alias("__mix_rows")).where("__mix_copies > 0") \
-        .selectExpr("doc_id AS __mix_doc", "source AS __mix_source", "size AS __mix_size", "__mix_copies", "__mix_rows")
+        .selectExpr("doc_id AS __mix_doc", "source AS __mix_source", "digest AS __mix_text", "__mix_copies", "__mix_rows")
     taken = cut_lineage(taken)
-    sized = docs.withColumn("__mix_n", word_count(F.col("text")))
-    match = same("doc_id", "__mix_doc") & same("source", "__mix_source") & (F.col("__mix_n") == F.col("__mix_size"))
+    sized = docs.withColumn("__mix_n", F.md5(F.coalesce("text", F.lit(""))))
+    match = same("doc_id", "__mix_doc") & same("source", "__mix_source") & (F.col("__mix_n") == F.col("__mix_text"))
     alone = sized.join(taken.where("__mix_rows = 1"), match).withColumn("__mix_times", F.col("__mix_copies"))
-    order = Window.partitionBy("__mix_doc", "__mix_source", "__mix_size").orderBy(F.xxhash64("text"))
+    order = Window.partitionBy("__mix_doc", "__mix_source", "__mix_text").orderBy("__mix_n")
     several = sized.join(taken.where("__mix_rows > 1"), match).withColumn("__mix_row", F.row_number().over(order)) \
         .withColumn("__mix_times", F.expr("__mix_copies div __mix_rows + CAST(__mix_row <= __mix_copies % __mix_rows AS long)")) \
         .where("__mix_times > 0").drop("__mix_row")
@@ -118,7 +124,7 @@ def op10_mix_sources(docs: DataFrame) -> DataFrame:
 
 OP10_SQL = """
 WITH keyed AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(coalesce(text, '')) AS digest FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM per),
 weighed AS (SELECT *, CASE place % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight FROM ranked),
@@ -129,7 +135,7 @@ levels AS (
 goals AS (SELECT source, source_size, least(source_size * 2.0::DOUBLE, max(level) OVER () * weight) AS target FROM levels),
 classed AS (
   SELECT *, CASE WHEN size < 32 THEN size ELSE (size >> (length(bin(size)) - 5)) << (length(bin(size)) - 5) END AS class,
-         md5(coalesce(doc_id::VARCHAR, '')) AS hash FROM keyed),
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || digest) AS hash FROM keyed),
 placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, hash, doc_id, size) AS place FROM classed),
 rated AS (
   SELECT p.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
