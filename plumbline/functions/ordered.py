@@ -208,28 +208,88 @@ def carry_both(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence
     return carry(carry(df, keys, order, columns, backward, hot), keys, order, columns, not backward, hot)
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Exact linearly interpolated quantiles per key as ``q`` (array), one row per key.
+VALUES = 1 << 18      # rows of a bin from which it is divided further; below, its values are counted
+PARTS = 1 << 16       # parts that a bin is divided into
+
+
+def coarse_bin(x: Column) -> Column:
+    """A long that never falls as ``x`` rises: 32 bins for each power of two, one each for 0, the infinities and NaN."""
+    size = F.abs(x)
+    place = F.when(size == float("inf"), F.lit(1 << 18)).otherwise(F.floor(F.log2(size) * 32) + (1 << 16))
+    return F.when(F.isnan(x), F.lit(1 << 19)).when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("long") * place).cast("long")
 
-    ``percentile`` buffers all distinct values of a group in one task, so it is used only below the row
-    bound; beyond it ranks come from running counts over the distinct values.
+
+def _quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact linearly interpolated quantiles ``q`` of the doubles ``_v``, one row per key.
+
+    A histogram by magnitude, under 2^18 bins per key, narrows each wanted rank to one bin, with its least and greatest
+    value.  A bin of one value is settled; of a bin of few rows the values are counted; any other is divided evenly
+    into 2^16 parts, which are bins again.  A bin spans a 32nd of a power of two, so after three divisions its doubles
+    are told apart: there are at most five passes, for any number of columns and keys.  Histograms combine before they are
+    shuffled, so a hot key costs no more than its bins, and no task holds more than a key's bins or a bin's values.
     """
-    rows = df.where(F.col(value).isNotNull())
-    probs = [float(p) for p in probs]
-    if rows.count() <= bound(df.sparkSession, GROUP_ROWS):
-        return rows.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("q"))
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running(counts, keys, value, {"_upto": F.col("_n")}, {"_total": F.col("_n")})
-    picks = []
-    for i, p in enumerate(probs):
-        spot = (F.col("_total") - 1) * F.lit(p)
-        for name, rank in ((f"_lo{i}", F.floor(spot)), (f"_hi{i}", F.ceil(spot))):
-            held = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
-            picks.append(F.max(F.when(held, F.col(value))).alias(name))
-        picks.append(F.max(spot - F.floor(spot)).alias(f"_f{i}"))
-    found = ranked.groupBy(*keys).agg(*picks)
-    q = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}") for i in range(len(probs))]
-    return found.select(*keys, F.array(*q).alias("q"))
+    by = list(keys) or ["_all"]
+    rows = rows.where(F.col("_v").isNotNull()).withColumns({} if keys else {"_all": F.lit(0)}).withColumn("_bin", coarse_bin(F.col("_v")))
+    counts = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    spots = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs]
+    ranks = [f(s).cast("long") for s in spots for f in (F.floor, F.ceil)]
+    held = [(F.col("_below") <= r) & (r < F.col("_below") + F.col("_n")) for r in ranks]
+    wanted = reduce(lambda a, b: a | b, held, F.lit(False))
+    one, few = F.col("_lo") == F.col("_hi"), F.col("_n") <= VALUES
+
+    def inside(bins: DataFrame, many: int) -> DataFrame:
+        """The rows in the bins; the bins of one key that share a coarse bin are few and do not overlap."""
+        named = bins.select(*[F.col(c).alias(f"_b_{c}") for c in [*by, "_bin"]], "_lo", "_hi", F.col("_below").alias("_ahead"), "_total")
+        match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by], F.col("_bin") == F.col("_b__bin"))
+        named = F.broadcast(named) if many <= bound(rows.sparkSession, BROADCAST_ROWS) else named
+        return rows.join(named, match & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+
+    def upto(counted: DataFrame, part: str, *more: str) -> DataFrame:
+        order = Window.partitionBy(*by, "_bin", "_lo").orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
+        return counted.withColumn("_below", F.sum("_n").over(order) - F.col("_n") + F.col("_ahead")).select(*by, "_bin", "_n", "_below", "_total", *more)
+
+    def settled(frame: DataFrame) -> tuple[DataFrame, int, int]:
+        """Bins, kept on the driver where few, and how many of them are to be counted and to be divided."""
+        limit = bound(rows.sparkSession, BROADCAST_ROWS)
+        head = frame.limit(limit + 1).toArrow()
+        if head.num_rows > limit:
+            frame = cut_lineage(frame)
+            return frame, *frame.agg(F.count_if(~one & few), F.count_if(~one & ~few)).first()
+        wide = [n for n, lo, hi in zip(*(head[c].to_pylist() for c in ("_n", "_lo", "_hi"))) if lo < hi]
+        return rows.sparkSession.createDataFrame(head, frame.schema), sum(n <= VALUES for n in wide), sum(n > VALUES for n in wide)
+
+    whole = Window.partitionBy(*by)
+    first = rows.groupBy(*by, "_bin").agg(*counts)
+    before = F.sum("_n").over(whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    bins, small, large = settled(first.select("*", before.alias("_below"), F.sum("_n").over(whole).alias("_total")).where(wanted))
+    found = []
+    while True:
+        found.append(bins.where(one).select(*by, F.col("_lo").alias("_v"), "_n", "_below", "_total"))
+        if small:
+            counted = inside(bins.where(~one & few), small).groupBy(*by, "_bin", "_lo", "_ahead", "_total", "_v").agg(counts[0])
+            found.append(upto(counted, "_v", "_v").select(*by, "_v", "_n", "_below", "_total"))
+        if not large:
+            break
+        part = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS)
+        divided = inside(bins.where(~one & ~few), large).withColumn("_part", part) \
+            .groupBy(*by, "_bin", "_lo", "_ahead", "_total", "_part").agg(counts[0], F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        divided = upto(divided, "_part", F.col("_least").alias("_lo"), F.col("_most").alias("_hi"))
+        bins, small, large = settled(divided.where(wanted))
+    values = reduce(DataFrame.unionByName, found)
+    picked = values.groupBy(*by).agg(F.max("_total").alias("_total"), *[F.max(F.when(h, F.col("_v"))).alias(f"_r{i}") for i, h in enumerate(held)])
+    q = [F.when(F.col(f"_r{2 * i}") == F.col(f"_r{2 * i + 1}"), F.col(f"_r{2 * i}"))
+         .otherwise(F.col(f"_r{2 * i}") + (F.col(f"_r{2 * i + 1}") - F.col(f"_r{2 * i}")) * (s - F.floor(s))) for i, s in enumerate(spots)]
+    return picked.select(*keys, F.array(*q).alias("q"))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Exact linearly interpolated quantiles per key as ``q`` (array), one row per key that has values."""
+    return _quantiles(df.select(*keys, F.col(value).cast("double").alias("_v")), keys, probs)
+
+
+def _unpivoted(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    pairs = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("_v")) for c in columns]
+    return df.select(*keys, F.inline(F.array(*pairs)))
 
 
 def quantile_values(df: DataFrame, value: str | Column, probs: Sequence[float]) -> list[float | None]:
@@ -247,29 +307,18 @@ def average_ranks(df: DataFrame, value: str) -> DataFrame:
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list]:
-    """Exact quantiles of several whole columns as driver numbers: one pass when buffers fit, else ranks per column."""
-    if df.count() <= bound(df.sparkSession, GROUP_ROWS):
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), wanted).alias(c) for c in columns]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
-    return {c: quantile_values(df, c, probs) for c in columns}
+    """Exact quantiles of several whole columns as driver numbers, in as many passes as one column takes."""
+    found = {r["name"]: list(r["q"]) for r in _quantiles(_unpivoted(df, [], columns), ["name"], probs).collect()} if columns else {}
+    return {c: found.get(c, [None] * len(probs)) for c in columns}
 
 
 def describe(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """One row per key and numeric column: count, mean, std, min, max, variance and quantiles ``q``."""
-    small = df.count() <= bound(df.sparkSession, GROUP_ROWS)
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-
     def summary(c: str) -> Column:
         v = F.col(c).cast("double")
-        parts = [F.lit(c).alias("name"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                 F.min(v).alias("min"), F.max(v).alias("max"), F.var_samp(v).alias("variance")]
-        return F.struct(*parts, *([F.percentile(v, wanted).alias("q")] if small else []))
+        return F.struct(F.lit(c).alias("name"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                        F.min(v).alias("min"), F.max(v).alias("max"), F.var_samp(v).alias("variance"))
 
     moments = (df.groupBy(*keys).agg(F.array(*[summary(c) for c in columns]).alias("_all"))
                .select(*keys, F.inline("_all")))
-    if small:
-        return moments
-    ranks = reduce(DataFrame.unionByName, [quantiles(df.select(*keys, F.col(c).cast("double").alias("_v")), keys, "_v", probs)
-                                           .withColumn("name", F.lit(c)) for c in columns])
-    return lookup_join(moments, ranks, [*keys, "name"])
+    return lookup_join(moments, _quantiles(_unpivoted(df, keys, columns), [*keys, "name"], probs), [*keys, "name"])

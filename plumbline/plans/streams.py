@@ -83,25 +83,27 @@ def _(t):
 @query("stream_access_log", "Z5", """
 SELECT event_type AS route, CASE WHEN user_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method,
  CASE WHEN user_id % 3 = 0 THEN 'Firefox 128.0' ELSE 'Chrome 126.0.0.0' END AS browser, CASE WHEN user_id % 3 = 0 THEN 'Windows 10.0' ELSE 'Android 14' END AS system,
- count(*) AS requests, round(avg(value / 1000), 8) AS mean_time FROM events GROUP BY 1, 2, 3, 4""")
+ count(*) AS requests, sum(round(value * 1000000)::BIGINT)::BIGINT // count(*) / 1e9 AS mean_time FROM events GROUP BY 1, 2, 3, 4""")
 def _(t):
     requests = access_log.enrich(log_lines(t))
-    out = requests.groupBy("route", "method", "browser", "system").agg(F.count(F.lit(1)).alias("requests"), F.avg("process_time").alias("mean_time"))
-    return out.withColumn("mean_time", F.round("mean_time", 8))
+    out = requests.groupBy("route", "method", "browser", "system").agg(F.count(F.lit(1)).alias("requests"),
+                                                                          access_log.mean_seconds(
+        F.sum(access_log.nanoseconds(F.col("process_time"))), F.count(F.lit(1))).alias("mean_time"))
+    return out
 
 
 @query("stream_route_times", "Z5", """
 WITH r AS (SELECT event_type AS route, CASE WHEN user_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, value / 1000 AS t,
  CASE WHEN user_id % 7 = 0 THEN 500 ELSE 200 END AS status FROM events),
 m AS (SELECT *, row_number() OVER (PARTITION BY route, method ORDER BY t) AS place, count(*) OVER (PARTITION BY route, method) AS n FROM r)
-SELECT route, method, count(*) AS requests, round(avg(t), 8) AS mean_time, CAST(round(min(t) FILTER (WHERE place >= ceil(0.95 * n)) * 1000) AS BIGINT) AS p95_millis,
+SELECT route, method, count(*) AS requests, sum(round(t * 1000000000)::BIGINT)::BIGINT // count(*) / 1e9 AS mean_time, CAST(round(min(t) FILTER (WHERE place >= ceil(0.95 * n)) * 1000) AS BIGINT) AS p95_millis,
  count(*) FILTER (WHERE status >= 400) AS errors FROM m GROUP BY route, method""")
 def _(t):
     home, path = scratch_folder(t.spark, "routes"), scratch_folder(t.spark, "log")
     log_lines(t).repartition(3).write.text(path)
     stream = t.spark.readStream.option("maxFilesPerTrigger", 1).text(path)
     access_log.store_route_sums(stream, f"{home}/sums", f"{home}/checkpoint").awaitTermination()
-    return access_log.route_times(t.spark.read.parquet(f"{home}/sums")).withColumn("mean_time", F.round("mean_time", 8))
+    return access_log.route_times(t.spark.read.parquet(f"{home}/sums"))
 
 
 def log_lines(t):

@@ -34,10 +34,20 @@ def enrich(lines: DataFrame, column: str = "value") -> DataFrame:
                     F.to_json(F.struct(F.col("body"), F.when(query != "", query).alias("query_params"))).alias("params"))
 
 
+def nanoseconds(seconds: Column) -> Column:
+    """Whole nanoseconds: their sums do not depend on the order in which rows come."""
+    return F.round(seconds * 1_000_000_000).cast("long")
+
+
+def mean_seconds(total: Column, many: Column) -> Column:
+    """The mean of whole nanoseconds, down to a whole nanosecond, in seconds."""
+    return (total - F.pmod(total, many)) / many / 1e9
+
+
 def route_sums(requests: DataFrame) -> DataFrame:
     """Sums per route and method that add up over batches; times are counted by the millisecond."""
     return requests.groupBy("route", "method", F.round(F.col("process_time") * 1000).cast("long").alias("millis")).agg(
-        F.count(F.lit(1)).alias("requests"), F.sum("process_time").alias("seconds"), F.count_if(F.col("status") >= 400).alias("errors"))
+        F.count(F.lit(1)).alias("requests"), F.sum(nanoseconds(F.col("process_time"))).alias("nanoseconds"), F.count_if(F.col("status") >= 400).alias("errors"))
 
 
 def store_route_sums(lines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -48,10 +58,10 @@ def store_route_sums(lines: DataFrame, path: str, checkpoint: str) -> StreamingQ
 
 def route_times(sums: DataFrame) -> DataFrame:
     """Requests, mean time, 95th percentile (milliseconds, nearest rank) and errors per route and method."""
-    counts = sums.groupBy("route", "method", "millis").agg(*[F.sum(c).alias(c) for c in ("requests", "seconds", "errors")])
+    counts = sums.groupBy("route", "method", "millis").agg(*[F.sum(c).alias(c) for c in ("requests", "nanoseconds", "errors")])
     order = Window.partitionBy("route", "method")
     upto = F.sum("requests").over(order.orderBy("millis").rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.withColumn("high", upto >= F.ceil(0.95 * F.sum("requests").over(order)))
     return ranked.groupBy("route", "method").agg(
-        F.sum("requests").alias("requests"), (F.sum("seconds") / F.sum("requests")).alias("mean_time"),
+        F.sum("requests").alias("requests"), mean_seconds(F.sum("nanoseconds"), F.sum("requests")).alias("mean_time"),
         F.min(F.when(F.col("high"), F.col("millis"))).alias("p95_millis"), F.sum("errors").alias("errors"))
