@@ -23,7 +23,7 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi join in which a null key matches a null key; the key columns of the left side remain."""
     named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
@@ -40,7 +40,7 @@ def lookup_join(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str =
     limit = bound(df.sparkSession, BROADCAST_ROWS)
     head = side.limit(limit + 1).toArrow()
     if head.num_rows <= limit and head.nbytes <= BROADCAST_BYTES:
-        return _null_safe(df, F.broadcast(df.sparkSession.createDataFrame(head, side.schema)), keys, how)
+        return null_safe_join(df, F.broadcast(df.sparkSession.createDataFrame(head, side.schema)), keys, how)
     return salted_join(df, side, keys, how, null_safe=True)
 
 
@@ -58,20 +58,20 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     blank = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     hot = hot_keys(left if null_safe else left.where(~blank), keys)
     if hot is None and (null_safe or how == "inner"):
-        return _null_safe(left, right, keys, how) if null_safe else left.join(right, list(keys), how)
+        return null_safe_join(left, right, keys, how) if null_safe else left.join(right, list(keys), how)
     content = F.xxhash64(*[F.col(c) for c, t in left.dtypes if "map<" not in t], F.spark_partition_id())
     copies, salted = right.withColumn("_salt", F.lit(0).cast("long")), left.withColumn("_parts", F.lit(1))
     if hot is not None:
         flags = F.broadcast(hot.select(*keys, parts_of(F.col("_n"), left.sparkSession).alias("_parts")))
-        salted = _null_safe(left, flags, keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        salted = null_safe_join(left, flags, keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
         every = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1).cast("array<long>")
-        copies = _null_safe(right, flags, keys, "left").withColumn("_salt", F.explode(every)).drop("_parts")
+        copies = null_safe_join(right, flags, keys, "left").withColumn("_salt", F.explode(every)).drop("_parts")
     salt = F.pmod(content, F.col("_parts"))
     if not null_safe:
         salt = F.when(blank, content).otherwise(salt)
     salted = salted.withColumn("_salt", salt).drop("_parts")
     on = [*keys, "_salt"]
-    joined = _null_safe(salted, copies, on, how) if null_safe else salted.join(copies, on, how)
+    joined = null_safe_join(salted, copies, on, how) if null_safe else salted.join(copies, on, how)
     return joined.drop("_salt")
 
 

@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.ordered import lookup_join, running, salted_join
+from plumbline.functions.ordered import lookup_join, null_safe_join, running, salted_join
 from plumbline.functions.settings import cut_lineage
+from plumbline.operators import metric_space
 
-GRID_DIMENSIONS = 3
+GRID_DIMENSIONS = 3      # of points that meet in grid cells; others meet by metric partitioning
+GRID_METRICS = ("euclidean", "cityblock", "manhattan", "chebyshev")
 
 
 def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
@@ -72,6 +74,8 @@ def nearest(points: DataFrame, k: int, metric: str = "euclidean", keys: Sequence
     if total == 0:
         return points.withColumn("near", F.array().cast("array<struct<d:double,q:array<double>,m:bigint>>"))
     width = len(points.first()["p"])
+    if width > GRID_DIMENSIONS or metric not in GRID_METRICS:
+        return metric_space.nearest(points, k, metric, keys)
     ends = points.agg(*[f(F.col("p")[i]) for i in range(width) for f in (F.min, F.max)]).first()
     spreads = [ends[2 * i + 1] - ends[2 * i] for i in range(width)]
     axes = sorted(range(width), key=lambda i: -spreads[i])[:GRID_DIMENSIONS]
@@ -182,7 +186,7 @@ def chaining_factor(df: DataFrame, columns: Sequence[str], k: int = 15, keys: Se
 
 # --- density clusters ---------------------------------------------------------------------------------
 
-MOST_DIMENSIONS = 5
+MOST_DIMENSIONS = 5      # of density clusters by grid cells; others go by metric partitioning
 
 
 def _length(gaps: Sequence[Column], metric: str) -> Column:
@@ -195,11 +199,7 @@ def _length(gaps: Sequence[Column], metric: str) -> Column:
 def _density(points: DataFrame, width: int, eps: float, least: int, keys: list[str], metric: str = "euclidean"):
     """Core points and neighbour links.  Any cell of diagonal eps (in the metric) holding ``least`` rows is all core, so only
     points of other cells look for neighbours, and each cell has fewer than ``least`` of those."""
-    if width > MOST_DIMENSIONS:
-        raise ValueError(f"density clusters take up to {MOST_DIMENSIONS} columns; reduce the table first")
     sides = {"euclidean": math.sqrt(width), "cityblock": width, "manhattan": width, "chebyshev": 1}
-    if metric not in sides:
-        raise ValueError(f"unknown metric {metric!r}")
     side = eps / sides[metric]
     cells = points.withColumn("cell", F.transform("p", lambda x: F.floor(x / side)))
     sizes = cells.groupBy(*keys, "cell").agg(F.sum("n").alias("held"))
@@ -232,6 +232,10 @@ def density_noise(df: DataFrame, columns: Sequence[str], eps: float = 0.5, least
                   metric: str = "euclidean") -> DataFrame:
     """Per distinct point: 1 when it is neither core nor within eps of a core point."""
     keys = list(keys)
+    if len(columns) > MOST_DIMENSIONS or metric not in GRID_METRICS:
+        marked, border, _ = metric_space.density(weighted_points(df, columns, keys), eps, least, metric, keys)
+        out = null_safe_join(marked, border.withColumnRenamed("ball", "joined"), [*keys, "p"], "left")
+        return out.select(*keys, "p", (~F.col("core") & F.col("joined").isNull()).cast("int").alias("outlier"))
     pts, links, *_ = _density(weighted_points(df, columns, keys), len(columns), eps, least, keys, metric)
     thin_core = pts.where("core and not dense").select(*keys, "p")
     touched = links.where(~F.col("dense")).join(thin_core, [*keys, "p"]).select(*keys, F.col("s").alias("p")).distinct().withColumn("touch", F.lit(True))
@@ -300,11 +304,24 @@ def _dense_links(pts: DataFrame, width: int, side: float, eps: float, around, ke
         pairs = pairs.select(*keys, "a", "b", F.col("a_new").alias("a_box"), F.col("b_new").alias("b_box"), "a_low", "a_high", "b_low", "b_high")
 
 
+def _numbered(labels: DataFrame) -> DataFrame:
+    """(a, cluster): clusters numbered from 0 in the order of their labels."""
+    roots = running(labels.select("label").distinct(), [], "label", {"cluster": F.lit(1)}).withColumn("cluster", (F.col("cluster") - 1).cast("int"))
+    return cut_lineage(lookup_join(labels, roots, ["label"]).select("a", "cluster"))
+
+
 def density_clusters(df: DataFrame, columns: Sequence[str], eps: float = 0.5, least: int = 5, keys: Sequence[str] = (),
                      metric: str = "euclidean") -> DataFrame:
     """Per distinct point its cluster number (from 0) or -1 for noise; a border point joins its nearest core point."""
     keys = list(keys)
     width = len(columns)
+    if width > MOST_DIMENSIONS or metric not in GRID_METRICS:
+        marked, border, edges = metric_space.density(weighted_points(df, columns, keys), eps, least, metric, keys)
+        joined = null_safe_join(marked, border.withColumnRenamed("ball", "joined"), [*keys, "p"], "left")
+        labels = components(edges, marked.where("core").select(F.col("ball").alias("a")).distinct())
+        numbered = _numbered(labels)
+        out = lookup_join(joined.withColumn("a", F.coalesce("ball", "joined")), numbered, ["a"])
+        return out.select(*keys, "p", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
     pts, links, side, around = _density(weighted_points(df, columns, keys), width, eps, least, keys, metric)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     tag = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
@@ -317,8 +334,7 @@ def density_clusters(df: DataFrame, columns: Sequence[str], eps: float = 0.5, le
     thin_edges = rich.join(thin_core.withColumnRenamed("p", "s"), [*keys, "s"]).select(named("point", F.col("s")).alias("a"), F.col("to").alias("b"))
     cell_edges = _dense_links(pts, width, side, eps, around, keys, metric).select(named("cell", F.col("a")).alias("a"), named("cell", F.col("b")).alias("b"))
     labels = components(thin_edges.union(cell_edges).distinct(), cores)
-    roots = running(labels.select("label").distinct(), [], "label", {"cluster": F.lit(1)}).withColumn("cluster", (F.col("cluster") - 1).cast("int"))
-    numbered = cut_lineage(lookup_join(labels, roots, ["label"]).select("a", "cluster"))
+    numbered = _numbered(labels)
     core_rows = pts.withColumn("a", F.when(F.col("dense"), named("cell", F.col("cell"))).when(F.col("core"), named("point", F.col("p"))))
     core_rows = lookup_join(core_rows, numbered, ["a"])
     border = lookup_join(rich.withColumnRenamed("to", "a"), numbered, ["a"]).groupBy(*keys, F.col("s").alias("p")).agg(F.min_by("cluster", "gap").alias("joined"))

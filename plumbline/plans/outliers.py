@@ -160,3 +160,71 @@ def _(t):
     out = neighbors.attach(df, ["x", "y"], neighbors.density_clusters(df, ["x", "y"], 0.8, 5, metric="cityblock"))
     first = out.groupBy("cluster").agg(F.min("s_suppkey").alias("first_member"))
     return out.join(first, "cluster").select("s_suppkey", F.when(F.col("cluster") >= 0, F.col("first_member")).otherwise(F.lit(-1).cast("long")).alias("first_member"))
+
+
+WIDE = [f"x{i}" for i in range(8)]
+
+
+def wide(t):
+    """Eight columns of the embeddings."""
+    return t("embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(WIDE)])
+
+
+EIGHT = f"""p AS (SELECT vec_id AS i, {", ".join(f"embedding[{i + 1}]::DOUBLE AS {c}" for i, c in enumerate(WIDE))} FROM embeddings)"""
+APART = {
+    "euclidean": "sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in WIDE) + ")",
+    "cityblock": " + ".join(f"abs(a.{c} - b.{c})" for c in WIDE),
+    "cosine": "1 - (" + " + ".join(f"a.{c} * b.{c}" for c in WIDE) + ") / sqrt(" + " + ".join(f"a.{c} * a.{c}" for c in WIDE) + ") / sqrt("
+              + " + ".join(f"b.{c} * b.{c}" for c in WIDE) + ")"}
+WIDE_NEAR = """WITH {points}, e AS (SELECT a.i AS a, b.i AS b, {apart} AS d FROM p a JOIN p b ON a.i <> b.i),
+n AS (SELECT a, b, d FROM (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d) AS r FROM e) WHERE r <= {k})"""
+
+
+@query("outlier_neighbours_wide", "O4", WIDE_NEAR.format(points=EIGHT, apart=APART["euclidean"], k=5) + """,
+s AS (SELECT a, avg(d) AS score FROM n GROUP BY a), q AS (SELECT quantile_cont(score, 0.97) AS lim FROM s)
+SELECT a AS vec_id, round(score, 8) AS score, CAST(score > lim AS INTEGER) AS outlier FROM s, q""")
+def _(t):
+    return rounded(o.neighbour_outliers(wide(t), WIDE).select("vec_id", "score", "outlier"), 8, "score")
+
+
+@query("outlier_local_factor_cosine", "O5", WIDE_NEAR.format(points=EIGHT, apart=APART["cosine"], k=10) + """,
+k AS (SELECT a, max(d) AS kd FROM n GROUP BY a),
+l AS (SELECT n.a, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM n JOIN k ON n.b = k.a GROUP BY n.a),
+s AS (SELECT n.a, avg(lb.lrd) / max(la.lrd) AS score FROM n JOIN l la ON n.a = la.a JOIN l lb ON n.b = lb.a GROUP BY n.a),
+q AS (SELECT quantile_cont(score, 0.97) AS lim FROM s)
+SELECT a AS vec_id, round(score, 6) AS score, CAST(score > lim AS INTEGER) AS outlier FROM s, q""")
+def _(t):
+    return rounded(o.local_outliers(wide(t), WIDE, metric="cosine").select("vec_id", "score", "outlier"), 6, "score")
+
+
+WIDE_DENSITY = """WITH RECURSIVE {points},
+n AS (SELECT a.i AS a, b.i AS b, {apart} AS d FROM p a JOIN p b ON a.i = b.i OR {apart} <= {eps}),
+c AS (SELECT a FROM n GROUP BY a HAVING count(*) >= 5),
+r(a, b) AS (SELECT a, a FROM c UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a JOIN c ON n.b = c.a),
+l AS (SELECT a, min(b) AS root FROM r GROUP BY a),
+m AS (SELECT p.i, coalesce(l.root, (SELECT arg_min(l2.root, n.d) FROM n JOIN l l2 ON n.b = l2.a WHERE n.a = p.i)) AS root FROM p LEFT JOIN l ON p.i = l.a)"""
+
+
+def first_members(t, metric, eps):
+    df = wide(t)
+    out = neighbors.attach(df, WIDE, neighbors.density_clusters(df, WIDE, eps, 5, metric=metric))
+    first = out.groupBy("cluster").agg(F.min("vec_id").alias("first_member"))
+    return out.join(first, "cluster").select("vec_id", F.when(F.col("cluster") >= 0, F.col("first_member")).otherwise(F.lit(-1).cast("long")).alias("first_member"))
+
+
+@query("cluster_density_cosine", "K2", WIDE_DENSITY.format(points=EIGHT, apart=APART["cosine"], eps=0.2) + """
+SELECT i AS vec_id, CASE WHEN root IS NULL THEN -1 ELSE min(i) OVER (PARTITION BY root) END AS first_member FROM m""")
+def _(t):
+    return first_members(t, "cosine", 0.2)
+
+
+@query("cluster_density_wide", "K2", WIDE_DENSITY.format(points=EIGHT, apart=APART["cityblock"], eps=0.5) + """
+SELECT i AS vec_id, CASE WHEN root IS NULL THEN -1 ELSE min(i) OVER (PARTITION BY root) END AS first_member FROM m""")
+def _(t):
+    return first_members(t, "cityblock", 0.5)
+
+
+@query("outlier_density_wide", "O3", WIDE_DENSITY.format(points=EIGHT, apart=APART["euclidean"], eps=0.21) + """
+SELECT i AS vec_id, CAST(root IS NULL AS INTEGER) AS outlier FROM m""")
+def _(t):
+    return o.density_outliers(wide(t), WIDE, 0.21, 5).select("vec_id", "outlier")
