@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.ordered import column_quantiles, running
+from plumbline.functions.settings import cut_lineage
 
 
 def regression_scores(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -119,28 +123,46 @@ def cluster_agreement(df: DataFrame, truth: str, cluster: str) -> DataFrame:
                        F.try_divide(F.col("p"), F.sqrt(F.col("tp") * F.col("cp"))).alias("fowlkes_mallows"))
 
 
-MOST_CLUSTERS = 2000     # cluster centres compared on the driver
+CENTRES = 4096     # cluster centres of a block
 
 
 def cluster_shape(df: DataFrame, columns: list[str], cluster: str) -> DataFrame:
-    """Calinski-Harabasz and Davies-Bouldin from cluster sums; only pairs of clusters are compared, never rows."""
-    sums = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-                                   *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    """Calinski-Harabasz and Davies-Bouldin from cluster sums; only centres are compared, never rows.
+
+    Each cluster's worst partner is the maximum over blocks of centres that meet in tasks, so any number of clusters
+    will do.  Rows without a cluster are left out.  A centre that coincides with another has no ratio with it.
+    """
+    rows = df.where(F.col(cluster).isNotNull())
+    names = [f"m{i}" for i in range(len(columns))]
     add = lambda parts: reduce(lambda a, b: a + b, parts)
-    centres = sums.limit(MOST_CLUSTERS + 1).collect()
-    if len(centres) > MOST_CLUSTERS:
-        raise ValueError(f"more than {MOST_CLUSTERS} clusters")
-    total = df.agg(*[F.avg(c) for c in columns], F.count(F.lit(1))).first()
-    n, k = total[len(columns)], len(centres)
-    ssb = sum(r["n"] * sum((r[f"m{i}"] - total[i]) ** 2 for i in range(len(columns))) for r in centres)
-    ssw = sum(r["n"] * sum(r[f"v{i}"] for i in range(len(columns))) for r in centres)
-    gap = F.sqrt(add([F.pow(F.col(c) - F.col(f"m{i}"), F.lit(2)) for i, c in enumerate(columns)]))
-    near = df.join(F.broadcast(sums.select(cluster, *[f"m{i}" for i in range(len(columns))])), cluster).groupBy(cluster).agg(F.avg(gap).alias("s"))
-    spread = {r[cluster]: r["s"] for r in near.collect()}
-    worst = []
-    for a in centres:
-        ratios = [(spread[a[cluster]] + spread[b[cluster]]) / (sum((a[f"m{i}"] - b[f"m{i}"]) ** 2 for i in range(len(columns))) ** 0.5 or float("inf"))
-                  for b in centres if b[cluster] != a[cluster]]
-        worst.append(max(ratios, default=0.0))
-    ch = (ssb / (k - 1)) / (ssw / (n - k)) if k > 1 and n > k and ssw else None
-    return df.sparkSession.createDataFrame([(ch, sum(worst) / k if k > 1 else None)], "calinski_harabasz double, davies_bouldin double")
+    sums = cut_lineage(rows.groupBy(F.col(cluster).alias("_c")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(m) for m, c in zip(names, columns)],
+                                                                    *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)]))
+    total = sums.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), *[(F.sum(F.col("n") * F.col(m)) / F.sum("n")).alias(m) for m in names]).first()
+    n, k = total["n"], total["k"]
+    between, within = sums.agg(F.sum(F.col("n") * add([F.pow(F.col(m) - F.lit(total[m]), F.lit(2)) for m in names])),
+                               F.sum(F.col("n") * add([F.col(f"v{i}") for i in range(len(columns))]))).first()
+    gap = F.sqrt(add([F.pow(F.col(c) - F.col(m), F.lit(2)) for m, c in zip(names, columns)]))
+    near = rows.join(sums.select("_c", *names), F.col(cluster) == F.col("_c")).groupBy("_c").agg(F.avg(gap).alias("s"))
+    many = max(1, math.ceil(k / CENTRES))
+    place = F.pmod(F.xxhash64("_c"), F.lit(many))
+    centres = cut_lineage(sums.join(near, "_c").select(F.xxhash64(F.lit("id"), "_c").alias("id"), F.array(*names).alias("m"), "s", place.alias("block")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))
+
+    def worst(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table({})
+        x, y = (np.asarray(t["m"].combine_chunks().flatten(), float).reshape(len(t), -1) for t in (a, b))
+        mine, theirs = a["s"].to_numpy(), b["s"].to_numpy()
+        most = np.zeros(len(x))
+        for at in range(0, len(x), 256):
+            apart = np.sqrt(sum((x[at:at + 256, i][:, None] - y[:, i]) ** 2 for i in range(x.shape[1])))
+            ratio = np.divide(mine[at:at + 256, None] + theirs, apart, out=np.zeros_like(apart), where=apart > 0)
+            most[at:at + 256] = ratio.max(axis=1)
+        return pa.table({"id": a["id"], "worst": pa.array(most)})
+
+    left = centres.select("id", "m", "s", F.col("block").alias("a"), every.alias("b"))
+    right = centres.select(F.col("m").alias("m"), F.col("s").alias("s"), F.col("block").alias("b"), every.alias("a"))
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(worst, "id long, worst double")
+    mean = found.groupBy("id").agg(F.max("worst").alias("worst")).agg(F.avg("worst")).first()[0]
+    ch = (between / (k - 1)) / (within / (n - k)) if k > 1 and n > k and within else None
+    return df.sparkSession.createDataFrame([(ch, mean if k > 1 else None)], "calinski_harabasz double, davies_bouldin double")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from plumbline.functions.calendar import micros
 from plumbline.functions.ordered import describe, over_series
@@ -46,23 +49,33 @@ def missing_and_distinct(df: DataFrame, columns: Sequence[str], approximate: boo
     return df.agg(F.array(*parts).alias("_all")).select(F.inline("_all"))
 
 
-def short_domains(df: DataFrame, columns: Sequence[str], limit: int = 20) -> DataFrame:
-    """Sorted distinct values of columns that have at most ``limit``; an empty list otherwise.
+def least_values(df: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
+    """(name, values): the ``most`` smallest distinct texts of each column, fewer where it has fewer.
 
-    A sketch far above the limit rules wide columns out, so that only narrow ones are counted exactly.
+    A task keeps that many per column and no more, whatever it reads, and so does what its results are merged into.
     """
-    guess = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    narrow = [c for c in columns if guess[c] <= 50 * limit]
-    wide = df.sparkSession.createDataFrame([(c, []) for c in columns if c not in narrow], "name string, values array<string>")
-    if not narrow:
-        return wide
-    pairs = long_text(df, narrow).where(F.col("value").isNotNull()).distinct()
-    sizes = pairs.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    short = F.broadcast(sizes.where(F.col("n") <= limit).select("name"))   # at most one row per column
-    lists = pairs.join(short, "name").groupBy("name").agg(F.array_sort(F.collect_list("value")).alias("values"))
-    empty = F.array().cast("array<string>")
-    found = sizes.join(F.broadcast(lists), "name", "left").select("name", F.coalesce("values", empty).alias("values"))
-    return found.unionByName(wide)
+    names = list(columns)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {c: pa.array([], pa.string()) for c in names}
+        for batch in batches:
+            for c in names:
+                seen = pc.unique(pa.concat_arrays([held[c], batch.column(c)]).drop_null())
+                held[c] = seen.take(pc.sort_indices(seen)[:most]) if len(seen) > most else seen
+        for c, values in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(values), pa.string()), values], ["name", "value"])
+
+    kept = df.select(*[F.col(c).cast("string").alias(c) for c in names]).mapInArrow(keep, "name string, value string").distinct()
+    first = kept.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy("value"))).where(F.col("_r") <= most)
+    lists = first.groupBy("name").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    every = df.sparkSession.createDataFrame([(c,) for c in names], "name string")
+    return every.join(F.broadcast(lists), "name", "left").select("name", F.coalesce("values", F.array().cast("array<string>")).alias("values"))
+
+
+def short_domains(df: DataFrame, columns: Sequence[str], limit: int = 20) -> DataFrame:
+    """Sorted distinct values of columns that have at most ``limit``; an empty list otherwise."""
+    least = least_values(df, columns, limit + 1)
+    return least.select("name", F.when(F.size("values") <= limit, F.col("values")).otherwise(F.array().cast("array<string>")).alias("values"))
 
 
 def time_profile(df: DataFrame, ts: str) -> DataFrame:
@@ -93,14 +106,18 @@ def preview(df: DataFrame, order: str, limit: int = 10) -> DataFrame:
     return df.orderBy(order).limit(limit)
 
 
-def image_profile(images: DataFrame, label: str | None = None) -> DataFrame:
-    """Count and the mode, channels and size ranges of an image table; with a label its distinct values."""
+def image_profile(images: DataFrame, label: str | None = None, most: int = 1000) -> DataFrame:
+    """Count and the mode, channels and size ranges of an image table; with a label its ``most`` smallest distinct values."""
     parts = [F.count(F.lit(1)).alias("count"), F.min("mode").alias("mode"), F.min("nChannels").alias("min_channels"),
              F.max("nChannels").alias("max_channels"), F.min("height").alias("min_height"),
              F.max("height").alias("max_height"), F.min("width").alias("min_width"), F.max("width").alias("max_width")]
+    out = images.agg(*parts)
     if label:
-        parts.append(F.array_sort(F.collect_set(label)).alias("labels"))
-    return images.agg(*parts)
+        kind = images.schema[label].dataType
+        values = F.array_sort(F.transform("values", lambda x: x.cast(kind)))
+        found = least_values(images, [label], most).select(values.alias("labels")).first()["labels"]
+        out = out.withColumn("labels", F.array(*[F.lit(v) for v in found]).cast(ArrayType(kind)))
+    return out
 
 
 def image_preview(images: DataFrame, order: str = "origin", limit: int = 10) -> DataFrame:
