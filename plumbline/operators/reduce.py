@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.grouped_map import check_length
+from plumbline.operators import series_clusters
 
 
 def assembled(df: DataFrame, columns: Sequence[str], name: str = "features") -> DataFrame:
@@ -208,23 +209,25 @@ def series_vectors(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
 
 
 def cluster_series(df: DataFrame, key: str, ts: str, value: str, k: int = 2, seed: int = 0):
-    """(series with their cluster, centre points (cluster, place, value), silhouette)."""
-    rows = series_vectors(df, key, ts, value)
-    model = KMeans(k=k, seed=seed, predictionCol="cluster").fit(rows)
-    out = model.transform(rows)
-    centres = [(c, i, float(v)) for c, centre in enumerate(model.clusterCenters()) for i, v in enumerate(centre)]
-    table = df.sparkSession.createDataFrame(centres, "cluster int, place int, value double")
-    score = silhouette(out) if out.select("cluster").distinct().count() > 1 else None
-    return out, table, score
+    """(series with their cluster, centre points (cluster, place, value), silhouette); see ``series_clusters``."""
+    return series_clusters.cluster_series(df, key, ts, value, k, seed)
 
 
 def cluster_series_by_density(df: DataFrame, key: str, ts: str, value: str, eps: float, least: int = 5, k: int = 2):
-    """Density clusters of series on their first principal components, with sizes and silhouette."""
+    """Density clusters of series on their first principal components, with sizes and silhouette.
+
+    The components come from the products of series where there are no more series than times, otherwise from the
+    matrix of times.
+    """
     from plumbline.operators import neighbors
-    rows = series_vectors(df, key, ts, value).select(key, "values")
-    parts, _, _ = pca(rows, ["values"], k)
+    rows = series_clusters.placed(df, key, ts, value)
+    many, places = rows.agg(F.count_distinct(key), F.max("place") + 1).first()
     names = [f"d{j}" for j in range(k)]
-    flat = parts.select(key, *names)
+    if many <= places:
+        flat = series_clusters.series_components(rows, key, k)
+    else:
+        parts, _, _ = pca(series_vectors(df, key, ts, value).select(key, "values"), ["values"], k)
+        flat = parts.select(key, *names)
     out = neighbors.attach(flat, names, neighbors.density_clusters(flat, names, eps, least))
     kept = assembled(out, names).where(F.col("cluster") >= 0)
     score = silhouette(kept) if kept.select("cluster").distinct().count() > 1 else None
