@@ -220,7 +220,7 @@ def coarse_bin(x: Column) -> Column:
 
 
 def _quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Exact linearly interpolated quantiles ``q`` of the doubles ``_v``, one row per key.
+    """Exact linearly interpolated quantiles ``q`` of the doubles ``_q_v``, one row per key.
 
     A histogram by magnitude, under 2^18 bins per key, narrows each wanted rank to one bin, with its least and greatest
     value.  A bin of one value is settled; of a bin of few rows the values are counted; any other is divided evenly
@@ -228,25 +228,25 @@ def _quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[float]) ->
     are told apart: there are at most five passes, for any number of columns and keys.  Histograms combine before they are
     shuffled, so a hot key costs no more than its bins, and no task holds more than a key's bins or a bin's values.
     """
-    by = list(keys) or ["_all"]
-    rows = rows.where(F.col("_v").isNotNull()).withColumns({} if keys else {"_all": F.lit(0)}).withColumn("_bin", coarse_bin(F.col("_v")))
-    counts = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
-    spots = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs]
+    by = list(keys) or ["_q_all"]
+    rows = rows.where(F.col("_q_v").isNotNull()).withColumns({} if keys else {"_q_all": F.lit(0)}).withColumn("_q_bin", coarse_bin(F.col("_q_v")))
+    counts = [F.count(F.lit(1)).alias("_q_n"), F.min("_q_v").alias("_q_lo"), F.max("_q_v").alias("_q_hi")]
+    spots = [(F.col("_q_total") - 1) * F.lit(float(p)) for p in probs]
     ranks = [f(s).cast("long") for s in spots for f in (F.floor, F.ceil)]
-    held = [(F.col("_below") <= r) & (r < F.col("_below") + F.col("_n")) for r in ranks]
+    held = [(F.col("_q_below") <= r) & (r < F.col("_q_below") + F.col("_q_n")) for r in ranks]
     wanted = reduce(lambda a, b: a | b, held, F.lit(False))
-    one, few = F.col("_lo") == F.col("_hi"), F.col("_n") <= VALUES
+    one, few = F.col("_q_lo") == F.col("_q_hi"), F.col("_q_n") <= VALUES
 
     def inside(bins: DataFrame, many: int) -> DataFrame:
         """The rows in the bins; the bins of one key that share a coarse bin are few and do not overlap."""
-        named = bins.select(*[F.col(c).alias(f"_b_{c}") for c in [*by, "_bin"]], "_lo", "_hi", F.col("_below").alias("_ahead"), "_total")
-        match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by], F.col("_bin") == F.col("_b__bin"))
+        named = bins.select(*[F.col(c).alias(f"_b_{c}") for c in [*by, "_q_bin"]], "_q_lo", "_q_hi", F.col("_q_below").alias("_q_ahead"), "_q_total")
+        match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by], F.col("_q_bin") == F.col("_b__q_bin"))
         named = F.broadcast(named) if many <= bound(rows.sparkSession, BROADCAST_ROWS) else named
-        return rows.join(named, match & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        return rows.join(named, match & F.col("_q_v").between(F.col("_q_lo"), F.col("_q_hi")))
 
     def upto(counted: DataFrame, part: str, *more: str) -> DataFrame:
-        order = Window.partitionBy(*by, "_bin", "_lo").orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
-        return counted.withColumn("_below", F.sum("_n").over(order) - F.col("_n") + F.col("_ahead")).select(*by, "_bin", "_n", "_below", "_total", *more)
+        order = Window.partitionBy(*by, "_q_bin", "_q_lo").orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
+        return counted.withColumn("_q_below", F.sum("_q_n").over(order) - F.col("_q_n") + F.col("_q_ahead")).select(*by, "_q_bin", "_q_n", "_q_below", "_q_total", *more)
 
     def settled(frame: DataFrame) -> tuple[DataFrame, int, int]:
         """Bins, kept on the driver where few, and how many of them are to be counted and to be divided."""
@@ -255,28 +255,28 @@ def _quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[float]) ->
         if head.num_rows > limit:
             frame = cut_lineage(frame)
             return frame, *frame.agg(F.count_if(~one & few), F.count_if(~one & ~few)).first()
-        wide = [n for n, lo, hi in zip(*(head[c].to_pylist() for c in ("_n", "_lo", "_hi"))) if lo < hi]
+        wide = [n for n, lo, hi in zip(*(head[c].to_pylist() for c in ("_q_n", "_q_lo", "_q_hi"))) if lo < hi]
         return rows.sparkSession.createDataFrame(head, frame.schema), sum(n <= VALUES for n in wide), sum(n > VALUES for n in wide)
 
     whole = Window.partitionBy(*by)
-    first = rows.groupBy(*by, "_bin").agg(*counts)
-    before = F.sum("_n").over(whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    bins, small, large = settled(first.select("*", before.alias("_below"), F.sum("_n").over(whole).alias("_total")).where(wanted))
+    first = rows.groupBy(*by, "_q_bin").agg(*counts)
+    before = F.sum("_q_n").over(whole.orderBy("_q_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_q_n")
+    bins, small, large = settled(first.select("*", before.alias("_q_below"), F.sum("_q_n").over(whole).alias("_q_total")).where(wanted))
     found = []
     while True:
-        found.append(bins.where(one).select(*by, F.col("_lo").alias("_v"), "_n", "_below", "_total"))
+        found.append(bins.where(one).select(*by, F.col("_q_lo").alias("_q_v"), "_q_n", "_q_below", "_q_total"))
         if small:
-            counted = inside(bins.where(~one & few), small).groupBy(*by, "_bin", "_lo", "_ahead", "_total", "_v").agg(counts[0])
-            found.append(upto(counted, "_v", "_v").select(*by, "_v", "_n", "_below", "_total"))
+            counted = inside(bins.where(~one & few), small).groupBy(*by, "_q_bin", "_q_lo", "_q_ahead", "_q_total", "_q_v").agg(counts[0])
+            found.append(upto(counted, "_q_v", "_q_v").select(*by, "_q_v", "_q_n", "_q_below", "_q_total"))
         if not large:
             break
-        part = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS)
-        divided = inside(bins.where(~one & ~few), large).withColumn("_part", part) \
-            .groupBy(*by, "_bin", "_lo", "_ahead", "_total", "_part").agg(counts[0], F.min("_v").alias("_least"), F.max("_v").alias("_most"))
-        divided = upto(divided, "_part", F.col("_least").alias("_lo"), F.col("_most").alias("_hi"))
+        part = F.floor((F.col("_q_v") - F.col("_q_lo")) / (F.col("_q_hi") - F.col("_q_lo")) * PARTS)
+        divided = inside(bins.where(~one & ~few), large).withColumn("_q_part", part) \
+            .groupBy(*by, "_q_bin", "_q_lo", "_q_ahead", "_q_total", "_q_part").agg(counts[0], F.min("_q_v").alias("_q_least"), F.max("_q_v").alias("_q_most"))
+        divided = upto(divided, "_q_part", F.col("_q_least").alias("_q_lo"), F.col("_q_most").alias("_q_hi"))
         bins, small, large = settled(divided.where(wanted))
     values = reduce(DataFrame.unionByName, found)
-    picked = values.groupBy(*by).agg(F.max("_total").alias("_total"), *[F.max(F.when(h, F.col("_v"))).alias(f"_r{i}") for i, h in enumerate(held)])
+    picked = values.groupBy(*by).agg(F.max("_q_total").alias("_q_total"), *[F.max(F.when(h, F.col("_q_v"))).alias(f"_r{i}") for i, h in enumerate(held)])
     q = [F.when(F.col(f"_r{2 * i}") == F.col(f"_r{2 * i + 1}"), F.col(f"_r{2 * i}"))
          .otherwise(F.col(f"_r{2 * i}") + (F.col(f"_r{2 * i + 1}") - F.col(f"_r{2 * i}")) * (s - F.floor(s))) for i, s in enumerate(spots)]
     return picked.select(*keys, F.array(*q).alias("q"))
@@ -284,11 +284,11 @@ def _quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[float]) ->
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key as ``q`` (array), one row per key that has values."""
-    return _quantiles(df.select(*keys, F.col(value).cast("double").alias("_v")), keys, probs)
+    return _quantiles(df.select(*keys, F.col(value).cast("double").alias("_q_v")), keys, probs)
 
 
 def _unpivoted(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    pairs = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("_v")) for c in columns]
+    pairs = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("_q_v")) for c in columns]
     return df.select(*keys, F.inline(F.array(*pairs)))
 
 

@@ -62,3 +62,8 @@ def test_bins_of_magnitude_keep_the_order(spark):
     frame = spark.createDataFrame([(v,) for v in values], "v double")
     bins = [r[0] for r in frame.orderBy("v").select(ordered.coarse_bin(frame.v)).collect()]
     assert bins == sorted(bins) and len(set(bins)) > 500
+
+
+def test_keys_may_have_any_name(spark):
+    frame = spark.createDataFrame([(1, 2, 5.0), (1, 2, 7.0)], "_bin int, _n int, _v double")
+    assert [tuple(r) for r in ordered.quantiles(frame, ["_bin", "_n"], "_v", [0.5]).collect()] == [(1, 2, [6.0])]
