@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PIECES = 1 << 18      # pre-tokens that a worker remembers
 STRETCHES = 1 << 16   # stretches between spaces that it remembers
+LONGEST = 64          # characters of the longest string that is remembered
 ROWS = 64             # rows that are returned at a time
 
 
@@ -65,7 +66,10 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Remembered(dict):
-    """Encoded strings of one worker, the first ``most`` that it meets; others are encoded each time."""
+    """Encoded strings of one worker, the first ``most`` of up to ``LONGEST`` characters that it meets.
+
+    Others are encoded each time, so that its memory is bounded whatever the texts are.
+    """
 
     def __init__(self, encode: Callable[[str], bytes], most: int):
         super().__init__()
@@ -73,7 +77,7 @@ class Remembered(dict):
 
     def __missing__(self, text: str) -> bytes:
         found = self.encode(text)
-        if len(self) < self.most:
+        if len(self) < self.most and len(text) <= LONGEST:
             self[text] = found
         return found
 

@@ -243,6 +243,13 @@ def test_byte_bpe(spark, rows):
     assert got[None].n_tokens == 0 and len(out) == len(odd) + 1
 
 
+def test_long_strings_are_not_remembered():
+    coder = byte_bpe.tokenizer(public_tokenizers.path(byte_bpe.VOCABULARY))
+    long = "中文" * 200
+    assert coder.decode(coder.encode(f"{long} and {long}")).decode() == f"{long} and {long}"
+    assert max(map(len, [*coder.pieces, *coder.stretches])) <= byte_bpe.LONGEST
+
+
 def test_perfect_hash():
     keys = [str(k).encode() for k in range(5000)]
     table = byte_bpe.PerfectHash(keys)
