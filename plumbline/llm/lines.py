@@ -2,27 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.settings import cut_lineage
-from plumbline.llm.common import sieve, sifted
+from plumbline.llm.common import sieve, sifted, written
 
 BOUND = 1          # edits (insertion, deletion or change of one character) between lines that match; fixed by the variants
 LEAST = 10         # characters of the shorter of two lines that match without being equal
 WORDS = 6          # words of the shorter of two lines that match with one word apart
 PIECE = 24         # characters (or words) of a piece, at least; longer lines have pieces of the root of their length
 PLACE = 1 << 31    # lines of one document that places can tell apart
+TIES = 1 << 26     # rows that share a doc_id with others, which numbers can tell apart (rows without one: any number)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(place, h1, h2, line) of every line that is not blank; places order lines by document, then position."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(_visible(F.col("line")))
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).cast("decimal(20,0)")
-    place = (number * F.lit(PLACE).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(38,0)")
+    number = F.col("__number") if "__number" in docs.columns else _by_id()
+    rows = docs.select(number.alias("number"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(_visible(F.col("line")))
+    wide = "decimal(28,0)" if "decimal" in dict(rows.dtypes)["number"] else "decimal(20,0)"    # 10 digits more for the position
+    place = (F.col("number").cast(wide) * F.lit(PLACE).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(38,0)")
     return rows.select(place.alias("place"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
 
 
+def _by_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__number``, which orders rows by doc_id (null last) and which no two rows share.
+
+    That is doc_id itself where all have one of their own.  Otherwise rows that lack one or share one are written in
+    the order of doc_id and a hash of the text, dealt by ranges that also part equal texts, and each is counted; the count
+    follows doc_id in the number.  Numbers per part come from one row per part.
+    """
+    ids = cut_lineage(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1 OR doc_id IS NULL").select("doc_id"))
+    if ids.isEmpty():
+        return docs.withColumn("__number", _by_id())
+    several = ids.where("doc_id IS NOT NULL")
+    odd = docs.where("doc_id IS NULL").union(docs.join(several, "doc_id", "left_semi").select(*docs.columns))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("__hash"), F.col("__row")]
+    odd = odd.withColumn("__hash", F.xxhash64("text")).withColumn("__row", F.monotonically_increasing_id())
+    odd = odd.repartitionByRange(*order).sortWithinPartitions(*order).drop("__hash", "__row")
+    odd = written(odd.withColumn("__row", F.monotonically_increasing_id()), "lines-rows")
+    part, at = F.shiftright("__row", 33), F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = odd.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))    # a row per part
+    starts = F.broadcast(sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start")))
+    tie = F.col("__start") + at
+    tie = F.when(F.col("doc_id").isNull() | (tie < TIES), tie).otherwise(F.raise_error(F.lit("too many rows share a doc_id")).cast("long"))
+    number = lambda tie: (_by_id().cast("decimal(19,0)") * F.lit(TIES).cast("decimal(8,0)") + tie.cast("decimal(19,0)")).cast("decimal(28,0)")
+    odd = odd.withColumn("__part", part).join(starts, "__part").select(*docs.columns, number(tie).alias("__number"))
+    even = docs.where("doc_id IS NOT NULL").join(several, "doc_id", "left_anti").select(*docs.columns, number(F.lit(0)).alias("__number"))
+    return even.union(odd)
+
+
 def _visible(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
@@ -152,13 +186,14 @@ def _near(docs: DataFrame, word: int) -> DataFrame:
 
 
 def _deduplicated(docs: DataFrame, word: int) -> DataFrame:
+    names, docs = docs.columns, _numbered(docs)
     firsts = _lines(docs).groupBy("h1", "h2").agg(F.min("place").alias("place"))
     kept = firsts.join(near_lines(docs, word), ["h1", "h2"], "left_anti")
     step = F.lit(PLACE).cast("decimal(38,0)")
-    kept = kept.withColumn("number", ((F.col("place") - F.pmod("place", step)) / step).cast("decimal(20,0)").cast("long")) \
+    number = ((F.col("place") - F.pmod("place", step)) / step).cast("decimal(28,0)").cast(docs.schema["__number"].dataType)
+    kept = kept.withColumn("number", number) \
         .groupBy("number").agg(F.collect_list(F.struct(F.pmod("place", step).cast("int").alias("pos"), F.col("h1"))).alias("__kept"))
-    joined = docs.select(*docs.columns, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__number")) \
-        .join(kept.withColumnRenamed("number", "__place"), F.col("__number") == F.col("__place"), "left")
+    joined = docs.join(kept.withColumnRenamed("number", "__place"), F.col("__number") == F.col("__place"), "left")
     lines = joined.withColumn("__lines", F.split("text", "\n", -1))
     own = F.transform(F.filter(F.coalesce("__kept", F.array().cast("array<struct<pos:int,h1:bigint>>")), lambda k: (k.pos < F.size("__lines"))
                                & (F.xxhash64(F.get("__lines", k.pos)) == k.h1)), lambda k: k.pos)
@@ -166,7 +201,7 @@ def _deduplicated(docs: DataFrame, word: int) -> DataFrame:
     chosen = lines.withColumn("__chosen", F.array_sort(F.concat(own, blank)))
     text = F.array_join(F.transform("__chosen", lambda i: F.get("__lines", i)), "\n")
     n = F.greatest(F.size("__lines"), F.lit(0))
-    return chosen.select(*[(text if c == "text" else F.col(c)).alias(c) for c in docs.columns], F.coalesce(n, F.lit(0)).cast("long").alias("__n_lines"),
+    return chosen.select(*[(text if c == "text" else F.col(c)).alias(c) for c in names], F.coalesce(n, F.lit(0)).cast("long").alias("__n_lines"),
                          F.coalesce(n - F.size("__chosen"), F.lit(0)).cast("long").alias("__n_removed"))
 
 
@@ -182,9 +217,9 @@ def dedup_lines(docs: DataFrame, word: int = 0) -> DataFrame:
     Equal lines are merged by two 64-bit hashes before anything else, so frequent lines cost one row per task.  What is
     kept comes back per document as a list of positions, no longer than the document.
 
-    A null text stays null, with 0 lines; an empty text has one blank line.  Rows that repeat a doc_id have their lines
-    at the same places, and equal lines at one place stay in all of them.  Empty input gives no rows.  Columns named
-    n_lines or n_removed are replaced; all others stay.
+    A null text stays null, with 0 lines; an empty text has one blank line.  Rows that share a doc_id, or have none,
+    stand in the order of a hash of their texts, and copies one behind the other, so of equal rows one keeps its lines.
+    Empty input gives no rows.  Columns named n_lines or n_removed are replaced; all others stay.
     """
     out = _deduplicated(docs.drop("n_lines", "n_removed"), word)
     return out.withColumnsRenamed({"__n_lines": "n_lines", "__n_removed": "n_removed"})
@@ -200,12 +235,14 @@ def op9_line_dedup(docs: DataFrame) -> DataFrame:
 
 
 OP9_SQL = """
-WITH split AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(text, chr(10)) AS lines FROM documents),
+WITH split AS (
+  SELECT row_number() OVER () AS row_no, row_number() OVER (PARTITION BY doc_id ORDER BY md5(text)) AS tie, doc_id, string_split(text, chr(10)) AS lines
+  FROM documents),
 line AS (
-  SELECT row_no, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split),
+  SELECT row_no, tie, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split),
 seen AS (
   SELECT *, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS visible,
-         coalesce(doc_id, 9223372036854775807)::HUGEINT * 2147483648 + pos AS place FROM line),
+         (coalesce(doc_id, 9223372036854775807)::HUGEINT * 67108864 + tie) * 2147483648 + pos AS place FROM line),
 firsts AS (SELECT line, length(line) AS n, min(place) AS place FROM seen WHERE visible GROUP BY line),
 based AS (SELECT *, unnest([n, n - 1]) AS m FROM firsts),
 halved AS (
