@@ -6,6 +6,7 @@ import base64
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -19,6 +20,7 @@ PIECES = 1 << 18      # pre-tokens that a worker remembers
 STRETCHES = 1 << 16   # stretches between spaces that it remembers
 LONGEST = 64          # characters of the longest string that is remembered
 ROWS = 64             # rows that are returned at a time
+OTHER = "\uffff"      # never assigned: neither letter nor number nor white space
 
 
 class PerfectHash:
@@ -65,6 +67,20 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
+def newer_letters(kinds: str = r"[\p{L}\p{N}]") -> str:
+    """A class of the code points that ``regex`` takes for letters or numbers and tiktoken, by its own tables, does not.
+
+    The libraries follow different versions of Unicode.  tiktoken is asked which code points its pattern finds.
+    """
+    import tiktoken
+    every = "".join(chr(c) for c in chain(range(0xD800), range(0xE000, 0x110000)))
+    finder = tiktoken.Encoding("kinds", pat_str=kinds, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    theirs = set(bytes(finder.encode_ordinary(every)).decode())
+    points = np.array([ord(c) for c in regex.findall(kinds, every) if c not in theirs], np.int64)
+    runs = np.split(points, np.flatnonzero(np.diff(points) > 1) + 1) if len(points) else []
+    return "[" + "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs) + "]" if runs else "(?!)"
+
+
 class Remembered(dict):
     """Encoded strings of one worker, the first ``most`` of up to ``LONGEST`` characters that it meets.
 
@@ -86,7 +102,7 @@ class ByteBPE:
     """Encoder and decoder of one vocabulary of ranks, with the pattern that splits texts into pre-tokens."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
-        self.ranks, self.pattern, self.table = ranks, pattern, PerfectHash(ranks)
+        self.ranks, self.pattern, self.table, self.newer = ranks, pattern, PerfectHash(ranks), newer_letters()
         self._prepare()
 
     def _prepare(self):
@@ -98,15 +114,15 @@ class ByteBPE:
         for token, rank in self.ranks.items():
             if len(token) == 2:
                 self.pairs[token[0] << 8 | token[1]] = rank
-        self.split = regex.compile(self.pattern)
+        self.split, self.unknown = regex.compile(self.pattern), regex.compile(self.newer)
         self.run_on = regex.compile(r"\s | \s")
         self.pieces, self.stretches = Remembered(lambda p: self.pre_token(p.encode()), PIECES), Remembered(self._pieces, STRETCHES)
 
     def __getstate__(self):
-        return self.ranks, self.pattern, self.table
+        return self.ranks, self.pattern, self.table, self.newer
 
     def __setstate__(self, state):
-        self.ranks, self.pattern, self.table = state
+        self.ranks, self.pattern, self.table, self.newer = state
         self._prepare()
 
     def pre_token(self, piece: bytes) -> bytes:
@@ -149,8 +165,14 @@ class ByteBPE:
             i = after[i]
         return out
 
+    def _split(self, text: str) -> list[str]:
+        """The pattern's matches, with letters and numbers as tiktoken knows them."""
+        if text.isascii() or not self.unknown.search(text):
+            return self.split.findall(text)
+        return [text[m.start():m.end()] for m in self.split.finditer(self.unknown.sub(OTHER, text))]
+
     def _pieces(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
+        return b"".join(map(self.pieces.__getitem__, self._split(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as 32-bit little-endian integers.

@@ -255,6 +255,21 @@ def test_byte_bpe(spark, rows):
     assert got[None].n_tokens == 0 and len(out) == len(odd) + 1
 
 
+def test_byte_bpe_at_every_code_point():
+    import tiktoken
+    path = public_tokenizers.path(byte_bpe.VOCABULARY)
+    coder = byte_bpe.tokenizer(path)
+    want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    newer = [c for c in points if coder.unknown.match(c)]
+    for at in range(0, len(newer), 64):
+        text = "".join(f" 1a{c}a1{c}.{c}" for c in newer[at:at + 64])
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == want.encode_ordinary(text), hex(ord(newer[at]))
+    split = tiktoken.Encoding("split", pat_str=r"a[\p{L}\p{N}]", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    joined = set(bytes(split.encode_ordinary("".join(f"a{c}." for c in points))).decode())
+    assert {c for c in points if coder._split(f"a{c}b") == [f"a{c}b"]} | {c for c in points if coder._split(f"1{c}1") == [f"1{c}1"]} == joined
+
+
 def test_long_strings_are_not_remembered():
     coder = byte_bpe.tokenizer(public_tokenizers.path(byte_bpe.VOCABULARY))
     long = "中文" * 200
