@@ -18,7 +18,7 @@ def beta_share(a: float, b: float, x: float) -> float:
     front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
     value = 1.0
     # evaluate 1/(1 + d1/(1 + d2/(1 + ...))) from the inside out
-    for m in range(300, 0, -1):
+    for m in range(max(300, int(4 * math.sqrt(max(a, b)))), 0, -1):    # terms needed grow with the root of the parameters
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         value = 1 + even / (1 + odd / value)

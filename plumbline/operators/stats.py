@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.ordered import (average_ranks, column_quantiles, describe, lookup_join, running)
 from plumbline.functions.settings import cut_lineage
 from plumbline.functions.tails import f_tail, f_upper
+from plumbline.operators import level_fit
 from plumbline.spec import DatasetSpec
 
 
@@ -208,21 +209,40 @@ def anova(df: DataFrame, columns: Sequence[str], category: str) -> DataFrame:
     return out.withColumn("level", significance(F.col("p")))
 
 
-MOST_LEVELS = 1000    # dummy columns whose normal matrix the driver solves
+MOST_LEVELS = 1000    # levels whose normal matrix the driver solves; more are fitted by rounds on Spark
+FACTOR_SUMS = ("name string, df double, sum_sq double, f double, p double, neg_log10 double, "
+               "omega_sq double, eta_sq double, eta_sq_factors double")
 
 
 def factor_anova(df: DataFrame, value: str, factors: Sequence[str]) -> DataFrame:
     """Sequential sums of squares of ``value ~ factor1 + factor2 + ...`` with F, p, -log10 p and both effect sizes.
 
-    Only level and level-pair sums reach the driver (their number is checked), never rows.
+    Rows with a null value or factor are left out.  Up to ``MOST_LEVELS`` levels the sums of levels and of pairs of
+    levels are solved on the driver; beyond, the fit stays on Spark (``level_fit``).  Rows never reach the driver.
+    Without rows there is no result row.
     """
-    spark = df.sparkSession
     rows = df.where(F.col(value).isNotNull()).dropna(subset=list(factors))
     levels = rows.agg(*[F.count_distinct(c).alias(c) for c in factors]).first()
-    if sum(levels) > MOST_LEVELS:
-        raise ValueError(f"{sum(levels)} factor levels, more than {MOST_LEVELS}")
     centre, n = rows.agg(F.avg(value), F.count(F.lit(1))).first()
+    if not n:
+        return df.sparkSession.createDataFrame([], f"{FACTOR_SUMS}, level string")
     y = F.col(value) - centre
+    total = rows.agg(F.sum(y * y)).first()[0]
+    found = level_fit.sequential_sums(rows, y, factors) if sum(levels) > MOST_LEVELS else _matrix_sums(rows, y, factors, n, total)
+    rest, free = total - sum(s for *_, s in found), n - 1 - sum(d for _, d, _ in found)
+    error = rest / free if free > 0 else math.nan
+    explained = sum(s for *_, s in found)
+    out = []
+    for c, d, s in found:
+        f = (s / d) / error if d and error else math.nan
+        p = f_upper(f, d, free)
+        out.append((c, float(d), float(s), float(f), float(p), -math.log10(max(p, 1e-308)),
+                    float((s - d * error) / (total + rest)), float(s / (explained + rest)), float(s / explained) if explained else math.nan))
+    return df.sparkSession.createDataFrame(out, FACTOR_SUMS).withColumn("level", significance(F.col("p")))
+
+
+def _matrix_sums(rows: DataFrame, y: Column, factors: Sequence[str], n: int, total: float) -> list[tuple[str, int, float]]:
+    """(factor, degrees of freedom, sum of squares) from the normal matrix of all levels."""
     text = {c: F.col(c).cast("string") for c in factors}
     ones = rows.select(F.inline(F.array(*[F.struct(F.lit(i).alias("f"), text[c].alias("v"), y.alias("y")) for i, c in enumerate(factors)])))
     single = ones.groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")).collect()
@@ -231,7 +251,6 @@ def factor_anova(df: DataFrame, value: str, factors: Sequence[str]) -> DataFrame
         pairs = [F.struct(F.lit(i).alias("f"), text[a].alias("v"), F.lit(j).alias("g"), text[b].alias("w"))
                  for (i, a), (j, b) in itertools.combinations(enumerate(factors), 2)]
         pair_rows = rows.select(F.inline(F.array(*pairs))).groupBy("f", "v", "g", "w").agg(F.count(F.lit(1)).alias("n")).collect()
-    total = rows.agg(F.sum(y * y)).first()[0]
     place, first = {}, {}
     for r in sorted(single, key=lambda r: (r["f"], r["v"])):
         if r["f"] in first:
@@ -257,18 +276,7 @@ def factor_anova(df: DataFrame, value: str, factors: Sequence[str]) -> DataFrame
         left, rank = total - float(beta @ xy[used]), int(np.linalg.matrix_rank(sub))
         found.append((c, rank - ranks, rest - left))
         rest, ranks = left, rank
-    free = n - ranks
-    error = rest / free if free > 0 else math.nan
-    explained = sum(s for *_, s in found)
-    out = []
-    for c, d, s in found:
-        f = (s / d) / error if d and error else math.nan
-        p = f_upper(f, d, free)
-        out.append((c, float(d), float(s), float(f), float(p), -math.log10(max(p, 1e-308)),
-                    float((s - d * error) / (total + rest)), float(s / (explained + rest)), float(s / explained) if explained else math.nan))
-    found = spark.createDataFrame(out, "name string, df double, sum_sq double, f double, p double, neg_log10 double, "
-                                       "omega_sq double, eta_sq double, eta_sq_factors double")
-    return found.withColumn("level", significance(F.col("p")))
+    return found
 
 
 def effect_sizes(anova_rows: DataFrame) -> DataFrame:

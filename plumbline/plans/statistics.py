@@ -181,6 +181,20 @@ def _(t):
     return s.factor_anova(t("lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus", "l_linenumber"])
 
 
+@query("anova_many_levels", "D8 D9", """
+WITH v AS (SELECT l_orderkey AS a, CAST(l_returnflag = 'R' AS INTEGER) AS b, l_extendedprice AS y FROM lineitem),
+g AS (SELECT y, y - avg(y) OVER (PARTITION BY a) AS ry, b - avg(b) OVER (PARTITION BY a) AS rb, avg(y) OVER (PARTITION BY a) AS m FROM v),
+s AS (SELECT count(*) AS n, var_pop(y) * count(*) AS total, sum((m - t.mean) * (m - t.mean)) AS s1, pow(sum(rb * ry), 2) / sum(rb * rb) AS s2
+ FROM g, (SELECT avg(y) AS mean FROM v) t),
+e AS (SELECT s.*, l.k - 1 AS d1, n - l.k - 1 AS free, total - s1 - s2 AS rest FROM s, (SELECT count(DISTINCT a) AS k FROM v) l)
+SELECT 'l_orderkey' AS name, CAST(d1 AS DOUBLE) AS df, round((s1 / d1) / (rest / free), 6) AS f, round(s1 / total, 8) AS eta_sq FROM e
+UNION ALL SELECT 'returned', 1.0, round(s2 / (rest / free), 6), round(s2 / total, 8) FROM e""")
+def _(t):
+    rows = t("lineitem").withColumn("returned", (F.col("l_returnflag") == "R").cast("int"))
+    out = s.factor_anova(rows, "l_extendedprice", ["l_orderkey", "returned"])
+    return out.select("name", "df", F.round("f", 6).alias("f"), F.round("eta_sq", 8).alias("eta_sq"))
+
+
 PAIRS = [(a, b) for i, a in enumerate(NUMERIC) for b in NUMERIC[:i + 1]]
 
 
