@@ -105,12 +105,12 @@ def _(t):
 
 @query("source_sheet_rows_below", "S12", "SELECT c_name AS name, c_mktsegment AS segment FROM customer")
 def _(t):
-    rows = t("customer").select(F.concat_ws(",", "c_name", "c_mktsegment", "c_custkey").alias("line"), F.col("c_custkey").alias("place"))
-    top = t.spark.createDataFrame([("Customers",), ("*name,segment*,key",), ("text,text,number",), (",,",)], "line string") \
-        .select("line", (F.monotonically_increasing_id() - (1 << 40)).alias("place"))
+    rows = t("customer").select(F.concat_ws(",", "c_name", "c_mktsegment", "c_custkey"))
+    top = t.spark.createDataFrame([("Customers",), ("*name,segment*,key",), ("text,text,number",), (",,",)], "line string")
     path = scratch_folder(t.spark, "sheet")
-    top.union(rows).orderBy("place").select("line").coalesce(1).write.text(path)    # a sheet is one file
-    return files.sheet_rows(t.spark, path, columns=2, header_row=2, data_row=4)
+    top.coalesce(1).write.text(f"{path}/top")
+    rows.write.text(f"{path}/rows")
+    return files.sheet_rows(t.spark, [f"{path}/top", f"{path}/rows"], columns=2, header_row=2, data_row=4)
 
 
 # --- filters -------------------------------------------------------------------------------------

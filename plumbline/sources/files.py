@@ -94,26 +94,34 @@ def sql_over_files(spark: SparkSession, text: str, folder: str = "", args: dict
     return spark.sql(re.sub(r"'([^']*(?:\.(?:csv|json|parquet|txt)|/))'", name, text), args=args or None)
 
 
-def sheet_rows(spark: SparkSession, path: str, columns: int | None = None, skip_empty: bool = True,
+def sheet_rows(spark: SparkSession, path: str | list[str], columns: int | None = None, skip_empty: bool = True,
                header_row: int = 1, data_row: int | None = None) -> DataFrame:
     """Delimited sheet: header names without ``*`` marks, at most ``columns`` columns, all-empty rows removed.
 
-    Lines count from 1: names are in ``header_row``, rows start at ``data_row`` (default: the next line).  A sheet whose
-    names are not in line 1 is one file without line feeds in its cells; what stands above the rows is in its first block.
+    Lines count from 1: names are in ``header_row``, rows start at ``data_row`` (default: the next line).  With names in
+    line 1 every file of the sheet has them.  Otherwise cells hold no line feeds and what stands above the rows is in the
+    first block of the sheet's first file (by name; of a list of paths, in the first one); all other files hold rows only.
+    Files are read in parallel.
     """
     data_row = data_row or header_row + 1
     if (header_row, data_row) == (1, 2):
         raw = spark.read.csv(path, header=True, inferSchema=False)
     else:
+        paths = [path] if isinstance(path, str) else list(path)
+        file = F.col("_metadata.file_path")
+        first = spark.read.format("binaryFile").load(paths[0]).where("length > 0").agg(F.min(F.struct("path", file.alias("uri"))).alias("f")).first()["f"]
+        if first is None:
+            raise ValueError(f"{paths[0]} has no lines")
         number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
-        lines = spark.read.text(path).select("value", number.alias("number"), F.col("_metadata.file_block_start").alias("start"))
+        lines = spark.read.text(first["path"]).select("value", number.alias("number"), F.col("_metadata.file_block_start").alias("start"))
         head = lines.where((F.col("start") == 0) & (F.col("number") == header_row)).first()
         if head is None:
-            raise ValueError(f"{path} has no line {header_row}")
+            raise ValueError(f"{first['path']} has no line {header_row}")
         names = spark.createDataFrame([(head["value"],)], "value string").select(F.from_csv("value", ", ".join(
             f"c{i} string" for i in range(head["value"].count(",") + 1))).alias("r")).select("r.*").first()
         names = [n for n in names if n is not None]
-        rows = lines.where((F.col("start") > 0) | (F.col("number") >= data_row))
+        rows = lines.where((F.col("start") > 0) | (F.col("number") >= data_row)).select("value")
+        rows = rows.union(spark.read.text(paths).where(file != first["uri"]).select("value"))
         raw = rows.select(F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names)))).alias("r")).select("r.*").toDF(*names)
     kept = raw.columns[:columns] if columns else raw.columns
     out = raw.select(*[F.col(f"`{c}`").alias(re.sub(r"\*", "", c).strip()) for c in kept])

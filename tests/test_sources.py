@@ -26,6 +26,22 @@ def test_csv_null_tokens_before_types(spark, tmp_path):
     assert dict(typed.dtypes)["v"] == "float"
 
 
+def test_sheet_of_several_files(spark, tmp_path):
+    folder = tmp_path / "a sheet"
+    folder.mkdir()
+    (folder / "0.csv").write_text("")
+    (folder / "1.csv").write_text("Title\n*k,v*\n1,a\n")
+    (folder / "2.csv").write_text("2,b\n,\n3,c\n" + "".join(f"{k},d\n" for k in range(4, 400)))
+    (folder / "3.csv").write_text("400,e\n")
+    got = files.sheet_rows(spark, str(folder), header_row=2)
+    assert got.columns == ["k", "v"] and sorted(int(r.k) for r in got.collect()) == list(range(1, 401))
+    assert files.sheet_rows(spark, str(folder / "1.csv"), header_row=2).count() == 1
+    with pytest.raises(ValueError):
+        files.sheet_rows(spark, str(folder), header_row=9)
+    with pytest.raises(ValueError):
+        files.sheet_rows(spark, str(folder / "0.csv"), header_row=2)
+
+
 def test_json_array_and_sql_over_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"k": 1, "v": "x"}, {"k": 2, "v": "y"}]))
     (tmp_path / "b.csv").write_text("k,n\n1,10\n2,20\n")
