@@ -99,3 +99,14 @@ def test_few_points_keys_and_unknown_metrics(spark):
     assert neighbors.nearest(neighbors.weighted_points(none, names(x)), 2).count() == 0 and neighbors.density_clusters(none, names(x), 1.0, 2).count() == 0
     with pytest.raises(ValueError, match="unknown metric"):
         neighbors.nearest(neighbors.weighted_points(df, names(x)), 2, "braycurtis")
+
+
+def test_copies_follow_blocks_and_links_follow_balls(spark):
+    x = np.random.default_rng(5).normal(size=(4000, 6))
+    points = neighbors.weighted_points(frame(spark, x), names(x))
+    space = ms.MetricSpace(points, "euclidean")
+    anywhere = space.points.selectExpr("*", "CAST('Infinity' AS DOUBLE) AS reach")
+    assert space.copied(anywhere, "reach", False).count() <= 32 * len(x)    # of 64 cells
+    marked, _, edges = ms.density(points, 1.0, 3)
+    balls = marked.where("core").select("ball").distinct().count()
+    assert 0 < edges.distinct().count() <= 32 * balls
