@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,13 +117,13 @@ def _dealt(pivots: np.ndarray, sizes: np.ndarray, room: int, metric: str) -> tup
 
 
 class MetricSpace:
-    """Weighted points (``p``, ``n`` and key columns) dealt to pivots and blocks; only points of equal keys ever meet."""
+    """Weighted points (``p``, ``n``, key and other columns) dealt to pivots and blocks; only points of equal keys ever meet."""
 
     def __init__(self, points: DataFrame, metric: str, keys: Sequence[str] = ()):
         if metric not in METRICS:
             raise ValueError(f"unknown metric {metric!r}; it has to be one of {', '.join(METRICS)}")
         self.metric, self.keys, spark = metric, list(keys), points.sparkSession
-        points = cut_lineage(points.select(*self.keys, "p", "n"))
+        points = cut_lineage(points)
         self.types = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in self.keys)
         self.types += ", " if self.keys else ""
         self.total = points.count()
@@ -133,7 +134,7 @@ class MetricSpace:
         chosen = points.select("p").orderBy(F.xxhash64("p"), "p").limit(many).collect()
         pivots = coordinates(np.array([r.p for r in chosen], float).reshape(len(chosen), wide - 1), metric)
         sent = spark.sparkContext.broadcast(pivots)
-        named = self.keys
+        named, types = points.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -143,11 +144,10 @@ class MetricSpace:
                     cell.append(d.argmin(axis=1))
                     own.append(d.min(axis=1))
                 empty = not len(x)
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(k) for k in named], batch.column("p"), batch.column("n"), pa.array([] if empty else np.concatenate(cell), pa.int64()),
-                     pa.array([] if empty else np.concatenate(own), pa.float64())], [*named, "p", "n", "cell", "own"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in named], pa.array([] if empty else np.concatenate(cell), pa.int64()),
+                                                  pa.array([] if empty else np.concatenate(own), pa.float64())], [*named, "cell", "own"])
 
-        points = cut_lineage(points.mapInArrow(assign, f"{self.types}p array<double>, n long, cell long, own double"))
+        points = cut_lineage(points.mapInArrow(assign, f"{types}, cell long, own double"))
         sizes, least, most = np.zeros(len(pivots), np.int64), np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
         for cell, n, low, high in points.groupBy("cell").agg(F.count(F.lit(1)), F.min("own"), F.max("own")).collect():    # a row per pivot at most
             sizes[cell], least[cell], most[cell] = n, low, high
@@ -252,18 +252,19 @@ def _meetings(a: pa.Table, b: pa.Table, known: Cells, metric: str, reach: np.nda
 def nearest(points: DataFrame, k: int, metric: str = "euclidean", keys: Sequence[str] = ()) -> DataFrame:
     """For each weighted point its k nearest others: ``near`` = sorted [(d, q, m)], ties to the smaller point.
 
-    The own block gives a first k-th distance; only cells that can hold a nearer point are then met.
+    With a column ``ids``, the sorted first k names of a point's rows, ties go to the point of the first name, and ``near``
+    is [(d, first, q, m, ids)].  The own block gives a first k-th distance; only cells that can hold a nearer point are then met.
     """
     space = MetricSpace(points, metric, keys)
     if not space.total:
         return points.withColumn("near", F.array().cast("array<struct<d:double,q:array<double>,m:bigint>>"))
-    keys, cells = space.keys, space.cells
+    keys, cells, named = space.keys, space.cells, "ids" in points.columns
 
     def compare(a: pa.Table, b: pa.Table):
         p, q = _matrix(a["p"]), _matrix(b["p"])
         reach = a["reach"].to_numpy().copy()
         place = np.empty(len(q), np.int64)
-        place[_ordered(q)] = np.arange(len(q))
+        place[np.argsort(pc.list_element(b["ids"], 0).to_numpy(), kind="stable") if named else _ordered(q)] = np.arange(len(q))
         held, parts = 0, []
 
         def best():
@@ -288,10 +289,11 @@ def nearest(points: DataFrame, k: int, metric: str = "euclidean", keys: Sequence
                 parts[:] = [best()]
                 held = len(parts[0][0])
         at, to, far = best()
-        return at, {"s": _lists(p[at]), "own": a["n"].take(pa.array(at)), "d": pa.array(far), "q": _lists(q[to]), "m": b["n"].take(pa.array(to))}
+        return at, {"s": _lists(p[at]), "own": a["n"].take(pa.array(at)), "d": pa.array(far), "q": _lists(q[to]), "m": b["n"].take(pa.array(to)),
+                    **({"ids": b["ids"].take(pa.array(to))} if named else {})}
 
-    schema = "s array<double>, own long, d double, q array<double>, m long"
-    order = Window.partitionBy(*keys, "s").orderBy("d", "q")
+    schema = "s array<double>, own long, d double, q array<double>, m long" + (f", ids {points.schema['ids'].dataType.simpleString()}" if named else "")
+    order = Window.partitionBy(*keys, "s").orderBy("d", *([F.col("ids")[0]] if named else []), "q")
 
     def best(rows: DataFrame) -> DataFrame:
         return cut_lineage(rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k))
@@ -303,7 +305,7 @@ def nearest(points: DataFrame, k: int, metric: str = "euclidean", keys: Sequence
     found = best(first.drop("r").unionByName(others))
     d = F.col("d") * F.col("d") / 2 if metric == "cosine" else F.col("d")
     return found.groupBy(*keys, F.col("s").alias("p"), F.col("own").alias("n")).agg(
-        F.array_sort(F.collect_list(F.struct(d.alias("d"), "q", "m"))).alias("near"))
+        F.array_sort(F.collect_list(F.struct(d.alias("d"), *([F.col("ids")[0].alias("first")] if named else []), "q", "m", *(["ids"] if named else [])))).alias("near"))
 
 
 def _joined(x: np.ndarray, inside, metric: str) -> np.ndarray:

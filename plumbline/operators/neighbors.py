@@ -1,8 +1,8 @@
 """Exact nearest neighbours and density clusters without forming all pairs.
 
-Equal points are merged into one weighted point first, so any number of copies costs nothing more.  Points
-meet only through equi joins on grid cells; the cell side adapts so that each point meets a bounded number
-of others (in up to three dimensions), and results never depend on the grid.
+Equal points are merged into one weighted point first, so any number of copies costs nothing more.  Neighbours
+meet by metric partitioning; those of many keys, and density clusters, through equi joins on grid cells, whose side
+adapts so that each point meets a bounded number of others (in up to three dimensions).  Results never depend on either.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from plumbline.functions.ordered import lookup_join, null_safe_join, running, sa
 from plumbline.functions.settings import cut_lineage
 from plumbline.operators import metric_space
 
-GRID_DIMENSIONS = 3      # of points that meet in grid cells; others meet by metric partitioning
+GRID_DIMENSIONS = 3      # of points with keys that meet in grid cells; others meet by metric partitioning
 GRID_METRICS = ("euclidean", "cityblock", "manhattan", "chebyshev")
 
 
@@ -63,7 +63,8 @@ def attach(df: DataFrame, columns: Sequence[str], points: DataFrame, keys: Seque
 def nearest(points: DataFrame, k: int, metric: str = "euclidean", keys: Sequence[str] = ()) -> DataFrame:
     """For each weighted point the other points covering its k nearest rows: ``near`` = sorted [(d, q, m)].
 
-    With ``keys`` only points of the same key meet; the key joins like one more cell coordinate.
+    Without ``keys`` points meet as in ``metric_space.nearest``, which also says what a column ``ids`` does.  With ``keys``
+    only points of the same key meet; the key joins like one more cell coordinate.
 
     A round joins unfinished points with the cells around them.  A point is finished when k rows lie within
     one cell side, because everything that near was met.  The side then doubles for the rest, each of which
@@ -74,7 +75,7 @@ def nearest(points: DataFrame, k: int, metric: str = "euclidean", keys: Sequence
     if total == 0:
         return points.withColumn("near", F.array().cast("array<struct<d:double,q:array<double>,m:bigint>>"))
     width = len(points.first()["p"])
-    if width > GRID_DIMENSIONS or metric not in GRID_METRICS:
+    if not keys or width > GRID_DIMENSIONS or metric not in GRID_METRICS:
         return metric_space.nearest(points, k, metric, keys)
     ends = points.agg(*[f(F.col("p")[i]) for i in range(width) for f in (F.min, F.max)]).first()
     spreads = [ends[2 * i + 1] - ends[2 * i] for i in range(width)]
@@ -132,9 +133,24 @@ def neighbour_scores(df: DataFrame, columns: Sequence[str], k: int = 5, metric:
     return near.select("p", F.try_divide(total, counted).alias("score"))
 
 
-def local_outlier_factor(df: DataFrame, columns: Sequence[str], k: int = 10, metric: str = "euclidean") -> DataFrame:
-    """Local outlier factor per distinct point from its k nearest rows."""
-    near = cut_lineage(nearest(weighted_points(df, columns), k, metric).withColumn("w", _weights(k)))
+def _first_names(df: DataFrame, columns: Sequence[str], order: str, k: int) -> DataFrame:
+    """Weighted points with ``ids``, the sorted k smallest values of ``order`` of their rows."""
+    rows = complete(df, columns).select(vector(columns).alias("p"), F.col(order).alias("_i"))
+    few = rows.withColumn("_r", F.row_number().over(Window.partitionBy("p").orderBy("_i"))).where(F.col("_r") <= k)
+    return weighted_points(df, columns).join(few.groupBy("p").agg(F.array_sort(F.collect_list("_i")).alias("ids")), "p")
+
+
+def _weights_by_name(k: int) -> Column:
+    """As ``_weights``, where equally far rows of several points go by their names."""
+    rows = F.transform("near", lambda x: F.transform(x["ids"], lambda i: F.struct(x["d"].alias("d"), i.alias("i"), x["q"].alias("q"))))
+    taken = F.slice(F.array_sort(F.flatten(rows)), 1, F.lit(k) - F.least(F.col("n") - 1, F.lit(k)).cast("int"))
+    return F.transform("near", lambda x: F.size(F.filter(taken, lambda y: y["q"] == x["q"])).cast("long"))
+
+
+def local_outlier_factor(df: DataFrame, columns: Sequence[str], k: int = 10, metric: str = "euclidean", order: str | None = None) -> DataFrame:
+    """Local outlier factor per distinct point from its k nearest rows; of equally far rows those of the smaller ``order``."""
+    points = _first_names(df, columns, order, k) if order else weighted_points(df, columns)
+    near = cut_lineage(nearest(points, k, metric).withColumn("w", _weights_by_name(k) if order else _weights(k)))
     used = F.filter(F.arrays_zip("near", "w"), lambda x: x["w"] > 0)
     base = near.select("p", F.least(F.col("n") - 1, F.lit(k)).alias("own"), used.alias("used"))
     base = base.withColumn("reach", F.coalesce(F.element_at(F.transform("used", lambda x: x["near"]["d"]), -1), F.lit(0.0)))

@@ -57,8 +57,8 @@ def neighbour_outliers(df, columns, k: int = 5, contamination: float = 0.03, met
     return label_top(neighbors.attach(df, columns, neighbors.neighbour_scores(df, columns, k, metric)), contamination=contamination)
 
 
-def local_outliers(df, columns, k: int = 10, contamination: float = 0.03, metric: str = "euclidean") -> DataFrame:
-    return label_top(neighbors.attach(df, columns, neighbors.local_outlier_factor(df, columns, k, metric)), contamination=contamination)
+def local_outliers(df, columns, k: int = 10, contamination: float = 0.03, metric: str = "euclidean", order: str | None = None) -> DataFrame:
+    return label_top(neighbors.attach(df, columns, neighbors.local_outlier_factor(df, columns, k, metric, order)), contamination=contamination)
 
 
 def chain_outliers(df, columns, k: int = 15, contamination: float = 0.03, keys: Sequence[str] = ()) -> DataFrame:

@@ -55,7 +55,7 @@ k AS (SELECT a, max(d) AS kd FROM n GROUP BY a),
 l AS (SELECT n.a, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM n JOIN k ON n.b = k.a GROUP BY n.a)
 SELECT n.a AS s_suppkey, round(avg(lb.lrd) / max(la.lrd), 8) AS score FROM n JOIN l la ON n.a = la.a JOIN l lb ON n.b = lb.a GROUP BY n.a""")
 def _(t):
-    return rounded(o.local_outliers(suppliers(t), ["x", "y"]).select("s_suppkey", "score"), 8, "score")
+    return rounded(o.local_outliers(suppliers(t), ["x", "y"], order="s_suppkey").select("s_suppkey", "score"), 8, "score")
 
 
 @query("outlier_chaining", "O6")

@@ -110,3 +110,17 @@ def test_copies_follow_blocks_and_links_follow_balls(spark):
     marked, _, edges = ms.density(points, 1.0, 3)
     balls = marked.where("core").select("ball").distinct().count()
     assert 0 < edges.distinct().count() <= 32 * balls
+
+
+def test_local_factor_takes_equally_far_rows_by_name(spark):
+    rows = [(9, 0.0, 0.0), (5, 1.0, 0.0), (3, -1.0, 0.0), (4, 1.0, 0.0), (7, -1.0, 0.0), (8, 5.0, 1.0), (6, -2.5, 0.0), (2, 4.0, 3.0)]
+    k, ids, x = 3, np.array([r[0] for r in rows]), np.array([r[1:] for r in rows])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    near = {i: [j for j in np.lexsort((ids, d[i])) if j != i][:k] for i in range(len(x))}
+    far = {i: d[i][near[i][-1]] for i in near}
+    dense = {i: 1 / (np.mean([max(d[i][j], far[j]) for j in near[i]]) + 1e-10) for i in near}
+    want = {ids[i]: np.mean([dense[j] for j in near[i]]) / dense[i] for i in near}
+    df = spark.createDataFrame(rows, "i long, x double, y double")
+    scores = neighbors.local_outlier_factor(df, ["x", "y"], k, order="i")
+    got = {r.i: r.score for r in neighbors.attach(df, ["x", "y"], scores).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
