@@ -33,15 +33,22 @@ def moving_average(df: DataFrame, ts: str, value: str, window: int | str, key: s
 
 
 def _over_span(df: DataFrame, keys: list[str], ts: str, value: str, span: int) -> DataFrame:
-    """Mean over the half-open span ending at each row; time chunks carry one span of halo rows."""
-    width = 64 * span
+    """Mean over the half-open span ending at each row.
+
+    Time is cut into chunks of one span, so a row's span is the beginning of its chunk up to the row and the end of the
+    chunk before, behind the row's place in it.  Both are sums that only grow, one row at a time, however many rows a span holds.
+    """
     at = micros(F.col(ts))
-    own = F.floor(at / width)
-    parts = F.array_compact(F.array(own, F.when(F.pmod(at, F.lit(width)) >= width - span, own + 1)))
-    halo = df.withColumn("_at", at).withColumn("_own", own).withColumn("_part", F.explode(parts))
-    w = Window.partitionBy(*keys, "_part").orderBy("_at").rangeBetween(-(span - 1), 0)
-    out = halo.withColumn("sma", F.avg(value).over(w))
-    return out.where(F.col("_own") == F.col("_part")).drop("_at", "_own", "_part")
+    placed = df.withColumn("_off", F.pmod(at, F.lit(span))).withColumn("_own", ((at - F.col("_off")) / span).cast("long"))
+    halo = placed.withColumn("_part", F.explode(F.array_compact(F.array("_own", F.col("_own") + 1))))
+    mine = F.col("_own") == F.col("_part")
+    ahead = Window.partitionBy(*keys, "_part").orderBy("_off").rangeBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy(*keys, "_part").orderBy(F.col("_off").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    held = F.col(value).cast("double")
+    total = [F.coalesce(F.sum(F.when(m, held)).over(w), F.lit(0.0)) for m, w in ((mine, ahead), (~mine, behind))]
+    count = [F.count(F.when(m, held)).over(w) for m, w in ((mine, ahead), (~mine, behind))]
+    out = halo.withColumns({"_s0": total[0], "_n0": count[0], "_s1": total[1], "_n1": count[1]}).where(mine)
+    return out.select(*df.columns, F.try_divide(F.col("_s0") + F.col("_s1"), F.col("_n0") + F.col("_n1")).alias("sma"))
 
 
 def weighted_average(df: DataFrame, ts: str, value: str, window: int, key: str | None = None,

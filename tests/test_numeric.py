@@ -435,3 +435,21 @@ def test_chaining_and_tails_are_per_series(spark):
         for k in "ab":
             for r in detect(df.where(F.col("k") == k)).collect():
                 assert both[k, r.i][0] == pytest.approx(r.score) and both[k, r.i][1] == r.outlier
+
+
+def test_span_average_grows_its_sums(spark):
+    """Ties, gaps and times before 1970 against all rows of each span; no frame is bounded at both ends, which is read anew for every row."""
+    from datetime import datetime, timedelta
+
+    from plumbline.operators import smooth
+    draw = np.random.default_rng(8)
+    rows = [(i, "ab"[i % 2], datetime(1969, 12, 31) + timedelta(minutes=int(m)), None if i % 9 == 0 else float(v))
+            for i, (m, v) in enumerate(zip(draw.integers(0, 4000, 300), draw.normal(size=300)))]
+    df = spark.createDataFrame(rows, "i long, k string, ts timestamp_ntz, v double")
+    out = smooth.moving_average(df, "ts", "v", "2h", "k")
+    got = {r.i: r.sma for r in out.collect()}
+    for i, k, ts, _ in rows:
+        near = [v for _, b, at, v in rows if b == k and v is not None and ts - timedelta(hours=2) < at <= ts]
+        assert got[i] == (pytest.approx(np.mean(near), abs=1e-12) if near else None)
+    frames = [f for f in out._jdf.queryExecution().optimizedPlan().toString().split("specifiedwindowframe(")[1:]]
+    assert frames and all("unboundedpreceding" in f.split(")")[0] for f in frames)
