@@ -13,12 +13,12 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.calendar import micros
 from plumbline.functions.ordered import describe, hot_keys, lookup_join, over_series, running
-from plumbline.functions.settings import kept
+from plumbline.functions.settings import cut_lineage, kept, spread
 from plumbline.functions.tails import chi_upper, f_upper
 from plumbline.operators.stats import anova_f
 
@@ -132,7 +132,7 @@ def _one_feature_importances(model, width: int) -> np.ndarray:
 
 def model_scores(df: DataFrame, features: Sequence[str], target: str, model: str = "linear", classify: bool = False, seed: int = 0) -> DataFrame:
     """Coefficients or importances; features at or above the mean are kept."""
-    with kept(_rows(df, features, target, classify)) as data:
+    with kept(spread(_rows(df, features, target, classify).select("features", "label"))) as data:
         scores = _fitted_scores(data, features, model, classify, seed)
     return _importance(df, features, scores)
 
@@ -178,7 +178,7 @@ def elimination(df: DataFrame, features: Sequence[str], target: str, classify: b
         raise ValueError("elimination needs two features")
     left, trail = list(features), []
     while True:
-        with kept(_rows(df, left, target, classify)) as data:
+        with kept(spread(_rows(df, left, target, classify).select("features", "label"))) as data:
             checked = CrossValidator(estimator=_forest(classify, seed), estimatorParamMaps=[{}], evaluator=_judge(classify), numFolds=2, seed=seed).fit(data)
         trail.append((checked.avgMetrics[0], list(left)))
         if len(left) <= 2:
@@ -194,24 +194,37 @@ def elimination(df: DataFrame, features: Sequence[str], target: str, classify: b
                                            "name string, prime boolean, value double")
 
 
+DEALT_ROWS = 100_000     # rows that one task puts in order to deal them
+
+
 def _shuffled_column(data: DataFrame, column: str, ident: Sequence[str], seed: int) -> DataFrame:
     """The column's values dealt to other rows: two hash orders are numbered and joined on the number."""
-    givers = running(data.select(column, F.struct(F.xxhash64(F.lit(seed), *ident), *ident).alias("_o")), [], "_o", {"_i": F.lit(1)})
-    takers = running(data.withColumn("_o", F.struct(F.xxhash64(F.lit(seed + 1), *ident), *ident)), [], "_o", {"_i": F.lit(1)})
-    return takers.drop(column, "_o").join(givers.select("_i", column), "_i").drop("_i")
+    givers, takers = _hash_numbered(data.select(*dict.fromkeys([*ident, column])), ident, seed), _hash_numbered(data, ident, seed + 1)
+    return takers.drop(column).join(givers.select("_i", column), "_i").drop("_i")
+
+
+def _hash_numbered(data: DataFrame, ident: Sequence[str], seed: int) -> DataFrame:
+    """Rows with their number ``_i`` (from 1) in the order of a hash; the leading bits of a hash say which rows are numbered together."""
+    bits = math.ceil(math.log2(max(1, data.count() / DEALT_ROWS)))
+    lead = F.shiftright("_h", 64 - bits) if bits else F.lit(0).cast("long")
+    rows = data.withColumn("_h", F.xxhash64(F.lit(seed), *ident)).withColumn("_b", lead)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)      # a row per part
+    sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *ident))
+    return rows.join(F.broadcast(sizes), "_b").withColumn("_i", inside + F.col("_first")).drop("_h", "_b", "_first")
 
 
 def permutation_scores(df: DataFrame, features: Sequence[str], target: str, ident: Sequence[str], classify: bool = True,
                        repeats: int = 5, seed: int = 0) -> DataFrame:
     """Mean drop of the score of a boosted (or forest) model when one column is dealt anew."""
-    data = _rows(df, features, target, classify)
+    data = cut_lineage(_rows(df, features, target, classify).select(*dict.fromkeys([*ident, *features, "features", "label"])))
     model = (_forest(True, seed) if classify else GBTRegressor(seed=seed, maxIter=10)).fit(data)
     judge, base = _judge(classify), _judge(classify).evaluate(model.transform(data))
     drops = []
     for c in features:
         lost = []
         for r in range(repeats):
-            dealt = _shuffled_column(data.select(*dict.fromkeys([*ident, *features, "label"])), c, ident, seed + 101 * r)
+            dealt = _shuffled_column(data.drop("features"), c, ident, seed + 101 * r)
             again = VectorAssembler(inputCols=list(features), outputCol="features").transform(dealt)
             lost.append(base - judge.evaluate(model.transform(again)))
         drops.append(float(np.mean(lost)))
@@ -222,7 +235,7 @@ def permutation_scores(df: DataFrame, features: Sequence[str], target: str, iden
 def null_importance(df: DataFrame, features: Sequence[str], target: str, ident: Sequence[str], classify: bool = True,
                     runs: int = 10, seed: int = 0) -> DataFrame:
     """ln(1e-10 + gain / (1 + 75 % quantile of gains under a dealt target))."""
-    data = _rows(df, features, target, classify).select(*dict.fromkeys([*ident, "features", "label"]))
+    data = cut_lineage(_rows(df, features, target, classify).select(*dict.fromkeys([*ident, "features", "label"])))
     real = _forest(classify, seed).fit(data).featureImportances.toArray()
     nulls = [_forest(classify, seed).fit(_shuffled_column(data, "label", ident, seed + 17 * (r + 1))).featureImportances.toArray()
              for r in range(runs)]

@@ -224,9 +224,9 @@ def compare(df: DataFrame, features: Sequence[str], target: str, kinds: Sequence
                     if classify and "rawPrediction" in said.columns and said.select("label").distinct().count() == 2:
                         auc += judge(True, target, "areaUnderROC").evaluate(said) / folds
             board.append({"model": kind, **totals, **({"auc": auc} if classify else {})})
-    main = "accuracy" if classify else "rmse"
-    board.sort(key=lambda r: -r[main] if classify else r[main])
-    best = _pipeline(df, features, target, board[0]["model"], classify).fit(df)
+        main = "accuracy" if classify else "rmse"
+        board.sort(key=lambda r: -r[main] if classify else r[main])
+        best = _pipeline(rows, features, target, board[0]["model"], classify).fit(rows)
     fields = ["model", *metrics, *(["auc"] if classify else [])]
     schema = "model string, " + ", ".join(f"{f} double" for f in fields[1:])
     return df.sparkSession.createDataFrame([tuple(r[f] for f in fields) for r in board], schema), best

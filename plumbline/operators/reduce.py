@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.grouped_map import check_length
+from plumbline.functions.settings import spread
 from plumbline.operators import series_clusters
 
 
@@ -28,7 +29,7 @@ def assembled(df: DataFrame, columns: Sequence[str], name: str = "features") ->
 def kmeans(df: DataFrame, columns: Sequence[str], k: int = 2, iterations: int = 300, tolerance: float = 1e-4, seed: int = 0):
     """(rows with ``cluster``, fitted model)."""
     rows = assembled(df, columns)
-    model = KMeans(k=k, maxIter=iterations, tol=tolerance, seed=seed, predictionCol="cluster").fit(rows)
+    model = KMeans(k=k, maxIter=iterations, tol=tolerance, seed=seed, predictionCol="cluster").fit(spread(rows.select("features")))
     return model.transform(rows), model
 
 

@@ -453,3 +453,17 @@ def test_span_average_grows_its_sums(spark):
         assert got[i] == (pytest.approx(np.mean(near), abs=1e-12) if near else None)
     frames = [f for f in out._jdf.queryExecution().optimizedPlan().toString().split("specifiedwindowframe(")[1:]]
     assert frames and all("unboundedpreceding" in f.split(")")[0] for f in frames)
+
+
+def test_dealt_and_fitted_rows_go_in_bounded_tasks(spark, monkeypatch):
+    from plumbline.functions import settings
+    monkeypatch.setattr(features, "DEALT_ROWS", 50)
+    monkeypatch.setattr(settings, "TASK_ROWS", 100)
+    df = spark.range(1000).coalesce(1)
+    numbered = features._hash_numbered(df, ["id"], 3)
+    got = [r.id for r in numbered.orderBy("_i").collect()]
+    assert got == [r.id for r in df.orderBy(F.xxhash64(F.lit(3), "id"), "id").collect()]
+    assert sorted(r._i for r in numbered.select("_i").collect()) == list(range(1, 1001))
+    assert settings.spread(df).rdd.getNumPartitions() == 10 and settings.spread(df.limit(90)).rdd.getNumPartitions() == 1
+    dealt = features._shuffled_column(df.withColumn("v", F.col("id") * 2), "v", ["id"], 1).collect()
+    assert sorted(r.v for r in dealt) == [2 * i for i in range(1000)] and sum(r.v == 2 * r.id for r in dealt) < 20
