@@ -28,6 +28,8 @@ BLOCK = 1 << 19      # ids after which a block ends, with the document that reac
 WORDS = 1 << 20      # words that a worker remembers; when full it starts again
 JOINED = 4096        # new words that are tokenised in one string
 SLICE = 1 << 23      # bytes of text that are tokenised at a time, with the document that reaches them
+BORDER = r"([a-z0-9À-ÖØ-öø-įı-ɏ])([!-/:-@\[-`{-~])"    # Latin letter or digit, mark: the tokenizer parts these
+COUNTED = 1 << 20    # ids that are counted at once
 BLOCKS = "part int, block long, first long, n long, doc_ids array<long>, counts array<long>, bits binary, marks binary"
 
 
@@ -116,7 +118,7 @@ class Words:
     The tokenizer drops white space and never looks across it, so a text's ids are those of the words between ASCII
     white space.  Texts are split and their distinct words found in Arrow; words seen before are not encoded again.  It
     lower-cases, and it parts letters from the marks behind them; A-Z are lower-cased and the marks cut off beforehand,
-    so that fewer words are new.
+    so that fewer words are new: behind Latin letters and digits in Arrow, behind other letters word by word.
     """
 
     def __init__(self, definition: str):
@@ -137,6 +139,9 @@ class Words:
     def _learn(self, new: list[str]) -> None:
         parts, wanted = [], set()
         for word in new:
+            if word.isalpha():
+                wanted.add(word)
+                continue
             core = word.rstrip(".,;:!?")
             if core and core != word and "<|" not in word and _plain(core)[-1].isalnum():
                 parts.append((word, core, word[len(core):]))
@@ -148,7 +153,7 @@ class Words:
             (plain if (word.isascii() or _plain(word).isalpha()) and word.isalpha() else rest).append(word)
         for at in range(0, len(plain), JOINED):
             some = plain[at:at + JOINED]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(self.ending[ids]) + 1    # every word of letters alone ends once
             if len(ends) == len(some):
                 self._hold(some, ids, np.diff(ends, prepend=0))
@@ -163,9 +168,9 @@ class Words:
     def encode(self, texts: pa.Array) -> pa.Array:
         """Ids of every text with ``END`` behind them, as bytes."""
         texts = texts.fill_null("")
-        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.replace_substring_regex(pc.ascii_lower(texts), BORDER, r"\1 \2")))
         found = pc.list_flatten(lists).dictionary_encode()
-        words = found.dictionary.to_pylist()
+        words = found.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > WORDS:
             self.known.clear()
@@ -230,8 +235,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for row in batch.column(0):
-                total = _added(total, np.bincount(np.frombuffer(row.as_buffer(), kind)))
+            found = _joined(batch.column(0), kind)
+            for at in range(0, len(found), COUNTED):
+                total = _added(total, np.bincount(found[at:at + COUNTED]))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["id", "n"])
 
@@ -271,6 +277,15 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None)
         .write.option("compression", "none").parquet(f"{path}/blocks")
 
 
+def _joined(rows: pa.Array, kind: str) -> np.ndarray:
+    """The ids of adjoining rows, one behind the other, without a copy."""
+    if not len(rows) or not rows.buffers()[2]:
+        return np.empty(0, kind)
+    wide = "<i8" if pa.types.is_large_binary(rows.type) else "<i4"
+    first, last = np.frombuffer(rows.buffers()[1], wide)[[rows.offset, rows.offset + len(rows)]].tolist()
+    return np.frombuffer(rows.buffers()[2], np.uint8)[first:last].view(kind)
+
+
 def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if len(a) < len(b):
         a, b = b.astype(np.int64), a

@@ -6,6 +6,7 @@ import random
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import byte_bpe, lines, mixing, quality, simhash, substrings, token_files
@@ -277,6 +278,20 @@ def test_long_strings_are_not_remembered():
     assert max(map(len, [*coder.pieces, *coder.stretches])) <= byte_bpe.LONGEST
 
 
+def test_words_are_remembered_without_marks():
+    """Marks behind Latin letters make no new words; ids stay those of the tokenizer."""
+    from tokenizers import Tokenizer
+    texts = ["alpha*** alpha&&& alpha-beta alpha", "Étude,. étude### 12,5 don't'S 555-5294", "слово,. слово ÷a, ×.b İ.c ŉ.d a\u0301.b a<|b.c", "<|endoftext|>a,b", "", None]
+    coder = token_files.words(token_files._definition(None))
+    coder.known.clear()
+    coder.store.cut(0)
+    got = coder.encode(pa.array(texts)).to_pylist()
+    want = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
+    assert [np.frombuffer(g, coder.kind).tolist() for g in got] == [[*want.encode(t or "", add_special_tokens=False).ids, token_files.END] for t in texts]
+    assert {"alpha", "***", "-beta", "étude"} <= set(coder.known)
+    assert not {"alpha***", "alpha&&&", "alpha-beta", "étude###"} & set(coder.known)
+
+
 def test_perfect_hash():
     keys = [str(k).encode() for k in range(5000)]
     table = byte_bpe.PerfectHash(keys)
