@@ -217,17 +217,15 @@ FACTOR_SUMS = ("name string, df double, sum_sq double, f double, p double, neg_l
 def factor_anova(df: DataFrame, value: str, factors: Sequence[str]) -> DataFrame:
     """Sequential sums of squares of ``value ~ factor1 + factor2 + ...`` with F, p, -log10 p and both effect sizes.
 
-    Rows with a null value or factor are left out.  Up to ``MOST_LEVELS`` levels the sums of levels and of pairs of
+    Rows with a null value or factor are left out.  Up to about ``MOST_LEVELS`` levels the sums of levels and of pairs of
     levels are solved on the driver; beyond, the fit stays on Spark (``level_fit``).  Rows never reach the driver.
     Without rows there is no result row.
     """
     rows = df.where(F.col(value).isNotNull()).dropna(subset=list(factors))
-    levels = rows.agg(*[F.count_distinct(c).alias(c) for c in factors]).first()
-    centre, n = rows.agg(F.avg(value), F.count(F.lit(1))).first()
+    centre, spread, n, *levels = rows.agg(F.avg(value), F.var_pop(value), F.count(F.lit(1)), *[F.approx_count_distinct(c) for c in factors]).first()
     if not n:
         return df.sparkSession.createDataFrame([], f"{FACTOR_SUMS}, level string")
-    y = F.col(value) - centre
-    total = rows.agg(F.sum(y * y)).first()[0]
+    y, total = F.col(value) - centre, spread * n
     found = level_fit.sequential_sums(rows, y, factors) if sum(levels) > MOST_LEVELS else _matrix_sums(rows, y, factors, n, total)
     rest, free = total - sum(s for *_, s in found), n - 1 - sum(d for _, d, _ in found)
     error = rest / free if free > 0 else math.nan

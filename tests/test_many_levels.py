@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from plumbline.operators import stats
+from plumbline.operators import level_fit, stats
 
 
 def sums(y, factors):
@@ -45,6 +45,21 @@ def test_rounds_equal_least_squares(spark, monkeypatch, name, factors):
     assert stats.factor_anova(frame.where("false"), "y", names).count() == 0
 
 
+def test_a_factor_of_two_levels_takes_one_round(spark, monkeypatch):
+    """The largest factor is put into the equations of the others: two numbers are left, and the last round finds nothing to do."""
+    monkeypatch.setattr(stats, "MOST_LEVELS", 0)
+    monkeypatch.setattr(level_fit, "MOST_ROUNDS", 2)
+    draw = np.random.default_rng(7)
+    a, b = draw.integers(0, 50, 300), draw.integers(0, 2, 300)
+    y = draw.normal(size=50)[a] + b + draw.normal(size=300)
+    frame = spark.createDataFrame([(float(v), int(i), f"l{j}") for v, i, j in zip(y, a, b)], "y double, a long, b string")
+    want, _ = sums(y, [a, b])
+    got = {r["name"]: r for r in stats.factor_anova(frame, "y", ["a", "b"]).collect()}
+    for n, (df, ss) in zip("ab", want):
+        assert got[n]["df"] == df
+        assert got[n]["sum_sq"] == pytest.approx(ss, rel=1e-7)
+
+
 def test_tail_of_many_degrees_of_freedom():
     from plumbline.functions.tails import f_upper
     assert f_upper(1.0, 2e6, 2e6) == pytest.approx(0.5, abs=1e-6)
