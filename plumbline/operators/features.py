@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.calendar import micros
 from plumbline.functions.ordered import describe, hot_keys, lookup_join, over_series, running
-from plumbline.functions.settings import cut_lineage, kept, spread
+from plumbline.functions.settings import cut_lineage, kept, spread, use_all_cores
 from plumbline.functions.tails import chi_upper, f_upper
 from plumbline.operators.stats import anova_f
 
@@ -132,11 +133,81 @@ def _one_feature_importances(model, width: int) -> np.ndarray:
 
 def model_scores(df: DataFrame, features: Sequence[str], target: str, model: str = "linear", classify: bool = False, seed: int = 0) -> DataFrame:
     """Coefficients or importances; features at or above the mean are kept."""
-    with kept(spread(_rows(df, features, target, classify).select("features", "label"))) as data:
+    rows = _rows(df, features, target, classify)
+    if model == "boost" and classify:
+        return _importance(df, features, _boosted_scores(rows, features, seed))
+    with kept(spread(rows.select("features", "label"))) as data:
         scores = _fitted_scores(data, features, model, classify, seed)
     return _importance(df, features, scores)
 
 
+def _boosted_scores(rows: DataFrame, features: Sequence[str], seed: int) -> np.ndarray:
+    """Importances of boosted trees, which see of a row nothing but its label and the bins of its features.
+
+    Rows equal in these are one cell, with their number as its weight: trees read cells, which never outnumber the rows.
+    """
+    booster = GBTClassifier(seed=seed, maxIter=10)
+    values = [f"_x{i}" for i in range(len(features))]
+    rows = rows.select(*[F.col(c).cast("double").alias(x) for c, x in zip(features, values)], "label")
+    cuts = _tree_cuts(rows.select(*values), booster)
+    cells = _binned(rows, values, cuts).groupBy(*values, "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    with kept(cells.select(array_to_vector(F.array(*values)).alias("features"), "label", "weight")) as held:
+        # every bin stays one: a booster looks for cuts in maxBins ** 2 rows at least, and takes all between up to maxBins values
+        booster.setWeightCol("weight").setMaxBins(max(booster.getMaxBins(), math.isqrt(held.count()) + 1, *[len(c) + 1 for c in cuts]))
+        data, classes = use_all_cores(spread(held)), held.select("label").distinct().count()
+        fitted = booster.fit(data) if classes == 2 else OneVsRest(classifier=booster, weightCol="weight").fit(data)
+    return _one_feature_importances(fitted, len(features))
+
+
+def _tree_cuts(values: DataFrame, booster: GBTClassifier) -> list[np.ndarray]:
+    """Cuts between the bins of each column: those that the booster finds before its first tree, from the rows that it draws for that."""
+    spark, bins = values.sparkSession, booster.getMaxBins()
+    endless = reduce(Column.__or__, [F.abs(c) == math.inf for c in values.columns])
+    count, wrong = values.agg(F.count(F.lit(1)), F.count_if(endless)).first()
+    if wrong:
+        raise ValueError("features must not be infinite")
+    share = min(1.0, max(bins * bins, 10_000) / max(count, 1))
+    drawn = values
+    if share < 1:
+        draw = spark._jvm.org.apache.spark.util.random.XORShiftRandom(booster.getSeed()).nextInt()
+        drawn = DataFrame(spark._jsparkSession.createDataFrame(values._jdf.toJavaRDD().sample(False, share, draw), values._jdf.schema()), spark)
+    table = drawn.toPandas()
+    return [_column_cuts(table[c].to_numpy(), share * count, min(bins, count) - 1) for c in values.columns]
+
+
+def _column_cuts(drawn: np.ndarray, expected: float, most: int) -> np.ndarray:
+    """Middles between neighbouring values where the rows up to there are nearest a multiple of the stride, as Spark's trees take them.
+
+    Like there, zeros are the rows that were expected and not drawn as other values.
+    """
+    values, counts = np.unique(drawn[drawn != 0], return_counts=True)
+    zeros = expected - counts.sum()
+    if len(values) and zeros > np.finfo(float).eps * counts.sum() * 100:
+        place = np.searchsorted(values, 0.0)
+        values, counts = np.insert(values, place, 0.0), np.insert(counts.astype(float), place, zeros)
+    if len(values) <= most + 1:
+        return (values[:-1] + values[1:]) / 2
+    stride = expected / (most + 1)
+    cuts, target, reached = [], stride, np.cumsum(counts)
+    for i in range(1, len(values)):
+        if abs(reached[i - 1] - target) < abs(reached[i] - target):
+            cuts.append((values[i - 1] + values[i]) / 2)
+            target += stride
+    return np.array(cuts)
+
+
+def _binned(rows: DataFrame, columns: Sequence[str], cuts: Sequence[np.ndarray]) -> DataFrame:
+    """The columns' values as the number of cuts below them, by halving."""
+    steps = [1 << k for k in reversed(range(max(len(c) for c in cuts).bit_length()))]
+    ends = [F.array(*[F.lit(float(v)) for v in c], *[F.lit(math.inf)] * (2 * steps[0] - 1 - len(c))) if steps else None for c in cuts]
+    others = [c for c in rows.columns if c not in columns]
+    out = rows.select("*", *[F.lit(0).alias(f"{c}_bin") for c in columns])
+    for step in steps:
+        out = out.select(*rows.columns, *[(F.col(f"{c}_bin") + F.when(F.col(c) > F.get(end, F.col(f"{c}_bin") + (step - 1)), step).otherwise(0))
+                                          .alias(f"{c}_bin") for c, end in zip(columns, ends)])
+    return out.select(*others, *[F.col(f"{c}_bin").cast("double").alias(c) for c in columns])
+
+
 def _fitted_scores(data: DataFrame, features: Sequence[str], model: str, classify: bool, seed: int):
     match model:
         case "linear" if classify:
@@ -152,12 +223,7 @@ def _fitted_scores(data: DataFrame, features: Sequence[str], model: str, classif
                                     parallelism=2).fit(data).bestModel.coefficients.toArray()
         case "randomf":
             scores = (RandomForestClassifier(seed=seed) if classify else RandomForestRegressor(seed=seed)).fit(data).featureImportances.toArray()
-        case "boost" if classify:
-            classes = data.select("label").distinct().count()
-            booster = GBTClassifier(seed=seed, maxIter=10)
-            fitted = booster.fit(data) if classes == 2 else OneVsRest(classifier=booster).fit(data)
-            scores = _one_feature_importances(fitted, len(features))
-        case "boost":
+        case "boost":      # of numbers; classes have _boosted_scores
             scores = GBTRegressor(seed=seed, maxIter=10).fit(data).featureImportances.toArray()
         case _:
             raise ValueError(f"unknown model {model!r}")

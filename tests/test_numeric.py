@@ -360,6 +360,42 @@ def test_feature_scores_rank_the_signal_first(spark):
     assert kept.set_index("name").prime["x"] and kept["prime"].sum() >= 2
 
 
+def test_boosted_scores_fit_counted_cells_as_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=30_000), rng.exponential(size=30_000).round(2), rng.integers(-2, 3, 30_000)])
+    up = x[:, 0] + 0.5 * x[:, 1] * (x[:, 2] == 0) + 0.3 * rng.normal(size=30_000) > 0.4
+    df = spark.createDataFrame(pd.DataFrame({"x": x[:, 0], "y": x[:, 1], "z": x[:, 2].astype(int), "c": np.where(up, "p", "n")})).coalesce(2)
+    df = df.union(df.where("z = 1 AND x > 0")).union(df.limit(50).withColumn("x", F.lit(None).cast("double")))
+    names, fitted, fit = ["x", "y", "z"], [], features.GBTClassifier.fit
+    plain = features.GBTClassifier(seed=0, maxIter=10).fit(features._rows(df, names, "c", True)).featureImportances.toArray()
+    monkeypatch.setattr(features.GBTClassifier, "fit", lambda self, data: fitted.append(data.agg(F.count("*"), F.sum("weight")).first()) or fit(self, data))
+    out = features.model_scores(df, names, "c", "boost", True).toPandas().set_index("name").value
+    assert out[names].tolist() == np.round(plain, 3).tolist()
+    (rows, weight), = fitted
+    assert rows <= 33 * 33 * 5 * 2 < weight == df.where("x IS NOT NULL").count()     # a row per cell, however many rows there are
+    with pytest.raises(ValueError, match="infinite"):
+        features.model_scores(df.limit(9).withColumn("y", F.lit(-math.inf)), names, "c", "boost", True)
+
+
+@pytest.mark.parametrize("drawn, expected, most", [
+    ([3.0] * 6 + [1.0] * 2 + [2.0], 9.0, 4), ([0.0, 0.0, -1.0, 4.0, 4.0], 5.0, 1), ([5.0] * 7, 7.0, 3), ([0.0] * 4, 4.0, 3),
+    (list(range(1, 40)) * 3, 120.0, 7)])
+def test_cuts_between_values(drawn, expected, most):
+    cuts = features._column_cuts(np.array(drawn, float), expected, most)
+    values = sorted({*drawn, *([0.0] if expected > len(drawn) else [])})
+    middles = [(a + b) / 2 for a, b in zip(values, values[1:])]
+    assert set(cuts) <= set(middles) and list(cuts) == sorted(cuts)
+    assert len(cuts) == len(middles) if len(middles) <= most else most - 1 <= len(cuts) <= most + 1
+
+
+def test_cells_count_the_cuts_below_a_value(spark):
+    values = [-math.inf, -1.0, 0.0, 0.5, 0.6, 7.0, math.inf]
+    rows = spark.createDataFrame([(v, 3.0, i) for i, v in enumerate(values)], "x double, k double, i long")
+    cuts = [np.array([-1.0, 0.5, 6.0, 7.0, 9.0]), np.array([])]
+    got = features._binned(rows, ["x", "k"], cuts).orderBy("i").toPandas()
+    assert got.x.tolist() == np.searchsorted(cuts[0], values).tolist() and got.k.tolist() == [0.0] * 7
+
+
 def test_selection_modes(spark):
     scores = spark.createDataFrame([("a", 30.0, 1.0, 100.0), ("b", 5.0, 1.0, 100.0), ("c", 0.1, 1.0, 100.0), ("d", 4.2, 1.0, 100.0), ("e", 0.2, 1.0, 100.0)],
                                    "name string, value double, d1 double, d2 double")
